@@ -141,3 +141,65 @@ def windows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray
     bounds = np.concatenate(([0], np.cumsum(room)))
     at = np.repeat(first[:-1] - bounds[:-1], room) + np.arange(bounds[-1])
     return mix(h[at]), bounds
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether spans a and b hold the same bytes, pair by pair."""
+    view = loads(data)
+    same = (a_end - a) == (b_end - b)
+    live, left, k = np.flatnonzero(same), (a_end - a)[same], 0
+    while len(live):
+        mask = _MASKS[np.minimum(left, 8)]
+        differ = (view[a[live] + k] & mask) != (view[b[live] + k] & mask)
+        same[live[differ]] = False
+        more = ~differ & (left > 8)
+        live, left, k = live[more], left[more] - 8, k + 8
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one index for each distinct span, number of the distinct span of every span); compared byte by byte."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    key = np.sort((span_hashes(data, starts, ends) & ~low) | np.arange(n, dtype=np.uint64))
+    order = (key & low).astype(np.int64)
+    new = np.concatenate(([True], (key[1:] & ~low) != (key[:-1] & ~low)))
+    first = order[new]
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    held = first[number]
+    odd = np.flatnonzero(~equal_spans(data, starts, ends, starts[held], ends[held]))  # hashes met: spans of their own
+    number[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), number
+
+
+def ragged(parts: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate parts[bounds[w]:bounds[w + 1]] for every w of wanted; also the bounds of the result."""
+    size = (bounds[1:] - bounds[:-1])[wanted]
+    out = np.concatenate(([0], np.cumsum(size)))
+    return parts[np.repeat(bounds[:-1][wanted] - out[:-1], size) + np.arange(out[-1])], out
+
+
+class Memory:
+    """A bounded memory in two generations: what was asked for lately stays, results never depend on it."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, keys: list, compute) -> list:
+        """Values of distinct keys; compute(list of unknown keys) gives theirs."""
+        young, old = self.young, self.old
+        unknown = [k for k in keys if k not in young and k not in old]
+        fresh = dict(zip(unknown, compute(unknown), strict=True)) if unknown else {}
+        out = []
+        for k in keys:
+            v = young.get(k)
+            if v is None:
+                v = fresh[k] if k in fresh else old[k]
+                young[k] = v
+            out.append(v)
+        if len(young) > self.size:
+            self.old, self.young = young, {}
+        return out

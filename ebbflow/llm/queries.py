@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import quality, secret_scan, topk_search, toxicity, url_filter
+from ebbflow.llm import packing, quality, secret_scan, topk_search, toxicity, url_filter
 from ebbflow.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5, scale=256)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_toxicity": op3_toxicity,
         "op4_topk_search": op4_topk_search,
+        "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op10_url_filter": op10_url_filter,
     }
