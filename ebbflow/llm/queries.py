@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import packing, quality, secret_scan, topk_search, toxicity, url_filter
+from ebbflow.llm import packing, quality, secret_scan, topk_search, toxicity, unigram_count, url_filter
 from ebbflow.llm.common import table
 
 
@@ -32,6 +32,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = unigram_count.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_count.count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -43,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_topk_search": op4_topk_search,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_counts": op8_token_counts,
         "op10_url_filter": op10_url_filter,
     }
 
