@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import packing, quality, secret_scan, topk_search, toxicity, unigram_count, url_filter
+from ebbflow.llm import packing, quality, secret_scan, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
 from ebbflow.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5, scale=256)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_toxicity": op3_toxicity,
         "op4_topk_search": op4_topk_search,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
