@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import packing, quality, secret_scan, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
+from ebbflow.llm import minhash_dedup, packing, quality, secret_scan, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
 from ebbflow.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_toxicity": op3_toxicity,
         "op4_topk_search": op4_topk_search,
