@@ -76,8 +76,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.int64, np.int64, np.uint64), strict=True))
 
 
-def chunk_text(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, ids as integers, data, offsets) of a chunk, in the order of ids and texts (a defined order)."""
+def chunk_text(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, ids, data, offsets) of a chunk without null ids, in the order of ids and texts (a defined order)."""
     order = pc.sort_indices(table.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])
     table = table.take(order)
     text = table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0)
@@ -85,8 +85,7 @@ def chunk_text(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarra
     data = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
     if len(data) > 8:
         data[:-8] = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    ids = table["doc_id"].to_pylist()
-    return ids, np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64), data, offsets - offsets[0]
+    return table, table["doc_id"].to_numpy().astype(np.int64), data, offsets - offsets[0]
 
 
 def _buckets(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -281,63 +280,97 @@ def _factors(length: int) -> Callable[[tuple, pa.Table], pa.Table]:
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _remove(length: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def removed_bytes(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: pa.Table, length: int) -> np.ndarray:
+    """Which bytes of a chunk go: what the buckets found, and contents that a smaller id of the chunk holds."""
+    n = int(offsets[-1])
+    start, stop, _ = runs(data, offsets, length)
+    step = np.zeros(n + 1, np.int32)
+    if len(start):
+        first, number, owner = holders(data, offsets, ids, start, stop, length)
+        later = np.flatnonzero(owner > owner[first][number])
+        np.add.at(step, start[later], 1)
+        np.add.at(step, stop[later] + length - 1, -1)
+        parts = [np.frombuffer(x, "<i8").reshape(3, -1) for x in found["payload"].to_pylist()] if len(found) else []
+        if parts:
+            run, a, b = np.concatenate(parts, axis=1)
+            by = np.argsort(number[run], kind="stable")
+            at = np.searchsorted(number[run][by], np.arange(len(first) + 1))
+            hit = np.flatnonzero(np.diff(at)[number] > 0)  # every run whose content was found takes its ranges
+            pick, bounds = ragged(by, at, number[hit])
+            base = np.repeat(start[hit], np.diff(bounds))
+            np.add.at(step, base + a[pick], 1)
+            np.add.at(step, base + b[pick] + length - 1, -1)
+    return np.cumsum(step[:n]) > 0
+
+
+def _remove(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
-        nameless, docs = docs.filter(pc.is_null(docs["doc_id"])), docs.filter(pc.is_valid(docs["doc_id"]))
-        cols: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        cols: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
 
-        def add(doc_id: int | None, n: int, removed: int, spans: int, kept: bytes) -> None:
-            for k, v in (("doc_id", doc_id), ("n_bytes", n), ("n_removed", removed), ("n_spans", spans), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
-                cols[k].append(v)
+        def add(*values: object) -> None:
+            for c, v in zip(cols.values(), values, strict=True):
+                c.append(v)
 
-        for text in nameless["text"].to_pylist() if len(nameless) else ():
-            add(None, len(text), 0, 0, text)
+        for text in docs.filter(pc.is_null(docs["doc_id"]))["text"].to_pylist():
+            add(None, len(text), 0, 0, hashlib.sha256(text).hexdigest())
+        docs = docs.filter(pc.is_valid(docs["doc_id"]))
         if len(docs):
-            doc_ids, ids, data, offsets = chunk_text(docs)
-            n = int(offsets[-1])
-            start, stop, _ = runs(data, offsets, length)
-            step = np.zeros(n + 1, np.int32)
-            if len(start):
-                first, number, owner = holders(data, offsets, ids, start, stop, length)
-                later = np.flatnonzero(owner > owner[first][number])  # a smaller id of this chunk holds the content
-                np.add.at(step, start[later], 1)
-                np.add.at(step, stop[later] + length - 1, -1)
-                parts = [np.frombuffer(x, "<i8").reshape(3, -1) for x in found["payload"].to_pylist()] if len(found) else []
-                if parts:
-                    run, a, b = np.concatenate(parts, axis=1)
-                    by = np.argsort(number[run], kind="stable")
-                    at = np.searchsorted(number[run][by], np.arange(len(first) + 1))
-                    # every run whose content was found takes the content's ranges
-                    hit = np.flatnonzero(np.diff(at)[number] > 0)
-                    pick, bounds = ragged(by, at, number[hit])
-                    base = np.repeat(start[hit], np.diff(bounds))
-                    np.add.at(step, base + a[pick], 1)
-                    np.add.at(step, base + b[pick] + length - 1, -1)
-            gone = np.cumsum(step[:n]) > 0
-            total = np.concatenate(([0], np.cumsum(gone)))
+            _, ids, data, offsets = chunk_text(docs)
+            gone = removed_bytes(data, offsets, ids, found, length)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
-            inner = offsets[:-1][offsets[:-1] < n]
+            inner = offsets[:-1][offsets[:-1] < len(gone)]
             begins[inner] = gone[inner]
-            spans = np.concatenate(([0], np.cumsum(begins)))
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                text = data[a:b]
-                lost = int(total[b] - total[a])
-                add(doc_ids[i], b - a, lost, int(spans[b] - spans[a]), (text[~gone[a:b]] if lost else text).tobytes())
-        types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
-        return pa.table({k: pa.array(cols[k], t) for k, t in types.items()})
+            for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                lost = gone[a:b]
+                kept = data[a:b][~lost] if lost.any() else data[a:b]
+                add(i, b - a, int(lost.sum()), int(begins[a:b].sum()), hashlib.sha256(kept.tobytes()).hexdigest())
+        return pa.table({k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in cols.items()})
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with_text adds kept (binary)."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+def _clean(length: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def clean(docs: pa.Table, found: pa.Table) -> pa.Table:
+        nameless, docs = docs.filter(pc.is_null(docs["doc_id"])), docs.filter(pc.is_valid(docs["doc_id"]))
+        texts = [t.decode() for t in nameless["text"].to_pylist()]
+        if len(docs):
+            docs, ids, data, offsets = chunk_text(docs)
+            gone = removed_bytes(data, offsets, ids, found, length)
+            texts += [data[a:b][~gone[a:b]].tobytes().decode(errors="ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        rows = pa.concat_tables([nameless, docs])
+        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+        rest = rows["rest"].combine_chunks() if len(rows) else None
+        return pa.table({n: new[n] if n in new else (pc.struct_field(rest, n) if rest is not None else pa.array([])) for n in names})
+
+    return clean
+
+
+def _found(docs: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with their chunk, what the buckets found for each chunk)."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(LEAST_CHUNKS, -(-total // chunk_bytes))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), "doc_id", text.alias("text"))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))
+    dealt = docs.select(chunk.alias("chunk"), "doc_id", text.alias("text"))
     sent = dealt.groupBy("chunk").applyInArrow(_send(n_chunks, length), "bucket long, chunk long, hashes binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, payload binary")
     contexts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(n_chunks, length), "bucket long, chunk long, run binary, owner binary, size binary, content binary")
     found = contexts.groupBy("bucket").applyInArrow(_factors(length), "chunk long, payload binary")
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(length, with_text), OUT + (", kept binary" if with_text else ""))
+    whole = docs.select(chunk.alias("chunk"), "doc_id", text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+    return whole, found
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    whole, found = _found(docs, length, chunk_bytes)
+    return whole.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(length), OUT)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """All documents without their repeated passages; other columns stay, n_chars (if there is one) follows the text.
+
+    The bytes of a character that a removal splits go with it, so what is left is text.
+    """
+    whole, found = _found(docs, length, chunk_bytes)
+    return whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_clean(length, docs.columns), docs.schema)
