@@ -36,9 +36,11 @@ from ebbflow.llm.common import MULTIPLIERS, distinct_spans, equal_spans, loads,
 #: Bytes of the strings that count, and of the k-grams whose hashes deal windows.
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a chunk, about, and the least number of chunks.
-CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
+CHUNK_BYTES, LEAST_CHUNKS = 6 << 20, 64
+#: Buckets for each chunk: what a bucket sorts at once is a part of what a chunk holds.
+BUCKETS = 4
 #: Window starts that one numpy step takes.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def minimal_hashes(data: np.ndarray, n: int, a: int, b: int, length: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, np.maximum(offsets[:-1], offsets[1:] - length + 1), 1)
     np.add.at(step, offsets[1:], -1)
-    valid = np.cumsum(step[:n]) == 0
+    valid = np.cumsum(step[:n], dtype=np.int32) == 0
     out = ([], [], [])
     for a in range(0, max(n - length + 1, 0), STEP):
         b = min(a + STEP, n - length + 1)
@@ -169,7 +171,7 @@ def _contexts(n_buckets: int, length: int) -> Callable[[pa.Table, pa.Table], pa.
                 size = hi - lo
                 to = np.concatenate(([0], np.cumsum(size)))
                 content = data[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
-                for k, v in (("bucket", int(bucket[order[a]])), ("chunk", docs["chunk"][0].as_py()), ("run", pick.astype("<i8").tobytes()), ("owner", owner[order[a:b]].astype("<i8").tobytes()), ("size", size.astype("<i8").tobytes()), ("content", content.tobytes())):
+                for k, v in (("bucket", int(bucket[order[a]])), ("chunk", docs["chunk"][0].as_py()), ("run", pick.astype("<i8").tobytes()), ("owner", owner[order[a:b]].astype("<i8").tobytes()), ("size", size.astype("<i8").tobytes()), ("content", pa.compress(content.tobytes(), "zstd", asbytes=True))):
                     cols[k].append(v)
         return pa.table({k: pa.array(cols[k], t) for k, t in names.items()})
 
@@ -248,13 +250,17 @@ def longest_previous_factor(data: np.ndarray, at: np.ndarray, owner: np.ndarray,
 
 def _factors(length: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def factors(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [{k: np.frombuffer(r[k], "u1" if k == "content" else "<i8") for k in ("run", "owner", "size", "content")} | {"chunk": r["chunk"]} for r in table.to_pylist()]
+        rows = [{k: np.frombuffer(r[k], "<i8") for k in ("run", "owner", "size")} | {"chunk": r["chunk"], "content": r["content"]} for r in table.to_pylist()]
         sizes = np.concatenate([r["size"] for r in rows])
         owners = np.concatenate([r["owner"] for r in rows])
         run = np.concatenate([r["run"] for r in rows])
         chunk = np.repeat([r["chunk"] for r in rows], [len(r["size"]) for r in rows])
         data = np.zeros(int(sizes.sum()) + 8, np.uint8)
-        data[:-8] = np.concatenate([r["content"] for r in rows])
+        to = 0
+        for r in rows:
+            part = pa.decompress(r["content"], int(r["size"].sum()), "zstd", asbytes=True)
+            data[to : to + len(part)] = np.frombuffer(part, np.uint8)
+            to += len(part)
         begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         del rows
         order = np.argsort(owners, kind="stable")
@@ -300,7 +306,7 @@ def removed_bytes(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found:
             base = np.repeat(start[hit], np.diff(bounds))
             np.add.at(step, base + a[pick], 1)
             np.add.at(step, base + b[pick] + length - 1, -1)
-    return np.cumsum(step[:n]) > 0
+    return np.cumsum(step[:n], dtype=np.int32) > 0
 
 
 def _remove(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -351,11 +357,11 @@ def _found(docs: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, D
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(LEAST_CHUNKS, -(-total // chunk_bytes))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))
+    chunk, n_buckets = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)), BUCKETS * n_chunks
     dealt = docs.select(chunk.alias("chunk"), "doc_id", text.alias("text"))
-    sent = dealt.groupBy("chunk").applyInArrow(_send(n_chunks, length), "bucket long, chunk long, hashes binary")
+    sent = dealt.groupBy("chunk").applyInArrow(_send(n_buckets, length), "bucket long, chunk long, hashes binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, payload binary")
-    contexts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(n_chunks, length), "bucket long, chunk long, run binary, owner binary, size binary, content binary")
+    contexts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(n_buckets, length), "bucket long, chunk long, run binary, owner binary, size binary, content binary")
     found = contexts.groupBy("bucket").applyInArrow(_factors(length), "chunk long, payload binary")
     whole = docs.select(chunk.alias("chunk"), "doc_id", text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     return whole, found
