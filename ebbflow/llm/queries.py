@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import minhash_dedup, packing, quality, secret_scan, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
+from ebbflow.llm import byte_bpe, minhash_dedup, packing, quality, secret_scan, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
 from ebbflow.llm.common import table
 
 
@@ -47,6 +47,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.count_tokens(table(spark, sf_dir, "documents"), pieces)
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filter": op10_url_filter,
     }
 
