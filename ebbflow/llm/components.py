@@ -11,18 +11,25 @@ from ebbflow.llm.common import cut
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges (a, b); loops and repeats are allowed.
 
-    Each round takes the smallest label among a node's neighbours, then the label of its label, and is written to
-    the shared checkpoint folder; it ends when no label changes, after about log(diameter) rounds.  Minima are
-    pre-aggregated before the shuffle, and joins on a label that many nodes share can be split.
+    Each round gives every node the smallest of itself and its neighbours, follows that pointer once more, and
+    contracts the edges to what the pointers lead to; contracted edges that are loops or repeats go, so later rounds
+    are small.  It ends when no edge is left, after about log(diameter) rounds.  Minima are pre-aggregated before the
+    shuffle, and what a round leaves is written to the shared checkpoint folder.
     """
     ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")).select(F.col("u").alias("node"), "label")
+    roots = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = cut(hooked.join(jump, "label").select("node", "was", F.col("root").alias("label")))
-        if labels.filter("was <> label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("p"))
+        via = least.select(F.col("u").alias("p"), F.col("p").alias("root"))
+        step = cut(least.join(via, "p").select(F.col("u").alias("node"), "root"))
+        if roots is None:
+            roots = step
+        else:
+            further = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            roots = cut(roots.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        left = step.select(F.col("node").alias("u"), F.col("root").alias("a"))
+        right = step.select(F.col("node").alias("v"), F.col("root").alias("b"))
+        both = cut(both.filter("u <> v").join(left, "u").join(right, "v").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        if both.isEmpty():
+            return roots.select("node", F.col("root").alias("component"))
