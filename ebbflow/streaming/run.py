@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.session import ROCKSDB, shared_folder
-from ebbflow.signed import SIGN, consolidate
+from ebbflow.signed import net_rows
 
 
 def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFrame:
@@ -55,5 +55,5 @@ def result_rows(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
 
 
 def net(df: DataFrame) -> DataFrame:
-    """Net rows with multiplicity 1 each kept as they are; a stream's result is compared with a batch job's this way."""
-    return consolidate(df).filter(F.col(SIGN) > 0).drop(SIGN)
+    """Net rows, each as often as it counts: a stream's result as a batch job would give it."""
+    return net_rows(df)
