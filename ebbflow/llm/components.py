@@ -11,8 +11,8 @@ from ebbflow.llm.common import cut
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges (a, b); loops and repeats are allowed.
 
-    Each round gives every node the smallest of itself and its neighbours, follows that pointer once more, and
-    contracts the edges to what the pointers lead to; contracted edges that are loops or repeats go, so later rounds
+    Each round gives every node the smallest of itself and its neighbours, follows these pointers to their ends by
+    doubling them, and contracts the edges to what they lead to; contracted edges that are loops or repeats go, so later rounds
     are small.  It ends when no edge is left, after about log(diameter) rounds.  Minima are pre-aggregated before the
     shuffle, and what a round leaves is written to the shared checkpoint folder.
     """
@@ -20,9 +20,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     roots = None
     while True:
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("p"))
-        via = least.select(F.col("u").alias("p"), F.col("p").alias("root"))
-        step = cut(least.join(via, "p").select(F.col("u").alias("node"), "root"))
+        step = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("root")).withColumnRenamed("u", "node")
+        while True:  # pointers are doubled until they lead to a node that points to itself
+            via = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = cut(step.join(via, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            step = jumped.select("node", "root")
+            if jumped.filter("moved").isEmpty():
+                break
         if roots is None:
             roots = step
         else:
