@@ -11,7 +11,7 @@
 4. The connected components of the verified links, given back to all members of the classes, are the result.
 
 Defined results: a null, empty or word-less text has no shingles and is linked with nothing; a text of fewer words
-than a shingle is one shingle; documents with a null id are linked with nothing and have a null component; rows that
+than a shingle is one shingle; documents with a null id are linked with nothing, have a null component and stay; rows that
 repeat an id are one document's (they get the same component if their texts are linked); an empty table gives an empty
 result; extra columns are ignored.
 """
