@@ -51,7 +51,7 @@ class Relation:
     def _dealt(self, alias: str) -> DataFrame:
         own = self.options.get(alias, Options())
         if own.shuffle_before or own.parallel:
-            return self.df.repartition(own.parallel) if own.parallel else self.df.repartition()
+            return self.df.repartition(own.parallel or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return self.df
 
     @property

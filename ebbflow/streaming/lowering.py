@@ -26,8 +26,9 @@ def _result(df: DataFrame, keys: Sequence[str], *fields: str) -> str:
 def stateful(df: DataFrame, keys: Sequence[str], processor: Delta, schema: str) -> DataFrame:
     """Append mode without timers: such operators can follow each other in one stream."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    processor.inputs = df.columns
-    out = df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    df = df.withColumn("key__", F.to_json(F.struct(*keys)))
+    processor.inputs, processor.key_fields = df.columns, _fields(df, keys)
+    out = df.groupBy("key__").transformWithStateInPandas(processor, schema, "Append", "None")
     return out.withColumn(SIGN, F.col(SIGN).cast("int"))
 
 

@@ -25,13 +25,6 @@ def plain(v: Any) -> Any:
     return v.item() if hasattr(v, "item") else v
 
 
-def named(frames: Iterator[pd.DataFrame], inputs: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Frames with the columns' own names: on their way, names that begin with _ become positions."""
-    for frame in frames:
-        frame.columns = list(inputs)
-        yield frame
-
-
 def _frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
@@ -50,9 +43,21 @@ def casters(schema: StructType) -> list:
 
 
 class Delta(StatefulProcessor):
-    """inputs: the names of the columns that come in, which the operator that uses the processor sets."""
+    """inputs: the names of the columns that come in; key_fields: the group's key columns.
+
+    Both are set by the operator that uses the processor.  Groups are formed by a text of the key, as an integer key
+    with nulls does not survive the way to pandas; the key's own values come with the rows.
+    """
 
     inputs: Sequence[str] = ()
+    key_fields: StructType = StructType([])
+
+    def frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames with the columns' own names (names that begin with _ become positions on their way); notes the key."""
+        for frame in rows:
+            frame.columns = list(self.inputs)
+            self.key = tuple(f(frame[n].iloc[0]) for n, f in zip(self.key_fields.names, casters(self.key_fields), strict=True))
+            yield frame
 
     def close(self) -> None:
         pass
@@ -76,7 +81,7 @@ class SumDelta(Delta):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.sums.get() if self.sums.exists() else (0,) * len(self.parts)
         current = list(last)
-        for frame in named(rows, self.inputs):
+        for frame in self.frames(rows):
             for i, p in enumerate(self.parts):
                 current[i] += plain(frame[p].sum())
         before, after = dict(zip(self.parts, last, strict=True)), dict(zip(self.parts, current, strict=True))
@@ -84,7 +89,7 @@ class SumDelta(Delta):
             self.sums.update(tuple(current))
         elif self.sums.exists():
             self.sums.clear()
-        yield from delta(tuple(plain(k) for k in key), self._result(before), self._result(after), self.names)
+        yield from delta(self.key, self._result(before), self._result(after), self.names)
 
 
 class MultisetDelta(Delta):
@@ -118,7 +123,7 @@ class MultisetDelta(Delta):
         last = Counter({tuple(plain(v) for v in k): n[0] for k, n in self.rows.iterator()})
         change: Counter = Counter()
         own = casters(self.values)
-        for frame in named(rows, self.inputs):
+        for frame in self.frames(rows):
             for *r, sign in frame[[*self.value_names, SIGN]].itertuples(index=False):
                 change[tuple(f(v) for f, v in zip(own, r, strict=True))] += int(sign)
         current = last.copy()
@@ -130,7 +135,7 @@ class MultisetDelta(Delta):
                 self.rows.updateValue(r, (current[r],))
             elif r in last:
                 self.rows.removeKey(r)
-        yield from delta(tuple(plain(k) for k in key), self._result(last), self._result(current), self.names)
+        yield from delta(self.key, self._result(last), self._result(current), self.names)
 
 
 class JoinDelta(Delta):
@@ -167,7 +172,7 @@ class JoinDelta(Delta):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = [Counter({tuple(plain(v) for v in k): n[0] for k, n in state.iterator()}) for state in self.rows]
         change: list[Counter] = [Counter(), Counter()]
-        for frame in named(rows, self.inputs):
+        for frame in self.frames(rows):
             for side, names in enumerate(self.sides):
                 own = frame[frame["__side"] == side]
                 columns = [[f(v) for v in own[f"__{side}_{n}"]] for n, f in zip(names, casters(self.schemas[side]), strict=True)]
@@ -181,8 +186,7 @@ class JoinDelta(Delta):
                     state.updateValue(r, (current[side][r],))
                 elif n and r in last[side]:
                     state.removeKey(r)
-        key = tuple(plain(k) for k in key)
-        yield from delta(key, self._result(key, *last), self._result(key, *current), self.names)
+        yield from delta(self.key, self._result(self.key, *last), self._result(self.key, *current), self.names)
 
 
 class CountWindow(Delta):
@@ -206,7 +210,7 @@ class CountWindow(Delta):
         result = lambda: Counter({(window_id, *r): m for r, m in self.inner._result(open_rows).items()})
         before.update(result())
         own = casters(self.inner.values)
-        for frame in named(rows, self.inputs):
+        for frame in self.frames(rows):
             for *r, sign in frame[[*self.inner.value_names, SIGN]].itertuples(index=False):
                 if sign < 0:
                     raise ValueError("count windows take insert-only input")
@@ -221,4 +225,4 @@ class CountWindow(Delta):
         for r, m in open_rows.items():
             self.rows.updateValue(r, (m,))
         self.place.update((window_id, n))
-        yield from delta(tuple(plain(k) for k in key), before, after, self.names)
+        yield from delta(self.key, before, after, self.names)
