@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding: Spark higher-order functions fold ranked merges over distinct words.
 
 A word (a match of the tokenizer's pattern) is an array of the ids of its bytes.  The fold merges, again and again,
-the leftmost adjacent pair of lowest rank; the rank map is a literal: two folded arrays that a pair's key is looked
-up in by hash and displacement.  Words are folded once: those of a bounded sample of documents before all others,
+the leftmost adjacent pair of lowest rank; the rank map is a literal of the running plan: two arrays that a pair's key
+is looked up in by hash and displacement, bound by a scalar subquery, so that no plan or event spells them out.  Words are folded once: those of a bounded sample of documents before all others,
 and sent to all tasks; any other word once in each task that reads it.  Tasks put words in the place of texts'
 segments, the folds' ids in the place of words, and decode ids by concatenating the vocabulary's binary pieces.
 Nothing is shuffled but the sample's word counts.
@@ -86,15 +86,20 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
+def with_rank_map(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """df with the rank map's arrays in the columns `entries` and `moved`."""
+    entries, moved = pair_table(ranks)
+    row = df.sparkSession.createDataFrame(pa.table({"entries": [entries.tolist()], "moved": [moved.tolist()]}))
+    return df.select("*", row.select("entries").scalar().alias("entries"), row.select("moved").scalar().alias("moved"))
+
+
+def fold_merges(word: Column) -> Column:
     """ids (array of long) of a word (array of long: the ids of its bytes).
 
     The state is the word's ids between two ids that pair with nothing, and for each pair of neighbours the id of
     both joined, or a larger number.  That id is the merge's rank, so the least of them is the next merge.
     """
-    entries, moved = pair_table(ranks)
-    literal = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
-    entry, displacement = literal(entries), literal(moved)
+    entry, displacement = F.col("entries"), F.col("moved")
     joined = lambda key: F.get(entry, (key % ENTRIES + F.get(displacement, (key % DISPLACEMENTS).cast("int"))).cast("int")).bitwiseXOR(key * 65536)
     rest = F.lit(1 << 30)
 
@@ -264,8 +269,8 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _fold(words: Column, ranks: dict[bytes, int]) -> Column:
-    return F.when(F.get(words, 0) == -1, F.slice(words, F.lit(2), F.lit(1 << 30))).otherwise(fold_merges(words, ranks))
+def _fold(word: Column) -> Column:
+    return F.when(F.get(word, 0) == -1, F.slice(word, F.lit(2), F.lit(1 << 30))).otherwise(fold_merges(word))
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> tuple[list[bytes], bytes, bytes]:
@@ -275,7 +280,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, sample_do
     counted = texts.select("text").mapInArrow(_words_of(pattern), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     as_ids = F.udf(lambda w: _as_ids([bytes(w)], ranks)[0], "array<long>")
     top = counted.orderBy(F.desc("n"), "word").limit(size).repartition(12, "word")
-    folded = top.select("word", _fold(as_ids("word"), ranks).alias("ids")).mapInArrow(_packed, "words binary, lengths binary, ids binary, sizes binary")
+    folded = with_rank_map(top.select("word", as_ids("word").alias("bytes")), ranks).select("word", _fold(F.col("bytes")).alias("ids")).mapInArrow(_packed, "words binary, lengths binary, ids binary, sizes binary")
     words, ids, sizes = [], [], []
     for row in folded.collect():  # `size` words at most
         at = 0
@@ -294,5 +299,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, sample_docs
     context = docs.sparkSession.sparkContext
     known, folded_before = context.broadcast(words), context.broadcast((ids, sizes))  # `size` words at most
     blocks = docs.select("doc_id", "text").mapInArrow(_number(pattern, known, ranks), BLOCKS)
-    folded = blocks.select("doc_ids", "bounds", "numbers", "restart", F.transform("words", lambda w: _fold(w, ranks)).alias("ids"))
+    folded = with_rank_map(blocks, ranks).select("doc_ids", "bounds", "numbers", "restart", F.transform("words", _fold).alias("ids"))
     return folded.mapInArrow(_assemble(folded_before, ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
