@@ -29,7 +29,7 @@ from ebbflow.llm.common import Memory, distinct_spans, ragged, text_blocks
 from ebbflow.llm.packing import segments
 
 #: Documents whose words are counted beforehand, and most words that are sent to all tasks.
-SAMPLE_DOCS, DICTIONARY = 16_000, 300_000
+SAMPLE_DOCS, DICTIONARY = 32_000, 600_000
 #: Segments of a generation that a worker remembers, and words after which a task numbers them anew.
 REMEMBERED, TASK_WORDS = 120_000, 1_000_000
 TEXT_BLOCK = 4 << 20

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbflow.llm import byte_bpe, minhash_dedup, packing, quality, secret_scan, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
+from ebbflow.llm import byte_bpe, minhash_dedup, packing, quality, secret_scan, sql, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
 from ebbflow.llm.common import table
 
 
@@ -54,7 +55,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    out = url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})  # sums in any order agree to nine places
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -73,22 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk_search": OP4_SQL}
-
-
-OP4_SQL = """
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
-),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id
-  WHERE q.vec_id % 50 = 0
-),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
-SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
-"""
+    return {"op1_minhash_dedup": sql.OP1, "op4_topk_search": sql.OP4, "op10_url_filter": sql.op10()}

@@ -92,8 +92,8 @@ def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, r
     weighted = decided.join(F.broadcast(totals), "by_rule").select("host", "by_rule", (F.col("pages") / F.col("all_pages")).alias("weight"))
     trusted = weighted.filter("by_rule = 'allow'").select("host", "weight")
     blocked = weighted.filter("by_rule = 'block'").select("host", "weight")
-    if edges.isEmpty():  # without links, scores stay where they start
-        trust, distrust = trusted.select("host", F.col("weight").alias("score")), blocked.select("host", F.col("weight").alias("score"))
+    if edges.isEmpty():  # without links, all that is left is what restarts
+        trust, distrust = (s.select("host", (F.col("weight") * (1 - damping)).alias("score")) for s in (trusted, blocked))
     else:
         turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
         trust, distrust = propagate(edges, trusted, damping, rounds), propagate(turned, blocked, damping, rounds)

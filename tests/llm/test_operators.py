@@ -453,6 +453,12 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages).count() == len(rows) and url_filter.filter_urls(pages.limit(0)).isEmpty()
 
 
+def test_url_filter_without_links(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", None), (2, "http://b.net/es/", ""), (3, "http://b.net/en/", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], round(r["distrust"], 6)) for r in url_filter.filter_urls(pages).collect()}
+    assert got == {1: ("allow", 0.0), 2: ("block", 0.15), 3: ("block", 0.15)}
+
+
 def test_no_python_on_the_url_filter(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", "")], "page_id long, url string, html string")
     plan = url_filter.filter_urls(pages)._jdf.queryExecution().toString()
