@@ -7,6 +7,7 @@ whole documents so that the arrays of one block stay small; one very long docume
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -43,6 +44,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ebbflow-checkpoint-"))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of its session held to `rows` rows: a batch of long texts is copied several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and shares the executor with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import cut, lowered, mix, span_hashes, text_blocks, windows, word_spans
-from ebbflow.llm.common import MULTIPLIERS
+from ebbflow.llm.common import MULTIPLIERS, cut, give_back, lowered, mix, small_batches, span_hashes, text_blocks, windows, word_spans
 from ebbflow.llm.components import connected_components
 
 #: Words of a shingle and the similarity from which documents are linked, in percent.
@@ -101,6 +100,7 @@ def _sketch(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
                     [batch.column("doc_id").slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "bands"],
                 )
+        give_back()
 
     return sketch
 
@@ -168,7 +168,7 @@ def _verify(words: int, percent: int, miss: float) -> Callable[[tuple, pa.Table]
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    texts = docs.select("doc_id", "text")
+    texts = small_batches(docs).select("doc_id", "text")
     sketches = cut(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     classes = cut(sketches.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
     # one row for each class and band

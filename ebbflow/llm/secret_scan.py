@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbflow.llm.common import small_batches
+
 #: Name of the rules below; a change of a pattern needs a new name, so that old blobs are scanned again.
 RULE_VERSION = "base-1"
 #: Kinds in their fixed order. (fixed values)
@@ -59,6 +61,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def address(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
     """(path, holder, blob_id, text): every version with the address of its content; holder is the path as text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    small_batches(versions)
     path = F.col(f"`{path_col}`")
     holder = F.coalesce(path.cast("string"), F.lit("\0"))
     return versions.select(path.alias("path"), holder.alias("holder"), F.sha2(text.cast("binary"), 256).alias("blob_id"), text.alias("text"))

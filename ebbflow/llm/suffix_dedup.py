@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import MULTIPLIERS, distinct_spans, equal_spans, loads, mix, ragged
+from ebbflow.llm.common import MULTIPLIERS, distinct_spans, equal_spans, give_back, loads, mix, ragged, small_batches
 
 #: Bytes of the strings that count, and of the k-grams whose hashes deal windows.
 LENGTH, GRAM = 50, 16
@@ -113,6 +113,7 @@ def _send(n_buckets: int, length: int) -> Callable[[tuple, pa.Table], pa.Table]:
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     out_b.append(int(bucket[order[a]]))
                     out_h.append(marked[order[a:b]].tobytes())
+        give_back()
         return pa.table({"bucket": pa.array(out_b, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out_b), pa.int64()), "hashes": pa.array(out_h, pa.binary())})
 
     return send
@@ -173,6 +174,7 @@ def _contexts(n_buckets: int, length: int) -> Callable[[pa.Table, pa.Table], pa.
                 content = data[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
                 for k, v in (("bucket", int(bucket[order[a]])), ("chunk", docs["chunk"][0].as_py()), ("run", pick.astype("<i8").tobytes()), ("owner", owner[order[a:b]].astype("<i8").tobytes()), ("size", size.astype("<i8").tobytes()), ("content", pa.compress(content.tobytes(), "zstd", asbytes=True))):
                     cols[k].append(v)
+        give_back()
         return pa.table({k: pa.array(cols[k], t) for k, t in names.items()})
 
     return contexts
@@ -278,6 +280,7 @@ def _factors(length: int) -> Callable[[tuple, pa.Table], pa.Table]:
         to = chunk[order][which]
         by = np.argsort(to, kind="stable")
         cut = np.flatnonzero(np.concatenate(([True], to[by][1:] != to[by][:-1], [True]))) if len(by) else np.zeros(1, np.int64)
+        give_back()
         return pa.table({"chunk": pa.array(to[by][cut[:-1]] if len(by) else [], pa.int64()), "payload": pa.array([found[:, by[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     return factors
@@ -306,7 +309,9 @@ def removed_bytes(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found:
             base = np.repeat(start[hit], np.diff(bounds))
             np.add.at(step, base + a[pick], 1)
             np.add.at(step, base + b[pick] + length - 1, -1)
-    return np.cumsum(step[:n], dtype=np.int32) > 0
+    gone = np.cumsum(step[:n], dtype=np.int32) > 0
+    give_back()
+    return gone
 
 
 def _remove(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -354,7 +359,7 @@ def _clean(length: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.T
 
 def _found(docs: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their chunk, what the buckets found for each chunk)."""
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = small_batches(docs).select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(LEAST_CHUNKS, -(-total // chunk_bytes))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     chunk, n_buckets = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)), BUCKETS * n_chunks

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.common import MULTIPLIERS, cut, loads, lowered, text_blocks
+from ebbflow.llm.common import MULTIPLIERS, cut, give_back, loads, lowered, small_batches, text_blocks
 
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
@@ -33,6 +33,8 @@ BUCKET_BITS = 20
 #: Features kept: in this many toxic sample documents at least, and the highest by |log ratio| x spread.
 LEAST_DOCS, FEATURES = 5, 2000
 SLICE = 1 << 15
+#: Bytes of text whose n-grams are counted at a time: every byte starts one of each order.
+COUNT_BLOCK = 1 << 18
 PENALTY, STEPS = 0.1, 600
 
 
@@ -75,7 +77,7 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, size), np.int32)
     for batch in batches:
         toxic = np.asarray(batch.column("toxic").to_pylist(), np.int64)
-        for first, last, data, offsets in text_blocks(batch.column("text")):
+        for first, last, data, offsets in text_blocks(batch.column("text"), COUNT_BLOCK):
             keys = present(data, offsets)
             label = toxic[first:last][keys >> BUCKET_BITS]
             for c in (0, 1):
@@ -85,6 +87,7 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([i // SLICE for i in rows], pa.int32()), pa.array([counts[:, i : i + SLICE].astype("<i4").tobytes() for i in rows], pa.binary())], names=["slice", "counts"]
         )
+    give_back()
 
 
 def _add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> Model:
     """Fit on the bounded sample; what reaches the driver is bucket counts and the sample's chosen features."""
     size = 1 << BUCKET_BITS
-    sample = cut(labelled_sample(docs, labels, toxic, other).repartition(12, "doc_id"))
+    sample = cut(labelled_sample(docs, labels, toxic, other).repartition(12))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model(np.zeros(size, np.float32), 30.0 if n.get(1) else -30.0)
@@ -177,12 +180,14 @@ def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
                 parts.append(np.bincount(keys >> BUCKET_BITS, model.weight[keys & ((1 << BUCKET_BITS) - 1)].astype(np.float64), minlength=last - first) + model.bias)
             odds = np.concatenate(parts)
             yield batch.append_column("__score", pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700)))))
+        give_back()
 
     return score
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column __score from 0 to 1; the text column alone is read for it."""
+    small_batches(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(_score(model), schema)
 
