@@ -7,8 +7,9 @@ candidates of the block, and a bounded merge keeps the best of all blocks.
 
 Defined results: a vector that is null, or holds a null or a non-finite component, takes no part; an empty vector
 scores 0 with all; vectors of different lengths share their leading dimensions; rows with the same id count as the
-query's own, and equal (id, vector) rows count once; ties go to the smaller id; an empty table gives an empty
-result; extra columns are ignored.  Quantised components must fit in 32 bits, others raise.
+query's own, and equal (id, vector) rows count once, before anything is ranked; an id with several vectors takes part
+with each of them, as a candidate and as a query, whose results are ranked together; ties go to the smaller id; an
+empty table gives an empty result; extra columns are ignored.  Quantised components must fit in 32 bits, others raise.
 """
 
 from __future__ import annotations
@@ -100,12 +101,11 @@ def _search(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def search(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of every query; is_query is SQL over `id`."""
-    rows = quantised(vectors, id_col, vector_col, scale)
+    rows = quantised(vectors, id_col, vector_col, scale).distinct()  # before blocks keep their k best
     candidates = rows.mapInArrow(_pack(CANDIDATE_BLOCK), BLOCK)
-    asked = rows.filter(is_query).dropDuplicates(["id"])
-    queries = asked.mapInArrow(_pack(QUERY_BLOCK), BLOCK)
+    queries = rows.filter(is_query).mapInArrow(_pack(QUERY_BLOCK), BLOCK)
     pairs = block_pairs(queries, candidates)
-    hits = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+    hits = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
