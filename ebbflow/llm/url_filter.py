@@ -3,8 +3,8 @@
 Hosts with a page that an allow rule decides are trusted seeds; hosts with a page that a block rule decides are
 blocked seeds.  Trust flows along host-to-host links as a personalised PageRank that restarts at the trusted
 seeds; distrust flows along reversed links and restarts at the blocked seeds: who links to a blocked host is
-suspect.  A host is blocked when its distrust, less its trust, is above a threshold.  Everything is DataFrame and
-SQL functions.
+suspect.  Both walks go on until no host is newly reached and no score changes any more.  A host is blocked when its
+distrust, less its trust, is above a threshold.  Everything is DataFrame and SQL functions.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; a null
 page has no links; repeated rows are kept, one result each; an empty table gives an empty result; extra columns of
@@ -23,7 +23,8 @@ from ebbflow.llm.common import cut
 #: (verdict, rule): a rule is a host and a path. (fixed values)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-ROUNDS = 8
+#: A walk ends when its last round changed every score by this share of it at most; looked at once in so many rounds.
+TOLERANCE, ROUNDS_BETWEEN = 1e-11, 4
 THRESHOLD = 0.0
 
 
@@ -66,25 +67,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", _ascii_lower(F.col("dst")).alias("dst")).filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, score: personalised PageRank along src -> dst, restarting at seeds (host, weight; the weights sum to 1).
 
     Flow pre-aggregates per target before its shuffle, so a host that a third of all pages link to is a sum of
-    partial sums.  Hosts that nothing reaches have no row.
+    partial sums.  Hosts that nothing reaches have no row.  Scores only grow, and a host reached for the first time
+    counts as a change of its whole score, so a walk reaches all hosts, however long the way.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    step = edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share"))
-    base = seeds.select("host", (F.col("weight") * (1 - damping)).alias("score"))
-    score = base
-    for i in range(rounds):
-        flow = step.join(score.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        score = base.unionByName(flow).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
-            score = cut(score)
-    return score
-
-
-def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    step = cut(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")))
+    base = seeds.select("host", (F.col("weight") * (1 - damping)).alias("score"), F.lit(0.0).alias("last"))
+    score, change = base, 1.0
+    while change > tolerance:
+        for _ in range(ROUNDS_BETWEEN):
+            flow = step.join(score.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"), F.lit(0.0).alias("last"))
+            held = score.select("host", F.lit(0.0).alias("score"), F.col("score").alias("last"))
+            score = base.unionByName(flow).unionByName(held).groupBy("host").agg(F.sum("score").alias("score"), F.sum("last").alias("last"))
+        score = cut(score)
+        change = score.filter("score > 0").agg(F.max(F.abs(1 - F.col("last") / F.col("score")))).first()[0] or 0.0  # one row
+    return score.select("host", "score")
+
+
+def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust of every host that a seed or a link reaches."""
     decided = judged.filter(F.col("by_rule").isNotNull() & (F.col("host") != "")).groupBy("host", "by_rule").agg(F.count("*").alias("pages"))
     decided = cut(decided)
@@ -96,15 +100,15 @@ def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, r
         trust, distrust = (s.select("host", (F.col("weight") * (1 - damping)).alias("score")) for s in (trusted, blocked))
     else:
         turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-        trust, distrust = propagate(edges, trusted, damping, rounds), propagate(turned, blocked, damping, rounds)
+        trust, distrust = propagate(edges, trusted, damping, tolerance), propagate(turned, blocked, damping, tolerance)
     both = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, by_rule, trust, distrust of every page."""
     judged = judge_by_rules(pages, rules)
-    scores = host_scores(judged, cut(host_edges(pages)), damping, rounds)
+    scores = host_scores(judged, cut(host_edges(pages)), damping, tolerance)
     out = judged.join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust - trust > threshold, "block").otherwise("allow")
