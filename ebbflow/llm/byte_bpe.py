@@ -4,10 +4,11 @@ A word (a match of the tokenizer's pattern) is an array of the ids of its bytes.
 the leftmost adjacent pair of lowest rank; the rank map is a literal of the running plan: two arrays that a pair's key
 is looked up in by hash and displacement, bound by a scalar subquery, so that no plan or event spells them out.  Words are folded once: those of a bounded sample of documents before all others,
 and sent to all tasks; any other word once in each task that reads it.  Tasks put words in the place of texts'
-segments, the folds' ids in the place of words, and decode ids by concatenating the vocabulary's binary pieces.
-Nothing is shuffled but the sample's word counts.
+segments and the folds' ids in the place of words.  What comes out are the documents' ids; decoding takes ids, however
+they were made, and concatenates the vocabulary's binary pieces.  Nothing is shuffled but the sample's word counts.
 
-Defined results: a null text is empty and has no ids; a null id keeps its row; repeated rows are kept, one result
+Defined results: ids are little-endian 32-bit numbers, one after the other; a null text is empty and has no ids; null
+ids decode to null, and ids that are not of the vocabulary raise; a null doc_id keeps its row; repeated rows are kept, one result
 each; an empty table gives an empty result; extra columns are ignored.  A word of more than LONG_WORD bytes is
 merged by a priority queue with the same result, as a fold is quadratic in a word's length.
 """
@@ -15,7 +16,6 @@ merged by a priority queue with the same result, as a fold is quadratic in a wor
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import Memory, distinct_spans, ragged, text_blocks
+from ebbflow.llm.common import Memory, distinct_spans, give_back, ragged, small_batches, text_blocks
 from ebbflow.llm.packing import segments
 
 #: Documents whose words are counted beforehand, and most words that are sent to all tasks.
@@ -214,13 +214,8 @@ def _number(pattern: str, known, ranks: dict[bytes, int]) -> Callable[[Iterable[
     return number
 
 
-def _assemble(known, ranks: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _assemble(known) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sorted(ranks, key=ranks.get)
-        top = max(ranks.values()) + 1
-        lengths = np.zeros(top, np.int64)
-        lengths[[ranks[p] for p in pieces]] = [len(p) for p in pieces]
-        piece_bounds, piece_bytes = np.concatenate(([0], np.cumsum(lengths))), np.frombuffer(b"".join(pieces), np.uint8)
         base_ids, base_sizes = known.value
         base = (np.frombuffer(base_ids, "<u2"), np.frombuffer(base_sizes, "<i4"))
         ids, sizes = [base[0]], [base[1]]
@@ -235,17 +230,23 @@ def _assemble(known, ranks: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBat
                     ids, sizes = [ids[0], np.concatenate(ids[1:])], [sizes[0], np.concatenate(sizes[1:])]
                 word_ids, word_bounds = np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
                 numbers, bounds = np.frombuffer(batch.column("numbers")[i].as_py(), "<i4"), np.frombuffer(batch.column("bounds")[i].as_py(), "<i8")
-                cols: tuple[list, ...] = ([], [], [], [])
-                for doc_id, a, b in zip(batch.column("doc_ids")[i].as_py(), bounds[:-1], bounds[1:], strict=True):
-                    out, _ = ragged(word_ids, word_bounds, numbers[a:b])
-                    text, _ = ragged(piece_bytes, piece_bounds, out)
-                    for c, v in zip(cols, (doc_id, len(out), hashlib.sha256(out.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.tobytes()).hexdigest()), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out = [ragged(word_ids, word_bounds, numbers[a:b])[0].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        give_back()
 
     return assemble
 
 
+def _decode(pieces: dict[int, bytes]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None if v is None else b"".join([pieces[i] for i in np.frombuffer(v, "<u4").tolist()]) for v in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+        give_back()
+
+    return decode
+
+
 def _words_of(pattern: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -292,12 +293,25 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, sample_do
     return words, b"".join(ids), b"".join(sizes)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+def token_ids(docs: DataFrame, ranks_path: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> DataFrame:
+    """doc_id, ids of every document."""
     ranks = read_ranks(ranks_path)
+    docs = small_batches(docs)
     words, ids, sizes = dictionary(docs, ranks, pattern, sample_docs, size)
     context = docs.sparkSession.sparkContext
     known, folded_before = context.broadcast(words), context.broadcast((ids, sizes))  # `size` words at most
     blocks = docs.select("doc_id", "text").mapInArrow(_number(pattern, known, ranks), BLOCKS)
     folded = with_rank_map(blocks, ranks).select("doc_ids", "bounds", "numbers", "restart", F.transform("words", _fold).alias("ids"))
-    return folded.mapInArrow(_assemble(folded_before, ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return folded.mapInArrow(_assemble(folded_before), "doc_id long, ids binary")
+
+
+def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, ids, decoded (binary: the bytes that the ids stand for) of every row of doc_id and ids."""
+    pieces = {i: p for p, i in read_ranks(ranks_path).items()}
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(pieces), "doc_id long, ids binary, decoded binary")
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: digests of its ids and of what they decode to."""
+    both = decode_documents(token_ids(docs, ranks_path, pattern, sample_docs, size), ranks_path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
