@@ -7,7 +7,9 @@ higher score, so the earliest start (the longest piece) keeps a tie.  A characte
 an unknown of the lowest score less a fixed penalty; unknown characters count as one token for each byte.
 
 Words are the parts between spaces, each with the word mark in front; no piece crosses them, so a text's count is
-the sum over its words and each distinct word of a block is counted once.
+the sum over its words and each distinct word of a block is counted once.  This is the count of a tokenizer that
+splits at every space (Metaspace): pieces of several word marks are out of reach, and each further space of a run is a
+token of its own.
 
 Defined results: a null or empty text has 0 tokens; a null id keeps its row; repeated rows are kept, one result
 each; an empty table gives an empty result; extra columns are ignored.
