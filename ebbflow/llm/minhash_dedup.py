@@ -1,14 +1,16 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. Each document's set of word shingles gives its size, a digest of the set and band keys of a MinHash signature.
-   Documents with equal sets are one class, its smallest id stands for it.
+   Documents with equal sets are one class, which has a number of its own: an id with several texts is in several.
+   The text of a class is that of its smallest id.
 2. Classes that share a band key belong to one cluster: every class is linked to the smallest class of each of its
    buckets, never to all, and the connected components of those links are the clusters.
 3. Inside a cluster, cut into blocks when it is large, each pair of classes with a common band is compared by
    signature batches; after each batch a pair goes when the posterior probability (uniform prior) that its
    similarity reaches the threshold is below the chosen miss probability.  Survivors that are not connected yet are
    verified on their full shingle sets.  A block sends a spanning forest of its verified links, never all pairs.
-4. The connected components of the verified links, given back to all members of the classes, are the result.
+4. The connected components of the verified links, named by their smallest id and given back to all members of the
+   classes, are the result.
 
 Defined results: a null, empty or word-less text has no shingles and is linked with nothing; a text of fewer words
 than a shingle is one shingle; documents with a null id are linked with nothing, have a null component and stay; rows that
@@ -150,14 +152,14 @@ def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: in
 def _verify(words: int, percent: int, miss: float) -> Callable[[tuple, pa.Table], pa.Table]:
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         ids, sets, sides, seen = [], [], [], set()
-        table = table.sort_by([("doc_id", "ascending")])
-        doc_ids, blocks, digests = table["doc_id"].to_pylist(), table["block"].to_pylist(), table["digest"].to_pylist()
+        table = table.sort_by([("class_id", "ascending")])
+        class_ids, blocks, digests = table["class_id"].to_pylist(), table["block"].to_pylist(), table["digest"].to_pylist()
         for first, last, data, offsets in text_blocks(table["text"]):
             for k, s in zip(range(first, last), shingle_sets(data, offsets, words), strict=True):
                 # a repeated id may bring another text: the class's own text is the one with its digest
-                if doc_ids[k] not in seen and len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digests[k]:
-                    seen.add(doc_ids[k])
-                    ids.append(doc_ids[k])
+                if class_ids[k] not in seen and len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digests[k]:
+                    seen.add(class_ids[k])
+                    ids.append(class_ids[k])
                     sets.append(s)
                     sides.append(blocks[k])
         links = forest(ids, sets, sides, percent, miss) if len(ids) > 1 else []
@@ -170,15 +172,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """doc_id, n_shingles, component_id, kept of every document."""
     texts = small_batches(docs).select("doc_id", "text")
     sketches = cut(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = cut(sketches.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    classes = sketches.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()))  # read again from here, the numbers stay
     # one row for each class and band
-    banded = sketches.join(classes, ["doc_id", "digest"], "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub < other").select("key", "hub")
-    shared = banded.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    banded = sketches.join(classes, ["doc_id", "digest"]).select("class_id", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("other")).filter("hub < other").select("key", "hub")
+    shared = banded.join(hubs, "key").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
     clusters = connected_components(shared)
     verified = _verified_links(texts, classes, clusters, words, percent, miss)
     parts = connected_components(verified).withColumnRenamed("node", "class_id")
-    named = classes.withColumnRenamed("doc_id", "class_id").join(parts, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
+    grouped = classes.join(parts, "class_id", "left").select("digest", "doc_id", F.coalesce("component", "class_id").alias("part"))
+    named = grouped.join(grouped.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("digest", "component_id")
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -187,12 +191,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def _verified_links(texts: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     """(a, b): spanning forests of the verified links of every block, or pair of blocks, of every cluster."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
-    members = clusters.join(sizes, "component", "left").withColumnRenamed("node", "doc_id")
+    members = clusters.join(sizes, "component", "left").withColumnRenamed("node", "class_id")
     n_blocks = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
-    dealt = members.select("doc_id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("with"))
-    dealt = dealt.join(classes, "doc_id").select("doc_id", "digest", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    held = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "low", "high", "doc_id", "block", "digest", "text")
+    block = F.pmod(F.xxhash64("class_id"), n_blocks).cast("int")
+    dealt = members.select("class_id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("with"))
+    dealt = dealt.join(classes, "class_id").select("doc_id", "class_id", "digest", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    held = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "low", "high", "class_id", "block", "digest", "text")
     return held.groupBy("component", "low", "high").applyInArrow(_verify(words, percent, miss), "a long, b long")
 
 
