@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot express the classifier, the suffix order or the tokenizer; tests compare with a brute-force version.
+#: SQL cannot express the classifier, the suffix order or the tokenizer; no test compares whole rows with a brute-force version yet.
 ORACLE_SQL = None
 
 
