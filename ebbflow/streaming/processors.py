@@ -139,7 +139,7 @@ class MultisetDelta(Delta):
 
 
 class JoinDelta(Delta):
-    """Joins of any kind, cogrouped counts and distinct rows: both sides' rows with weights, the result's difference.
+    """Joins of any kind and distinct rows: both sides' rows with weights, the result's difference.
 
     how: inner, left, right, full, semi, anti; a null key joins with nothing.
     """
