@@ -1,42 +1,50 @@
 """Byte-level BPE encoding and decoding: Spark higher-order functions fold ranked merges over distinct words.
 
-A word (a match of the tokenizer's pattern) is an array of the ids of its bytes.  The fold merges, again and again,
-the leftmost adjacent pair of lowest rank; the rank map is a literal of the running plan: two arrays that a pair's key
-is looked up in by hash and displacement, bound by a scalar subquery, so that no plan or event spells them out.  Words are folded once: those of a bounded sample of documents before all others,
-and sent to all tasks; any other word once in each task that reads it.  Tasks put words in the place of texts'
-segments and the folds' ids in the place of words.  What comes out are the documents' ids; decoding takes ids, however
-they were made, and concatenates the vocabulary's binary pieces.  Nothing is shuffled but the sample's word counts.
+1. Tasks cut the texts of a block of documents into words (matches of the tokenizer's pattern) and number the block's
+   distinct words.  A block keeps its texts as word numbers, and sends the words that are no pieces of the vocabulary
+   themselves to buckets by their hash, each once for a block.
+2. A bucket unites the words of all blocks, so each distinct word of the table is folded once.  A word is an array of
+   the ids of its bytes; the fold merges, again and again, the leftmost adjacent pair of lowest rank.  The rank map is
+   a literal of the running plan, bound by scalar subqueries so that no plan or event spells half a million numbers out.
+3. The folds' ids go back to the blocks that hold the words, which put them in the place of word numbers.  What comes
+   out are the documents' ids; decoding takes ids, however they were made, and concatenates the vocabulary's pieces.
+
+What is shuffled is the blocks (word numbers, about half of the texts' bytes), and twice their distinct words.  A block,
+and so a task, holds BLOCK_BYTES of text or one longer document; a bucket's share of words stays the same as tables grow, as
+their number grows with the bytes of text, and the most frequent words, being pieces, are never sent.
 
 Defined results: ids are little-endian 32-bit numbers, one after the other; a null text is empty and has no ids; null
-ids decode to null, and ids that are not of the vocabulary raise; a null doc_id keeps its row; repeated rows are kept, one result
-each; an empty table gives an empty result; extra columns are ignored.  A word of more than LONG_WORD bytes is
-merged by a priority queue with the same result, as a fold is quadratic in a word's length.
+ids decode to null, and ids that are not of the vocabulary raise; a null doc_id keeps its row; repeated rows are kept,
+one result each; an empty table gives an empty result; extra columns are ignored; a very long text is a block of its
+own.  A word of more than LONG_WORD bytes is merged by a priority queue with the same result, as a fold is quadratic in
+a word's length.  A block's key is a hash of its content: if a lost task made it again from rows in another order, the query
+fails rather than mixing up words, so cut the lineage of an input whose order may change.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import Memory, distinct_spans, give_back, ragged, small_batches, text_blocks
+from ebbflow.llm.common import distinct_spans, give_back, mix, ragged, small_batches, span_hashes, text_blocks
 from ebbflow.llm.packing import segments
 
-#: Documents whose words are counted beforehand, and most words that are sent to all tasks.
-SAMPLE_DOCS, DICTIONARY = 32_000, 600_000
-#: Segments of a generation that a worker remembers, and words after which a task numbers them anew.
-REMEMBERED, TASK_WORDS = 120_000, 1_000_000
-TEXT_BLOCK = 4 << 20
-LONG_WORD = 512
-#: Sizes (primes) of the literal rank map's arrays of entries and displacements.
-ENTRIES, DISPLACEMENTS = 524_309, 131_101
-_NO_BYTE, _NO_ENTRY = 65_535, 1 << 48
+#: Bytes of text in a block, for each bucket of words, and the least number of buckets.
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 16 << 20, 64
+#: Words that one row brings to the fold.
+FOLDED = 4096
+LONG_WORD = 4096
+#: Rows of the rank map are laid over each other in an array of entries; an entry is left id << 20 | id of both joined.
+NO_RANK, _EMPTY, _EDGE = 1 << 16, 1 << 40, 65_535
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,39 +54,35 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(entries, displacements): entry of pair key k at k % ENTRIES + displacements[k % DISPLACEMENTS].
+    """(entries, starts): the entry of a pair of ids is entries[starts[left] + right], if it is the left id's own.
 
-    A pair's key is left id << 16 | right id; its entry is key << 16 | id of both joined.  Any two pieces that make
-    a third are a pair.
+    Any two pieces that make a third are a pair.  Rows of right ids are laid over each other, long ones first, each at
+    the first place that is free behind the last row of its length.
     """
-    keys, ids = [], []
+    pairs = []
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                keys.append(left << 16 | right)
-                ids.append(rank)
-    keys, ids = np.array(keys, np.int64), np.array(ids, np.int64)
-    size = np.bincount(keys % DISPLACEMENTS, minlength=DISPLACEMENTS)
-    order = np.argsort(keys % DISPLACEMENTS, kind="stable")
-    begin = np.cumsum(size) - size
-    span = 1 << 14
-    free = np.ones(ENTRIES + span, bool)
-    entries, moved = np.full(ENTRIES + span, _NO_ENTRY, np.int64), np.zeros(DISPLACEMENTS, np.int64)
-    for g in np.argsort(-size, kind="stable")[: np.count_nonzero(size)]:
-        own = order[begin[g] : begin[g] + size[g]]
-        home = keys[own] % ENTRIES
-        for d in range(0, span, 64):
-            fits = np.logical_and.reduce([free[h + d : h + d + 64] for h in home])
-            if fits.any():
-                d += int(fits.argmax())
-                break
-        else:
-            raise ValueError("the rank map's arrays are too small for this vocabulary")
-        moved[g] = d
-        free[home + d] = False
-        entries[home + d] = keys[own] << 16 | ids[own]
-    return entries[: ENTRIES + moved.max() + 1], moved
+                pairs.append((left, right, rank))
+    lefts, rights, ids = np.array(sorted(pairs), np.int64).reshape(-1, 3).T
+    begin = np.searchsorted(lefts, np.arange(NO_RANK + 1))
+    size = np.diff(begin)
+    entries, starts = np.full(2 * NO_RANK, _EMPTY, np.int64), np.zeros(NO_RANK, np.int32)
+    places: dict[int, int] = {}
+    for left in np.argsort(-size, kind="stable")[: np.count_nonzero(size)].tolist():
+        row = rights[begin[left] : begin[left + 1]]
+        span = 8192 if len(row) > 20 else 512
+        at, found = places.get(len(row), 0), False
+        while not found:
+            if at + 2 * NO_RANK > len(entries):
+                entries = np.append(entries, np.full(4 * NO_RANK, _EMPTY, np.int64))
+            fits = np.logical_and.reduce([entries[at + r : at + r + span] == _EMPTY for r in row.tolist()])
+            found = bool(fits.any())
+            at += int(fits.argmax()) if found else span
+        places[len(row)] = starts[left] = at
+        entries[at + row] = left << 20 | ids[begin[left] : begin[left + 1]]
+    return entries[: max(places.values(), default=0) + NO_RANK], starts
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -86,42 +90,47 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def with_rank_map(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """df with the rank map's arrays in the columns `entries` and `moved`."""
-    entries, moved = pair_table(ranks)
-    row = df.sparkSession.createDataFrame(pa.table({"entries": [entries.tolist()], "moved": [moved.tolist()]}))
-    return df.select("*", row.select("entries").scalar().alias("entries"), row.select("moved").scalar().alias("moved"))
+@lru_cache(maxsize=2)
+def _rank_map(path: str) -> tuple[list[int], list[int]]:
+    entries, starts = pair_table(read_ranks(path))
+    return entries.tolist(), starts.tolist()
+
+
+def with_rank_map(df: DataFrame, path: str) -> DataFrame:
+    """df with the rank map's arrays in the columns `entries` and `starts`: for rows of many words, as each row gets a copy."""
+    entries, starts = _rank_map(path)
+    row = df.sparkSession.createDataFrame(pa.table({"entries": pa.array([entries], pa.list_(pa.int64())), "starts": pa.array([starts], pa.list_(pa.int32()))}))
+    return df.select("*", row.select("entries").scalar().alias("entries"), row.select("starts").scalar().alias("starts"))
 
 
 def fold_merges(word: Column) -> Column:
-    """ids (array of long) of a word (array of long: the ids of its bytes).
+    """ids (array of long) of a word (array of long: an edge that pairs with nothing, and the ids of the word's bytes).
 
-    The state is the word's ids between two ids that pair with nothing, and for each pair of neighbours the id of
-    both joined, or a larger number.  That id is the merge's rank, so the least of them is the next merge.
+    The state has a number for each id: the rank of the merge with the next id (which is the id of both joined) or
+    NO_RANK, the place of its first byte, and the id itself.  So the least number is the next merge.
     """
-    entry, displacement = F.col("entries"), F.col("moved")
-    joined = lambda key: F.get(entry, (key % ENTRIES + F.get(displacement, (key % DISPLACEMENTS).cast("int"))).cast("int")).bitwiseXOR(key * 65536)
-    rest = F.lit(1 << 30)
+    entries, starts = F.col("entries"), F.col("starts")
+    low, place, rest = F.lit((1 << 44) - 1), F.lit((1 << 44) - (1 << 16)), F.lit(1 << 30)
+
+    def rank(left: Column, right: Column) -> Column:  # where there is no right id, `least` passes over the null
+        entry = F.get(entries, (F.get(starts, left.cast("int")) + right).cast("int"))
+        return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(left, 20)), F.lit(NO_RANK).cast("bigint")), 44)
+
+    def merged(state: Column, p: Column, least: Column) -> Column:
+        before, joined, after = F.get(state, p - 2), F.shiftright(least, 44), F.get(state, p + 1)
+        pair = F.array(
+            rank(before.bitwiseAND(65535), joined).bitwiseOR(before.bitwiseAND(low)),
+            rank(joined, after.bitwiseAND(65535)).bitwiseOR(least.bitwiseAND(place)).bitwiseOR(joined),
+        )
+        return F.concat(F.slice(state, F.lit(1), p - 2), pair, F.slice(state, p + 2, rest))
 
     def step(state: Column, _: Column) -> Column:
-        ids, joins = state["ids"], state["joins"]
-
-        def at(p: Column, least: Column) -> Column:
-            fresh = F.transform(F.array(F.get(ids, p - 2) * 65536 + least, least * 65536 + F.get(ids, p + 1)), joined)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, rest)).alias("ids"),
-                F.concat(F.slice(joins, F.lit(1), p - 2), fresh, F.slice(joins, p + 2, rest)).alias("joins"),
-            )
-
-        merge = lambda least: F.when(least < 65536, _let(F.array_position(joins, least).cast("int"), lambda p: at(p, least))).otherwise(state)
-        return _let(F.array_min(joins), merge)
+        move = lambda least: F.when(least < NO_RANK << 44, _let(F.array_position(state, least).cast("int"), lambda p: merged(state, p, least))).otherwise(state)
+        return _let(F.array_min(state), move)
 
-    n, edge = F.size(word), F.array(F.lit(_NO_BYTE).cast("bigint"))
-    ids = F.concat(edge, word, edge)
-    joins = F.transform(F.zip_with(F.slice(ids, F.lit(1), n + 1), F.slice(ids, F.lit(2), n + 1), lambda a, b: a * 65536 + b), joined)
-    start = F.struct(ids.alias("ids"), joins.alias("joins"))
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: s["ids"])
-    return F.when(n > 1, _let(folded, lambda out: F.slice(out, F.lit(2), F.size(out) - 2))).otherwise(word)
+    start = F.transform(word, lambda x, i: rank(x, F.get(word, i + 1)).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 2, F.lit(1)))
+    return F.aggregate(steps, start, step, lambda s: F.transform(F.slice(s, F.lit(2), rest), lambda x: x.bitwiseAND(65535)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -144,174 +153,300 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-class Words:
-    """Numbers of the words of texts: those of the dictionary first, then a task's own in the order they come."""
+# Classes of bytes in texts that are cut without the pattern; two-byte letters are marked by their place.
+_LETTER, _DIGIT, _SIGN, _GAP, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETTER
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[0x20], _CLASS[ord("'")] = _GAP, _OTHER
 
-    def __init__(self, pattern: str, known: list[bytes]):
-        import regex
 
-        self.match, self.known = regex.compile(pattern), known
-        self.restart()
-
-    def restart(self) -> None:
-        """Forget the task's own words."""
-        self.number, self.memory = {w: i for i, w in enumerate(self.known)}, Memory(REMEMBERED)
-        self.fresh: list[bytes] = []
-
-    def _split(self, parts: list[bytes]) -> list[bytes]:
-        out = []
-        for part in parts:
-            numbers = []
-            for w in self.match.findall(part.decode()):
-                w = w.encode()
-                i = self.number.get(w)
-                if i is None:
-                    i = self.number[w] = len(self.number)
-                    self.fresh.append(w)
-                numbers.append(i)
-            out.append(np.array(numbers, "<i4").tobytes())
-        return out
-
-    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of a block of documents and the documents' bounds in them; new words are in `fresh`."""
-        starts = segments(data, offsets)
-        ends = np.append(starts[1:], offsets[-1])[: len(starts)]
-        chosen, number = distinct_spans(data, starts, ends)
+def word_starts(data: np.ndarray, offsets: np.ndarray, split: Callable[[str], list[str]]) -> np.ndarray:
+    """Starts of all words of a block of documents; words tile the texts.
+
+    `segments` are cut where the pattern begins a word in any case.  Segments of an optional space and visible ASCII
+    (without the apostrophe) or Latin letters of two bytes are cut where runs of letters, digits and signs meet; all
+    others, each distinct one once, by the pattern.
+    """
+    n = int(offsets[-1])
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _CLASS[data[:n]]
+    lead = np.flatnonzero(data[: n - 1] == 0xC3)
+    trail = data[lead + 1]
+    lead = lead[(trail >= 0x80) & (trail <= 0xBF) & (trail != 0x97) & (trail != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    starts = segments(data, offsets)
+    ends = np.append(starts[1:], n)
+    begins = np.ones(n, bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _GAP)
+    begins[starts] = True
+    odd = kind >= _GAP
+    odd[starts[data[starts] == 0x20]] = False
+    hard = np.flatnonzero(np.add.reduceat(odd, starts, dtype=np.int32) > 0) if odd.any() else np.zeros(0, np.int64)
+    if len(hard):
+        chosen, number = distinct_spans(data, starts[hard], ends[hard])
         raw = data.tobytes()
-        parts = self.memory.get([raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)], self._split)
-        bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)))
-        numbers, at = ragged(np.frombuffer(b"".join(parts), "<i4"), bounds, number)
-        return numbers, at[np.searchsorted(starts, offsets)]
+        cuts = [np.cumsum([0, *(len(w.encode()) for w in split(raw[a:b].decode())[:-1])]) for a, b in zip(starts[hard[chosen]].tolist(), ends[hard[chosen]].tolist(), strict=True)]
+        at, bounds = ragged(np.concatenate(cuts), np.concatenate(([0], np.cumsum([len(c) for c in cuts]))), number)
+        size = (ends - starts)[hard]
+        inside = np.concatenate(([0], np.cumsum(size)))
+        begins[np.repeat(starts[hard] - inside[:-1], size) + np.arange(inside[-1])] = False
+        begins[np.repeat(starts[hard], np.diff(bounds)) + at] = True
+    return np.flatnonzero(begins)
 
 
-def _as_ids(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """What the fold takes for each word; the ids of a piece of the vocabulary or a long word after a -1."""
-    byte = [ranks[bytes([b])] for b in range(256)]
-    return [[-1, ranks[w]] if w in ranks else [-1, *merge_long(w, ranks)] if len(w) > LONG_WORD else [byte[b] for b in w] for w in words]
+def _press(values: np.ndarray, kind: str) -> bytes:
+    return pa.compress(values.astype(kind).tobytes(), "zstd", asbytes=True)
 
 
-BLOCKS = "doc_ids array<long>, bounds binary, numbers binary, restart boolean, words array<array<long>>"
+def _unpress(data: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _number(pattern: str, known, ranks: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(pattern, known.value)
-        for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column("text"), TEXT_BLOCK):
-                restart = len(words.number) > len(words.known) + TASK_WORDS
-                if restart:
-                    words.restart()
-                words.fresh = []
-                numbers, bounds = words.block(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("doc_id").slice(first, last - first).to_pylist()], pa.list_(pa.int64())), pa.array([bounds.astype("<i8").tobytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary()),
-                        pa.array([restart]), pa.array([_as_ids(words.fresh, ranks)], pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=["doc_ids", "bounds", "numbers", "restart", "words"],
-                )
+def _press_numbers(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, planes of their bytes apart."""
+    return pa.compress(b"".join((numbers >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)), "zstd", asbytes=True)
 
-    return number
 
+def _unpress_numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).astype(np.int32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
-def _assemble(known) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_ids, base_sizes = known.value
-        base = (np.frombuffer(base_ids, "<u2"), np.frombuffer(base_sizes, "<i4"))
-        ids, sizes = [base[0]], [base[1]]
-        for batch in batches:
-            for i in range(len(batch)):
-                if batch.column("restart")[i].as_py():
-                    ids, sizes = ids[:1], sizes[:1]
-                folded = batch.column("ids")[i].values
-                ids.append(folded.flatten().to_numpy().astype("<u2"))
-                sizes.append(np.diff(folded.offsets.to_numpy()).astype("<i4"))
-                if len(ids) > 16:  # few arrays, and the dictionary's own
-                    ids, sizes = [ids[0], np.concatenate(ids[1:])], [sizes[0], np.concatenate(sizes[1:])]
-                word_ids, word_bounds = np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
-                numbers, bounds = np.frombuffer(batch.column("numbers")[i].as_py(), "<i4"), np.frombuffer(batch.column("bounds")[i].as_py(), "<i8")
-                out = [ragged(word_ids, word_bounds, numbers[a:b])[0].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary())], names=["doc_id", "ids"])
-        give_back()
 
-    return assemble
+#: A block: a hash of its content, its documents' ids, how many words each has, the words' numbers, the ids of numbers that are pieces (else -1);
+#: for each bucket its words, which have the numbers from `firsts` on.
+BLOCKS = "block long, doc_ids array<long>, counts binary, n_words long, numbers binary, n_distinct long, known binary, buckets array<long>, firsts array<long>, sizes array<binary>, words array<binary>"
 
 
-def _decode(pieces: dict[int, bytes]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [None if v is None else b"".join([pieces[i] for i in np.frombuffer(v, "<u4").tolist()]) for v in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
-        give_back()
+def _block_row(data: np.ndarray, offsets: np.ndarray, split: Callable[[str], list[str]], ranks: dict[bytes, int], n_buckets: int) -> dict:
+    starts = word_starts(data, offsets, split)
+    ends = np.append(starts[1:], offsets[-1])[: len(starts)]
+    chosen, number = distinct_spans(data, starts, ends)
+    # pieces first, the most frequent before all others; then the rest by bucket
+    raw = data.tobytes()
+    known = np.array([ranks.get(raw[a:b], -1) for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)], np.int32)
+    bucket = (mix(span_hashes(data, starts[chosen], ends[chosen])) >> np.uint64(33)).astype(np.int64) % n_buckets
+    often = np.bincount(number, minlength=len(chosen))
+    order = np.lexsort((np.where(known < 0, bucket, -often), known < 0))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    n_known = int((known >= 0).sum())
+    sent = chosen[order[n_known:]]
+    b = bucket[order[n_known:]]
+    edges = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(1, np.int64)
+    size = (ends - starts)[sent]
+    content, to = _spans(data, starts[sent], size)
+    numbers = place[number]
+    parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    return {
+        "counts": np.diff(np.searchsorted(starts, offsets)).astype("<i8").tobytes(), "n_words": len(numbers), "numbers": _press_numbers(numbers), "n_distinct": len(order), "known": known[order[:n_known]].astype("<i4").tobytes(),
+        "buckets": [int(b[i]) for i, _ in parts], "firsts": [n_known + i for i, _ in parts], "sizes": [size[i:j].astype("<i4").tobytes() for i, j in parts], "words": [pa.compress(content[to[i] : to[j]].tobytes(), "zstd", asbytes=True) for i, j in parts],
+    }
 
-    return decode
 
+def _spans(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, and their bounds."""
+    to = np.concatenate(([0], np.cumsum(size)))
+    return data[np.repeat(starts - to[:-1], size) + np.arange(to[-1])], to
 
-def _words_of(pattern: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _number(pattern: str, path: str, n_buckets: int, block_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        match, found = regex.compile(pattern), Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                found.update(match.findall(text.as_py() or ""))
-        kept = [w for w in found if len(w) <= LONG_WORD // 4]
-        yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in kept], pa.binary()), pa.array([found[w] for w in kept], pa.int64())], names=["word", "n"])
+        split, ranks, made = regex.compile(pattern).findall, read_ranks(path), 0
+        schema = pa.schema([(n, _ARROW[k]) for n, k in (f.split(" ") for f in BLOCKS.split(", "))])
+        for ids, data, offsets in _gathered(batches, block_bytes):
+            row = _block_row(data, offsets, split, ranks, n_buckets)
+            own = hashlib.blake2b(b"%d %d" % (TaskContext.get().partitionId(), made), digest_size=8)
+            for part in (row["numbers"], row["counts"], *row["words"]):
+                own.update(part)
+            row |= {"block": int.from_bytes(own.digest(), "little", signed=True), "doc_ids": ids}
+            made += 1
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+        give_back()
+
+    return number
+
 
-    return words_of
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
 
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, data, offsets) of blocks of up to block_bytes, or one longer document, over the borders of batches."""
+    ids, parts, sizes, held = [], [], [], 0
+
+    def whole() -> tuple[list, np.ndarray, np.ndarray]:
+        return ids, np.concatenate([*parts, np.zeros(8, np.uint8)]), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
     for batch in batches:
-        words, ids = batch.column("word"), batch.column("ids")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b"".join(words.to_pylist())], pa.binary()), pa.array([np.array([len(w) for w in words.to_pylist()], "<i4").tobytes()], pa.binary()), pa.array([ids.flatten().to_numpy().astype("<u2").tobytes()], pa.binary()), pa.array([np.diff(ids.offsets.to_numpy()).astype("<i4").tobytes()], pa.binary())],
-            names=["words", "lengths", "ids", "sizes"],
-        )
+        for first, last, data, offsets in text_blocks(batch.column("text"), block_bytes // 4):
+            if ids and held + int(offsets[-1]) > block_bytes:
+                yield whole()
+                ids, parts, sizes, held = [], [], [], 0
+            ids = ids + batch.column("doc_id").slice(first, last - first).to_pylist()
+            parts.append(data[:-8])
+            sizes.append(np.diff(offsets))
+            held += int(offsets[-1])
+    if ids:
+        yield whole()
+
+
+def _deal(key: tuple, table: pa.Table) -> pa.Table:
+    """A row for each bucket that a block sends words to."""
+    cols: dict[str, list] = {"bucket": [], "first": [], "sizes": [], "words": []}
+    for row in table.select(["buckets", "firsts", "sizes", "words"]).to_pylist():
+        for c, name in zip(cols.values(), row, strict=True):
+            c += row[name]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({"block": pa.array([key[0].as_py()] * len(cols["bucket"]), pa.int64())} | {n: pa.array(c, k) for (n, c), k in zip(cols.items(), kinds, strict=True)})
+
+
+FOLDS = "bucket long, words array<array<long>>, ready array<binary>, blocks array<long>, route binary, n_route long"
+
+
+def _unite(path: str) -> Callable[[tuple, pa.Table], pa.Table]:
+    ranks: dict[bytes, int] = {}
+
+    def unite(key: tuple, table: pa.Table) -> pa.Table:
+        """The distinct words of a bucket in rows of FOLDED words, each with the places in blocks that ask for them."""
+        if not ranks:
+            ranks.update(read_ranks(path))
+        byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        blocks, firsts = table["block"].to_numpy(), table["first"].to_numpy()
+        sizes = [np.frombuffer(s, "<i4").astype(np.int64) for s in table["sizes"].to_pylist()]
+        size = np.concatenate(sizes)
+        data = np.frombuffer(b"".join([*(pa.decompress(w, int(s.sum()), "zstd", asbytes=True) for w, s in zip(table["words"].to_pylist(), sizes, strict=True)), bytes(8)]), np.uint8)
+        begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+        counts = [len(s) for s in sizes]
+        holder = np.repeat(np.arange(len(blocks)), counts)
+        place = np.concatenate([first + np.arange(c) for first, c in zip(firsts.tolist(), counts, strict=True)])
+        chosen, number = distinct_spans(data, begin, begin + size)
+        asked = np.argsort(number, kind="stable")
+        edges = np.searchsorted(number[asked], np.arange(0, len(chosen) + FOLDED, FOLDED))
+        rows: dict[str, list] = {f.split(" ")[0]: [] for f in FOLDS.split(", ")}
+        for i, a in enumerate(range(0, len(chosen), FOLDED)):
+            some = chosen[a : a + FOLDED]
+            short = size[some] <= LONG_WORD
+            lengths = np.where(short, size[some] + 1, 1)
+            bounds = np.concatenate(([0], np.cumsum(lengths)))
+            flat = np.full(bounds[-1], _EDGE, np.int64)
+            content, to = _spans(data, begin[some[short]], size[some[short]])
+            flat[np.repeat(bounds[:-1][short] + 1 - to[:-1], np.diff(to)) + np.arange(to[-1])] = byte[content]
+            pairs = asked[edges[i] : edges[i + 1]]
+            pairs = pairs[np.argsort(holder[pairs], kind="stable")]
+            route = np.stack((holder[pairs], place[pairs], number[pairs] - a)).astype("<i4")
+            long_ids = [np.array(merge_long(data[begin[w] : begin[w] + size[w]].tobytes(), ranks), "<u2").tobytes() for w in some[~short].tolist()]
+            for name, value in (("bucket", key[0].as_py()), ("words", pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))), ("ready", long_ids), ("blocks", blocks.tolist()), ("route", route.tobytes()), ("n_route", len(pairs))):
+                rows[name].append(value)
+        give_back()
+        words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in rows["words"]]))), pa.int32()), pa.concat_arrays(rows["words"]))
+        kinds = {"bucket": pa.int64(), "ready": pa.list_(pa.binary()), "blocks": pa.list_(pa.int64()), "route": pa.binary(), "n_route": pa.int64()}
+        return pa.table({n: words if n == "words" else pa.array(v, kinds[n]) for n, v in rows.items()})
+
+    return unite
 
 
-def _fold(word: Column) -> Column:
-    return F.when(F.get(word, 0) == -1, F.slice(word, F.lit(2), F.lit(1 << 30))).otherwise(fold_merges(word))
+ANSWERS = "block long, n long, n_ids long, places binary, sizes binary, ids binary"
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> tuple[list[bytes], bytes, bytes]:
-    """(words, their ids, their numbers of ids): at most `size` words, the most frequent of `sample_docs` documents."""
-    chosen = docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_docs ids
-    counted = texts.select("text").mapInArrow(_words_of(pattern), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    as_ids = F.udf(lambda w: _as_ids([bytes(w)], ranks)[0], "array<long>")
-    top = counted.orderBy(F.desc("n"), "word").limit(size).repartition(12, "word")
-    folded = with_rank_map(top.select("word", as_ids("word").alias("bytes")), ranks).select("word", _fold(F.col("bytes")).alias("ids")).mapInArrow(_packed, "words binary, lengths binary, ids binary, sizes binary")
-    words, ids, sizes = [], [], []
-    for row in folded.collect():  # `size` words at most
+def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, the ids of the words that it asked for."""
+    for batch in batches:
+        for r in range(len(batch)):
+            folded = batch.column("ids")[r].values
+            sizes, flat = np.diff(folded.offsets.to_numpy()), folded.flatten().to_numpy()
+            ready = [np.frombuffer(x, "<u2") for x in batch.column("ready")[r].as_py()]
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            if ready:  # long words came without bytes, and have no ids from the fold
+                long = np.flatnonzero(sizes == 0)
+                parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                for w, x in zip(long.tolist(), ready, strict=True):
+                    parts[w] = x
+                flat, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            holder, place, word = np.frombuffer(batch.column("route")[r].as_py(), "<i4").reshape(3, -1)
+            blocks = batch.column("blocks")[r].as_py()
+            edges = np.flatnonzero(np.concatenate(([True], holder[1:] != holder[:-1], [True])))
+            cols: list[list] = [[], [], [], [], [], []]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                ids, to = ragged(flat, bounds, word[a:b])
+                for c, v in zip(cols, (blocks[holder[a]], b - a, len(ids), _press(place[a:b], "<i4"), _press(np.diff(to), "<i4"), _press(ids, "<u2")), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(cols)], names=["block", "n", "n_ids", "places", "sizes", "ids"])
+    give_back()
+
+
+def _assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    """doc_id and ids of a block's documents."""
+    if len(blocks) != 1:
+        raise ValueError("a block was made again from rows in another order: cut the lineage of the documents first")
+    doc_ids, out = [], []
+    for row in blocks.to_pylist():
+        n_distinct, known = row["n_distinct"], np.frombuffer(row["known"], "<i4")
+        sizes = np.zeros(n_distinct, np.int64)
+        sizes[: len(known)] = 1
+        got = [(_unpress(r["places"], r["n"], "<i4"), _unpress(r["sizes"], r["n"], "<i4"), _unpress(r["ids"], r["n_ids"], "<u2")) for r in answers.to_pylist()]
+        asked = np.concatenate([p for p, _, _ in got]) if got else np.zeros(0, np.int32)
+        if len(asked) != n_distinct - len(known) or (len(asked) and int(np.bincount(asked, minlength=n_distinct)[len(known) :].min()) != 1):
+            raise ValueError("a block was made again from rows in another order: cut the lineage of the documents first")
+        counts = np.concatenate([s for _, s, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        ids = np.concatenate([known.astype("<u2"), *[i for _, _, i in got]])
+        sizes[asked] = counts
+        begin = np.zeros(n_distinct, np.int64)
+        begin[: len(known)] = np.arange(len(known))
+        begin[asked] = len(known) + np.cumsum(counts) - counts
+        numbers = _unpress_numbers(row["numbers"], row["n_words"])
+        ends = np.cumsum(np.frombuffer(row["counts"], "<i8"))
         at = 0
-        for n in np.frombuffer(row["lengths"], "<i4").tolist():
-            words.append(bytes(row["words"][at : at + n]))
-            at += n
-        ids.append(bytes(row["ids"]))
-        sizes.append(bytes(row["sizes"]))
-    return words, b"".join(ids), b"".join(sizes)
+        for end in ends.tolist():
+            words = numbers[at:end]
+            out.append(_spans(ids, begin[words], sizes[words])[0].astype("<u4").tobytes() if end > at else b"")
+            at = end
+        doc_ids += row["doc_ids"]
+    give_back()
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+
+def _decode(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {i: p for p, i in read_ranks(path).items()}
+        size = np.array([len(pieces.get(i, b"")) for i in range(max(pieces) + 1)], np.int64)
+        data, begin = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(size))), np.uint8), np.cumsum(size) - size
+        for batch in batches:
+            out = []
+            for value in batch.column("ids"):
+                ids = None if value.as_py() is None else np.frombuffer(value.as_buffer(), "<u4")
+                if ids is not None and len(ids) and not size[ids].all():  # an id beyond the array raises by itself
+                    raise ValueError("ids that are not of the vocabulary")
+                out.append(None if ids is None else _spans(data, begin[ids], size[ids])[0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+        give_back()
+
+    return decode
 
 
-def token_ids(docs: DataFrame, ranks_path: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> DataFrame:
+def token_ids(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, ids of every document."""
-    ranks = read_ranks(ranks_path)
-    docs = small_batches(docs)
-    words, ids, sizes = dictionary(docs, ranks, pattern, sample_docs, size)
-    context = docs.sparkSession.sparkContext
-    known, folded_before = context.broadcast(words), context.broadcast((ids, sizes))  # `size` words at most
-    blocks = docs.select("doc_id", "text").mapInArrow(_number(pattern, known, ranks), BLOCKS)
-    folded = with_rank_map(blocks, ranks).select("doc_ids", "bounds", "numbers", "restart", F.transform("words", _fold).alias("ids"))
-    return folded.mapInArrow(_assemble(folded_before), "doc_id long, ids binary")
+    docs = small_batches(docs.select("doc_id", "text"))
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
+    blocks = docs.mapInArrow(_number(pattern, ranks_path, n_buckets, block_bytes), BLOCKS)
+    # both consumers group whole blocks by their key, so they share one exchange of them
+    sent = blocks.groupBy("block").applyInArrow(_deal, "block long, bucket long, first long, sizes binary, words binary")
+    united = sent.groupBy("bucket").applyInArrow(_unite(ranks_path), FOLDS)
+    folded = with_rank_map(united, ranks_path).select(F.transform("words", fold_merges).alias("ids"), "ready", "blocks", "route")
+    answers = folded.mapInArrow(_answer, ANSWERS)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, decoded (binary: the bytes that the ids stand for) of every row of doc_id and ids."""
-    pieces = {i: p for p, i in read_ranks(ranks_path).items()}
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(pieces), "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(ranks_path), "doc_id long, ids binary, decoded binary")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: digests of its ids and of what they decode to."""
-    both = decode_documents(token_ids(docs, ranks_path, pattern, sample_docs, size), ranks_path)
+    both = decode_documents(token_ids(docs, ranks_path, pattern), ranks_path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ from ebbflow.llm import byte_bpe
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-TEXTS = [(1, "the quick  brown fox\r\n"), (2, None), (3, ""), (4, "ünïcödé ☃ 漢字 " * 3), (5, "x" * 3000), (None, "no id"), (1, "the same id twice")]
+TEXTS = [(1, "the quick  brown fox\r\n"), (2, None), (3, ""), (4, "ünïcödé ☃ 漢字 " * 3), (5, "x" * 3000), (6, "it's ab" + "ab" * 3000 + " naïve×1,2 don't\t"), (None, "no id"), (1, "the same id twice")]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def encoding():
 
 def test_ids_and_their_bytes(spark, encoding):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    rows = byte_bpe.decode_documents(byte_bpe.token_ids(docs, PATH, public_tokenizers.PATTERN, sample_docs=2, size=20), PATH).collect()
+    rows = byte_bpe.decode_documents(byte_bpe.token_ids(docs, PATH, public_tokenizers.PATTERN, block_bytes=64, bucket_bytes=16), PATH).collect()
     got = [(r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()), bytes(r["decoded"])) for r in rows]
     assert sorted(got, key=str) == sorted([(i, tuple(encoding.encode_ordinary(t or "")), (t or "").encode()) for i, t in TEXTS], key=str)
 
