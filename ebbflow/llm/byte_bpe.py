@@ -217,7 +217,7 @@ def _unpress_numbers(data: bytes, n: int) -> np.ndarray:
 
 #: A block: a hash of its content, its documents' ids, how many words each has, the words' numbers, the ids of numbers that are pieces (else -1);
 #: for each bucket its words, which have the numbers from `firsts` on.
-BLOCKS = "block long, doc_ids array<long>, counts binary, n_words long, numbers binary, n_distinct long, known binary, buckets array<long>, firsts array<long>, sizes array<binary>, words array<binary>"
+BLOCKS = "block long, doc_ids array<long>, counts binary, n_words long, numbers binary, n_distinct long, known binary, buckets array<long>, firsts array<long>, n_sent array<long>, sizes array<binary>, words array<binary>"
 
 
 def _block_row(data: np.ndarray, offsets: np.ndarray, split: Callable[[str], list[str]], ranks: dict[bytes, int], n_buckets: int) -> dict:
@@ -241,8 +241,8 @@ def _block_row(data: np.ndarray, offsets: np.ndarray, split: Callable[[str], lis
     numbers = place[number]
     parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
     return {
-        "counts": np.diff(np.searchsorted(starts, offsets)).astype("<i8").tobytes(), "n_words": len(numbers), "numbers": _press_numbers(numbers), "n_distinct": len(order), "known": known[order[:n_known]].astype("<i4").tobytes(),
-        "buckets": [int(b[i]) for i, _ in parts], "firsts": [n_known + i for i, _ in parts], "sizes": [size[i:j].astype("<i4").tobytes() for i, j in parts], "words": [pa.compress(content[to[i] : to[j]].tobytes(), "zstd", asbytes=True) for i, j in parts],
+        "counts": _press_numbers(np.diff(np.searchsorted(starts, offsets))), "n_words": len(numbers), "numbers": _press_numbers(numbers), "n_distinct": len(order), "known": known[order[:n_known]].astype("<i4").tobytes(),
+        "buckets": [int(b[i]) for i, _ in parts], "firsts": [n_known + i for i, _ in parts], "n_sent": [j - i for i, j in parts], "sizes": [_press_numbers(size[i:j]) for i, j in parts], "words": [pa.compress(content[to[i] : to[j]].tobytes(), "zstd", asbytes=True) for i, j in parts],
     }
 
 
@@ -296,85 +296,86 @@ def _gathered(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[t
 
 def _deal(key: tuple, table: pa.Table) -> pa.Table:
     """A row for each bucket that a block sends words to."""
-    cols: dict[str, list] = {"bucket": [], "first": [], "sizes": [], "words": []}
-    for row in table.select(["buckets", "firsts", "sizes", "words"]).to_pylist():
+    cols: dict[str, list] = {"bucket": [], "first": [], "n": [], "sizes": [], "words": []}
+    for row in table.select(["buckets", "firsts", "n_sent", "sizes", "words"]).to_pylist():
         for c, name in zip(cols.values(), row, strict=True):
             c += row[name]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.table({"block": pa.array([key[0].as_py()] * len(cols["bucket"]), pa.int64())} | {n: pa.array(c, k) for (n, c), k in zip(cols.items(), kinds, strict=True)})
 
 
-FOLDS = "bucket long, words array<array<long>>, ready array<binary>, blocks array<long>, route binary, n_route long"
+#: Some words of a bucket; its last row has who asked: for each block its first place and how many, then all words asked for.
+FOLDS = "words array<array<long>>, ready array<binary>, last boolean, blocks array<long>, firsts array<long>, counts array<long>, asked binary"
 
 
 def _unite(path: str) -> Callable[[tuple, pa.Table], pa.Table]:
     ranks: dict[bytes, int] = {}
 
     def unite(key: tuple, table: pa.Table) -> pa.Table:
-        """The distinct words of a bucket in rows of FOLDED words, each with the places in blocks that ask for them."""
+        """The distinct words of a bucket in rows of FOLDED words."""
         if not ranks:
             ranks.update(read_ranks(path))
         byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        blocks, firsts = table["block"].to_numpy(), table["first"].to_numpy()
-        sizes = [np.frombuffer(s, "<i4").astype(np.int64) for s in table["sizes"].to_pylist()]
-        size = np.concatenate(sizes)
-        data = np.frombuffer(b"".join([*(pa.decompress(w, int(s.sum()), "zstd", asbytes=True) for w, s in zip(table["words"].to_pylist(), sizes, strict=True)), bytes(8)]), np.uint8)
-        begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-        counts = [len(s) for s in sizes]
-        holder = np.repeat(np.arange(len(blocks)), counts)
-        place = np.concatenate([first + np.arange(c) for first, c in zip(firsts.tolist(), counts, strict=True)])
-        chosen, number = distinct_spans(data, begin, begin + size)
-        asked = np.argsort(number, kind="stable")
-        edges = np.searchsorted(number[asked], np.arange(0, len(chosen) + FOLDED, FOLDED))
+        counts = table["n"].to_pylist()
+        size = np.concatenate([_unpress_numbers(s, n) for s, n in zip(table["sizes"].to_pylist(), counts, strict=True)]).astype(np.int64)
+        ends = np.cumsum(size)
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        data = np.frombuffer(b"".join([*(pa.decompress(w, int(n), "zstd", asbytes=True) for w, n in zip(table["words"].to_pylist(), np.diff(edges), strict=True)), bytes(8)]), np.uint8)
+        chosen, number = distinct_spans(data, ends - size, ends)
         rows: dict[str, list] = {f.split(" ")[0]: [] for f in FOLDS.split(", ")}
-        for i, a in enumerate(range(0, len(chosen), FOLDED)):
+        for a in range(0, len(chosen), FOLDED):
             some = chosen[a : a + FOLDED]
             short = size[some] <= LONG_WORD
-            lengths = np.where(short, size[some] + 1, 1)
-            bounds = np.concatenate(([0], np.cumsum(lengths)))
+            bounds = np.concatenate(([0], np.cumsum(np.where(short, size[some] + 1, 1))))
             flat = np.full(bounds[-1], _EDGE, np.int64)
-            content, to = _spans(data, begin[some[short]], size[some[short]])
+            content, to = _spans(data, (ends - size)[some[short]], size[some[short]])
             flat[np.repeat(bounds[:-1][short] + 1 - to[:-1], np.diff(to)) + np.arange(to[-1])] = byte[content]
-            pairs = asked[edges[i] : edges[i + 1]]
-            pairs = pairs[np.argsort(holder[pairs], kind="stable")]
-            route = np.stack((holder[pairs], place[pairs], number[pairs] - a)).astype("<i4")
-            long_ids = [np.array(merge_long(data[begin[w] : begin[w] + size[w]].tobytes(), ranks), "<u2").tobytes() for w in some[~short].tolist()]
-            for name, value in (("bucket", key[0].as_py()), ("words", pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))), ("ready", long_ids), ("blocks", blocks.tolist()), ("route", route.tobytes()), ("n_route", len(pairs))):
-                rows[name].append(value)
+            last = a + FOLDED >= len(chosen)
+            rows["words"].append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)))
+            rows["ready"].append([np.array(merge_long(data[ends[w] - size[w] : ends[w]].tobytes(), ranks), "<u2").tobytes() for w in some[~short].tolist()])
+            for name, value in (("last", last), ("blocks", table["block"].to_pylist()), ("firsts", table["first"].to_pylist()), ("counts", counts), ("asked", number.astype("<i4").tobytes())):
+                rows[name].append(value if last else None)
+        rows["last"] = [bool(x) for x in rows["last"]]
         give_back()
         words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in rows["words"]]))), pa.int32()), pa.concat_arrays(rows["words"]))
-        kinds = {"bucket": pa.int64(), "ready": pa.list_(pa.binary()), "blocks": pa.list_(pa.int64()), "route": pa.binary(), "n_route": pa.int64()}
+        kinds = {"ready": pa.list_(pa.binary()), "last": pa.bool_(), "blocks": pa.list_(pa.int64()), "firsts": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "asked": pa.binary()}
         return pa.table({n: words if n == "words" else pa.array(v, kinds[n]) for n, v in rows.items()})
 
     return unite
 
 
-ANSWERS = "block long, n long, n_ids long, places binary, sizes binary, ids binary"
+#: The ids of the words of a block that have the numbers from `first` on.
+ANSWERS = "block long, first long, n long, n_ids long, sizes binary, ids binary"
 
 
 def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, the ids of the words that it asked for."""
+    """For each block, the ids of the words that it asked a bucket for; a bucket's rows come one after the other."""
+    parts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     for batch in batches:
         for r in range(len(batch)):
             folded = batch.column("ids")[r].values
-            sizes, flat = np.diff(folded.offsets.to_numpy()), folded.flatten().to_numpy()
+            size, flat = np.diff(folded.offsets.to_numpy()), folded.flatten().to_numpy().astype("<u2")
             ready = [np.frombuffer(x, "<u2") for x in batch.column("ready")[r].as_py()]
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
             if ready:  # long words came without bytes, and have no ids from the fold
-                long = np.flatnonzero(sizes == 0)
-                parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                for w, x in zip(long.tolist(), ready, strict=True):
-                    parts[w] = x
-                flat, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-            holder, place, word = np.frombuffer(batch.column("route")[r].as_py(), "<i4").reshape(3, -1)
-            blocks = batch.column("blocks")[r].as_py()
-            edges = np.flatnonzero(np.concatenate(([True], holder[1:] != holder[:-1], [True])))
-            cols: list[list] = [[], [], [], [], [], []]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                ids, to = ragged(flat, bounds, word[a:b])
-                for c, v in zip(cols, (blocks[holder[a]], b - a, len(ids), _press(place[a:b], "<i4"), _press(np.diff(to), "<i4"), _press(ids, "<u2")), strict=True):
+                at = np.flatnonzero(size == 0)
+                cuts = np.split(flat, np.cumsum(size)[at])
+                flat = np.concatenate([cuts[0], *(x for pair in zip(ready, cuts[1:], strict=True) for x in pair)])
+                size[at] = [len(x) for x in ready]
+            parts.append(flat)
+            sizes.append(size)
+            if not batch.column("last")[r].as_py():
+                continue
+            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+            parts, sizes, at = [], [], 0
+            asked = np.frombuffer(batch.column("asked")[r].as_py(), "<i4")
+            cols: list[list] = [[] for _ in range(6)]
+            for block, first, n in zip(*(batch.column(c)[r].as_py() for c in ("blocks", "firsts", "counts")), strict=True):
+                own, to = ragged(ids, bounds, asked[at : at + n])
+                at += n
+                for c, v in zip(cols, (block, first, n, len(own), _press_numbers(np.diff(to)), _press(own, "<u2")), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(cols)], names=["block", "n", "n_ids", "places", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(cols)], names=["block", "first", "n", "n_ids", "sizes", "ids"])
     give_back()
 
 
@@ -387,8 +388,8 @@ def _assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         n_distinct, known = row["n_distinct"], np.frombuffer(row["known"], "<i4")
         sizes = np.zeros(n_distinct, np.int64)
         sizes[: len(known)] = 1
-        got = [(_unpress(r["places"], r["n"], "<i4"), _unpress(r["sizes"], r["n"], "<i4"), _unpress(r["ids"], r["n_ids"], "<u2")) for r in answers.to_pylist()]
-        asked = np.concatenate([p for p, _, _ in got]) if got else np.zeros(0, np.int32)
+        got = [(r["first"] + np.arange(r["n"]), _unpress_numbers(r["sizes"], r["n"]), _unpress(r["ids"], r["n_ids"], "<u2")) for r in answers.to_pylist()]
+        asked = np.concatenate([p for p, _, _ in got]) if got else np.zeros(0, np.int64)
         if len(asked) != n_distinct - len(known) or (len(asked) and int(np.bincount(asked, minlength=n_distinct)[len(known) :].min()) != 1):
             raise ValueError("a block was made again from rows in another order: cut the lineage of the documents first")
         counts = np.concatenate([s for _, s, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
@@ -398,7 +399,7 @@ def _assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         begin[: len(known)] = np.arange(len(known))
         begin[asked] = len(known) + np.cumsum(counts) - counts
         numbers = _unpress_numbers(row["numbers"], row["n_words"])
-        ends = np.cumsum(np.frombuffer(row["counts"], "<i8"))
+        ends = np.cumsum(_unpress_numbers(row["counts"], len(row["doc_ids"])), dtype=np.int64)
         at = 0
         for end in ends.tolist():
             words = numbers[at:end]
@@ -434,9 +435,9 @@ def token_ids(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int =
     n_buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
     blocks = docs.mapInArrow(_number(pattern, ranks_path, n_buckets, block_bytes), BLOCKS)
     # both consumers group whole blocks by their key, so they share one exchange of them
-    sent = blocks.groupBy("block").applyInArrow(_deal, "block long, bucket long, first long, sizes binary, words binary")
+    sent = blocks.groupBy("block").applyInArrow(_deal, "block long, bucket long, first long, n long, sizes binary, words binary")
     united = sent.groupBy("bucket").applyInArrow(_unite(ranks_path), FOLDS)
-    folded = with_rank_map(united, ranks_path).select(F.transform("words", fold_merges).alias("ids"), "ready", "blocks", "route")
+    folded = with_rank_map(united, ranks_path).select(F.transform("words", fold_merges).alias("ids"), "ready", "last", "blocks", "firsts", "counts", "asked")
     answers = folded.mapInArrow(_answer, ANSWERS)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
 
