@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that one block of numpy work takes (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 20
@@ -38,10 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; only a session that names none (tests) gets a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ebbflow-checkpoint-"))
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a local session that names none (tests) gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="ebbflow-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -63,13 +74,16 @@ def give_back() -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def free_names(df: DataFrame, *wanted: str) -> DataFrame:
-    """Select the wanted columns only, so that extra columns of any name cannot clash with the operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df does not hold, in any case: an operator's own column beside those of its input."""
+    held = {c.lower() for c in df.columns}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
 
 
 def text_blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
