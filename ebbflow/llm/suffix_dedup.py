@@ -5,10 +5,12 @@ task sees all suffixes.  Every window of `length` bytes is dealt by the smallest
 equal windows meet in one bucket wherever they stand, and neighbouring windows mostly travel together as one
 context.  Four steps, each over bounded groups:
 
-1. documents are dealt to chunks by id; a chunk sends each bucket the distinct minimal hashes it holds (8 bytes each,
-   with a mark when several of its documents hold one);
-2. a bucket tells each chunk which of its hashes are held by several documents;
-3. a chunk sends the contexts of those hashes, each distinct content once with its smallest document; the bucket
+1. documents are dealt to chunks by id and text; a chunk sends each bucket the distinct minimal hashes it holds (8 bytes each,
+   with a mark when several of its documents hold one, and about how often they do);
+2. a bucket tells each chunk which of its hashes are held by several documents, and over how many buckets those are dealt
+   that would fill one (a common k-gram in many different contexts);
+3. a chunk sends the contexts of those hashes, or of the latter single windows dealt by their own hash, each distinct content
+   once with its smallest document; the bucket
    builds the suffix order of all windows that occur twice or more, and the longest-previous-factor array over
    document order: previous and next smaller documents in suffix order, with the common prefix down to them;
 4. the ranges found go back to the chunks, which apply them to all holders of the content.
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import MULTIPLIERS, distinct_spans, equal_spans, give_back, loads, mix, ragged, small_batches
+from ebbflow.llm.common import MULTIPLIERS, distinct_spans, equal_spans, give_back, loads, mix, ragged, small_batches, span_hashes
 
 #: Bytes of the strings that count, and of the k-grams whose hashes deal windows.
 LENGTH, GRAM = 50, 16
@@ -41,6 +43,10 @@ CHUNK_BYTES, LEAST_CHUNKS = 6 << 20, 64
 BUCKETS = 4
 #: Window starts that one numpy step takes.
 STEP = 1 << 18
+#: Contexts of one minimal hash that a bucket takes; a hash with more is dealt to several buckets by whole windows.
+HOT = 1 << 15
+#: Bits beside a hash: whether several documents of the chunk hold it, and the logarithm of how often.
+FREE_BITS = 6
 
 
 def minimal_hashes(data: np.ndarray, n: int, a: int, b: int, length: int) -> np.ndarray:
@@ -50,7 +56,7 @@ def minimal_hashes(data: np.ndarray, n: int, a: int, b: int, length: int) -> np.
     grams = b - a + width - 1
     h = (view[:grams] * MULTIPLIERS[4]) ^ (view[8 : grams + 8] * MULTIPLIERS[5] >> np.uint64(17))
     h = (h ^ (h >> np.uint64(31))) * MULTIPLIERS[6]
-    h >>= np.uint64(1)  # the lowest bit is free for a mark
+    h >>= np.uint64(FREE_BITS)  # free for a mark and a count
     size = 1
     while 2 * size <= width:
         h = np.minimum(h[:-size], h[size:])
@@ -106,7 +112,8 @@ def _send(n_buckets: int, length: int) -> Callable[[tuple, pa.Table], pa.Table]:
             if len(h):
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
                 several = np.maximum.reduceat(owner, first) != np.minimum.reduceat(owner, first)
-                marked = h[first] << np.uint64(1) | several.astype(np.uint64)
+                often = np.log2(np.diff(np.append(first, len(h)))).astype(np.uint64)
+                marked = h[first] << np.uint64(FREE_BITS) | np.minimum(often, np.uint64(31)) << np.uint64(1) | several.astype(np.uint64)
                 bucket = _buckets(h[first], n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1], [True])))
@@ -119,22 +126,28 @@ def _send(n_buckets: int, length: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return send
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """The hashes that several documents hold, sorted, for each chunk that holds them."""
-    chunks = table["chunk"].to_numpy()
-    parts = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
-    marked = np.concatenate(parts)
-    chunk = np.repeat(chunks, [len(p) for p in parts])
-    order = np.argsort(marked >> np.uint64(1), kind="stable")
-    h, chunk, mark = (marked >> np.uint64(1))[order], chunk[order], (marked & np.uint64(1))[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    size = np.diff(np.append(first, len(h)))
-    keep = np.repeat((size > 1) | (np.maximum.reduceat(mark, first) > 0), size)
-    h, chunk = h[keep], chunk[keep]
-    order = np.argsort(chunk, kind="stable")
-    h, chunk = h[order], chunk[order]
-    cut = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
-    return pa.table({"chunk": pa.array(chunk[cut[:-1]] if len(h) else [], pa.int64()), "payload": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+def _shared(hot: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        """For each chunk, sorted, those of its hashes that several documents hold, and over how many buckets each is dealt."""
+        chunks = table["chunk"].to_numpy()
+        parts = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+        marked = np.concatenate(parts)
+        chunk = np.repeat(chunks, [len(p) for p in parts])
+        order = np.argsort(marked >> np.uint64(FREE_BITS), kind="stable")
+        marked, chunk = marked[order], chunk[order]
+        h, mark, often = marked >> np.uint64(FREE_BITS), marked & np.uint64(1), np.left_shift(1, (marked >> np.uint64(1) & np.uint64(31)).astype(np.int64))
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(first, len(h)))
+        keep = np.repeat((size > 1) | (np.maximum.reduceat(mark, first) > 0), size)
+        splits = np.repeat(1 + np.add.reduceat(often, first) // hot, size)[keep]
+        h, chunk = h[keep], chunk[keep]
+        order = np.argsort(chunk, kind="stable")
+        h, chunk, splits = h[order], chunk[order], splits[order].astype("<i4")
+        cut = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+        spans = list(zip(cut[:-1], cut[1:], strict=True))
+        return pa.table({"chunk": pa.array(chunk[cut[:-1]] if len(h) else [], pa.int64()), "payload": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), "splits": pa.array([splits[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    return shared
 
 
 def holders(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,31 +162,45 @@ def holders(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, start: np.nd
     return first, number, owner
 
 
+CONTEXTS = "bucket long, chunk long, run binary, shift binary, owner binary, size binary, content binary"
+
+
 def _contexts(n_buckets: int, length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def contexts(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        names = {"bucket": pa.int64(), "chunk": pa.int64(), "run": pa.binary(), "owner": pa.binary(), "size": pa.binary(), "content": pa.binary()}
+        names = {n: pa.int64() if k == "long" else pa.binary() for n, k in (f.split(" ") for f in CONTEXTS.split(", "))}
         cols: dict[str, list] = {k: [] for k in names}
         docs = docs.filter(pc.is_valid(docs["doc_id"]))
         if len(docs) and len(shared):
             _, ids, data, offsets = chunk_text(docs)
             start, stop, h = runs(data, offsets, length)
-            wanted = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in shared["payload"].to_pylist()]))
-            at = np.searchsorted(wanted, h)
-            run = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == h)
+            wanted, splits = np.concatenate([np.frombuffer(x, "<u8") for x in shared["payload"].to_pylist()]), np.concatenate([np.frombuffer(x, "<i4") for x in shared["splits"].to_pylist()])
+            order = np.argsort(wanted)
+            wanted, splits = wanted[order], splits[order]
+            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+            run = np.flatnonzero(wanted[at] == h)
             first, _, owner = holders(data, offsets, ids, start[run], stop[run], length)
             owner, run = owner[first], run[first]
-            bucket = _buckets(h[run], n_buckets)
+            # a context is sent whole, or window by window if its hash is dealt to several buckets
+            split = splits[at[run]]
+            windows = np.where(split > 1, stop[run] - start[run], 1)
+            of = np.repeat(np.arange(len(run)), windows)
+            shift = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+            run, owner, split = run[of], owner[of], split[of]
+            begin = start[run] + shift
+            end = np.where(split > 1, begin + length, stop[run] + length - 1)
+            dealt, hot = h[run].copy(), np.flatnonzero(split > 1)
+            dealt[hot] = mix(dealt[hot] * MULTIPLIERS[9] + mix(span_hashes(data, begin[hot], end[hot])) % split[hot].astype(np.uint64))
+            bucket = _buckets(dealt, n_buckets)
             order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1], [True])))
-            bounds = np.stack((start, stop + length - 1))
+            cut = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                pick = run[order[a:b]]
-                lo, hi = bounds[:, pick]
-                size = hi - lo
+                pick = order[a:b]
+                lo, size = begin[pick], end[pick] - begin[pick]
                 to = np.concatenate(([0], np.cumsum(size)))
                 content = data[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
-                for k, v in (("bucket", int(bucket[order[a]])), ("chunk", docs["chunk"][0].as_py()), ("run", pick.astype("<i8").tobytes()), ("owner", owner[order[a:b]].astype("<i8").tobytes()), ("size", size.astype("<i8").tobytes()), ("content", pa.compress(content.tobytes(), "zstd", asbytes=True))):
-                    cols[k].append(v)
+                row = (int(bucket[pick[0]]), docs["chunk"][0].as_py(), *(x[pick].astype("<i8").tobytes() for x in (run, shift, owner)), size.astype("<i8").tobytes(), pa.compress(content.tobytes(), "zstd", asbytes=True))
+                for c, v in zip(cols.values(), row, strict=True):
+                    c.append(v)
         give_back()
         return pa.table({k: pa.array(cols[k], t) for k, t in names.items()})
 
@@ -210,6 +237,17 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     return ragged(order, bounds, groups)
 
 
+def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, pair by pair, up to `length`."""
+    view, out, live = loads(data), np.zeros(len(a), np.int64), np.arange(len(a))
+    for k in range(0, length, 8):
+        differ = view[a[live] + k] ^ view[b[live] + k]
+        lowest = differ & (~differ + np.uint64(1))
+        out[live] += np.where(differ == 0, 8, np.log2(np.maximum(lowest, 1).astype(np.float64)).astype(np.int64) // 8)
+        live = live[differ == 0]
+    return np.minimum(out, length)
+
+
 def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     """Common prefix of each suffix with the previous suffix of a smaller owner, 0 where it is under `least`.
 
@@ -232,16 +270,18 @@ def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> np.nda
 
 
 def longest_previous_factor(data: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix start of `at`: `length` if its first `length` bytes also start with a smaller owner, else 0.
+    """For each suffix start of `at`: its longest previous factor among smaller owners, capped at `length`; 0 if it is shorter.
 
-    Common prefixes are capped at `length`; at must be in the order of owners, so that equals are.
+    at must be in the order of owners, so that equal suffixes are.  Suffixes without an equal are not in the suffix order: what
+    they share with any other is shorter than `length`.
     """
     out = np.zeros(len(at), np.int64)
     if len(at):
         order, bounds = suffix_order(data, at, length)
         if len(order):
             common = np.full(len(order), length)
-            common[bounds[:-1]] = 0  # distinct neighbours share less than `length`
+            heads = order[bounds[:-1]]
+            common[bounds[:-1]] = np.concatenate(([0], common_prefix(data, at[heads[:-1]], at[heads[1:]], length)))
             who = owner[order]
             before = nearest_smaller(who, common, length)
             turned = np.concatenate(([0], common[::-1][:-1]))
@@ -252,10 +292,10 @@ def longest_previous_factor(data: np.ndarray, at: np.ndarray, owner: np.ndarray,
 
 def _factors(length: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def factors(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [{k: np.frombuffer(r[k], "<i8") for k in ("run", "owner", "size")} | {"chunk": r["chunk"], "content": r["content"]} for r in table.to_pylist()]
+        rows = [{k: np.frombuffer(r[k], "<i8") for k in ("run", "shift", "owner", "size")} | {"chunk": r["chunk"], "content": r["content"]} for r in table.to_pylist()]
         sizes = np.concatenate([r["size"] for r in rows])
         owners = np.concatenate([r["owner"] for r in rows])
-        run = np.concatenate([r["run"] for r in rows])
+        run, shift = (np.concatenate([r[k] for r in rows]) for k in ("run", "shift"))
         chunk = np.repeat([r["chunk"] for r in rows], [len(r["size"]) for r in rows])
         data = np.zeros(int(sizes.sum()) + 8, np.uint8)
         to = 0
@@ -276,7 +316,8 @@ def _factors(length: int) -> Callable[[tuple, pa.Table], pa.Table]:
         begins = np.flatnonzero((edge[:-1] > 0) & ((edge[:-1] == 2) | np.concatenate(([True], edge[:-2] == 0))))
         which = np.searchsorted(bounds, begins, "right") - 1
         stops = np.flatnonzero((edge[:-1] > 0) & ((edge[1:] == 0) | (edge[1:] == 2))) + 1
-        found = np.stack((run[order][which], begins - bounds[which], stops - bounds[which])).astype("<i8")
+        moved = shift[order][which] - bounds[which]
+        found = np.stack((run[order][which], begins + moved, stops + moved)).astype("<i8")
         to = chunk[order][which]
         by = np.argsort(to, kind="stable")
         cut = np.flatnonzero(np.concatenate(([True], to[by][1:] != to[by][:-1], [True]))) if len(by) else np.zeros(1, np.int64)
@@ -357,31 +398,32 @@ def _clean(length: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.T
     return clean
 
 
-def _found(docs: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, length: int, chunk_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their chunk, what the buckets found for each chunk)."""
     total = small_batches(docs).select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(LEAST_CHUNKS, -(-total // chunk_bytes))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    chunk, n_buckets = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)), BUCKETS * n_chunks
+    # by id and text, so that neither documents without an id nor an id with many texts fill a chunk
+    chunk, n_buckets = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)), BUCKETS * n_chunks
     dealt = docs.select(chunk.alias("chunk"), "doc_id", text.alias("text"))
     sent = dealt.groupBy("chunk").applyInArrow(_send(n_buckets, length), "bucket long, chunk long, hashes binary")
-    shared = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, payload binary")
-    contexts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(n_buckets, length), "bucket long, chunk long, run binary, owner binary, size binary, content binary")
+    shared = sent.groupBy("bucket").applyInArrow(_shared(hot), "chunk long, payload binary, splits binary")
+    contexts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(n_buckets, length), CONTEXTS)
     found = contexts.groupBy("bucket").applyInArrow(_factors(length), "chunk long, payload binary")
     whole = docs.select(chunk.alias("chunk"), "doc_id", text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     return whole, found
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    whole, found = _found(docs, length, chunk_bytes)
+    whole, found = _found(docs, length, chunk_bytes, hot)
     return whole.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(length), OUT)
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """All documents without their repeated passages; other columns stay, n_chars (if there is one) follows the text.
 
     The bytes of a character that a removal splits go with it, so what is left is text.
     """
-    whole, found = _found(docs, length, chunk_bytes)
+    whole, found = _found(docs, length, chunk_bytes, hot)
     return whole.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_clean(length, docs.columns), docs.schema)
