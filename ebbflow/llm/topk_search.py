@@ -9,7 +9,8 @@ Defined results: a vector that is null, or holds a null or a non-finite componen
 scores 0 with all; vectors of different lengths share their leading dimensions; rows with the same id count as the
 query's own, and equal (id, vector) rows count once, before anything is ranked; an id with several vectors takes part
 with each of them, as a candidate and as a query, whose results are ranked together; ties go to the smaller id; an
-empty table gives an empty result; extra columns are ignored.  Quantised components must fit in 32 bits, others raise.
+empty table gives an empty result; extra columns are ignored; a very long vector counts whole.  Scores must fit in 64 bits:
+where the components of two blocks are so large that one might not, the query fails.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     v = F.col(f"`{vector_col}`")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & whole.eqNullSafe(True))
-    return rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("weights"))
+    return rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("weights"))
 
 
 def _pack(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -42,15 +43,27 @@ def _pack(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                 part = batch.slice(at, size)
                 rows = part.column("weights").to_pylist()
                 width = max(map(len, rows))
-                dense = np.zeros((width, len(rows)), "<i4")
+                dense = np.zeros((width, len(rows)), "<i8")
                 for i, row in enumerate(rows):
                     dense[: len(row), i] = row
+                if width and -(1 << 31) <= dense.min() and dense.max() < 1 << 31:
+                    dense = dense.astype("<i4")
                 ids = np.asarray(part.column("id").to_numpy(), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([dense.tobytes()], pa.binary())], names=["block", "ids", "width", "weights"])
 
     return pack
 
 
+def _weights(data: bytes, width: int, n: int) -> np.ndarray:
+    """A block's weights (terms x vectors), of 4 or 8 bytes each."""
+    return np.frombuffer(data, f"<i{len(data) // (width * n)}" if width else "<i4").reshape(width, n)
+
+
+def _largest(weights: np.ndarray) -> list[int]:
+    """The largest absolute weight of each term."""
+    return [max(int(high), -int(low)) for high, low in zip(weights.max(axis=1), weights.min(axis=1), strict=True)] if weights.size else []
+
+
 def score_block(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores (queries x candidates) by term: each term's postings are scattered, times the query weight, into dense arrays."""
     scores = np.zeros((query.shape[1], candidates.shape[1]), np.int64)
@@ -59,10 +72,10 @@ def score_block(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         weights = candidates[t, postings].astype(np.int64)
         if len(postings) == candidates.shape[1]:
             for q in users:
-                scores[q] += query[t, q] * weights
+                scores[q] += int(query[t, q]) * weights
         else:
             for q in users:
-                scores[q, postings] += query[t, q] * weights
+                scores[q, postings] += int(query[t, q]) * weights
     return scores
 
 
@@ -81,8 +94,9 @@ def _search(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBa
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                query, cands = (np.frombuffer(row[w], "<i4").reshape(row[n], -1) for w, n in (("q_weights", "q_width"), ("weights", "width")))
-                query, cands = (x if x.size else x.reshape(0, len(i)) for x, i in ((query, q_ids), (cands, ids)))
+                query, cands = _weights(row["q_weights"], row["q_width"], len(q_ids)), _weights(row["weights"], row["width"], len(ids))
+                if sum(a * b for a, b in zip(_largest(query), _largest(cands), strict=False)) >= 1 << 63:
+                    raise ValueError("components are too large: a score might not fit in 64 bits")
                 out_q, out_v, out_s = [], [], []
                 for a in range(0, len(q_ids), 64):
                     scores = score_block(query[:, a : a + 64], cands)
