@@ -8,7 +8,7 @@ distrust, less its trust, is above a threshold.  Everything is DataFrame and SQL
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; a null
 page has no links; repeated rows are kept, one result each; an empty table gives an empty result; extra columns of
-the input are ignored; a rule must fit by its path too, so an empty path fits no rule that names one.
+the input are ignored; a very long page is read whole; a rule must fit by its path too, so an empty path fits no rule that names one.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ DAMPING = 0.85
 #: A walk ends when its last round changed every score by this share of it at most; looked at once in so many rounds.
 TOLERANCE, ROUNDS_BETWEEN = 1e-11, 4
 THRESHOLD = 0.0
+#: Parts that the pages of one host are dealt to where they meet its scores.
+SALTS = 16
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -109,7 +111,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thre
     """page_id, host, path, rule, verdict, by_rule, trust, distrust of every page."""
     judged = judge_by_rules(pages, rules)
     scores = host_scores(judged, cut(host_edges(pages)), damping, tolerance)
-    out = judged.join(scores, "host", "left")
+    dealt = judged.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    out = dealt.join(scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust - trust > threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), F.col("by_rule").isNotNull().alias("ruled"), trust.alias("trust"), distrust.alias("distrust"))
