@@ -7,7 +7,7 @@ length does not matter; documents at or above a fixed threshold stay.
 Defined results: a null or word-less text has all counts 0 and a score of 0, and fails the base rule (fewer than 50
 words); a document without label counts in the raw corpus alone; several labels of one document count as its best;
 repeated rows are kept, one result each; an empty table gives an empty result; without any trusted document the
-target is the raw corpus and every score is 0; extra columns are ignored.
+target is the raw corpus and every score is 0; a very long text is read whole; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ with an L2 penalty is fitted on them.  Scoring reads every whole text of every d
 Defined results: a null text is empty and gets the score of a text without any feature; a null id is never in the
 training part and scores as held_out null-safe false; labels that are null do not train; several labels of one
 document count as toxic if any is; repeated rows are kept, one result each; an empty table gives an empty result;
-without labels of both classes every score is the share of toxic labels (0 if there are none); extra columns are
-ignored.
+without labels of both classes nothing is learned: every score is almost 1 if all labels are toxic, else almost 0; a
+very long text is scored whole, as a block of its own; extra columns are ignored, or kept where documents are
+(one with the score column's name too).
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.llm.common import MULTIPLIERS, cut, give_back, loads, lowered, small_batches, text_blocks
+from ebbflow.llm.common import MULTIPLIERS, cut, free_name, give_back, loads, lowered, small_batches, text_blocks
 
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 #: Lengths of n-grams in bytes, and log2 of the number of hashed buckets.
 ORDERS = (4, 5, 6, 7, 8)
 BUCKET_BITS = 20
-#: Features kept: in this many toxic sample documents at least, and the highest by |log ratio| x spread.
+#: The model's size, the same for every input: features found in this many toxic sample documents at least, and of those
+#: the highest by |log ratio| x spread.
 LEAST_DOCS, FEATURES = 5, 2000
 SLICE = 1 << 15
 #: Bytes of text whose n-grams are counted at a time: every byte starts one of each order.
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: in
     return Model(weight, bias)
 
 
-def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(model: Model, name: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = model.weight != 0
         for batch in batches:
@@ -179,27 +181,27 @@ def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
                 keys = present(data, offsets, wanted)
                 parts.append(np.bincount(keys >> BUCKET_BITS, model.weight[keys & ((1 << BUCKET_BITS) - 1)].astype(np.float64), minlength=last - first) + model.bias)
             odds = np.concatenate(parts)
-            yield batch.append_column("__score", pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700)))))
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700)))))
         give_back()
 
     return score
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column __score from 0 to 1; the text column alone is read for it."""
+def score_texts(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """docs with a score from 0 to 1 in a new column; the text column alone is read for it."""
     small_batches(docs)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(_score(model), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score(model, name), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = fit(docs, labels)
-    scored = score_texts(docs.select("doc_id", "text"), model)
+    scored = score_texts(docs.select("doc_id", "text"), fit(docs, labels), "score")
     held_out = F.coalesce(~training_part(F.col("doc_id")), F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score under 0.5, all their columns."""
-    return score_texts(docs, fit(docs, labels)).filter(F.col("__score") < 0.5).drop("__score")
+    own = free_name(docs, "__score")
+    return score_texts(docs, fit(docs, labels), own).filter(F.col(own) < 0.5).drop(own)

@@ -12,7 +12,8 @@ splits at every space (Metaspace): pieces of several word marks are out of reach
 token of its own.
 
 Defined results: a null or empty text has 0 tokens; a null id keeps its row; repeated rows are kept, one result
-each; an empty table gives an empty result; extra columns are ignored.
+each; an empty table gives an empty result; a very long text or word is counted whole, in time linear in its length;
+extra columns are ignored.
 """
 
 from __future__ import annotations
