@@ -13,7 +13,7 @@ import time
 from ebbflow.queries import QUERIES
 from ebbflow.session import build
 
-HEADLINE = ["wc_hist", "wc_minmax", "synthetic_load", "join_then_group", "join_nway", "kmin_kmax_by_key", "group_sum", "window_count_n", "retract_sum_min_max", "cogroup_counts", "json_path", "s_join_static", "s_late_negative", "s_retract_chain"]
+HEADLINE = ["wc_hist", "wc_minmax", "synthetic_load", "join_then_group", "join_nway", "kmin_kmax_by_key", "group_sum", "window_count_n", "retract_sum_min_max", "cogroup_counts", "json_path", "s_join_static", "s_late_negative", "s_retract_chain", "s_synthetic_load", "s_wc_minute"]
 
 
 def main() -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What separates tokens. (fixed value)
 TOKEN_BREAKS = r'[ ",()*]+'
+#: The key of a text that is no JSON, and what its value begins with. (fixed values)
+ERROR_KEY, ERROR_TEXT = "error", "Could not parse: "
 
 
 def tokenize(text: Column) -> Column:
@@ -44,6 +46,8 @@ def json_path(paths: str, text: Column) -> Column:
     A missing or blocked path gives '', a JSON null 'null', objects and arrays their JSON text; a text that cannot be
     parsed gives the one key `error`.
     """
+    if "'" in paths or '"' in paths:
+        raise ValueError("steps of a path may not hold quotes")
     parsed = F.try_parse_json(text)
     entries = []
     for path in paths.split():
@@ -52,7 +56,7 @@ def json_path(paths: str, text: Column) -> Column:
         leaf = F.try_variant_get(parsed, dotted, "variant")
         value = F.when(F.is_variant_null(leaf), "null").otherwise(F.coalesce(F.get_json_object(text, steps), F.lit("")))
         entries += [F.lit(path), value]
-    failed = F.create_map(F.lit("error"), F.concat(F.lit("Could not parse: "), text))
+    failed = F.create_map(F.lit(ERROR_KEY), F.concat(F.lit(ERROR_TEXT), text))
     return F.when(text.isNull(), F.lit(None)).when(parsed.isNull(), failed).otherwise(F.create_map(*entries))
 
 

@@ -33,18 +33,20 @@ def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n"
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(element, name))).alias(name)).withColumn(SIGN, F.lit(1))
 
 
-def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", replicated: bool = False, limit_bytes: int = 64 << 20) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", replicated: bool = False, limit_bytes: int = 64 << 20, insert_only: bool = False) -> DataFrame:
     """Equi-join; weights multiply.  how: inner, left, right, full, semi or anti.
 
+    Unless both sides are insert_only, joins that tell whether a partner exists see net rows: sides are netted first.
     replicated asks for a broadcast of the right side, which happens only if its size is known to be at most
     limit_bytes; beyond that both sides are shuffled, and a skewed key is split at run time.
     """
     left, right = positive(left), positive(right)
     if how in ("semi", "anti"):
-        return left.join(consolidate(right.select(*on, SIGN)).filter(F.col(SIGN) > 0).select(*on), list(on), f"left_{how}")
+        held = right.select(*on) if insert_only else _netted(right.select(*on, SIGN)).select(*on)
+        return left.join(held, list(on), f"left_{how}")
+    if how != "inner" and not insert_only:
+        left, right = _netted(left), _netted(right)
     other = right.withColumnRenamed(SIGN, "__other")
-    if how != "inner":
-        left, other = _netted(left), _netted(right).withColumnRenamed(SIGN, "__other")
     if replicated and size_bound(right) <= limit_bytes:
         other = F.broadcast(other)
     out = left.join(other, list(on), how)
@@ -61,12 +63,12 @@ def size_bound(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows") -> DataFrame:
+def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", insert_only: bool = False) -> DataFrame:
     """One row for each key of either side with both sides' net rows as arrays of structs, in a defined order."""
 
     def bag(df: DataFrame, name: str) -> DataFrame:
         rest = [c for c in columns(df) if c not in on]
-        return net_rows(positive(df)).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+        return (positive(df) if insert_only else net_rows(positive(df))).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
 
     both = bag(left, left_bag).join(bag(right, right_bag), list(on), "full")
     return both.withColumn(SIGN, F.lit(1))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import redirect_stdout
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +20,28 @@ from ebbflow.streaming.run import net, run_available
 
 @dataclass(frozen=True)
 class Options:
-    """Options of an alias: shuffle its input before it, how many partitions it has, its count window."""
+    """Options of an alias: shuffle its input before it, how many partitions it has, its count window, its state's life.
+
+    A grouped batch with `parallel` is dealt once, by its keys, over that many partitions; streams have the number of state
+    partitions that the run is given.  ttl_ms: state that nothing touched for so long is dropped (by the clock).
+    """
 
     shuffle_before: bool = False
     parallel: int | None = None
     window: int | None = None
+    ttl_ms: int | None = None
 
 
 @dataclass(frozen=True)
 class Relation:
-    """df: signed rows; ops: what led here, for explain; insert_only: no row is ever taken back."""
+    """df: signed rows; ops: what led here, for explain; insert_only: no row is ever taken back; windowed: a count window's."""
 
     df: DataFrame
     alias: str
     ops: tuple[tuple[str, str, str], ...] = ()
     insert_only: bool = True
     options: dict[str, Options] = field(default_factory=dict)
+    windowed: bool = False
 
     @staticmethod
     def load(df: DataFrame, alias: str, options: dict[str, Options] | None = None) -> Relation:
@@ -46,10 +53,15 @@ class Relation:
 
     def _next(self, df: DataFrame, kind: str, alias: str, note: str = "", insert_only: bool | None = None, *others: Relation) -> Relation:
         ops = self.ops + tuple(o for r in others for o in r.ops if o not in self.ops) + ((kind, alias, note),)
-        return replace(self, df=df, alias=alias, ops=ops, insert_only=self.insert_only if insert_only is None else insert_only, options={**self.options, **{k: v for r in others for k, v in r.options.items()}})
+        return replace(self, df=df, alias=alias, ops=ops, windowed=kind == "WINDOW" or (self.windowed and kind in ("FILTER", "FOREACH")), insert_only=self.insert_only if insert_only is None else insert_only, options={**self.options, **{k: v for r in others for k, v in r.options.items()}})
+
+    def _own(self, alias: str) -> Options:
+        return self.options.get(alias, Options())
 
-    def _dealt(self, alias: str) -> DataFrame:
-        own = self.options.get(alias, Options())
+    def _dealt(self, alias: str, keys: Sequence[str] = ()) -> DataFrame:
+        own = self._own(alias)
+        if own.parallel and keys and not self.streaming:
+            return self.df.repartition(own.parallel, *keys)
         if own.shuffle_before or own.parallel:
             return self.df.repartition(own.parallel or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return self.df
@@ -67,6 +79,15 @@ class Relation:
         cols = [F.expr(e) if isinstance(e, str) else e for e in exprs]
         return self._next(self._dealt(alias).select(*cols, SIGN), "FOREACH", alias)
 
+    def map_batches(self, alias: str, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> Relation:
+        """A user's function over Arrow batches of the signed rows; what it yields has the columns of schema and the sign."""
+        return self._next(self._dealt(alias).mapInArrow(function, f"{schema}, {SIGN} int"), "MAP", alias)
+
+    def observe(self, alias: str) -> Relation:
+        """Count additions and retractions as they pass: `lastProgress` and listeners have them under the alias."""
+        seen = self.df.observe(alias, F.sum(F.when(F.col(SIGN) > 0, F.col(SIGN)).otherwise(0)).alias("added"), F.sum(F.when(F.col(SIGN) < 0, -F.col(SIGN)).otherwise(0)).alias("taken_back"))
+        return self._next(seen, "OBSERVE", alias)
+
     def flatten(self, alias: str, bag: str | Column, name: str, *keep: str) -> Relation:
         """One row for each element of an array (an empty one drops its row), beside the columns to keep."""
         value = F.col(bag) if isinstance(bag, str) else bag
@@ -82,15 +103,15 @@ class Relation:
 
     def group(self, alias: str, keys: Sequence[str], *aggregates: Aggregate) -> Relation:
         """Grouped aggregates; no keys: one group of all rows.  With a window option, count windows of each key."""
-        own = self.options.get(alias, Options())
+        own = self._own(alias)
         if own.window:
             if not self.streaming:
                 raise ValueError("batch count windows need an order: use count_window")
             return self.count_window(alias, keys, own.window, *aggregates)
-        df = self._dealt(alias)
+        df = self._dealt(alias, keys)
         if self.streaming:
             state = "sums" if all(a.parts is not None for a in aggregates) else "multiset"
-            return self._next(lowering.group(df, keys, aggregates), "GROUP", alias, f"state={state}", False)
+            return self._next(lowering.group(df, keys, aggregates, own.ttl_ms), "GROUP", alias, f"state={state}", False)
         return self._next(relational.group(df, keys, aggregates, self.insert_only), "GROUP", alias, "", True)
 
     def count_window(self, alias: str, keys: Sequence[str], size: int, *aggregates: Aggregate, order: Sequence[str | Column] = ()) -> Relation:
@@ -98,7 +119,7 @@ class Relation:
         if not self.insert_only:
             raise ValueError("count windows take insert-only input")
         if self.streaming:
-            return self._next(lowering.count_window(self._dealt(alias), keys, size, aggregates), "WINDOW", alias, f"rows={size}", False)
+            return self._next(lowering.count_window(self._dealt(alias), keys, size, aggregates, self._own(alias).ttl_ms), "WINDOW", alias, f"rows={size}", False)
         if not order:
             raise ValueError("batch count windows need an order")
         return self._next(relational.count_window(self._dealt(alias), keys, order, size, aggregates), "WINDOW", alias, f"rows={size}", True)
@@ -109,23 +130,34 @@ class Relation:
             right = other.df
             if replicated and not other.streaming and relational.size_bound(right) <= 64 << 20:
                 right = F.broadcast(right)
-            out = lowering.join(self._dealt(alias), right, on, how)
+            out = lowering.join(self._dealt(alias), right, on, how, ttl=self._own(alias).ttl_ms)
         else:
-            out = relational.join(self._dealt(alias), other.df, on, how, replicated)
-        kept = self.insert_only and other.insert_only and (how == "inner" or not out.isStreaming)
+            out = relational.join(self._dealt(alias), other.df, on, how, replicated, insert_only=self.insert_only and other.insert_only)
+        kept = self.insert_only and other.insert_only and (not out.isStreaming or lowering.stateless(self.df, other.df, how))
         return self._next(out, "JOIN", alias, f"{how}{', replicated' if replicated else ''}", kept, other)
 
     def cogroup(self, alias: str, other: Relation, on: Sequence[str]) -> Relation:
-        """Both sides' rows of each key as arrays (batch)."""
-        return self._next(relational.cogroup(self._dealt(alias), other.df, on), "COGROUP", alias, "", True, other)
+        """Both sides' rows of each key as arrays; at most one side may come from a count window."""
+        if self.windowed and other.windowed:
+            raise ValueError(f"{alias}: only one side of a group may have a count window")
+        if self.streaming or other.streaming:
+            return self._next(lowering.cogroup(self._dealt(alias), other.df, on, ttl=self._own(alias).ttl_ms), "COGROUP", alias, "", False, other)
+        return self._next(relational.cogroup(self._dealt(alias, on), other.df, on, insert_only=self.insert_only and other.insert_only), "COGROUP", alias, "", True, other)
+
+    def count_each(self, alias: str, keys: Sequence[str], element: str, name: str = "n", flat: bool = True) -> Relation:
+        """How often each element occurs in its group: a row each, or an array of (element, n) for each group."""
+        if self.streaming:
+            return self._next(lowering.count_each(self._dealt(alias), keys, element, name, flat, self._own(alias).ttl_ms), "COUNT_EACH", alias, "", False)
+        return self._next(relational.count_each(self._dealt(alias, keys), keys, element, name, flat), "COUNT_EACH", alias, "", True)
 
     def union(self, alias: str, *others: Relation) -> Relation:
         """Bag union."""
-        return self._next(relational.union(self.df, *[o.df for o in others]), "UNION", alias, "", self.insert_only and all(o.insert_only for o in others), *others)
+        return self._next(relational.union(self._dealt(alias), *[o.df for o in others]), "UNION", alias, "", self.insert_only and all(o.insert_only for o in others), *others)
 
     def distinct(self, alias: str) -> Relation:
         """Each net row once."""
-        out = lowering.distinct(self.df) if self.streaming else relational.distinct(self.df)
+        df = self._dealt(alias, columns(self.df))
+        out = lowering.distinct(df, self._own(alias).ttl_ms) if self.streaming else relational.distinct(df)
         return self._next(out, "DISTINCT", alias, "", False if self.streaming else True)
 
     def rows(self, state_partitions: int | None = 4) -> DataFrame:

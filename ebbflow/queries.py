@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ebbflow import functions as fn
 from ebbflow import sinks
 from ebbflow.operators import relational
-from ebbflow.operators.aggregates import average, count, greatest, kmax, kmin, least, recomputed, total
+from ebbflow.operators.aggregates import average, count, greatest, invertible, kmax, kmin, least, recomputed, total
 from ebbflow.plans import Options, Relation
 from ebbflow.session import shared_folder
 from ebbflow.signed import SIGN, consolidate, negate, positive
@@ -83,9 +83,9 @@ def wc_minmax(spark, sf_dir):
     return counts.group("extremes", [], kmin("wc", "min_wc"), kmax("wc", "max_wc")).rows()
 
 
-@query(HIST_SQL.replace("FROM documents", "FROM conversations"))
+@query(HIST_SQL)
 def s_wc_hist(spark, sf_dir):
-    return _hist(stream(spark, sf_dir, "conversations", "text")).rows()
+    return _hist(stream(spark, sf_dir, "documents", "text")).rows()
 
 
 @query("SELECT label, min(vec_id) AS lo, max(vec_id) AS hi FROM embeddings GROUP BY label")
@@ -220,6 +220,20 @@ def count_each_bag(spark, sf_dir):
     return bags.select("o_custkey", F.size("bag").cast("long").alias("kinds"), F.aggregate("bag", F.lit(0).cast("long"), lambda s, e: s + e["bag"]).alias("rows"))
 
 
+COUNT_EACH_SQL = "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL"
+
+
+@query(COUNT_EACH_SQL)
+def s_count_each(spark, sf_dir):
+    return Relation.load(replay(_retracted(spark, sf_dir, "o_orderpriority"), SPLITS), "o").count_each("e", ["o_custkey"], "o_orderpriority").rows()
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS kinds, count(*) AS rows FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_orderstatus")
+def s_count_each_bag(spark, sf_dir):
+    bags = Relation.load(replay(_retracted(spark, sf_dir, "o_orderpriority"), SPLITS), "o").count_each("e", ["o_orderstatus"], "o_orderpriority", "bag", flat=False)
+    return bags.foreach("c", "o_orderstatus", "cast(size(bag) AS bigint) AS kinds", "aggregate(bag, 0L, (s, e) -> s + e.bag) AS rows").rows()
+
+
 @query("SELECT l_suppkey, min(l_partkey) AS lo, max(l_partkey) AS hi FROM lineitem GROUP BY l_suppkey")
 def kmin_kmax_by_key(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").group("g", ["l_suppkey"], kmin("l_partkey", "lo"), kmax("l_partkey", "hi")).rows()
@@ -344,6 +358,29 @@ def s_join_left(spark, sf_dir):
     return nation.join("j", supplier, ["n_nationkey"], "left").rows().select("n_nationkey", "s_suppkey", "n_name")
 
 
+@query("SELECT custkey, o_orderkey, c_nationkey FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders) LEFT JOIN (SELECT c_custkey AS custkey, c_nationkey FROM customer WHERE c_custkey % 5 <> 0) USING (custkey)")
+def s_join_static_left(spark, sf_dir):
+    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey").foreach("o", "o_custkey AS custkey", "o_orderkey")
+    customers = _customers(spark, sf_dir, "c_custkey % 5 <> 0").foreach("k", "custkey", "c_nationkey")
+    return orders.join("j", customers, ["custkey"], "left").rows()
+
+
+@query("SELECT custkey, o_orderkey, c_nationkey FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_custkey % 50 = 0) FULL JOIN (SELECT c_custkey AS custkey, c_nationkey FROM customer WHERE c_custkey % 25 = 0) USING (custkey)")
+def s_join_static_full(spark, sf_dir):
+    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey").filter("o_custkey % 50 = 0", "f").foreach("o", "o_custkey AS custkey", "o_orderkey")
+    customers = _customers(spark, sf_dir, "c_custkey % 25 = 0").foreach("k", "custkey", "c_nationkey")
+    return orders.join("j", customers, ["custkey"], "full").rows()
+
+
+@query("""WITH s AS (SELECT s_nationkey AS k, count(*) AS a, sum(s_suppkey) AS sa FROM supplier GROUP BY 1), n AS (SELECT n_nationkey AS k, count(*) AS b FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1)
+SELECT k, coalesce(a, 0) AS suppliers, coalesce(sa, 0) AS suppkeys, coalesce(b, 0) AS nations FROM s FULL JOIN n USING (k)""")
+def s_cogroup(spark, sf_dir):
+    supplier = stream(spark, sf_dir, "supplier", "s_nationkey", "s_suppkey").foreach("s", "s_nationkey AS k", "s_suppkey")
+    nation = stream(spark, sf_dir, "nation", "n_nationkey", "n_name").filter("n_nationkey % 2 = 0", "even").foreach("n", "n_nationkey AS k", "n_name")
+    both = supplier.cogroup("cg", nation, ["k"])
+    return both.foreach("c", "k", "coalesce(cast(size(left_rows) AS bigint), 0) AS suppliers", "coalesce(aggregate(left_rows, 0L, (s, r) -> s + r.s_suppkey), 0) AS suppkeys", "coalesce(cast(size(right_rows) AS bigint), 0) AS nations").rows()
+
+
 # unions, distinct, windows ----------------------------------------------------------------------------------------
 
 
@@ -400,12 +437,43 @@ def window_join_mixed(spark, sf_dir):
     return w.join("j", c, ["k"], "left").foreach("r", "k", "window_id", "n", "coalesce(m, 0) AS customers").rows()
 
 
+@query("""WITH w AS (SELECT user_id % 50 AS k, (row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1) // 40 AS window_id FROM events),
+g AS (SELECT k, CAST(window_id AS BIGINT) AS window_id, count(*) AS n FROM w GROUP BY ALL), c AS (SELECT c_custkey % 75 AS k, count(*) AS m FROM customer GROUP BY 1)
+SELECT k, window_id, n, m FROM g LEFT JOIN c USING (k)""")
+def s_window_mixed(spark, sf_dir):
+    """Every window of a key beside the other stream's rows of the key, which have no window."""
+    events = stream(spark, sf_dir, "events", "event_id", "user_id").foreach("e", "user_id % 50 AS k", "event_id").count_window("w", ["k"], 40, count("n"))
+    customers = stream(spark, sf_dir, "customer", "c_custkey").foreach("c", "c_custkey % 75 AS k").group("g", ["k"], count("m"))
+    return events.join("j", customers, ["k"], "left").rows()
+
+
+EXACT_SQL = """SELECT ts_key, big, count(*) AS n, max(big2) AS hi FROM (
+  SELECT ts + to_microseconds(event_id % 3) AS ts_key, CASE WHEN event_id % 4 <> 0 THEN 9007199254740993 + event_id % 2 END AS big, CASE WHEN event_id % 5 <> 0 THEN 9007199254740993 + event_id END AS big2
+  FROM events WHERE event_id % 10 < 7) GROUP BY ALL"""
+
+
+def _exact(events: Relation) -> Relation:
+    """Keys that differ by microseconds, and longs that no double holds beside nulls."""
+    e = events.filter("event_id % 10 < 7", "f").foreach("e", "timestampadd(MICROSECOND, event_id % 3, ts) AS ts_key", "CASE WHEN event_id % 4 <> 0 THEN 9007199254740993L + event_id % 2 END AS big", "CASE WHEN event_id % 5 <> 0 THEN 9007199254740993L + event_id END AS big2")
+    return e.group("g", ["ts_key", "big"], count("n"), kmax("big2", "hi"))
+
+
+@query(EXACT_SQL)
+def exact_keys(spark, sf_dir):
+    return _exact(load(spark, sf_dir, "events")).rows()
+
+
+@query(EXACT_SQL)
+def s_exact_keys(spark, sf_dir):
+    return _exact(stream(spark, sf_dir, "events", "event_id", "ts")).rows()
+
+
 # retractions ------------------------------------------------------------------------------------------------------
 
 
-def _retracted(spark, sf_dir):
+def _retracted(spark, sf_dir, *more):
     """Orders as additions, and every third of them taken back."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", *more)
     return positive(o).unionByName(negate(o.filter("o_orderkey % 3 = 0")))
 
 
@@ -467,8 +535,82 @@ def signed_roundtrip(spark, sf_dir):
     return consolidate(back).filter(F.col(SIGN) > 0).drop(SIGN)
 
 
-@query("SELECT key, count(*) AS n FROM (SELECT event_id, unnest(range(event_id % 7)) AS i FROM events) t, LATERAL (SELECT (event_id * 31 + i * 17) % 4096 AS key) GROUP BY key")
-def synthetic_load(spark, sf_dir):
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
+def text_file_store(spark, sf_dir):
+    """Additions to a tab-delimited text file and back."""
+    folder = shared_folder(spark, "tab-text")
+    kept = consolidate(_retracted(spark, sf_dir).select("o_orderkey", "o_orderstatus", SIGN))
+    sinks.tab_text(kept, folder)
+    return sources.tab_text(spark, folder, [("o_orderkey", "long"), ("o_orderstatus", "string")]).drop(SIGN)
+
+
+@query("SELECT l_returnflag || ' ' || l_linestatus AS line, count(*) AS n FROM lineitem GROUP BY 1")
+def text_line_load(spark, sf_dir):
+    folder = shared_folder(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat_ws(' ', l_returnflag, l_linestatus) AS value").write.text(folder)
+    return Relation.load(sources.text_lines(spark, folder, "line"), "l").group("g", ["line"], count("n")).rows()
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def s_upsert_sink(spark, sf_dir):
+    """A stream's last order of each customer, kept by the upsert sink."""
+    folder = shared_folder(spark, "upsert")
+    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey", order="o_orderkey")
+    store, last = sinks.upsert(folder, ["o_custkey"], "o_orderkey"), []
+    writer = orders.df.writeStream.foreachBatch(lambda batch, i: (store(batch, i), last.append(i)))
+    writer.option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/version={max(last)}").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_suppkey")
+def options_parallel(spark, sf_dir):
+    """Shuffle before one alias, a group dealt once over a number of partitions of its own."""
+    items = replace(load(spark, sf_dir, "lineitem"), options={"f": Options(shuffle_before=True), "g": Options(parallel=7)})
+    return items.filter("l_quantity > 10", "f").foreach("k", "l_suppkey").group("g", ["l_suppkey"], count("n")).rows()
+
+
+@query("SELECT l_returnflag, var_pop(l_linenumber) AS v FROM lineitem GROUP BY 1")
+def user_inverse(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").group("g", ["l_returnflag"], variance("l_linenumber", "v")).rows()
+
+
+@query("SELECT o_orderstatus, round(var_pop(o_custkey), 3) AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1")
+def s_user_inverse(spark, sf_dir):
+    o = Relation.load(replay(_retracted(spark, sf_dir), SPLITS), "o")
+    return o.group("g", ["o_orderstatus"], variance("o_custkey", "v")).foreach("r", "o_orderstatus", "round(v, 3) AS v").rows()
+
+
+def variance(value: str, name: str):
+    """The population variance of integers as a user would write it: three sums that can be taken back."""
+    parts = {"n": lambda v: F.lit(1).cast("long"), "s": lambda v: v.cast("decimal(38,0)"), "q": lambda v: v.cast("decimal(19,0)") * v.cast("decimal(19,0)")}
+    mean = lambda s: float(s["q"] * s["n"] - s["s"] * s["s"]) / float(s["n"] * s["n"]) if s["n"] else None
+    exact = lambda s: F.try_divide((s["q"].cast("double") * s["n"] - s["s"].cast("double") * s["s"].cast("double")), s["n"].cast("double") * s["n"])
+    return invertible(value, name, "double", parts, mean, exact)
+
+
+LOAD_SQL = "SELECT key, count(*) AS n FROM (SELECT event_id, unnest(range(event_id % 7)) AS i FROM events) t, LATERAL (SELECT (event_id * 31 + i * 17) % 4096 AS key) GROUP BY key"
+
+
+def _load(events: Relation) -> Relation:
+    """Expand, key, shuffle, delay, group: the shape of a load test, without its random numbers."""
     bag = F.expr("CASE WHEN event_id % 7 > 0 THEN sequence(0L, event_id % 7 - 1) ELSE array() END")
-    e = load(spark, sf_dir, "events").flatten("x", bag, "i", "event_id").foreach("k", "(event_id * 31 + i * 17) % 4096 AS key")
-    return e.group("g", ["key"], count("n")).rows()
+    e = replace(events, options={"k": Options(shuffle_before=True), "g": Options(parallel=8)}).flatten("x", bag, "i", "event_id")
+    return e.foreach("k", "(event_id * 31 + i * 17) % 4096 AS key").group("g", ["key"], count("n"))
+
+
+@query(LOAD_SQL)
+def synthetic_load(spark, sf_dir):
+    return _load(load(spark, sf_dir, "events")).rows()
+
+
+@query(LOAD_SQL)
+def s_synthetic_load(spark, sf_dir):
+    return _load(stream(spark, sf_dir, "events", "event_id")).rows()
+
+
+@query("SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_orderkey % 16 AS k, count(*) AS n FROM orders GROUP BY 1)")
+def random_bag_load(spark, sf_dir):
+    """Random bags: what can be said of them whatever they hold is their number, and that no number is negative."""
+    o = load(spark, sf_dir, "orders").foreach("o", "o_orderkey % 16 AS k", fn.random_bag(4.0, 2.0).alias("bag"))
+    sane = o.filter("forall(bag, i -> i >= 0)", "sane").foreach("d", F.col("k"), fn.delay(0.0).alias("ms")).filter("ms >= 0", "done")
+    return sane.group("g", ["k"], count("n")).group("all", [], count("groups"), total("n", "n", "long")).rows()

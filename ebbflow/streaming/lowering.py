@@ -4,108 +4,157 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ebbflow.operators.aggregates import Aggregate, count
-from ebbflow.session import ROCKSDB
-from ebbflow.signed import SIGN, columns, positive
-from ebbflow.streaming.processors import CountWindow, Delta, JoinDelta, MultisetDelta, SumDelta
+from ebbflow.signed import SIGN, columns, consolidate, positive
+from ebbflow.streaming.codec import fields_of, rows_of, text_of
+from ebbflow.streaming.processors import KEY, ROW, CogroupDelta, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta
+from ebbflow.streaming.run import replay
+
+#: Buckets that the keys of invertible aggregates are called by: many keys a call.  A checkpoint holds for one number.
+BUCKETS = 1024
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> StructType:
     return StructType([df.schema[n] for n in names])
 
 
-def _result(df: DataFrame, keys: Sequence[str], *fields: str) -> str:
-    return ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], *fields, f"{SIGN} long"])
+def _kinds(aggregates: Sequence[Aggregate]) -> StructType:
+    return StructType([StructField(a.name, StructType.fromDDL(f"x {a.kind}")["x"].dataType) for a in aggregates])
 
 
-def stateful(df: DataFrame, keys: Sequence[str], processor: Delta, schema: str) -> DataFrame:
-    """Append mode without timers: such operators can follow each other in one stream."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    df = df.withColumn("key__", F.to_json(F.struct(*keys)))
-    processor.inputs, processor.key_fields = df.columns, _fields(df, keys)
-    out = df.groupBy("key__").transformWithStateInPandas(processor, schema, "Append", "None")
+def stateful(df: DataFrame, by: str, processor: Delta, schema: str, ttl: int | None = None) -> DataFrame:
+    """Append mode without timers: such operators can follow each other in one stream.  ttl: milliseconds, by the clock."""
+    processor.inputs, processor.ttl = df.columns, ttl
+    out = df.groupBy(by).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if ttl else "None")
     return out.withColumn(SIGN, F.col(SIGN).cast("int"))
 
 
-def _combine(keys: list[str], parts: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _combine(parts: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sum the parts of equal keys within an Arrow batch: less to shuffle, one row for a hot key."""
 
-    def combine(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.groupby(keys, dropna=False, sort=False, as_index=False)[parts].sum()[[*keys, *parts]]
+    def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            summed = pa.Table.from_batches([batch]).group_by(KEY).aggregate([(p, "sum") for p in parts])
+            yield from summed.select([KEY, *[f"{p}_sum" for p in parts]]).rename_columns([KEY, *parts]).cast(batch.schema).to_batches()
 
     return combine
 
 
-def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate]) -> DataFrame:
+def _keyed(df: DataFrame, keys: StructType) -> DataFrame:
+    return df.withColumn(KEY, text_of(keys))
+
+
+def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Grouped aggregation that emits differences: sums if all aggregates are invertible, else the group's multiset."""
-    df, keys = positive(df), list(keys)
-    if not keys:
-        df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
-    out = _result(df, keys, *[f"`{a.name}` {a.kind}" for a in aggregates])
+    df, key = positive(df), _fields(df, list(keys))
     if all(a.parts is not None for a in aggregates):
         parts: dict[str, Column] = {"__rows": F.col(SIGN).cast("long")}
         for i, a in enumerate(aggregates):
             parts |= {f"p{i}_{p}": make() for p, make in a.parts.items()}
-        rows = df.select(*keys, *[c.alias(n) for n, c in parts.items()])
+        rows = _keyed(df, key).select(KEY, *[c.alias(n) for n, c in parts.items()])
         state = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in parts)
-        combined = rows.mapInPandas(_combine(keys, list(parts)), rows.schema)
-        result = stateful(combined, keys, SumDelta(keys, aggregates, state, list(parts)), out)
-    else:
-        names = list(dict.fromkeys(a.value for a in aggregates if a.value)) or ["__one"]
-        if names == ["__one"]:
-            df = df.withColumn("__one", F.lit(1).cast("long"))
-        result = stateful(df.select(*keys, *names, SIGN), keys, MultisetDelta(keys, aggregates, _fields(df, names), names), out)
-    return result.drop("__all") if keys == ["__all"] else result
+        combined = rows.mapInArrow(_combine(list(parts)), rows.schema).withColumn("bucket__", F.pmod(F.xxhash64(KEY), F.lit(buckets)))
+        shown = ", ".join([f"{KEY} string", *[f"`{a.name}` {a.kind}" for a in aggregates], f"{SIGN} long"])
+        out = stateful(combined, "bucket__", SumDelta(aggregates, state, list(parts)), shown, ttl)
+        return out.select(*fields_of(F.col(KEY), key), *[f"`{a.name}`" for a in aggregates], SIGN)
+    _check_values(aggregates)
+    values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
+    rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
+    processor = (ExtremeDelta if all(a.extreme for a in aggregates) else MultisetDelta)(aggregates, values)
+    out = stateful(rows, KEY, processor, f"{KEY} string, out__ string, {SIGN} long", ttl)
+    return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)
+
+
+def as_stream(df: DataFrame) -> DataFrame:
+    """A static frame as a stream of one micro-batch: it is the state that a stream starts from."""
+    return df if df.isStreaming else replay(df, 1)
 
 
-def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", native: bool = True) -> DataFrame:
+def stateless(left: DataFrame, right: DataFrame, how: str) -> bool:
+    """Whether rows of the stream meet a side that never changes, so that no row is ever taken back."""
+    if how == "inner":
+        return True
+    if left.isStreaming and not right.isStreaming:
+        return how in ("left", "semi", "anti")
+    return right.isStreaming and not left.isStreaming and how == "right"
+
+
+def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", native: bool = True, ttl: int | None = None) -> DataFrame:
     """Equi-join with at least one streaming side; how as in the batch form.
 
-    Inner joins are Spark's own (weights multiply).  All others, and native=False, keep both sides' rows for each
-    key and emit differences, so a null-extended row is taken back when its first partner comes.
+    Inner joins, and joins that keep the rows of a stream beside a static side, are Spark's own (weights multiply).
+    All others, and native=False, keep both sides' rows for each key and emit differences, so a null-extended row is
+    taken back when its first partner comes; a static side then is what the state begins with.
     """
     left, right, on = positive(left), positive(right), list(on)
-    if how == "inner" and native:
-        out = left.join(right.withColumnRenamed(SIGN, "__other"), on)
-        return out.withColumn(SIGN, F.col(SIGN) * F.col("__other")).drop("__other")
-    if not (left.isStreaming and right.isStreaming):
-        raise ValueError("outer, semi and anti joins keep state of both sides: both must be streams")
-    sides = [[c for c in columns(df) if c not in on] for df in (left, right)]
-    fields = []
-    for i, df in enumerate((left, right)):
-        if not sides[i]:
-            df, sides[i] = df.withColumn(f"__one{i}", F.lit(1).cast("long")), [f"__one{i}"]
-        fields.append((df, _fields(df, sides[i])))
-    tagged = []
-    for i, (df, _) in enumerate(fields):
-        cols = [F.col(c) for c in on] + [F.lit(i).alias("__side")]
-        for j, (other, schema) in enumerate(fields):
-            for f in schema.fields:
-                cols.append((F.col(f.name) if i == j else F.lit(None).cast(f.dataType)).alias(f"__{j}_{f.name}"))
-        tagged.append(df.select(*cols, F.col(SIGN).cast("long").alias(SIGN)))
-    both = tagged[0].unionByName(tagged[1])
-    shown = [f"`{f.name}` {f.dataType.simpleString()}" for i, (_, s) in enumerate(fields) if not (i and how in ("semi", "anti")) for f in s.fields]
-    out = stateful(both, on, JoinDelta(on, fields[0][1], fields[1][1], how), _result(left, on, *shown))
-    return out.drop("__one0", "__one1")
-
-
-def distinct(df: DataFrame) -> DataFrame:
+    if native and stateless(left, right, how):
+        if how in ("semi", "anti"):
+            return left.join(_netted(right.select(*on, SIGN)).select(*on), on, f"left_{how}")
+        if how != "inner":
+            left, right = (df if df.isStreaming else _netted(df) for df in (left, right))
+        out = left.join(right.withColumnRenamed(SIGN, "__other"), on, how)
+        return out.withColumn(SIGN, (F.coalesce(SIGN, F.lit(1)) * F.coalesce("__other", F.lit(1))).cast("int")).drop("__other")
+    key = _fields(left, on)
+    sides = [_fields(df, [c for c in columns(df) if c not in on]) for df in (left, right)]
+    out = _two_sided(left, right, key, sides, JoinDelta(how), ttl)
+    shown = fields_of(F.col("left__"), sides[0]) + ([] if how in ("semi", "anti") else fields_of(F.col("right__"), sides[1]))
+    return out.select(*fields_of(F.col(KEY), key), *shown, SIGN)
+
+
+def _netted(df: DataFrame) -> DataFrame:
+    return consolidate(df).filter(F.col(SIGN) > 0)
+
+
+def _check_values(aggregates: Sequence[Aggregate]) -> None:
+    for a in aggregates:
+        if not a.multiset and a.from_values is None:
+            raise ValueError(f"{a.name}: where all values are kept, an invertible aggregate must say how to sum them")
+
+
+def _two_sided(left: DataFrame, right: DataFrame, key: StructType, sides: Sequence[StructType], processor: Delta, ttl: int | None) -> DataFrame:
+    meets = F.lit(True)
+    for k in key.names:
+        meets = meets & F.col(f"`{k}`").isNotNull()
+    tagged = [_keyed(as_stream(df), key).select(KEY, meets.alias("meets__"), F.lit(i).alias("side__"), text_of(s).alias(ROW), F.col(SIGN).cast("long").alias(SIGN)) for i, (df, s) in enumerate(zip((left, right), sides, strict=True))]
+    return stateful(tagged[0].unionByName(tagged[1]), KEY, processor, f"{KEY} string, left__ string, right__ string, {SIGN} long", ttl)
+
+
+def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", ttl: int | None = None) -> DataFrame:
+    """One row for each key with both sides' net rows as arrays; it is replaced when a side changes."""
+    left, right, on = positive(left), positive(right), list(on)
+    key = _fields(left, on)
+    sides = [_fields(df, [c for c in columns(df) if c not in on]) for df in (left, right)]
+    out = _two_sided(left, right, key, sides, CogroupDelta(), ttl)
+    return out.select(*fields_of(F.col(KEY), key), rows_of(F.col("left__"), sides[0]).alias(left_bag), rows_of(F.col("right__"), sides[1]).alias(right_bag), SIGN)
+
+
+def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n", flat: bool = True, ttl: int | None = None) -> DataFrame:
+    """How often each element occurs in its group: a row each, or an array of (element, n) for each group."""
+    counted = group(df, [*keys, element], [count(name)], ttl)
+    if flat:
+        return counted
+    key, rest = _fields(counted, list(keys)), _fields(counted, [element, name])
+    rows = _keyed(counted, key).select(KEY, F.lit(True).alias("meets__"), F.lit(0).alias("side__"), text_of(rest).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
+    out = stateful(rows, KEY, CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", ttl)
+    return out.select(*fields_of(F.col(KEY), key), rows_of(F.col("left__"), rest).alias(name), SIGN)
+
+
+def distinct(df: DataFrame, ttl: int | None = None) -> DataFrame:
     """Each net row once: emitted when its weight becomes positive, taken back when it no longer is."""
     once = Aggregate("__n", None, "long", count().batch, count().parts, lambda s: 1)
-    return group(df, columns(df), [once]).drop("__n")
+    return group(df, columns(df), [once], ttl).drop("__n")
 
 
-def count_window(df: DataFrame, keys: Sequence[str], size: int, aggregates: Sequence[Aggregate]) -> DataFrame:
+def count_window(df: DataFrame, keys: Sequence[str], size: int, aggregates: Sequence[Aggregate], ttl: int | None = None) -> DataFrame:
     """Tumbling windows of `size` rows for each key, in the order of arrival."""
-    df, keys = positive(df), list(keys)
-    names = list(dict.fromkeys(a.value for a in aggregates if a.value)) or ["__one"]
-    if names == ["__one"]:
-        df = df.withColumn("__one", F.lit(1).cast("long"))
-    out = _result(df, keys, "window_id long", *[f"`{a.name}` {a.kind}" for a in aggregates])
-    return stateful(df.select(*keys, *names, SIGN), keys, CountWindow(keys, size, aggregates, _fields(df, names), names), out)
+    _check_values(aggregates)
+    df, key = positive(df), _fields(df, list(keys))
+    values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
+    rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
+    out = stateful(rows, KEY, CountWindow(size, aggregates, values), f"{KEY} string, window_id long, out__ string, {SIGN} long", ttl)
+    return out.select(*fields_of(F.col(KEY), key), "window_id", *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)

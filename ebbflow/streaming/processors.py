@@ -1,192 +1,314 @@
-"""State processors for transformWithStateInPandas: each keeps a group's state and emits the difference it makes.
+"""State processors for transformWithStateInPandas: each keeps state and emits the difference that a micro-batch makes.
 
 Rows arrive with a weight in the sign column.  A processor yields new rows with +1 and the rows they replace with -1,
-additions first, and nothing if nothing changed.  State of groups that net to nothing is deleted.
+additions first, and nothing if nothing changed.  State of groups that net to nothing is deleted.  Keys and rows are exact
+texts (see `codec`), so no value passes through pandas.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegralType, StructType
 
 from ebbflow.operators.aggregates import Aggregate
 from ebbflow.signed import SIGN
+from ebbflow.streaming.codec import text_of_values, values_of
 
+KEY, ROW = "key__", "row__"
 
-def plain(v: Any) -> Any:
-    """A pandas value as a Python value; missing values are None."""
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-        return None
-    return v.item() if hasattr(v, "item") else v
 
-
-def _frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
+def signed_frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
 
-def delta(key: tuple, old: Counter, new: Counter, names: Sequence[str]) -> Iterator[pd.DataFrame]:
+def delta(key: str, old: Counter, new: Counter) -> list[tuple]:
     """The signed rows that lead from old to new results of a key, additions first."""
-    rows = [(*key, *r, n - old[r]) for r, n in new.items() if n > old[r]] + [(*key, *r, new[r] - n) for r, n in old.items() if n > new[r]]
-    if rows:
-        yield _frame(rows, names)
-
-
-def casters(schema: StructType) -> list:
-    """For each field, what makes a pandas value the field's own: integers that came as floats are integers again."""
-    whole = lambda v: None if plain(v) is None else int(v)
-    return [whole if isinstance(f.dataType, IntegralType) else plain for f in schema.fields]
+    return [(key, *r, n - old[r]) for r, n in new.items() if n > old[r]] + [(key, *r, new[r] - n) for r, n in old.items() if n > new[r]]
 
 
 class Delta(StatefulProcessor):
-    """inputs: the names of the columns that come in; key_fields: the group's key columns.
-
-    Both are set by the operator that uses the processor.  Groups are formed by a text of the key, as an integer key
-    with nulls does not survive the way to pandas; the key's own values come with the rows.
-    """
+    """inputs: the names of the columns that come in; ttl: milliseconds after which untouched state goes, or None."""
 
     inputs: Sequence[str] = ()
-    key_fields: StructType = StructType([])
+    ttl: int | None = None
 
     def frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Frames with the columns' own names (names that begin with _ become positions on their way); notes the key."""
+        """Frames with the columns' own names (names that begin with _ become positions on their way)."""
         for frame in rows:
             frame.columns = list(self.inputs)
-            self.key = tuple(f(frame[n].iloc[0]) for n, f in zip(self.key_fields.names, casters(self.key_fields), strict=True))
             yield frame
 
+    def changes(self, rows: Iterator[pd.DataFrame]) -> Counter:
+        """Net change of every row's text."""
+        change: Counter = Counter()
+        for frame in self.frames(rows):
+            for r, sign in zip(frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
+                change[r] += sign
+        return Counter({r: n for r, n in change.items() if n})
+
     def close(self) -> None:
         pass
 
 
-class SumDelta(Delta):
-    """Invertible aggregates: running sums; input rows are sums too, pre-combined before the shuffle."""
-
-    def __init__(self, keys: Sequence[str], aggregates: Sequence[Aggregate], part_schema: str, parts: Sequence[str]):
-        self.keys, self.aggregates, self.part_schema, self.parts = list(keys), list(aggregates), part_schema, list(parts)
-        self.names = [*self.keys, *[a.name for a in aggregates], SIGN]
+def stored(state: Any) -> Counter:
+    return Counter({k[0]: n[0] for k, n in state.iterator()})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", self.part_schema)
 
-    def _result(self, sums: dict[str, Any]) -> Counter:
-        if sums["__rows"] <= 0:
-            return Counter()
-        return Counter({tuple(a.finish({p: sums[f"p{i}_{p}"] for p in a.parts}) for i, a in enumerate(self.aggregates)): 1})
+def apply(state: Any, last: Counter, change: Counter) -> Counter:
+    """Bring the stored weights to what they are with a change, and return them."""
+    current = last.copy()
+    for r, n in change.items():
+        current[r] += n
+        if current[r]:
+            state.updateValue((r,), (current[r],))
+        else:
+            del current[r]
+            state.removeKey((r,))
+    return current
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = self.sums.get() if self.sums.exists() else (0,) * len(self.parts)
-        current = list(last)
-        for frame in self.frames(rows):
-            for i, p in enumerate(self.parts):
-                current[i] += plain(frame[p].sum())
-        before, after = dict(zip(self.parts, last, strict=True)), dict(zip(self.parts, current, strict=True))
-        if any(current):
-            self.sums.update(tuple(current))
-        elif self.sums.exists():
-            self.sums.clear()
-        yield from delta(self.key, self._result(before), self._result(after), self.names)
 
+class SumDelta(Delta):
+    """Invertible aggregates: running sums of many keys; input rows are sums too, pre-combined before the shuffle.
 
-class MultisetDelta(Delta):
-    """Any aggregate: the group's rows with their weights; results are computed again from the net rows."""
+    A call has the changed keys of one bucket of keys, reads and writes those alone, and yields one frame.
+    """
 
-    def __init__(self, keys: Sequence[str], aggregates: Sequence[Aggregate], values: StructType, value_names: Sequence[str]):
-        self.keys, self.aggregates, self.values, self.value_names = list(keys), list(aggregates), values, list(value_names)
-        self.names = [*self.keys, *[a.name for a in aggregates], SIGN]
+    def __init__(self, aggregates: Sequence[Aggregate], part_schema: str, parts: Sequence[str]):
+        self.aggregates, self.part_schema, self.parts = list(aggregates), part_schema, list(parts)
+        self.names = [KEY, *[a.name for a in aggregates], SIGN]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", self.values, "n long")
+        self.sums = handle.getMapState("sums", "key string", self.part_schema, self.ttl)
+
+    def _result(self, sums: Sequence[Any]) -> tuple | None:
+        if sums[0] <= 0:
+            return None
+        by_name = dict(zip(self.parts, sums, strict=True))
+        return tuple(a.finish({p: by_name[f"p{i}_{p}"] for p in a.parts}) for i, a in enumerate(self.aggregates))
 
-    def _result(self, rows: Counter) -> Counter:
-        net = {r: n for r, n in rows.items() if n > 0}
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        change: dict[str, list] = defaultdict(lambda: [0] * len(self.parts))
+        for frame in self.frames(rows):
+            for k, *values in zip(frame[KEY].tolist(), *(frame[p].tolist() for p in self.parts), strict=True):
+                sums = change[k]
+                for i, v in enumerate(values):
+                    sums[i] += v
+        added, gone = [], []
+        for k, sums in change.items():
+            if not any(sums):
+                continue
+            last = self.sums.getValue((k,)) or (0,) * len(self.parts)
+            current = tuple(a + b for a, b in zip(last, sums, strict=True))
+            if any(current):
+                self.sums.updateValue((k,), current)
+            else:
+                self.sums.removeKey((k,))
+            before, after = self._result(last), self._result(current)
+            if before != after:
+                if after is not None:
+                    added.append((k, *after, 1))
+                if before is not None:
+                    gone.append((k, *before, -1))
+        if added or gone:
+            yield signed_frame(added + gone, self.names)
+
+
+class Results:
+    """Results of aggregates over the net rows of a group, given as weights of rows' texts."""
+
+    def __init__(self, aggregates: Sequence[Aggregate], values: T.StructType):
+        self.aggregates, self.kinds = list(aggregates), [f.dataType for f in values.fields]
+        self.at = [values.names.index(a.value) if a.value else None for a in aggregates]
+
+    def text(self, rows: Counter) -> str | None:
+        """The text of the results; None for a group without net rows."""
+        net = [(values_of(r, self.kinds), n) for r, n in rows.items() if n > 0]
         if not net:
-            return Counter()
+            return None
         out = []
-        for a in self.aggregates:
-            at = self.value_names.index(a.value) if a.value else None
+        for a, at in zip(self.aggregates, self.at, strict=True):
             counter: Counter = Counter()
-            for r, n in net.items():
+            for r, n in net:
                 counter[r[at] if at is not None else None] += n
             if a.multiset:
                 out.append(a.finish(counter))
             else:
                 known = [(v, n) for v, n in counter.items() if v is not None or a.value is None]
-                out.append(a.finish({"n": sum(n for _, n in known), "s": sum(v * n for v, n in known) if a.value else 0}))
-        return Counter({tuple(out): 1})
+                out.append(a.finish(a.from_values(known)))
+        return text_of_values(out)
+
+
+class MultisetDelta(Delta):
+    """Any aggregate: the group's rows with their weights; results are computed again from the net rows."""
+
+    names = (KEY, "out__", SIGN)
+
+    def __init__(self, aggregates: Sequence[Aggregate], values: T.StructType):
+        self.results = Results(aggregates, values)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getMapState("rows", "row string", "n long", self.ttl)
+        self.last = handle.getValueState("last", "out string", self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = Counter({tuple(plain(v) for v in k): n[0] for k, n in self.rows.iterator()})
-        change: Counter = Counter()
-        own = casters(self.values)
-        for frame in self.frames(rows):
-            for *r, sign in frame[[*self.value_names, SIGN]].itertuples(index=False):
-                change[tuple(f(v) for f, v in zip(own, r, strict=True))] += int(sign)
-        current = last.copy()
+        change = self.changes(rows)
+        if not change:
+            return
+        before = self.last.get()
+        after = self.results.text(apply(self.rows, stored(self.rows), change))
+        old, new = Counter({before: 1} if before else {}), Counter({(after,): 1} if after is not None else {})
+        if after is None:
+            self.last.clear()
+        else:
+            self.last.update((after,))
+        out = delta(key[0], old, new)
+        if out:
+            yield signed_frame(out, self.names)
+
+
+class ExtremeDelta(MultisetDelta):
+    """Smallest and largest values alone: a group's rows are read again only when an extreme itself was taken back."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        change = self.changes(rows)
+        if not change:
+            return
+        before = self.last.get()
+        kinds, at = self.results.kinds, self.results.at
+        best = list(values_of(before[0], [kinds[i] for i in at])) if before else [None] * len(at)
+        fresh, again = [], False
         for r, n in change.items():
-            current[r] += n
-            if not n:
-                continue
-            if current[r]:
-                self.rows.updateValue(r, (current[r],))
-            elif r in last:
-                self.rows.removeKey(r)
-        yield from delta(self.key, self._result(last), self._result(current), self.names)
+            held = self.rows.getValue((r,))
+            was = held[0] if held else 0
+            if was + n:
+                self.rows.updateValue((r,), (was + n,))
+            else:
+                self.rows.removeKey((r,))
+            values = values_of(r, kinds)
+            if was + n > 0:
+                fresh.append(values)
+            elif was > 0:
+                again |= any(values[i] is None or values[i] == x for i, x in zip(at, best, strict=True))
+        if again:
+            after = self.results.text(stored(self.rows))
+        else:
+            for i, (a, j) in enumerate(zip(self.results.aggregates, at, strict=True)):
+                candidates = [x for x in (best[i], *(v[j] for v in fresh)) if x is not None]
+                best[i] = a.finish(Counter(candidates))
+            after = text_of_values(best) if before or fresh else None
+        if after is None:
+            self.last.clear()
+        else:
+            self.last.update((after,))
+        out = delta(key[0], Counter({before: 1} if before else {}), Counter({(after,): 1} if after is not None else {}))
+        if out:
+            yield signed_frame(out, self.names)
+
+
+class TwoSided(Delta):
+    """Both sides' rows with weights for each key; a key with a null meets nothing of the other side."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sides = [handle.getMapState(n, "row string", "n long", self.ttl) for n in ("left", "right")]
+
+    def sided(self, rows: Iterator[pd.DataFrame]) -> tuple[list[Counter], bool]:
+        """The net change of each side, and whether the key may meet."""
+        change, meets = [Counter(), Counter()], True
+        for frame in self.frames(rows):
+            meets = bool(frame["meets__"].iloc[0])
+            for side, r, sign in zip(frame["side__"].tolist(), frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
+                change[side][r] += sign
+        return [Counter({r: n for r, n in c.items() if n}) for c in change], meets
 
 
-class JoinDelta(Delta):
-    """Joins of any kind and distinct rows: both sides' rows with weights, the result's difference.
+def net(side: Counter) -> Counter:
+    return Counter({r: n for r, n in side.items() if n > 0})
 
-    how: inner, left, right, full, semi, anti; a null key joins with nothing.
+
+class JoinDelta(TwoSided):
+    """Joins of any kind: what changed on one side meets the other side, old or changed, once each.
+
+    how: inner, left, right, full, semi, anti.  Rows that stand alone come and go when the other side's first row does.
     """
 
-    def __init__(self, keys: Sequence[str], left: StructType, right: StructType, how: str):
-        self.keys, self.how = list(keys), how
-        self.schemas, self.sides = (left, right), ([f.name for f in left.fields], [f.name for f in right.fields])
-        self.names = [*self.keys, *self.sides[0], *(self.sides[1] if how not in ("semi", "anti") else []), SIGN]
+    names = (KEY, "left__", "right__", SIGN)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = [handle.getMapState(n, s, "n long") for n, s in zip(("left", "right"), self.schemas, strict=True)]
+    def __init__(self, how: str):
+        self.how = how
 
-    def _result(self, key: tuple, left: Counter, right: Counter) -> Counter:
-        left, right = ({r: n for r, n in side.items() if n > 0} for side in (left, right))
-        if self.how in ("semi", "anti"):
-            met = bool(right) and None not in key
-            return Counter(left) if met == (self.how == "semi") else Counter()
+    def _alone(self, side: int, meets: bool, other: Counter) -> bool:
+        """Whether rows of a side are shown without a partner."""
+        wanted = (self.how in ("left", "full", "anti")) if side == 0 else self.how in ("right", "full")
+        return wanted and not (other and meets)
+
+    def _shown(self, left: Counter, right: Counter, meets: bool) -> Counter:
+        """Rows that stand alone, or for semi joins those that met."""
         out: Counter = Counter()
-        if left and right and None not in key:
-            for a, n in left.items():
-                for b, m in right.items():
-                    out[a + b] += n * m
-            return out
-        if self.how in ("left", "full"):
-            out.update({a + (None,) * len(self.sides[1]): n for a, n in left.items()})
-        if self.how in ("right", "full"):
-            out.update({(None,) * len(self.sides[0]) + b: n for b, n in right.items()})
+        if self.how == "semi":
+            return Counter({(r, None): n for r, n in left.items()}) if right and meets else out
+        if self._alone(0, meets, right):
+            out.update({(r, None): n for r, n in left.items()})
+        if self._alone(1, meets, left):
+            out.update({(None, r): n for r, n in right.items()})
         return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = [Counter({tuple(plain(v) for v in k): n[0] for k, n in state.iterator()}) for state in self.rows]
-        change: list[Counter] = [Counter(), Counter()]
-        for frame in self.frames(rows):
-            for side, names in enumerate(self.sides):
-                own = frame[frame["__side"] == side]
-                columns = [[f(v) for v in own[f"__{side}_{n}"]] for n, f in zip(names, casters(self.schemas[side]), strict=True)]
-                for *r, sign in zip(*columns, own[SIGN], strict=True):
-                    change[side][tuple(r)] += int(sign)
-        current = [c.copy() for c in last]
-        for side, state in enumerate(self.rows):
-            for r, n in change[side].items():
-                current[side][r] += n
-                if n and current[side][r]:
-                    state.updateValue(r, (current[side][r],))
-                elif n and r in last[side]:
-                    state.removeKey(r)
-        yield from delta(self.key, self._result(self.key, *last), self._result(self.key, *current), self.names)
+        change, meets = self.sided(rows)
+        if not any(change):
+            return
+        last = [stored(s) for s in self.sides]
+        current = [apply(s, old, c) if c else old for s, old, c in zip(self.sides, last, change, strict=True)]
+        (l0, r0), (l1, r1) = [net(c) for c in last], [net(c) for c in current]
+        out: Counter = Counter()
+        if meets and self.how not in ("semi", "anti"):
+            d_left = {r: l1[r] - l0[r] for r in change[0] if l1[r] != l0[r]}
+            d_right = {r: r1[r] - r0[r] for r in change[1] if r1[r] != r0[r]}
+            for a, n in d_left.items():
+                for b, m in r1.items():
+                    out[(a, b)] += n * m
+            for b, m in d_right.items():
+                for a, n in l0.items():
+                    out[(a, b)] += n * m
+        if self.how != "inner":
+            before, after = self._shown(l0, r0, meets), self._shown(l1, r1, meets)
+            for r, n in after.items():
+                out[r] += n
+            for r, n in before.items():
+                out[r] -= n
+        rows_out = [(key[0], *r, n) for r, n in out.items() if n > 0] + [(key[0], *r, n) for r, n in out.items() if n < 0]
+        if rows_out:
+            yield signed_frame(rows_out, self.names)
+
+
+class CogroupDelta(TwoSided):
+    """Both sides' net rows of a key as one row with two lists of rows' texts."""
+
+    names = (KEY, "left__", "right__", SIGN)
+
+    @staticmethod
+    def _listed(side: Counter) -> str | None:
+        return "[" + ",".join(r for r in sorted(side) for _ in range(side[r])) + "]" if side else None
+
+    def _result(self, left: Counter, right: Counter, meets: bool) -> Counter:
+        a, b = self._listed(net(left)), self._listed(net(right))
+        if meets:
+            return Counter({(a, b): 1}) if a or b else Counter()
+        return Counter({r: 1 for r in ((a, None), (None, b)) if any(r)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        change, meets = self.sided(rows)
+        if not any(change):
+            return
+        last = [stored(s) for s in self.sides]
+        current = [apply(s, old, c) if c else old for s, old, c in zip(self.sides, last, change, strict=True)]
+        out = delta(key[0], self._result(*last, meets), self._result(*current, meets))
+        if out:
+            yield signed_frame(out, self.names)
 
 
 class CountWindow(Delta):
@@ -195,27 +317,26 @@ class CountWindow(Delta):
     Insert-only input, in the order of arrival.  State is the open window alone.
     """
 
-    def __init__(self, keys: Sequence[str], size: int, aggregates: Sequence[Aggregate], values: StructType, value_names: Sequence[str]):
-        self.size, self.inner = size, MultisetDelta(keys, aggregates, values, value_names)
-        self.names = [*keys, "window_id", *[a.name for a in aggregates], SIGN]
+    names = (KEY, "window_id", "out__", SIGN)
+
+    def __init__(self, size: int, aggregates: Sequence[Aggregate], values: T.StructType):
+        self.size, self.results = size, Results(aggregates, values)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "window_id long, n long")
-        self.rows = handle.getMapState("rows", self.inner.values, "n long")
+        self.place = handle.getValueState("place", "window_id long, n long", self.ttl)
+        self.rows = handle.getMapState("rows", "row string", "n long", self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        window_id, n = self.place.get() if self.place.exists() else (0, 0)
-        open_rows = Counter({tuple(plain(v) for v in k): m[0] for k, m in self.rows.iterator()})
-        before, after = Counter(), Counter()
-        result = lambda: Counter({(window_id, *r): m for r, m in self.inner._result(open_rows).items()})
-        before.update(result())
-        own = casters(self.inner.values)
+        window_id, n = self.place.get() or (0, 0)
+        open_rows = stored(self.rows)
+        result = lambda: Counter({(window_id, text): 1}) if (text := self.results.text(open_rows)) is not None else Counter()
+        before, after = result(), Counter()
         for frame in self.frames(rows):
-            for *r, sign in frame[[*self.inner.value_names, SIGN]].itertuples(index=False):
+            for r, sign in zip(frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
                 if sign < 0:
                     raise ValueError("count windows take insert-only input")
                 for _ in range(int(sign)):
-                    open_rows[tuple(f(v) for f, v in zip(own, r, strict=True))] += 1
+                    open_rows[r] += 1
                     n += 1
                     if n == self.size:
                         after.update(result())
@@ -223,6 +344,8 @@ class CountWindow(Delta):
         after.update(result())
         self.rows.clear()
         for r, m in open_rows.items():
-            self.rows.updateValue(r, (m,))
+            self.rows.updateValue((r,), (m,))
         self.place.update((window_id, n))
-        yield from delta(self.key, before, after, self.names)
+        out = delta(key[0], before, after)
+        if out:
+            yield signed_frame(out, self.names)

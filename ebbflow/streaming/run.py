@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbflow.operators.relational import size_bound
 from ebbflow.session import ROCKSDB, shared_folder
 from ebbflow.signed import net_rows
 
+#: Tables of up to so many bytes are replayed as one file for each micro-batch, larger ones as a file for each core.
+FILE_BYTES = 1 << 20
+
 
 def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFrame:
     """A table as a stream of `splits` micro-batches, for tests and back-fills; with order, in ranges of that numeric column."""
@@ -19,9 +23,11 @@ def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFram
         bounds = df.approxQuantile(order, [i / splits for i in range(1, splits)], 0.001)
         part = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
     tagged = df.withColumn("__split", part)
+    files = spark.sparkContext.defaultParallelism if size_bound(df) > FILE_BYTES else 1
     for i in range(splits):  # one file set for each micro-batch; files are taken in the order they were written
-        tagged.filter(F.col("__split") == i).drop("__split").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        own = tagged.filter(F.col("__split") == i).drop("__split")
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_available(df: DataFrame, folder: str | None = None, state_partitions: int | None = None, name: str | None = None) -> DataFrame:
@@ -32,10 +38,11 @@ def run_available(df: DataFrame, folder: str | None = None, state_partitions: in
     """
     spark = df.sparkSession
     folder = folder or shared_folder(spark, "stream")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", state_partitions)
+    # state with a time to live would ask for batches without data for ever
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
@@ -44,8 +51,9 @@ def run_available(df: DataFrame, folder: str | None = None, state_partitions: in
         writer = df.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
         query = (writer.queryName(name) if name else writer).start()
         query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    finally:  # the session's own settings come back
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return result_rows(spark, folder, df)
 
 
@@ -57,3 +65,13 @@ def result_rows(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
 def net(df: DataFrame) -> DataFrame:
     """Net rows, each as often as it counts: a stream's result as a batch job would give it."""
     return net_rows(df)
+
+
+def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operator: int = 0) -> DataFrame:
+    """What a stream that ran in `folder` holds in a state variable of its operator-th stateful operator.
+
+    Variables: sums (invertible aggregates), rows and last (others), left and right (joins and cogroups), place and rows
+    (count windows).
+    """
+    reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable)
+    return reader.load(f"{folder}/checkpoint")

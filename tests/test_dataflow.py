@@ -18,6 +18,7 @@ from ebbflow.signed import SIGN, consolidate, difference, expanded, negate, net_
 from ebbflow.sources import text as sources
 from ebbflow.streaming.run import net, replay, run_available
 
+#: The sentences of the golden results. (fixed values)
 SENTENCES = [
     "pepsi pepsi pepsi pepsi pepsi pepsi pepsi.", "The quick brown fox jumped over the lazy dog.", "The quick brown fox jumped over the lazy dog.",
     "The quick brown fox jumped over the lazy dog.", "Mary had a little lamb.", "This will be encoded into json.", "defeat of deduct went over defence before detail?",
