@@ -3,18 +3,13 @@
 1. Each document's set of word shingles gives its size, a digest of the set and band keys of a MinHash signature.
    Documents with equal sets are one class, which has a number of its own: an id with several texts is in several.
    The text of a class is that of its smallest id.
-2. Classes that share a band key are candidates.  Every class is linked to the smallest class of each of its buckets,
-   never to all; the connected components of those links are clusters, and no candidate pair leaves its cluster.
-3. In a group of up to BLOCK texts, each pair of classes with a common band is compared by signature batches; after each
-   batch a pair goes when the posterior probability (uniform prior) that its similarity reaches the threshold is
-   below the chosen miss probability.  Survivors that are not connected yet are verified on their full shingle sets.
-   A group sends a spanning forest of its verified links, never all pairs.
-4. A cluster of up to BLOCK classes is one group.  In larger clusters each class is first verified beside the one
-   it shares most bands with, some dozens of them at a time: one copy of each text.  Only buckets that still
-   hold several parts after that are compared block by block: the classes outside a bucket's largest part with each
-   other and with that part, never the largest part with itself.  So neither a large group of copies nor a cluster that hangs
-   together by chance sends its texts more than a few times.
-5. The connected components of the verified links, named by their smallest id and given back to all members of the
+2. Classes that share a band key belong to one cluster: every class is linked to the smallest class of each of its
+   buckets, never to all, and the connected components of those links are the clusters.
+3. Inside a cluster, cut into blocks when it is large, each pair of classes with a common band is compared by
+   signature batches; after each batch a pair goes when the posterior probability (uniform prior) that its
+   similarity reaches the threshold is below the chosen miss probability.  Survivors that are not connected yet are
+   verified on their full shingle sets.  A block sends a spanning forest of its verified links, never all pairs.
+4. The connected components of the verified links, named by their smallest id and given back to all members of the
    classes, are the result.
 
 Defined results: a null, empty or word-less text has no shingles and is linked with nothing; a text of fewer words
@@ -31,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.llm.common import MULTIPLIERS, cut, give_back, lowered, mix, small_batches, span_hashes, text_blocks, windows, word_spans
@@ -43,7 +38,7 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
 #: Signature values compared at a time, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 40, 1e-5
-#: Classes of a group; and parts that rows with one hot key are dealt to where they meet what is known of the key.
+#: Classes of a block (a larger cluster is compared block by block), and parts that a cluster's classes meet its size in.
 BLOCK, SALTS = 96, 16
 
 _A = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % i, digest_size=8).digest(), "little") | 1 for i in range(BANDS * ROWS)], np.uint64)
@@ -118,11 +113,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: int, miss: float, parts: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among classes; with two sides, of those between the sides only.
-
-    Classes of one part are connected already: their links are neither looked for nor given.
-    """
+def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: int, miss: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among classes; with two sides, of those between the sides only."""
     sigs = np.array([signature(s) for s in sets])
     keys = band_keys(sigs)
     side = np.array(sides)
@@ -148,9 +140,6 @@ def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: in
             x = root[x]
         return x
 
-    first: dict[int, int] = {}
-    for k, part in enumerate(parts or ()):
-        root[k] = first.setdefault(part, k)
     out = []
     for k in np.argsort(-matches, kind="stable"):
         a, b = int(i[k]), int(j[k])
@@ -162,9 +151,9 @@ def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: in
 
 def _verify(words: int, percent: int, miss: float) -> Callable[[tuple, pa.Table], pa.Table]:
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        ids, sets, sides, parts, seen = [], [], [], [], set()
+        ids, sets, sides, seen = [], [], [], set()
         table = table.sort_by([("class_id", "ascending")])
-        class_ids, blocks, own_parts, digests = (table[c].to_pylist() for c in ("class_id", "block", "part", "digest"))
+        class_ids, blocks, digests = table["class_id"].to_pylist(), table["block"].to_pylist(), table["digest"].to_pylist()
         for first, last, data, offsets in text_blocks(table["text"]):
             for k, s in zip(range(first, last), shingle_sets(data, offsets, words), strict=True):
                 # a repeated id may bring another text: the class's own text is the one with its digest
@@ -173,8 +162,7 @@ def _verify(words: int, percent: int, miss: float) -> Callable[[tuple, pa.Table]
                     ids.append(class_ids[k])
                     sets.append(s)
                     sides.append(blocks[k])
-                    parts.append(own_parts[k])
-        links = forest(ids, sets, sides, percent, miss, parts) if len(ids) > 1 else []
+        links = forest(ids, sets, sides, percent, miss) if len(ids) > 1 else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return verify
@@ -189,10 +177,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # one row for each class and band
     banded = sketches.join(classes, ["doc_id", "digest"]).select("class_id", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("other")).filter("hub < other").select("key", "hub")
-    shared = banded.join(hubs, "key").filter("class_id <> hub").groupBy("class_id", "hub").agg(F.count("*").alias("bands"))
-    shared = cut(shared)
-    clusters = connected_components(shared.select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
-    verified = _verified_links(lambda dealt: _verify_groups(texts, classes, dealt, words, percent, miss), banded, shared, clusters)
+    shared = banded.join(hubs, "key").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    clusters = connected_components(shared)
+    verified = _verified_links(texts, classes, clusters, words, percent, miss)
     parts = connected_components(verified).withColumnRenamed("node", "class_id")
     grouped = classes.join(parts, "class_id", "left").select("digest", "doc_id", F.coalesce("component", "class_id").alias("part"))
     named = grouped.join(grouped.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("digest", "component_id")
@@ -201,56 +188,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _verify_groups(texts: DataFrame, classes: DataFrame, dealt: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
-    """(a, b): a spanning forest of the verified links of every group of dealt (class_id, group, low, high, block, part)."""
-    asked = dealt.join(classes, "class_id")
-    held = texts.join(asked.hint("shuffle_hash"), "doc_id").select("group", "low", "high", "class_id", "block", "part", "digest", "text")
-    return held.groupBy("group", "low", "high").applyInArrow(_verify(words, percent, miss), "a long, b long")
-
-
-def _met(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows with what is known of their key (one row each); the rows of one key are dealt to SALTS parts."""
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], how).drop("salt")
-
-
-def _number(n: Column) -> Column:
-    """How many blocks of half a group n classes make."""
-    return F.ceil(n / (BLOCK // 2)).cast("int")
-
-
-def _verified_links(verify: Callable[[DataFrame], DataFrame], banded: DataFrame, shared: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect whatever verified links of candidates connect."""
-    large = clusters.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
-    large = cut(large.select("component", F.lit(True).alias("large")))
-    members = _met(clusters.withColumnRenamed("node", "class_id"), large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    zero = F.lit(0)
-    small = members.filter("not large").select("class_id", F.col("component").alias("group"), zero.alias("low"), zero.alias("high"), zero.alias("block"), F.col("class_id").alias("part"))
-    links = verify(small)
-    if large.isEmpty():
-        return links
-    inside = cut(members.filter("large").select("class_id"))
-    # each class beside the one that it shares most bands with
-    best = shared.join(inside, "class_id").groupBy("class_id").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("group"))
-    best = cut(best)
-    turns = best.groupBy("group").agg(_number(F.count("*")).alias("turns"))
-    dealt = _met(best, turns, "group").select("class_id", "group", F.pmod(F.xxhash64("class_id"), F.col("turns")).cast("int").alias("low"))
-    hubs = turns.select(F.col("group").alias("class_id"), "group", F.explode(F.sequence(zero, F.col("turns") - 1)).alias("low"))
-    beside = dealt.unionByName(hubs).select("class_id", "group", "low", F.col("low").alias("high"), zero.alias("block"), F.col("class_id").alias("part"))
-    found = cut(verify(beside))
-    # what is left: buckets with several parts
-    parts = connected_components(found).withColumnRenamed("node", "class_id")
-    rows = cut(banded.join(inside, "class_id").join(parts, "class_id", "left").select("class_id", "key", F.coalesce("component", "class_id").alias("part")))
-    held = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = mixed.select("key", "main", _number(F.col("all") - F.col("n")).alias("others"), _number(F.col("n")).alias("mains"))
-    left = _met(rows, cut(mixed), "key")
-    is_main = F.col("part") == F.col("main")
-    own = F.pmod(F.xxhash64("class_id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int") + F.when(is_main, F.col("others")).otherwise(0)
-    meets = F.sequence(zero, F.col("others") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)
-    pairs = left.select("class_id", F.col("key").alias("group"), "part", own.alias("block"), F.explode(meets).alias("with"))
-    pairs = pairs.select("class_id", "group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "part")
-    return links.unionByName(found).unionByName(verify(pairs))
+def _verified_links(texts: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    """(a, b): spanning forests of the verified links of every block, or pair of blocks, of every cluster."""
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = salted.join(sizes, ["component", "salt"], "left").withColumnRenamed("node", "class_id")
+    n_blocks = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("class_id"), n_blocks).cast("int")
+    dealt = members.select("class_id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("with"))
+    dealt = dealt.join(classes, "class_id").select("doc_id", "class_id", "digest", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    held = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "low", "high", "class_id", "block", "digest", "text")
+    return held.groupBy("component", "low", "high").applyInArrow(_verify(words, percent, miss), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
