@@ -57,10 +57,9 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
         for i, a in enumerate(aggregates):
             parts |= {f"p{i}_{p}": make() for p, make in a.parts.items()}
         rows = _keyed(df, key).select(KEY, *[c.alias(n) for n, c in parts.items()])
-        state = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in parts)
         combined = rows.mapInArrow(_combine(list(parts)), rows.schema).withColumn("bucket__", F.pmod(F.xxhash64(KEY), F.lit(buckets)))
         shown = ", ".join([f"{KEY} string", *[f"`{a.name}` {a.kind}" for a in aggregates], f"{SIGN} long"])
-        out = stateful(combined, "bucket__", SumDelta(aggregates, state, list(parts)), shown, ttl)
+        out = stateful(combined, "bucket__", SumDelta(aggregates, _fields(rows, list(parts))), shown, ttl)
         return out.select(*fields_of(F.col(KEY), key), *[f"`{a.name}`" for a in aggregates], SIGN)
     _check_values(aggregates)
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))

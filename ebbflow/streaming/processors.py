@@ -7,6 +7,8 @@ texts (see `codec`), so no value passes through pandas.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -20,6 +22,8 @@ from ebbflow.signed import SIGN
 from ebbflow.streaming.codec import text_of_values, values_of
 
 KEY, ROW = "key__", "row__"
+#: Keys of a page of state, about, before a bucket has more pages.
+PAGE_KEYS = 64
 
 
 def signed_frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
@@ -75,15 +79,18 @@ def apply(state: Any, last: Counter, change: Counter) -> Counter:
 class SumDelta(Delta):
     """Invertible aggregates: running sums of many keys; input rows are sums too, pre-combined before the shuffle.
 
-    A call has the changed keys of one bucket of keys, reads and writes those alone, and yields one frame.
+    A call has the changed keys of one bucket of keys and yields one frame.  A call to the state costs far more than
+    a key, so keys live in pages of some dozens: a call reads and writes the pages of its keys alone, and a bucket whose pages
+    have become long is dealt to four times as many.  A time to live counts from the last change of a key's page.
     """
 
-    def __init__(self, aggregates: Sequence[Aggregate], part_schema: str, parts: Sequence[str]):
-        self.aggregates, self.part_schema, self.parts = list(aggregates), part_schema, list(parts)
+    def __init__(self, aggregates: Sequence[Aggregate], parts: T.StructType):
+        self.aggregates, self.parts, self.kinds = list(aggregates), parts.names, [f.dataType for f in parts.fields]
         self.names = [KEY, *[a.name for a in aggregates], SIGN]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getMapState("sums", "key string", self.part_schema, self.ttl)
+        self.sums = handle.getMapState("sums", "page long", "sums string", self.ttl)
+        self.size = handle.getValueState("size", "keys long, pages long", self.ttl)
 
     def _result(self, sums: Sequence[Any]) -> tuple | None:
         if sums[0] <= 0:
@@ -91,6 +98,16 @@ class SumDelta(Delta):
         by_name = dict(zip(self.parts, sums, strict=True))
         return tuple(a.finish({p: by_name[f"p{i}_{p}"] for p in a.parts}) for i, a in enumerate(self.aggregates))
 
+    def _load(self, text: tuple | None) -> dict[str, tuple]:
+        """The sums of a page's keys: a JSON object of rows' texts."""
+        return {k: values_of(v, self.kinds) for k, v in json.loads(text[0]).items()} if text else {}
+
+    def _store(self, page: int, sums: dict[str, tuple]) -> None:
+        if sums:
+            self.sums.updateValue((page,), (json.dumps({k: text_of_values(v) for k, v in sums.items()}, ensure_ascii=False),))
+        else:
+            self.sums.removeKey((page,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         change: dict[str, list] = defaultdict(lambda: [0] * len(self.parts))
         for frame in self.frames(rows):
@@ -98,25 +115,46 @@ class SumDelta(Delta):
                 sums = change[k]
                 for i, v in enumerate(values):
                     sums[i] += v
-        added, gone = [], []
+        n_keys, pages = self.size.get() or (0, 1)
+        touched = defaultdict(dict)
         for k, sums in change.items():
-            if not any(sums):
-                continue
-            last = self.sums.getValue((k,)) or (0,) * len(self.parts)
-            current = tuple(a + b for a, b in zip(last, sums, strict=True))
-            if any(current):
-                self.sums.updateValue((k,), current)
-            else:
-                self.sums.removeKey((k,))
-            before, after = self._result(last), self._result(current)
-            if before != after:
-                if after is not None:
-                    added.append((k, *after, 1))
-                if before is not None:
-                    gone.append((k, *before, -1))
+            if any(sums):
+                touched[zlib.crc32(k.encode()) % pages][k] = sums
+        added, gone, held = [], [], n_keys
+        for page, changes in touched.items():
+            stored_sums = self._load(self.sums.getValue((page,)))
+            held -= len(stored_sums)
+            for k, sums in changes.items():
+                last = stored_sums.pop(k, (0,) * len(self.parts))
+                current = tuple(a + b for a, b in zip(last, sums, strict=True))
+                if any(current):
+                    stored_sums[k] = current
+                before, after = self._result(last), self._result(current)
+                if before != after:
+                    if after is not None:
+                        added.append((k, *after, 1))
+                    if before is not None:
+                        gone.append((k, *before, -1))
+            held += len(stored_sums)
+            self._store(page, stored_sums)
+        if held > PAGE_KEYS * pages:
+            pages *= 4
+            self._deal(pages)
+        if held != n_keys:
+            self.size.update((max(held, 0), pages))
         if added or gone:
             yield signed_frame(added + gone, self.names)
 
+    def _deal(self, pages: int) -> None:
+        """Deal a bucket's keys to so many pages."""
+        dealt: dict[int, dict] = defaultdict(dict)
+        for _, text in list(self.sums.iterator()):
+            for k, sums in self._load(text).items():
+                dealt[zlib.crc32(k.encode()) % pages][k] = sums
+        self.sums.clear()
+        for page, sums in dealt.items():
+            self._store(page, sums)
+
 
 class Results:
     """Results of aggregates over the net rows of a group, given as weights of rows' texts."""

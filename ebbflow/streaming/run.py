@@ -70,7 +70,7 @@ def net(df: DataFrame) -> DataFrame:
 def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operator: int = 0) -> DataFrame:
     """What a stream that ran in `folder` holds in a state variable of its operator-th stateful operator.
 
-    Variables: sums (invertible aggregates), rows and last (others), left and right (joins and cogroups), place and rows
+    Variables: sums (invertible aggregates: pages of keys and their sums, as JSON), rows and last (others), left and right (joins and cogroups), place and rows
     (count windows).
     """
     reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable)
