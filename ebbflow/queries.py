@@ -563,7 +563,7 @@ def s_upsert_sink(spark, sf_dir):
 
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_suppkey")
-def options_parallel(spark, sf_dir):
+def group_parallel(spark, sf_dir):
     """Shuffle before one alias, a group dealt once over a number of partitions of its own."""
     items = replace(load(spark, sf_dir, "lineitem"), options={"f": Options(shuffle_before=True), "g": Options(parallel=7)})
     return items.filter("l_quantity > 10", "f").foreach("k", "l_suppkey").group("g", ["l_suppkey"], count("n")).rows()
