@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one block of numpy work takes (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 20
@@ -142,10 +143,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span, 8 bytes at a time."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, 8 bytes at a time; each seed is another function."""
     view, left = loads(data), ends - starts
-    h = left.astype(np.uint64) * MULTIPLIERS[2]
+    h = left.astype(np.uint64) * MULTIPLIERS[2] + MULTIPLIERS[4] * np.uint64(seed)
     at, live = starts.copy(), None
     while True:
         chunk = view[at] & _MASKS[np.minimum(left, 8)]
@@ -235,3 +236,26 @@ class Memory:
         if len(young) > self.size:
             self.old, self.young = young, {}
         return out
+
+
+#: A key with more than one row in so many is joined by itself: there are fewer such keys than this number.
+HOT_SHARE = 1000
+
+
+def join_split(rows: DataFrame, facts: DataFrame, key: str, n: str, share: int = HOT_SHARE) -> DataFrame:
+    """rows beside the facts of their key (null meets null), however many rows a key has; every row stays.
+
+    facts: one row for each key that rows hold, with the number n of the key's rows.  Keys with more than 1/share of all rows are
+    fewer than share, so they and their facts are broadcast; the others are dealt by their key.
+    """
+    facts = cut(facts)
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    own, other = free_name(rows, "hot__"), [f"`{c}`" for c in facts.columns if c not in (key, n)]
+    is_hot = F.col(f"`{n}`") * share > total
+    hot = facts.filter(is_hot).select(F.col(f"`{key}`").alias("key__"), F.lit(True).alias(own), *other)
+    cold = facts.filter(~is_hot).select(F.col(f"`{key}`").alias("key__"), *other)
+    names = [f"`{c}`" for c in rows.columns]
+    met = rows.join(F.broadcast(hot), F.col(f"`{key}`").eqNullSafe(F.col("key__")), "left")
+    known = met.filter(f"`{own}`").select(*names, *other)
+    rest = met.filter(F.col(own).isNull()).select(*names)
+    return known.unionByName(rest.join(cold, F.col(f"`{key}`").eqNullSafe(F.col("key__")), "left").select(*names, *other))

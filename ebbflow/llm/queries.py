@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import byte_bpe, minhash_dedup, packing, quality, secret_scan, sql, suffix_dedup, topk_search, toxicity, unigram_count, url_filter
+from ebbflow.llm import byte_bpe, filter_audit, line_dedup, minhash_dedup, packing, quality, secret_scan, sql, suffix_dedup, topk_search, toxicity, unigram_count, url_filter, vector_codes
 from ebbflow.llm.common import table
 
 
@@ -59,6 +59,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})  # sums in any order agree to nine places
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"), least=10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -71,8 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filter": op10_url_filter,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": sql.OP1, "op4_topk_search": sql.OP4, "op10_url_filter": sql.op10()}
+    return {"op1_minhash_dedup": sql.OP1, "op4_topk_search": sql.OP4, "op10_url_filter": sql.op10(), "op11_line_dedup": sql.OP11, "op12_vector_codes": sql.op12(), "op13_filter_audit": sql.OP13}

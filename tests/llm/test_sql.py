@@ -17,7 +17,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     cols = sorted(df.columns)
