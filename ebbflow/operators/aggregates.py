@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ebbflow.operators.ordering import order_text
 from ebbflow.signed import SIGN
 
 
@@ -25,7 +26,7 @@ class Aggregate:
     parts: sums that the stream form keeps (expressions over signed rows), or None if it keeps the multiset.
     finish: result from the sums, or from the Counter of values.
     from_values: the sums of a list of (value, weight), for groups that keep all values anyway (windows, mixed aggregates).
-    extreme: the result is one of the values, and a new value can only replace it.
+    extreme: the result is the smallest or (largest) the largest value, in Spark's order.
     """
 
     name: str
@@ -37,6 +38,7 @@ class Aggregate:
     multiset: bool = False
     from_values: Callable[[list], dict] | None = None
     extreme: bool = False
+    largest: bool = False
 
 
 def _summed(known: list) -> dict:
@@ -74,7 +76,7 @@ def average(value: str, name: str = "avg") -> Aggregate:
 
 def _extreme(pick: Callable, value: str, name: str, kind: str) -> Aggregate:
     batch = (lambda: F.min(value)) if pick is min else (lambda: F.max(value))
-    return Aggregate(name, value, kind, batch, None, lambda c: pick((v for v, n in c.items() if n > 0 and v is not None), default=None), multiset=True, extreme=True)
+    return Aggregate(name, value, kind, batch, None, lambda c: pick((v for v, n in c.items() if n > 0 and v is not None), key=order_text, default=None), multiset=True, extreme=True, largest=pick is max)
 
 
 def least(value: str, name: str = "min", kind: str = "long") -> Aggregate:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.operators.aggregates import Aggregate
+from ebbflow.session import shared_folder
 from ebbflow.signed import SIGN, columns, consolidate, net_rows, positive
 
 
@@ -63,15 +64,26 @@ def size_bound(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", insert_only: bool = False) -> DataFrame:
-    """One row for each key of either side with both sides' net rows as arrays of structs, in a defined order."""
+def cogroup(
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", insert_only: bool = False,
+    windows: dict[int, int] | None = None, order: Sequence[str | Column] = (),
+) -> DataFrame:
+    """One row for each key of either side with both sides' net rows as arrays of structs, in a defined order.
 
-    def bag(df: DataFrame, name: str) -> DataFrame:
+    windows: by input index, the count window of one side: one row for each key and window_id then, each beside all of the other
+    side's net rows.
+    """
+    windows, on = windows or {}, list(on)
+
+    def bag(i: int, df: DataFrame, name: str) -> DataFrame:
         rest = [c for c in columns(df) if c not in on]
+        if i in windows:
+            boxed = numbered(positive(df), on, order, "window_id").withColumn("window_id", F.floor(F.col("window_id") / windows[i]).cast("long"))
+            return boxed.groupBy(*on, "window_id").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
         return (positive(df) if insert_only else net_rows(positive(df))).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
 
-    both = bag(left, left_bag).join(bag(right, right_bag), list(on), "full")
-    return both.withColumn(SIGN, F.lit(1))
+    both = bag(0, left, left_bag).join(bag(1, right, right_bag), on, "full")
+    return both.select(*on, *(["window_id"] if windows else []), left_bag, right_bag, F.lit(1).alias(SIGN))
 
 
 def union(*frames: DataFrame) -> DataFrame:
@@ -87,11 +99,33 @@ def distinct(df: DataFrame) -> DataFrame:
     return _netted(positive(df)).withColumn(SIGN, F.lit(1))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with each key's rows numbered from 0 in the given order, in a new column.
+
+    Rows are range-partitioned by key and order and sorted inside their ranges, so a key that holds most of the table is spread
+    over many tasks.  A row's number is its place in its range plus the key's rows in the ranges before: a small
+    table with a row for each key of a range.  The sorted rows are written once, so both are taken of the same ranges.
+    """
+    spark, ordered = df.sparkSession, [F.expr(o) if isinstance(o, str) else o for o in order]
+    at, part, first, before = "at__", "range__", "first__", "before__"
+    by = [*keys, *[f"order{i}__" for i in range(len(ordered))]]
+    rows = df.withColumns({f"order{i}__": o for i, o in enumerate(ordered)}).repartitionByRange(*by).sortWithinPartitions(*by)
+    folder = shared_folder(spark, "numbered")
+    rows.drop(*by[len(keys) :]).withColumn(at, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder).withColumn(part, F.shiftright(at, 33))
+    ranges = rows.groupBy(*keys, part).agg(F.min(at).alias(first), F.count("*").alias("n__"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn(before, F.coalesce(F.sum("n__").over(earlier), F.lit(0))).select(*[F.col(f"`{k}`").alias(f"key{i}__") for i, k in enumerate(keys)], F.col(part).alias("of__"), first, before)
+    same = F.col(part) == F.col("of__")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"key{i}__"))
+    return rows.join(ranges, same).select(*df.columns, (F.col(at) - F.col(first) + F.col(before)).alias(name))
+
+
 def count_window(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], size: int, aggregates: Sequence[Aggregate]) -> DataFrame:
     """Tumbling windows of `size` rows for each key, in the given order; the last window may be open (partial).
 
-    Insert-only input.  Numbering needs each key's rows in one order; the windows then aggregate as groups.
+    Insert-only input.  Numbering spreads the rows of a key; the windows then aggregate as groups.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    boxed = positive(df).withColumn("window_id", F.floor(place / size).cast("long"))
+    boxed = numbered(positive(df), keys, order, "window_id").withColumn("window_id", F.floor(F.col("window_id") / size).cast("long"))
     return group(boxed, [*keys, "window_id"], aggregates, insert_only=True)

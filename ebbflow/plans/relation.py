@@ -20,16 +20,24 @@ from ebbflow.streaming.run import net, run_available
 
 @dataclass(frozen=True)
 class Options:
-    """Options of an alias: shuffle its input before it, how many partitions it has, its count window, its state's life.
+    """Options of an alias: shuffle its input before it, how parallel it is, its count window, its state's life.
 
-    A grouped batch with `parallel` is dealt once, by its keys, over that many partitions; streams have the number of state
-    partitions that the run is given.  ttl_ms: state that nothing touched for so long is dropped (by the clock).
+    A group with `parallel` is dealt once, by its keys: a batch over that many partitions, a stream's sums over that many
+    buckets of keys, which the run's state partitions share.  ttl_ms: state that nothing touched for so long is dropped (by the
+    clock); input_ttl_ms and windows say it for single inputs of a join or cogroup, by index from 0.
     """
 
     shuffle_before: bool = False
     parallel: int | None = None
     window: int | None = None
     ttl_ms: int | None = None
+    input_ttl_ms: dict[int, int] = field(default_factory=dict)
+    windows: dict[int, int] = field(default_factory=dict)
+
+    @property
+    def ttls(self) -> tuple[int | None, int | None]:
+        """The life of each input's state."""
+        return self.input_ttl_ms.get(0, self.ttl_ms), self.input_ttl_ms.get(1, self.ttl_ms)
 
 
 @dataclass(frozen=True)
@@ -60,8 +68,8 @@ class Relation:
 
     def _dealt(self, alias: str, keys: Sequence[str] = ()) -> DataFrame:
         own = self._own(alias)
-        if own.parallel and keys and not self.streaming:
-            return self.df.repartition(own.parallel, *keys)
+        if own.parallel and keys and not own.shuffle_before:
+            return self.df if self.streaming else self.df.repartition(own.parallel, *keys)
         if own.shuffle_before or own.parallel:
             return self.df.repartition(own.parallel or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return self.df
@@ -111,7 +119,7 @@ class Relation:
         df = self._dealt(alias, keys)
         if self.streaming:
             state = "sums" if all(a.parts is not None for a in aggregates) else "multiset"
-            return self._next(lowering.group(df, keys, aggregates, own.ttl_ms), "GROUP", alias, f"state={state}", False)
+            return self._next(lowering.group(df, keys, aggregates, own.ttl_ms, own.parallel or lowering.BUCKETS), "GROUP", alias, f"state={state}", False)
         return self._next(relational.group(df, keys, aggregates, self.insert_only), "GROUP", alias, "", True)
 
     def count_window(self, alias: str, keys: Sequence[str], size: int, *aggregates: Aggregate, order: Sequence[str | Column] = ()) -> Relation:
@@ -126,28 +134,41 @@ class Relation:
 
     def join(self, alias: str, other: Relation, on: Sequence[str], how: str = "inner", replicated: bool = False) -> Relation:
         """Equi-join of two relations, batch or streaming in any combination that the kind of join allows."""
+        if self.windowed and other.windowed:
+            raise ValueError(f"{alias}: only one side of a join may have a count window")
         if self.streaming or other.streaming:
             right = other.df
             if replicated and not other.streaming and relational.size_bound(right) <= 64 << 20:
                 right = F.broadcast(right)
-            out = lowering.join(self._dealt(alias), right, on, how, ttl=self._own(alias).ttl_ms)
+            out = lowering.join(self._dealt(alias), right, on, how, ttls=self._own(alias).ttls)
         else:
             out = relational.join(self._dealt(alias), other.df, on, how, replicated, insert_only=self.insert_only and other.insert_only)
         kept = self.insert_only and other.insert_only and (not out.isStreaming or lowering.stateless(self.df, other.df, how))
         return self._next(out, "JOIN", alias, f"{how}{', replicated' if replicated else ''}", kept, other)
 
-    def cogroup(self, alias: str, other: Relation, on: Sequence[str]) -> Relation:
-        """Both sides' rows of each key as arrays; at most one side may come from a count window."""
-        if self.windowed and other.windowed:
+    def cogroup(self, alias: str, other: Relation, on: Sequence[str], order: Sequence[str | Column] = ()) -> Relation:
+        """Both sides' rows of each key as arrays; at most one side may come from a count window.
+
+        With the option `windows`, one side has count windows: a row for each key and window_id, beside all rows of the other
+        side.  A batch numbers the windowed side by `order`, a stream by arrival.
+        """
+        own, inputs = self._own(alias), (self, other)
+        if self.windowed and other.windowed or len(own.windows) > 1:
             raise ValueError(f"{alias}: only one side of a group may have a count window")
+        if any(not inputs[i].insert_only for i in own.windows):
+            raise ValueError("count windows take insert-only input")
+        note = ", ".join(f"input {i}: rows={n}" for i, n in own.windows.items())
         if self.streaming or other.streaming:
-            return self._next(lowering.cogroup(self._dealt(alias), other.df, on, ttl=self._own(alias).ttl_ms), "COGROUP", alias, "", False, other)
-        return self._next(relational.cogroup(self._dealt(alias, on), other.df, on, insert_only=self.insert_only and other.insert_only), "COGROUP", alias, "", True, other)
+            return self._next(lowering.cogroup(self._dealt(alias), other.df, on, ttls=own.ttls, windows=own.windows), "COGROUP", alias, note, False, other)
+        if own.windows and not order:
+            raise ValueError("batch count windows need an order")
+        out = relational.cogroup(self._dealt(alias, on), other.df, on, insert_only=self.insert_only and other.insert_only, windows=own.windows, order=order)
+        return self._next(out, "COGROUP", alias, note, True, other)
 
     def count_each(self, alias: str, keys: Sequence[str], element: str, name: str = "n", flat: bool = True) -> Relation:
         """How often each element occurs in its group: a row each, or an array of (element, n) for each group."""
         if self.streaming:
-            return self._next(lowering.count_each(self._dealt(alias), keys, element, name, flat, self._own(alias).ttl_ms), "COUNT_EACH", alias, "", False)
+            return self._next(lowering.count_each(self._dealt(alias, keys), keys, element, name, flat, self._own(alias).ttl_ms, self._own(alias).parallel or lowering.BUCKETS), "COUNT_EACH", alias, "", False)
         return self._next(relational.count_each(self._dealt(alias, keys), keys, element, name, flat), "COUNT_EACH", alias, "", True)
 
     def union(self, alias: str, *others: Relation) -> Relation:
@@ -157,7 +178,7 @@ class Relation:
     def distinct(self, alias: str) -> Relation:
         """Each net row once."""
         df = self._dealt(alias, columns(self.df))
-        out = lowering.distinct(df, self._own(alias).ttl_ms) if self.streaming else relational.distinct(df)
+        out = lowering.distinct(df, self._own(alias).ttl_ms, self._own(alias).parallel or lowering.BUCKETS) if self.streaming else relational.distinct(df)
         return self._next(out, "DISTINCT", alias, "", False if self.streaming else True)
 
     def rows(self, state_partitions: int | None = 4) -> DataFrame:

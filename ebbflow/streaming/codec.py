@@ -74,7 +74,13 @@ def values_of(text: str, kinds: Sequence[T.DataType]) -> tuple:
     return tuple(None if (v := row[f"f{i}"]) is None else _reader(k)(v) for i, k in enumerate(kinds))
 
 
-def _written(v: Any) -> Any:
+def readers(kinds: Sequence[T.DataType]) -> list[Callable[[Any], Any]]:
+    """What makes the values of `written` ones again, type by type."""
+    return [_reader(k) for k in kinds]
+
+
+def written(v: Any) -> Any:
+    """A value as JSON holds it."""
     if isinstance(v, datetime):
         return v.isoformat(timespec="microseconds")
     if isinstance(v, date):
@@ -86,12 +92,12 @@ def _written(v: Any) -> Any:
     if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))):
         return "NaN" if v != v else "Infinity" if v > 0 else "-Infinity"
     if isinstance(v, (list, tuple)):
-        return [_written(x) for x in v]
+        return [written(x) for x in v]
     if isinstance(v, dict):
-        return {k: _written(x) for k, x in v.items()}
+        return {k: written(x) for k, x in v.items()}
     return v.item() if hasattr(v, "item") else v
 
 
 def text_of_values(values: Sequence[Any]) -> str:
     """The text of a row of Python values."""
-    return json.dumps({f"f{i}": _written(v) for i, v in enumerate(values)}, ensure_ascii=False)
+    return json.dumps({f"f{i}": written(v) for i, v in enumerate(values)}, ensure_ascii=False)

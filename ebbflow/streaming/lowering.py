@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from ebbflow.operators.aggregates import Aggregate, count
 from ebbflow.signed import SIGN, columns, consolidate, positive
 from ebbflow.streaming.codec import fields_of, rows_of, text_of
-from ebbflow.streaming.processors import KEY, ROW, CogroupDelta, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta
+from ebbflow.streaming.processors import KEY, ROW, CogroupDelta, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta, WindowCogroup
 from ebbflow.streaming.run import replay
 
 #: Buckets that the keys of invertible aggregates are called by: many keys a call.  A checkpoint holds for one number.
@@ -27,10 +27,18 @@ def _kinds(aggregates: Sequence[Aggregate]) -> StructType:
     return StructType([StructField(a.name, StructType.fromDDL(f"x {a.kind}")["x"].dataType) for a in aggregates])
 
 
-def stateful(df: DataFrame, by: str, processor: Delta, schema: str, ttl: int | None = None) -> DataFrame:
-    """Append mode without timers: such operators can follow each other in one stream.  ttl: milliseconds, by the clock."""
-    processor.inputs, processor.ttl = df.columns, ttl
-    out = df.groupBy(by).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if ttl else "None")
+Ttls = Sequence[int | None]
+FOREVER: Ttls = (None, None)
+
+
+def stateful(df: DataFrame, by: str, processor: Delta, schema: str, ttls: Ttls = FOREVER, initial: DataFrame | None = None) -> DataFrame:
+    """Append mode: such operators can follow each other in one stream.  ttls: milliseconds for each input, by the clock.
+
+    initial: rows, with the columns of df, that are state before the stream begins.
+    """
+    processor.inputs, processor.ttls = df.columns, ttls
+    mode = "ProcessingTime" if any(ttls) or initial is not None else "None"
+    out = df.groupBy(by).transformWithStateInPandas(processor, schema, "Append", mode, initial.select(*df.columns).groupBy(by) if initial is not None else None)
     return out.withColumn(SIGN, F.col(SIGN).cast("int"))
 
 
@@ -50,7 +58,10 @@ def _keyed(df: DataFrame, keys: StructType) -> DataFrame:
 
 
 def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Grouped aggregation that emits differences: sums if all aggregates are invertible, else the group's multiset."""
+    """Grouped aggregation that emits differences: sums if all aggregates are invertible, else the group's multiset.
+
+    Sums are kept by buckets of keys, which are dealt once: so many tasks can work at a time, whatever the run's partitions.
+    """
     df, key = positive(df), _fields(df, list(keys))
     if all(a.parts is not None for a in aggregates):
         parts: dict[str, Column] = {"__rows": F.col(SIGN).cast("long")}
@@ -59,21 +70,17 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
         rows = _keyed(df, key).select(KEY, *[c.alias(n) for n, c in parts.items()])
         combined = rows.mapInArrow(_combine(list(parts)), rows.schema).withColumn("bucket__", F.pmod(F.xxhash64(KEY), F.lit(buckets)))
         shown = ", ".join([f"{KEY} string", *[f"`{a.name}` {a.kind}" for a in aggregates], f"{SIGN} long"])
-        out = stateful(combined, "bucket__", SumDelta(aggregates, _fields(rows, list(parts))), shown, ttl)
+        out = stateful(combined, "bucket__", SumDelta(aggregates, _fields(rows, list(parts))), shown, (ttl, ttl))
         return out.select(*fields_of(F.col(KEY), key), *[f"`{a.name}`" for a in aggregates], SIGN)
     _check_values(aggregates)
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
     rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
-    processor = (ExtremeDelta if all(a.extreme for a in aggregates) else MultisetDelta)(aggregates, values)
-    out = stateful(rows, KEY, processor, f"{KEY} string, out__ string, {SIGN} long", ttl)
+    ordered = ttl is None and all(a.extreme for a in aggregates)  # rows that are forgotten leave no trace in an order
+    processor = (ExtremeDelta if ordered else MultisetDelta)(aggregates, values)
+    out = stateful(rows, KEY, processor, f"{KEY} string, out__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)
 
 
-def as_stream(df: DataFrame) -> DataFrame:
-    """A static frame as a stream of one micro-batch: it is the state that a stream starts from."""
-    return df if df.isStreaming else replay(df, 1)
-
-
 def stateless(left: DataFrame, right: DataFrame, how: str) -> bool:
     """Whether rows of the stream meet a side that never changes, so that no row is ever taken back."""
     if how == "inner":
@@ -83,15 +90,17 @@ def stateless(left: DataFrame, right: DataFrame, how: str) -> bool:
     return right.isStreaming and not left.isStreaming and how == "right"
 
 
-def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", native: bool = True, ttl: int | None = None) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", native: bool = True, ttls: Ttls = FOREVER) -> DataFrame:
     """Equi-join with at least one streaming side; how as in the batch form.
 
     Inner joins, and joins that keep the rows of a stream beside a static side, are Spark's own (weights multiply).
-    All others, and native=False, keep both sides' rows for each key and emit differences, so a null-extended row is
-    taken back when its first partner comes; a static side then is what the state begins with.
+    All others, joins of streams whose rows have a time to live, and native=False keep both sides' rows for each key
+    and emit differences, so a null-extended row is taken back when its first partner comes; a static side then is the
+    state that the stream begins with.
     """
     left, right, on = positive(left), positive(right), list(on)
-    if native and stateless(left, right, how):
+    forgets = any(ttls) and left.isStreaming and right.isStreaming
+    if native and not forgets and stateless(left, right, how):
         if how in ("semi", "anti"):
             return left.join(_netted(right.select(*on, SIGN)).select(*on), on, f"left_{how}")
         if how != "inner":
@@ -100,7 +109,8 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner
         return out.withColumn(SIGN, (F.coalesce(SIGN, F.lit(1)) * F.coalesce("__other", F.lit(1))).cast("int")).drop("__other")
     key = _fields(left, on)
     sides = [_fields(df, [c for c in columns(df) if c not in on]) for df in (left, right)]
-    out = _two_sided(left, right, key, sides, JoinDelta(how), ttl)
+    fixed = 0 if not left.isStreaming else 1 if not right.isStreaming else None
+    out = _two_sided(left, right, key, sides, JoinDelta(how, fixed), ttls)
     shown = fields_of(F.col("left__"), sides[0]) + ([] if how in ("semi", "anti") else fields_of(F.col("right__"), sides[1]))
     return out.select(*fields_of(F.col(KEY), key), *shown, SIGN)
 
@@ -115,38 +125,55 @@ def _check_values(aggregates: Sequence[Aggregate]) -> None:
             raise ValueError(f"{a.name}: where all values are kept, an invertible aggregate must say how to sum them")
 
 
-def _two_sided(left: DataFrame, right: DataFrame, key: StructType, sides: Sequence[StructType], processor: Delta, ttl: int | None) -> DataFrame:
+def _two_sided(left: DataFrame, right: DataFrame, key: StructType, sides: Sequence[StructType], processor: Delta, ttls: Ttls, shown: str = "") -> DataFrame:
     meets = F.lit(True)
     for k in key.names:
         meets = meets & F.col(f"`{k}`").isNotNull()
-    tagged = [_keyed(as_stream(df), key).select(KEY, meets.alias("meets__"), F.lit(i).alias("side__"), text_of(s).alias(ROW), F.col(SIGN).cast("long").alias(SIGN)) for i, (df, s) in enumerate(zip((left, right), sides, strict=True))]
-    return stateful(tagged[0].unionByName(tagged[1]), KEY, processor, f"{KEY} string, left__ string, right__ string, {SIGN} long", ttl)
-
-
-def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", ttl: int | None = None) -> DataFrame:
-    """One row for each key with both sides' net rows as arrays; it is replaced when a side changes."""
+    tagged = [_keyed(df, key).select(KEY, meets.alias("meets__"), F.lit(i).alias("side__"), text_of(s).alias(ROW), F.col(SIGN).cast("long").alias(SIGN)) for i, (df, s) in enumerate(zip((left, right), sides, strict=True))]
+    live, still = [t for t in tagged if t.isStreaming], [t for t in tagged if not t.isStreaming]
+    schema = f"{KEY} string, {shown}left__ string, right__ string, {SIGN} long"
+    if still and isinstance(processor, JoinDelta):
+        return stateful(live[0], KEY, processor, schema, ttls, still[0])
+    # any other static side comes in with the first batch
+    rows = live[0] if len(live) == 1 else live[0].unionByName(live[1])
+    for t in still:
+        rows = rows.unionByName(replay(t, 1))
+    return stateful(rows, KEY, processor, schema, ttls)
+
+
+def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", ttls: Ttls = FOREVER, windows: dict[int, int] | None = None) -> DataFrame:
+    """One row for each key with both sides' net rows as arrays; it is replaced when a side changes.
+
+    windows: by input index, the count window of one side: one row for each key and window_id then, each beside all of the other
+    side's net rows.
+    """
     left, right, on = positive(left), positive(right), list(on)
     key = _fields(left, on)
     sides = [_fields(df, [c for c in columns(df) if c not in on]) for df in (left, right)]
-    out = _two_sided(left, right, key, sides, CogroupDelta(), ttl)
-    return out.select(*fields_of(F.col(KEY), key), rows_of(F.col("left__"), sides[0]).alias(left_bag), rows_of(F.col("right__"), sides[1]).alias(right_bag), SIGN)
+    bags = lambda out: (rows_of(F.col("left__"), sides[0]).alias(left_bag), rows_of(F.col("right__"), sides[1]).alias(right_bag))
+    if windows:
+        (side, size), = windows.items()
+        out = _two_sided(left, right, key, sides, WindowCogroup(side, size), ttls, "window_id long, ")
+        return out.select(*fields_of(F.col(KEY), key), "window_id", *bags(out), SIGN)
+    out = _two_sided(left, right, key, sides, CogroupDelta(), ttls)
+    return out.select(*fields_of(F.col(KEY), key), *bags(out), SIGN)
 
 
-def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n", flat: bool = True, ttl: int | None = None) -> DataFrame:
+def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n", flat: bool = True, ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """How often each element occurs in its group: a row each, or an array of (element, n) for each group."""
-    counted = group(df, [*keys, element], [count(name)], ttl)
+    counted = group(df, [*keys, element], [count(name)], ttl, buckets)
     if flat:
         return counted
     key, rest = _fields(counted, list(keys)), _fields(counted, [element, name])
     rows = _keyed(counted, key).select(KEY, F.lit(True).alias("meets__"), F.lit(0).alias("side__"), text_of(rest).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
-    out = stateful(rows, KEY, CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", ttl)
+    out = stateful(rows, KEY, CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), rows_of(F.col("left__"), rest).alias(name), SIGN)
 
 
-def distinct(df: DataFrame, ttl: int | None = None) -> DataFrame:
+def distinct(df: DataFrame, ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Each net row once: emitted when its weight becomes positive, taken back when it no longer is."""
     once = Aggregate("__n", None, "long", count().batch, count().parts, lambda s: 1)
-    return group(df, columns(df), [once], ttl).drop("__n")
+    return group(df, columns(df), [once], ttl, buckets).drop("__n")
 
 
 def count_window(df: DataFrame, keys: Sequence[str], size: int, aggregates: Sequence[Aggregate], ttl: int | None = None) -> DataFrame:
@@ -155,5 +182,5 @@ def count_window(df: DataFrame, keys: Sequence[str], size: int, aggregates: Sequ
     df, key = positive(df), _fields(df, list(keys))
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
     rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
-    out = stateful(rows, KEY, CountWindow(size, aggregates, values), f"{KEY} string, window_id long, out__ string, {SIGN} long", ttl)
+    out = stateful(rows, KEY, CountWindow(size, aggregates, values), f"{KEY} string, window_id long, out__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), "window_id", *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)

@@ -2,13 +2,12 @@
 
 Rows arrive with a weight in the sign column.  A processor yields new rows with +1 and the rows they replace with -1,
 additions first, and nothing if nothing changed.  State of groups that net to nothing is deleted.  Keys and rows are exact
-texts (see `codec`), so no value passes through pandas.
+texts (see `codec`), so no value passes through pandas; state is in pages (see `pages`), so a change costs what it touches.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -18,12 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ebbflow.operators.aggregates import Aggregate
+from ebbflow.operators.ordering import order_text
 from ebbflow.signed import SIGN
-from ebbflow.streaming.codec import text_of_values, values_of
+from ebbflow.streaming.codec import readers, text_of_values, values_of, written
+from ebbflow.streaming.pages import Pages, Sorted
 
 KEY, ROW = "key__", "row__"
-#: Keys of a page of state, about, before a bucket has more pages.
-PAGE_KEYS = 64
 
 
 def signed_frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
@@ -36,10 +35,10 @@ def delta(key: str, old: Counter, new: Counter) -> list[tuple]:
 
 
 class Delta(StatefulProcessor):
-    """inputs: the names of the columns that come in; ttl: milliseconds after which untouched state goes, or None."""
+    """inputs: the names of the columns that come in; ttls: milliseconds for each input after which untouched state goes, or None."""
 
     inputs: Sequence[str] = ()
-    ttl: int | None = None
+    ttls: Sequence[int | None] = (None, None)
 
     def frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Frames with the columns' own names (names that begin with _ become positions on their way)."""
@@ -55,33 +54,41 @@ class Delta(StatefulProcessor):
                 change[r] += sign
         return Counter({r: n for r, n in change.items() if n})
 
+    def paged(self, handle: StatefulProcessorHandle, name: str, i: int = 0) -> Any:
+        """A map state for the pages of the i-th input."""
+        return handle.getMapState(name, "page int", "body string", self.ttls[i])
+
+    def table(self, state: Any, timers: Any, i: int = 0) -> Pages:
+        return Pages(state, self.ttls[i], timers.getCurrentProcessingTimeInMs())
+
     def close(self) -> None:
         pass
 
 
-def stored(state: Any) -> Counter:
-    return Counter({k[0]: n[0] for k, n in state.iterator()})
-
+def apply(table: Pages, change: Counter) -> dict[str, int]:
+    """Bring the stored weights to what they are with a change; how often each row counts more or less than before.
 
-def apply(state: Any, last: Counter, change: Counter) -> Counter:
-    """Bring the stored weights to what they are with a change, and return them."""
-    current = last.copy()
+    A row counts as often as its weight is above zero; the table's total is the sum of that, where nothing is forgotten.
+    """
+    moved = {}
     for r, n in change.items():
-        current[r] += n
-        if current[r]:
-            state.updateValue((r,), (current[r],))
-        else:
-            del current[r]
-            state.removeKey((r,))
-    return current
+        held = table.get(r)
+        was = held[0] if held else 0
+        table.put(r, [was + n] if was + n else None)
+        if more := max(was + n, 0) - max(was, 0):
+            moved[r] = more
+            table.total += more
+    return moved
+
+
+def net(table: Pages) -> Counter:
+    return Counter({r: v[0] for r, v in table.items() if v[0] > 0})
 
 
 class SumDelta(Delta):
     """Invertible aggregates: running sums of many keys; input rows are sums too, pre-combined before the shuffle.
 
-    A call has the changed keys of one bucket of keys and yields one frame.  A call to the state costs far more than
-    a key, so keys live in pages of some dozens: a call reads and writes the pages of its keys alone, and a bucket whose pages
-    have become long is dealt to four times as many.  A time to live counts from the last change of a key's page.
+    A call has the changed keys of one bucket of keys, reads and writes the pages of those keys alone, and yields one frame.
     """
 
     def __init__(self, aggregates: Sequence[Aggregate], parts: T.StructType):
@@ -89,8 +96,7 @@ class SumDelta(Delta):
         self.names = [KEY, *[a.name for a in aggregates], SIGN]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getMapState("sums", "page long", "sums string", self.ttl)
-        self.size = handle.getValueState("size", "keys long, pages long", self.ttl)
+        self.sums, self.read = self.paged(handle, "sums"), readers(self.kinds)
 
     def _result(self, sums: Sequence[Any]) -> tuple | None:
         if sums[0] <= 0:
@@ -98,16 +104,6 @@ class SumDelta(Delta):
         by_name = dict(zip(self.parts, sums, strict=True))
         return tuple(a.finish({p: by_name[f"p{i}_{p}"] for p in a.parts}) for i, a in enumerate(self.aggregates))
 
-    def _load(self, text: tuple | None) -> dict[str, tuple]:
-        """The sums of a page's keys: a JSON object of rows' texts."""
-        return {k: values_of(v, self.kinds) for k, v in json.loads(text[0]).items()} if text else {}
-
-    def _store(self, page: int, sums: dict[str, tuple]) -> None:
-        if sums:
-            self.sums.updateValue((page,), (json.dumps({k: text_of_values(v) for k, v in sums.items()}, ensure_ascii=False),))
-        else:
-            self.sums.removeKey((page,))
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         change: dict[str, list] = defaultdict(lambda: [0] * len(self.parts))
         for frame in self.frames(rows):
@@ -115,46 +111,25 @@ class SumDelta(Delta):
                 sums = change[k]
                 for i, v in enumerate(values):
                     sums[i] += v
-        n_keys, pages = self.size.get() or (0, 1)
-        touched = defaultdict(dict)
+        table = self.table(self.sums, timerValues)
+        added, gone = [], []
         for k, sums in change.items():
-            if any(sums):
-                touched[zlib.crc32(k.encode()) % pages][k] = sums
-        added, gone, held = [], [], n_keys
-        for page, changes in touched.items():
-            stored_sums = self._load(self.sums.getValue((page,)))
-            held -= len(stored_sums)
-            for k, sums in changes.items():
-                last = stored_sums.pop(k, (0,) * len(self.parts))
-                current = tuple(a + b for a, b in zip(last, sums, strict=True))
-                if any(current):
-                    stored_sums[k] = current
-                before, after = self._result(last), self._result(current)
-                if before != after:
-                    if after is not None:
-                        added.append((k, *after, 1))
-                    if before is not None:
-                        gone.append((k, *before, -1))
-            held += len(stored_sums)
-            self._store(page, stored_sums)
-        if held > PAGE_KEYS * pages:
-            pages *= 4
-            self._deal(pages)
-        if held != n_keys:
-            self.size.update((max(held, 0), pages))
+            if not any(sums):
+                continue
+            held = table.get(k)
+            last = tuple(f(v) for f, v in zip(self.read, held, strict=True)) if held else (0,) * len(self.parts)
+            current = tuple(a + b for a, b in zip(last, sums, strict=True))
+            table.put(k, [written(v) for v in current] if any(current) else None)
+            before, after = self._result(last), self._result(current)
+            if before != after:
+                if after is not None:
+                    added.append((k, *after, 1))
+                if before is not None:
+                    gone.append((k, *before, -1))
+        table.flush()
         if added or gone:
             yield signed_frame(added + gone, self.names)
 
-    def _deal(self, pages: int) -> None:
-        """Deal a bucket's keys to so many pages."""
-        dealt: dict[int, dict] = defaultdict(dict)
-        for _, text in list(self.sums.iterator()):
-            for k, sums in self._load(text).items():
-                dealt[zlib.crc32(k.encode()) % pages][k] = sums
-        self.sums.clear()
-        for page, sums in dealt.items():
-            self._store(page, sums)
-
 
 class Results:
     """Results of aggregates over the net rows of a group, given as weights of rows' texts."""
@@ -190,69 +165,66 @@ class MultisetDelta(Delta):
         self.results = Results(aggregates, values)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "row string", "n long", self.ttl)
-        self.last = handle.getValueState("last", "out string", self.ttl)
+        self.rows = self.paged(handle, "rows")
+        self.last = handle.getValueState("last", "out string", self.ttls[0])
+
+    def result(self, table: Pages, moved: dict[str, int]) -> str | None:
+        return self.results.text(net(table))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         change = self.changes(rows)
         if not change:
             return
-        before = self.last.get()
-        after = self.results.text(apply(self.rows, stored(self.rows), change))
-        old, new = Counter({before: 1} if before else {}), Counter({(after,): 1} if after is not None else {})
+        table, before = self.table(self.rows, timerValues), self.last.get()
+        moved = apply(table, change)
+        after = self.result(table, moved)
+        table.flush()
         if after is None:
-            self.last.clear()
-        else:
+            if before:
+                self.last.clear()
+        elif before != (after,) or self.ttls[0]:
             self.last.update((after,))
-        out = delta(key[0], old, new)
+        out = delta(key[0], Counter({before: 1} if before else {}), Counter({(after,): 1} if after is not None else {}))
         if out:
             yield signed_frame(out, self.names)
 
 
 class ExtremeDelta(MultisetDelta):
-    """Smallest and largest values alone: a group's rows are read again only when an extreme itself was taken back."""
+    """Smallest and largest values alone: beside the rows' weights, each column's values are sorted in a tree of state.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        change = self.changes(rows)
-        if not change:
-            return
-        before = self.last.get()
-        kinds, at = self.results.kinds, self.results.at
-        best = list(values_of(before[0], [kinds[i] for i in at])) if before else [None] * len(at)
-        fresh, again = [], False
-        for r, n in change.items():
-            held = self.rows.getValue((r,))
-            was = held[0] if held else 0
-            if was + n:
-                self.rows.updateValue((r,), (was + n,))
-            else:
-                self.rows.removeKey((r,))
-            values = values_of(r, kinds)
-            if was + n > 0:
-                fresh.append(values)
-            elif was > 0:
-                again |= any(values[i] is None or values[i] == x for i, x in zip(at, best, strict=True))
-        if again:
-            after = self.results.text(stored(self.rows))
-        else:
-            for i, (a, j) in enumerate(zip(self.results.aggregates, at, strict=True)):
-                candidates = [x for x in (best[i], *(v[j] for v in fresh)) if x is not None]
-                best[i] = a.finish(Counter(candidates))
-            after = text_of_values(best) if before or fresh else None
-        if after is None:
-            self.last.clear()
-        else:
-            self.last.update((after,))
-        out = delta(key[0], Counter({before: 1} if before else {}), Counter({(after,): 1} if after is not None else {}))
-        if out:
-            yield signed_frame(out, self.names)
+    An extreme that is taken back costs one way through the tree, however large the group is.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sorted = handle.getMapState("sorted", "tree int, node int", "body string")
+
+    def result(self, table: Pages, moved: dict[str, int]) -> str | None:
+        columns, kinds = list(dict.fromkeys(self.results.at)), self.results.kinds
+        trees = {}
+        for at in columns:
+            changes: dict[str, tuple[str, int]] = {}
+            for r, n in moved.items():
+                value = values_of(r, kinds)[at]
+                if value is not None:
+                    order = order_text(value)
+                    changes[order] = (text_of_values([value]), changes.get(order, ("", 0))[1] + n)
+            trees[at] = Sorted(self.sorted, at)
+            trees[at].change({k: v for k, v in changes.items() if v[1]})
+        if table.total <= 0:
+            return None
+        texts = [trees[at].extreme(a.largest) for a, at in zip(self.results.aggregates, self.results.at, strict=True)]
+        return text_of_values([None if t is None else values_of(t, [kinds[at]])[0] for t, at in zip(texts, self.results.at, strict=True)])
 
 
 class TwoSided(Delta):
     """Both sides' rows with weights for each key; a key with a null meets nothing of the other side."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = [handle.getMapState(n, "row string", "n long", self.ttl) for n in ("left", "right")]
+        self.sides = [self.paged(handle, n, i) for i, n in enumerate(("left", "right"))]
+
+    def tables(self, timers: Any) -> list[Pages]:
+        return [self.table(s, timers, i) for i, s in enumerate(self.sides)]
 
     def sided(self, rows: Iterator[pd.DataFrame]) -> tuple[list[Counter], bool]:
         """The net change of each side, and whether the key may meet."""
@@ -264,63 +236,105 @@ class TwoSided(Delta):
         return [Counter({r: n for r, n in c.items() if n}) for c in change], meets
 
 
-def net(side: Counter) -> Counter:
-    return Counter({r: n for r, n in side.items() if n > 0})
-
-
 class JoinDelta(TwoSided):
     """Joins of any kind: what changed on one side meets the other side, old or changed, once each.
 
-    how: inner, left, right, full, semi, anti.  Rows that stand alone come and go when the other side's first row does.
+    how: inner, left, right, full, semi, anti.  Rows that stand alone come and go when the other side's first row does: whether
+    there is one is a count that each side keeps.  A side's rows are looked up by what changes, and read whole
+    only when the other side's change meets them.
+
+    fixed: the side that is there before the stream begins, given as initial state.  Its rows that stand alone are
+    shown by the first batch, by their keys' input or by a timer of keys without any.
     """
 
     names = (KEY, "left__", "right__", SIGN)
 
-    def __init__(self, how: str):
-        self.how = how
+    def __init__(self, how: str, fixed: int | None = None):
+        self.how, self.fixed = how, fixed
 
-    def _alone(self, side: int, meets: bool, other: Counter) -> bool:
-        """Whether rows of a side are shown without a partner."""
-        wanted = (self.how in ("left", "full", "anti")) if side == 0 else self.how in ("right", "full")
-        return wanted and not (other and meets)
-
-    def _shown(self, left: Counter, right: Counter, meets: bool) -> Counter:
-        """Rows that stand alone, or for semi joins those that met."""
-        out: Counter = Counter()
-        if self.how == "semi":
-            return Counter({(r, None): n for r, n in left.items()}) if right and meets else out
-        if self._alone(0, meets, right):
-            out.update({(r, None): n for r, n in left.items()})
-        if self._alone(1, meets, left):
-            out.update({(None, r): n for r, n in right.items()})
-        return out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        if self.fixed is not None:
+            self.unseen = handle.getValueState("unseen", "meets boolean")
+
+    def shows_alone(self, side: int) -> bool:
+        """Whether rows of a side without a partner are shown."""
+        return self.how in (("left", "full", "anti") if side == 0 else ("right", "full"))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
+        change, meets = self.sided(iter([initialState]))
+        table = self.table(self.sides[self.fixed], timerValues, self.fixed)
+        apply(table, change[self.fixed])
+        table.flush()
+        if self.shows_alone(self.fixed) and not self.unseen.exists():
+            self.unseen.update((meets,))
+            self.handle.registerTimer(1)  # long past: due in the batch that loads the state
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.fixed is not None and (held := self.unseen.get()):
+            yield from self._emit(key, self.tables(timerValues), [Counter(), Counter()], bool(held[0]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         change, meets = self.sided(rows)
-        if not any(change):
-            return
-        last = [stored(s) for s in self.sides]
-        current = [apply(s, old, c) if c else old for s, old, c in zip(self.sides, last, change, strict=True)]
-        (l0, r0), (l1, r1) = [net(c) for c in last], [net(c) for c in current]
+        if any(change):
+            yield from self._emit(key, self.tables(timerValues), change, meets)
+
+    def _emit(self, key: tuple, tables: list[Pages], change: list[Counter], meets: bool) -> Iterator[pd.DataFrame]:
+        before = [self._size(t) for t in tables]
+        moved = [apply(t, c) for t, c in zip(tables, change, strict=True)]
+        if self.fixed is not None and self.unseen.exists():  # all that is there counts as new
+            moved[self.fixed], before[self.fixed] = dict(net(tables[self.fixed])), 0
+            self.unseen.clear()
+        after = [self._size(t) for t in tables]
         out: Counter = Counter()
         if meets and self.how not in ("semi", "anti"):
-            d_left = {r: l1[r] - l0[r] for r in change[0] if l1[r] != l0[r]}
-            d_right = {r: r1[r] - r0[r] for r in change[1] if r1[r] != r0[r]}
-            for a, n in d_left.items():
-                for b, m in r1.items():
-                    out[(a, b)] += n * m
-            for b, m in d_right.items():
-                for a, n in l0.items():
-                    out[(a, b)] += n * m
-        if self.how != "inner":
-            before, after = self._shown(l0, r0, meets), self._shown(l1, r1, meets)
-            for r, n in after.items():
-                out[r] += n
-            for r, n in before.items():
-                out[r] -= n
-        rows_out = [(key[0], *r, n) for r, n in out.items() if n > 0] + [(key[0], *r, n) for r, n in out.items() if n < 0]
-        if rows_out:
-            yield signed_frame(rows_out, self.names)
+            if moved[0]:
+                for b, m in net(tables[1]).items():
+                    for a, n in moved[0].items():
+                        out[a, b] += n * m
+            if moved[1]:
+                for a, n in self._old(tables[0], moved[0]).items():
+                    for b, m in moved[1].items():
+                        out[a, b] += n * m
+        if self.how == "semi" or self.shows_alone(0):
+            alone = self.how != "semi"
+            shown = lambda n: (n > 0 and meets) != alone
+            out.update({(r, None): n for r, n in self._shown(tables[0], moved[0], shown(before[1]), shown(after[1])).items()})
+        if self.shows_alone(1):
+            alone_right = lambda n: not (n > 0 and meets)
+            out.update({(None, r): n for r, n in self._shown(tables[1], moved[1], alone_right(before[0]), alone_right(after[0])).items()})
+        for t in tables:
+            t.flush()
+        rows = [(key[0], *r, n) for r, n in out.items() if n > 0] + [(key[0], *r, n) for r, n in out.items() if n < 0]
+        if rows:
+            yield signed_frame(rows, self.names)
+
+    @staticmethod
+    def _size(table: Pages) -> int:
+        """How many rows a side counts: kept as a number unless rows are forgotten."""
+        return table.total if table.ttl is None else sum(net(table).values())
+
+    @staticmethod
+    def _old(table: Pages, moved: dict[str, int]) -> Counter:
+        """What a side counted before it changed."""
+        old = net(table)
+        for r, n in moved.items():
+            old[r] -= n
+        return Counter({r: n for r, n in old.items() if n})
+
+    def _shown(self, table: Pages, moved: dict[str, int], before: bool, after: bool) -> dict[str, int]:
+        """How the rows shown by themselves change, given whether they were and are shown."""
+        if before and after:
+            return moved
+        if after:
+            return dict(net(table))
+        return {r: -n for r, n in self._old(table, moved).items()} if before else {}
+
+
+def listed(rows: Counter) -> str | None:
+    """A text that lists rows' texts; None for no rows."""
+    return "[" + ",".join(r for r in sorted(rows) for _ in range(rows[r])) + "]" if rows else None
 
 
 class CogroupDelta(TwoSided):
@@ -328,12 +342,8 @@ class CogroupDelta(TwoSided):
 
     names = (KEY, "left__", "right__", SIGN)
 
-    @staticmethod
-    def _listed(side: Counter) -> str | None:
-        return "[" + ",".join(r for r in sorted(side) for _ in range(side[r])) + "]" if side else None
-
     def _result(self, left: Counter, right: Counter, meets: bool) -> Counter:
-        a, b = self._listed(net(left)), self._listed(net(right))
+        a, b = listed(left), listed(right)
         if meets:
             return Counter({(a, b): 1}) if a or b else Counter()
         return Counter({r: 1 for r in ((a, None), (None, b)) if any(r)})
@@ -342,9 +352,76 @@ class CogroupDelta(TwoSided):
         change, meets = self.sided(rows)
         if not any(change):
             return
-        last = [stored(s) for s in self.sides]
-        current = [apply(s, old, c) if c else old for s, old, c in zip(self.sides, last, change, strict=True)]
-        out = delta(key[0], self._result(*last, meets), self._result(*current, meets))
+        tables = self.tables(timerValues)
+        last = [net(t) for t in tables]
+        for t, c in zip(tables, change, strict=True):
+            apply(t, c)
+        out = delta(key[0], self._result(*last, meets), self._result(*[net(t) for t in tables], meets))
+        for t in tables:
+            t.flush()
+        if out:
+            yield signed_frame(out, self.names)
+
+
+class WindowCogroup(TwoSided):
+    """A cogroup whose `side` has tumbling windows of `size` rows: one row for each window, beside all rows of the other side.
+
+    The other side's rows may be taken back; each of them belongs to every window of its key, closed ones too, so every
+    window's row is replaced when that side changes.  Without a window yet, the other side's rows stand alone.
+    """
+
+    names = (KEY, "window_id", "left__", "right__", SIGN)
+
+    def __init__(self, side: int, size: int):
+        self.side, self.size = side, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "window_id long, n long", self.ttls[self.side])
+        self.windows = handle.getMapState("windows", "window_id long", "rows string", self.ttls[self.side])
+        self.other = self.paged(handle, "other", 1 - self.side)
+
+    def _rows(self, windows: dict[int, list[str]], other: Counter, meets: bool) -> Counter:
+        order = (lambda a, b: (a, b)) if self.side == 0 else (lambda a, b: (b, a))
+        beside = listed(other)
+        out = Counter({(i, *order(listed(Counter(w)), beside if meets else None)): 1 for i, w in windows.items() if w})
+        if beside and not (windows and meets):
+            out[(None, *order(None, beside))] += 1
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        arrived, change, meets = [], Counter(), True
+        for frame in self.frames(rows):
+            meets = bool(frame["meets__"].iloc[0])
+            for side, r, sign in zip(frame["side__"].tolist(), frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
+                if side != self.side:
+                    change[r] += sign
+                elif sign < 0:
+                    raise ValueError("count windows take insert-only input")
+                else:
+                    arrived += [r] * int(sign)
+        table = self.table(self.other, timerValues, 1 - self.side)
+        window_id, n = self.place.get() or (0, 0)
+        beside = net(table)
+        moved = apply(table, Counter({r: n for r, n in change.items() if n}))
+        if moved:  # every window's row changes
+            before = {k[0]: json.loads(v[0]) for k, v in self.windows.iterator()}
+        else:
+            before = {window_id: json.loads(self.windows.getValue((window_id,))[0])} if n else {}
+            if window_id and not n:
+                before[-1] = []  # closed windows are there, and stay as they are
+        after = {i: list(w) for i, w in before.items()}
+        for r in arrived:
+            after.setdefault(window_id, []).append(r)
+            n += 1
+            if n == self.size:
+                window_id, n = window_id + 1, 0
+        for i, w in after.items():
+            if w != before.get(i):
+                self.windows.updateValue((i,), (json.dumps(w, ensure_ascii=False),))
+        if arrived:
+            self.place.update((window_id, n))
+        out = delta(key[0], self._rows(before, beside, meets), self._rows(after, net(table), meets))
+        table.flush()
         if out:
             yield signed_frame(out, self.names)
 
@@ -361,12 +438,13 @@ class CountWindow(Delta):
         self.size, self.results = size, Results(aggregates, values)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "window_id long, n long", self.ttl)
-        self.rows = handle.getMapState("rows", "row string", "n long", self.ttl)
+        self.place = handle.getValueState("place", "window_id long, n long", self.ttls[0])
+        self.rows = handle.getValueState("rows", "body string", self.ttls[0])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         window_id, n = self.place.get() or (0, 0)
-        open_rows = stored(self.rows)
+        held = self.rows.get()
+        open_rows = Counter(json.loads(held[0])) if held else Counter()
         result = lambda: Counter({(window_id, text): 1}) if (text := self.results.text(open_rows)) is not None else Counter()
         before, after = result(), Counter()
         for frame in self.frames(rows):
@@ -380,9 +458,7 @@ class CountWindow(Delta):
                         after.update(result())
                         window_id, n, open_rows = window_id + 1, 0, Counter()
         after.update(result())
-        self.rows.clear()
-        for r, m in open_rows.items():
-            self.rows.updateValue((r,), (m,))
+        self.rows.update((json.dumps(open_rows, ensure_ascii=False),))
         self.place.update((window_id, n))
         out = delta(key[0], before, after)
         if out:

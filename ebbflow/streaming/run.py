@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ebbflow.operators.relational import size_bound
 from ebbflow.session import ROCKSDB, shared_folder
 from ebbflow.signed import net_rows
+from ebbflow.streaming.codec import text_of
 
 #: Tables of up to so many bytes are replayed as one file for each micro-batch, larger ones as a file for each core.
 FILE_BYTES = 1 << 20
 
 
 def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFrame:
-    """A table as a stream of `splits` micro-batches, for tests and back-fills; with order, in ranges of that numeric column."""
+    """A table as a stream of `splits` micro-batches, for tests and back-fills; with order, in ranges of that numeric column.
+
+    Without an order the table is read once and dealt evenly over the files of all micro-batches.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, "replay")
+    files = spark.sparkContext.defaultParallelism if size_bound(df) > FILE_BYTES else 1
     if order is None:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(splits))
+        df.repartition(splits * files).write.parquet(folder)
     else:
         bounds = df.approxQuantile(order, [i / splits for i in range(1, splits)], 0.001)
-        part = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    tagged = df.withColumn("__split", part)
-    files = spark.sparkContext.defaultParallelism if size_bound(df) > FILE_BYTES else 1
-    for i in range(splits):  # one file set for each micro-batch; files are taken in the order they were written
-        own = tagged.filter(F.col("__split") == i).drop("__split")
-        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
+        tagged = df.withColumn("__split", sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+        for i in range(splits):  # one file set for each micro-batch; files are taken in the order they were written
+            own = tagged.filter(F.col("__split") == i).drop("__split")
+            (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
@@ -70,8 +74,23 @@ def net(df: DataFrame) -> DataFrame:
 def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operator: int = 0) -> DataFrame:
     """What a stream that ran in `folder` holds in a state variable of its operator-th stateful operator.
 
-    Variables: sums (invertible aggregates: pages of keys and their sums, as JSON), rows and last (others), left and right (joins and cogroups), place and rows
-    (count windows).
+    Variables in pages (owner, key, values: the values' JSON): sums (invertible aggregates; the owner is a bucket), rows
+    (others), left and right (joins and cogroups), other (windowed cogroups).  All others as the state store gives them: last
+    and sorted (extremes), place and rows or windows (count windows), unseen (joins with a static side).
     """
     reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable)
-    return reader.load(f"{folder}/checkpoint")
+    state = reader.load(f"{folder}/checkpoint")
+    if "user_map_key" not in state.columns or "page" not in state.schema["user_map_key"].dataType.names:
+        return state
+    body = F.col("user_map_value.body")
+    kinds = {i: "map<string,string>" if i else "struct<keys:map<string,string>>" for i in (0, 1)}
+    keys = F.when(F.col("user_map_key.page") == 0, F.from_json(body, kinds[0])["keys"]).otherwise(F.from_json(body, kinds[1]))
+    return state.select(F.col(f"key.{state.schema['key'].dataType.names[0]}").alias("owner"), F.explode(keys).alias("key", "values"))
+
+
+def state_of(spark: SparkSession, folder: str, values: dict[str, object], keys: str, variable: str = "sums", operator: int = 0) -> DataFrame:
+    """What a stream holds for one key: `keys` is the key columns' schema, values their values."""
+    one = spark.createDataFrame([tuple(values.values())], keys).select(text_of(StructType.fromDDL(keys)).alias("wanted"))  # one row
+    held = state_rows(spark, folder, variable, operator)
+    owned = F.col("key") if variable == "sums" else F.col("owner")
+    return held.join(F.broadcast(one), owned == F.col("wanted"), "left_semi")

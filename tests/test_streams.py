@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ebbflow.operators.aggregates import count, greatest, invertible, kmax, kmin, least, recomputed, total
 from ebbflow.plans import Options, Relation
 from ebbflow.session import shared_folder
 from ebbflow.signed import SIGN
 from ebbflow.streaming import lowering
-from ebbflow.streaming.run import net, replay, run_available, state_rows
+from ebbflow.streaming.processors import KEY, ROW, ExtremeDelta, JoinDelta, SumDelta
+from ebbflow.streaming.run import net, replay, run_available, state_of, state_rows
 
 BIG = 9007199254740993
 TYPES = {
-    "boolean": [True, False, None], "int": [1, -2, None], "bigint": [BIG, BIG + 1, None], "double": [0.1, -0.0, 0.0, float("inf"), None], "float": [0.1, 1e-30, None],
+    "boolean": [True, False, None], "int": [1, -2, None], "bigint": [BIG, BIG + 1, None], "double": [0.1, -0.0, 0.0, float("inf"), float("-inf"), float("nan"), None], "float": [0.1, 1e-30, float("nan"), -3.5, None],
     "decimal(30,5)": [Decimal("123456789012345678901.00001"), Decimal("1.5"), None], "string": ["", "é\"\\\n", None], "binary": [b"\x00\xff", b"", None],
     "date": [date(1969, 12, 31), date(2024, 2, 29), None], "timestamp": [datetime(2024, 1, 1, 0, 0, 0, 333), datetime(2024, 1, 1, 0, 0, 0, 666), None], "timestamp_ntz": [datetime(1960, 1, 1, 0, 0, 0, 1), datetime(1960, 1, 1, 0, 0, 0, 2), None],
     "array<int>": [[1, None], [], None], "struct<a:bigint,b:string>": [(BIG, None), (BIG + 1, "x"), None],
@@ -132,11 +136,13 @@ def test_state_can_be_read(spark):
     df = replay(spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v long"), 2)
     out = run_available(Relation.load(df, "s").group("g", ["k"], total("v", "s", "long")).df, folder, 2)
     assert rows(net(out)) == {"(1, 30)": 1, "(2, 5)": 1}
-    pages = [r["body"] for r in state_rows(spark, folder).select(F.col("user_map_value.sums").alias("body")).collect()]
-    assert sorted(k for page in pages for k in json.loads(page)) == ['{"f0":1}', '{"f0":2}']
+    held = {r["key"]: json.loads(r["values"]) for r in state_rows(spark, folder).collect()}
+    assert held == {'{"f0":1}': [2, 2, 30], '{"f0":2}': [1, 1, 5]}
+    assert [json.loads(r["values"]) for r in state_of(spark, folder, {"k": 1}, "k int").collect()] == [[2, 2, 30]]
+    assert state_of(spark, folder, {"k": 9}, "k int").count() == 0
 
 
-def test_buckets_are_dealt_to_more_pages(spark, monkeypatch):
+def test_one_bucket_of_many_keys(spark, monkeypatch):
     """One bucket of many keys over several batches, some of which come and go."""
     monkeypatch.setattr(lowering.group, "__defaults__", (*lowering.group.__defaults__[:-1], 1))
     df = spark.range(1500).selectExpr("id % 500 AS k", "id AS v", f"1 AS {SIGN}").unionByName(spark.range(500).filter("id % 3 = 0").selectExpr("id AS k", "id AS v", f"-1 AS {SIGN}"))
@@ -178,3 +184,182 @@ def test_additions_and_retractions_are_counted(spark):
     query.awaitTermination()
     metrics = [p.observedMetrics["passed"] for p in query.recentProgress if "passed" in p.observedMetrics]
     assert sum(m["added"] or 0 for m in metrics) == 3 and sum(m["taken_back"] or 0 for m in metrics) == 1
+
+
+def test_a_jump_of_new_keys_and_then_known_keys_only(spark):
+    """400,000 keys in three equal batches, with and without a time to live: every earlier row is taken back."""
+    source = shared_folder(spark, "jump-in")
+    for _ in range(3):
+        spark.range(400_000).coalesce(1).write.mode("append").parquet(source)
+    for ttl in (None, 10_000_000):
+        df = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+        out = Relation.load(df, "s", {"g": Options(ttl_ms=ttl)} if ttl else {}).group("g", ["id"], count("n"))
+        assert rows(out.rows().groupBy("n").count()) == {"(3, 400000)": 1}
+
+
+class Clock:
+    def __init__(self, now: int):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self) -> int:
+        return self.now
+
+
+class Handle:
+    """State variables in memory, for processors that are called by hand."""
+
+    def __init__(self):
+        from test_pages import State
+
+        self.maps, self.make = {}, State
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self.maps.setdefault(name, self.make())
+
+    def getValueState(self, name, schema, ttl=None):
+        held = self.maps.setdefault(name, self.make())
+
+        class One:
+            exists = staticmethod(lambda: 0 in held)
+            get = staticmethod(lambda: held.get(0))
+            update = staticmethod(lambda v: held.update({0: v}))
+            clear = staticmethod(lambda: held.pop(0, None))
+
+        return One
+
+    def registerTimer(self, at):
+        pass
+
+
+def by_hand(processor, inputs, ttls=(None, None)):
+    processor.inputs, processor.ttls = inputs, ttls
+    handle = Handle()
+    processor.init(handle)
+
+    def call(rows, now=0, key="k"):
+        out = [tuple(r) for f in processor.handleInputRows((key,), iter([pd.DataFrame(rows, columns=inputs)]), Clock(now)) for r in f.itertuples(index=False)]
+        return sorted(out, key=str)
+
+    return call, handle
+
+
+SIDED = [KEY, "meets__", "side__", ROW, SIGN]
+
+
+def test_sums_live_from_their_own_last_change():
+    """200 keys; batches at 0, 11 and 25 s with a time to live of 20 s: keys touched at 11 s go on, the others start anew."""
+    parts = StructType.fromDDL("r long, p0_n long")
+    call, _ = by_hand(SumDelta([count("n")], parts), [KEY, "r", "p0_n"], (20_000, None))
+    step = lambda keys, now: call([(f"k{i}", 1, 1) for i in keys], now)
+    assert len(step(range(200), 0)) == 200
+    assert len(step(range(100), 11_000)) == 200  # 2 for 1
+    last = Counter(r[1:] for r in step(range(200), 25_000))
+    assert last == {(3, 1): 100, (2, -1): 100, (1, 1): 100}
+
+
+def test_a_change_reads_nothing_of_its_own_side():
+    """One row more on a side of 100,000 rows reads a page of it, and the other side's one row."""
+    call, handle = by_hand(JoinDelta("full"), SIDED)
+    call([("k", True, 0, f"r{i}", 1) for i in range(100_000)] + [("k", True, 1, "s", 1)])
+    for s in handle.maps.values():
+        s.calls = 0
+    assert call([("k", True, 0, "new", 1)]) == [("k", "new", "s", 1)]
+    assert handle.maps["left"].calls <= 8 and handle.maps["right"].calls <= 2
+
+
+def test_an_extreme_taken_back_reads_no_other_row():
+    values = StructType.fromDDL("v long")
+    call, handle = by_hand(ExtremeDelta([kmin("v", "lo"), kmax("v", "hi")], values), [KEY, ROW, SIGN])
+    text = lambda v: '{"f0":%d}' % v
+    call([("k", text(i), 1) for i in range(50_000)])
+    for s in handle.maps.values():
+        s.calls = 0
+    assert call([("k", text(0), -1)]) == sorted([("k", '{"f0": 1, "f1": 49999}', 1), ("k", '{"f0": 0, "f1": 49999}', -1)], key=str)
+    assert sum(s.calls for s in handle.maps.values()) <= 20
+
+
+def test_one_side_is_forgotten_and_the_other_kept():
+    """State options by input: left rows live 100 ms, right rows for ever."""
+    call, _ = by_hand(JoinDelta("inner"), SIDED, (100, None))
+    assert call([("k", True, 0, "a", 1), ("k", True, 1, "x", 1)], 0) == [("k", "a", "x", 1)]
+    assert call([("k", True, 1, "y", 1)], 200) == []  # a has gone
+    assert call([("k", True, 0, "b", 1)], 210) == [("k", "b", "x", 1), ("k", "b", "y", 1)]
+
+
+def test_options_of_inputs_reach_their_state(spark):
+    folder, left, right = (shared_folder(spark, n) for n in ("sides-out", "sides-left", "sides-right"))
+    read = lambda path, schema: spark.readStream.schema(schema).parquet(path)
+    query = lambda: Relation.load(read(left, "k int, x string"), "l", {"j": Options(input_ttl_ms={0: 1})}).join("j", Relation.load(read(right, "k int, y string"), "r"), ["k"])
+    for i in range(2):
+        spark.createDataFrame([(1, f"x{i}")], "k int, x string").write.mode("append").parquet(left)
+        spark.createDataFrame([(1, f"y{i}")], "k int, y string").write.mode("append").parquet(right)
+        run_available(query().df, folder, 2)
+    assert {tuple(r) for r in spark.read.parquet(f"{folder}/rows").select("x", "y", SIGN).collect()} == {("x0", "y0", 1), ("x1", "y0", 1), ("x1", "y1", 1)}
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full", "anti", "semi", "inner"])
+def test_a_static_side_is_the_state_that_a_stream_begins_with(spark, how):
+    """Sides in both orders, keys of one side only, null keys, and a stream that takes rows back."""
+    left = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (1, "b", -1), (2, "c", 1), (None, "n", 1), (4, "d", 1), (4, "d", -1)], f"k int, x string, {SIGN} int")
+    right = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r"), (None, "s"), (4, "t")], "k int, y string")
+    batch = Relation.load(left, "l").join("j", Relation.load(right, "r"), ["k"], how).rows()
+    live = lowering.join(replay(left, 3), right, ["k"], how, native=False)
+    assert rows(net(run_available(live, state_partitions=2)).select(*batch.columns)) == rows(batch)
+    live = lowering.join(left.filter(f"{SIGN} > 0"), replay(right, 2), ["k"], how, native=False)
+    batch = Relation.load(left.filter(f"{SIGN} > 0"), "l").join("j", Relation.load(right, "r"), ["k"], how).rows()
+    assert rows(net(run_available(live, state_partitions=2)).select(*batch.columns)) == rows(batch)
+
+
+def test_a_static_side_is_no_second_stream(spark):
+    orders, customers = spark.range(9).selectExpr("id AS k", "id AS o"), spark.range(5).selectExpr("id * 2 AS k", "id AS c")
+    plan = lowering.join(replay(orders, 2), customers, ["k"], "full")._jdf.queryExecution().logical().toString()
+    assert plan.count("StreamingRelation") == 1
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_windows_of_one_input_beside_all_of_the_other(spark, side):
+    events = [(k, i) for i in range(23) for k in (1, 2, None)] + [(5, 1)]
+    facts = [(1, "a", 1), (1, "b", 1), (1, "b", -1), (1, "c", 1), (3, "z", 1), (None, "n", 1)]
+    e = spark.createDataFrame(events, "k int, at int")
+    f = spark.createDataFrame(facts, f"k int, name string, {SIGN} int")
+    options = {"c": Options(windows={side: 5})}
+
+    def query(e, f, **order):
+        a, b = Relation.load(e, "e", options), Relation.load(f, "f", options)
+        out = a.cogroup("c", b, ["k"], **order) if side == 0 else b.cogroup("c", a, ["k"], **order)
+        sizes = out.foreach("n", "k", "window_id", "size(left_rows) AS l", "size(right_rows) AS r")
+        return rows(sizes.rows())
+
+    batch = query(e, f, order=["at"])
+    assert query(replay(e, 3), replay(f, 2)) == batch
+    assert batch[repr((1, 4, 3, 2) if side == 0 else (1, 4, 2, 3))] == 1 and batch[repr((3, None, None, 1) if side == 0 else (3, None, 1, None))] == 1
+
+
+def test_windows_by_input_are_checked(spark):
+    r = Relation.load(spark.createDataFrame([(1, 1)], "k int, v int"), "r", {"c": Options(windows={0: 2, 1: 2}), "d": Options(windows={0: 2})})
+    with pytest.raises(ValueError, match="one side"):
+        r.cogroup("c", r, ["k"], order=["v"])
+    with pytest.raises(ValueError, match="order"):
+        r.cogroup("d", r, ["k"])
+
+
+def test_a_stream_is_dealt_once_by_buckets_of_keys(spark):
+    df = replay(spark.range(1000).selectExpr("id % 10 AS k", "id AS v"), 2, "k")
+    out = Relation.load(df, "in", {"g": Options(parallel=7)}).group("g", ["k"], total("v", "s", "long"))
+    plan = out.df._jdf.queryExecution().logical().toString()
+    assert not re.search(r"Repartition\b", plan) and re.search(r"pmod\(.*, 7\).* AS bucket__", plan)
+    assert rows(out.rows()) == rows(Relation.load(spark.range(1000).selectExpr("id % 10 AS k", "id AS v"), "b").group("g", ["k"], total("v", "s", "long")).rows())
+
+
+def test_one_key_is_numbered_by_many_tasks(spark):
+    df = spark.range(20_000).selectExpr("if(id % 10 < 9, 7, id % 3) AS k", "20000 - id AS v").repartition(6)
+    rel = Relation.load(df, "d")
+    w = rel.count_window("w", ["k"], 50, count("n"), kmin("v", "lo"), order=["v"])
+    want = Counter()
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1
+    plain = df.withColumn("w", F.floor(place / 50)).groupBy("k", "w").agg(F.count("*").alias("n"), F.min("v").alias("lo"))
+    want = rows(plain.select("k", F.col("w").cast("long"), "n", "lo"))
+    assert rows(w.rows().select("k", "window_id", "n", "lo")) == want
+    assert "row_number" not in w.df._jdf.queryExecution().optimizedPlan().toString()
