@@ -40,24 +40,25 @@ def try_text(c: Column, kind: str) -> Column:
     return c.try_cast(kind)
 
 
+def _step(name: str) -> str:
+    if "'" in name and '"' in name:
+        raise ValueError(f"a step of a path may not hold both kinds of quotes: {name}")
+    return f'["{name}"]' if "'" in name else f"['{name}']"
+
+
 def json_path(paths: str, text: Column) -> Column:
-    """A map from each of the space-separated, /-nested paths to what it leads to in a JSON text.
+    """A map from each of the space-separated, /-nested paths to what it leads to in a JSON text, which is parsed once.
 
     A missing or blocked path gives '', a JSON null 'null', objects and arrays their JSON text; a text that cannot be
     parsed gives the one key `error`.
     """
-    if "'" in paths or '"' in paths:
-        raise ValueError("steps of a path may not hold quotes")
     parsed = F.try_parse_json(text)
     entries = []
     for path in paths.split():
-        steps = "$" + "".join(f"['{s}']" for s in path.split("/"))
-        dotted = "$" + "".join(f".{s}" for s in path.split("/"))
-        leaf = F.try_variant_get(parsed, dotted, "variant")
-        value = F.when(F.is_variant_null(leaf), "null").otherwise(F.coalesce(F.get_json_object(text, steps), F.lit("")))
-        entries += [F.lit(path), value]
-    failed = F.create_map(F.lit(ERROR_KEY), F.concat(F.lit(ERROR_TEXT), text))
-    return F.when(text.isNull(), F.lit(None)).when(parsed.isNull(), failed).otherwise(F.create_map(*entries))
+        leaf = F.try_variant_get(parsed, "$" + "".join(_step(s) for s in path.split("/")), "variant")
+        entries += [F.lit(path), F.when(F.is_variant_null(leaf), "null").otherwise(F.coalesce(F.try_variant_get(leaf, "$", "string"), F.lit("")))]
+    failed = F.create_map(F.lit(ERROR_KEY), F.concat(F.lit(ERROR_TEXT), text))  # null for a null text
+    return F.when(parsed.isNull(), F.when(text.isNotNull(), failed)).otherwise(F.create_map(*entries))
 
 
 def custom_format_to_iso(text: Column, pattern: str) -> Column:

@@ -19,7 +19,7 @@ from ebbflow.plans import Options, Relation
 from ebbflow.session import shared_folder
 from ebbflow.signed import SIGN, consolidate, negate, positive
 from ebbflow.sources import text as sources
-from ebbflow.streaming.run import replay
+from ebbflow.streaming.run import net, replay, run_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -365,10 +365,10 @@ def s_join_static_left(spark, sf_dir):
     return orders.join("j", customers, ["custkey"], "left").rows()
 
 
-@query("SELECT custkey, o_orderkey, c_nationkey FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_custkey % 50 = 0) FULL JOIN (SELECT c_custkey AS custkey, c_nationkey FROM customer WHERE c_custkey % 25 = 0) USING (custkey)")
+@query("SELECT custkey, o_orderkey, c_nationkey FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders) FULL JOIN (SELECT c_custkey AS custkey, c_nationkey FROM customer) USING (custkey)")
 def s_join_static_full(spark, sf_dir):
-    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey").filter("o_custkey % 50 = 0", "f").foreach("o", "o_custkey AS custkey", "o_orderkey")
-    customers = _customers(spark, sf_dir, "c_custkey % 25 = 0").foreach("k", "custkey", "c_nationkey")
+    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey").foreach("o", "o_custkey AS custkey", "o_orderkey")
+    customers = _customers(spark, sf_dir).foreach("k", "custkey", "c_nationkey")
     return orders.join("j", customers, ["custkey"], "full").rows()
 
 
@@ -449,12 +449,12 @@ def s_window_mixed(spark, sf_dir):
 
 EXACT_SQL = """SELECT ts_key, big, count(*) AS n, max(big2) AS hi FROM (
   SELECT ts + to_microseconds(event_id % 3) AS ts_key, CASE WHEN event_id % 4 <> 0 THEN 9007199254740993 + event_id % 2 END AS big, CASE WHEN event_id % 5 <> 0 THEN 9007199254740993 + event_id END AS big2
-  FROM events WHERE event_id % 10 < 7) GROUP BY ALL"""
+  FROM events) GROUP BY ALL"""
 
 
 def _exact(events: Relation) -> Relation:
     """Keys that differ by microseconds, and longs that no double holds beside nulls."""
-    e = events.filter("event_id % 10 < 7", "f").foreach("e", "timestampadd(MICROSECOND, event_id % 3, ts) AS ts_key", "CASE WHEN event_id % 4 <> 0 THEN 9007199254740993L + event_id % 2 END AS big", "CASE WHEN event_id % 5 <> 0 THEN 9007199254740993L + event_id END AS big2")
+    e = events.foreach("e", "timestampadd(MICROSECOND, event_id % 3, ts) AS ts_key", "CASE WHEN event_id % 4 <> 0 THEN 9007199254740993L + event_id % 2 END AS big", "CASE WHEN event_id % 5 <> 0 THEN 9007199254740993L + event_id END AS big2")
     return e.group("g", ["ts_key", "big"], count("n"), kmax("big2", "hi"))
 
 
@@ -559,7 +559,7 @@ def s_upsert_sink(spark, sf_dir):
     store, last = sinks.upsert(folder, ["o_custkey"], "o_orderkey"), []
     writer = orders.df.writeStream.foreachBatch(lambda batch, i: (store(batch, i), last.append(i)))
     writer.option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/version={max(last)}").select("o_custkey", "o_orderkey")
+    return sinks.upserted(spark, folder, max(last), orders.df.drop(SIGN).schema)
 
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_suppkey")
@@ -592,7 +592,7 @@ LOAD_SQL = "SELECT key, count(*) AS n FROM (SELECT event_id, unnest(range(event_
 
 
 def _load(events: Relation) -> Relation:
-    """Expand, key, shuffle, delay, group: the shape of a load test, without its random numbers."""
+    """Expand, key, shuffle, group: the shape of a load test without its random numbers and delays (s_rate_load has them)."""
     bag = F.expr("CASE WHEN event_id % 7 > 0 THEN sequence(0L, event_id % 7 - 1) ELSE array() END")
     e = replace(events, options={"k": Options(shuffle_before=True), "g": Options(parallel=8)}).flatten("x", bag, "i", "event_id")
     return e.foreach("k", "(event_id * 31 + i * 17) % 4096 AS key").group("g", ["key"], count("n"))
@@ -608,9 +608,112 @@ def s_synthetic_load(spark, sf_dir):
     return _load(stream(spark, sf_dir, "events", "event_id")).rows()
 
 
-@query("SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_orderkey % 16 AS k, count(*) AS n FROM orders GROUP BY 1)")
+@query("SELECT o_orderkey % 16 AS k, count(*) AS n, true AS sized, true AS ranged FROM orders GROUP BY 1")
 def random_bag_load(spark, sf_dir):
-    """Random bags: what can be said of them whatever they hold is their number, and that no number is negative."""
-    o = load(spark, sf_dir, "orders").foreach("o", "o_orderkey % 16 AS k", fn.random_bag(4.0, 2.0).alias("bag"))
-    sane = o.filter("forall(bag, i -> i >= 0)", "sane").foreach("d", F.col("k"), fn.delay(0.0).alias("ms")).filter("ms >= 0", "done")
-    return sane.group("g", ["k"], count("n")).group("all", [], count("groups"), total("n", "n", "long")).rows()
+    """Random bags: their number, that their sizes have the mean they should, and that their numbers fill their range evenly."""
+    o = load(spark, sf_dir, "orders").foreach("o", "o_orderkey % 16 AS k", fn.random_bag(42.671, 36.722).alias("bag"))
+    late = o.foreach("d", F.col("k"), F.col("bag"), fn.delay(0.001).alias("ms")).filter("ms >= 0", "done")
+    sums = late.foreach("s", "k", "size(bag) AS size", "aggregate(bag, 0D, (s, i) -> s + i) AS total", "forall(bag, i -> i >= 0) AS sane").filter("sane", "ok")
+    g = sums.group("g", ["k"], count("n"), total("size", "elements", "long"), total("total", "total"))
+    # a normal variate cut at zero and rounded up has a mean of 45.6; an element one of 2^30
+    off = "6 * 36.722 / sqrt(n)"
+    return g.foreach("c", "k", "n", f"abs(elements / n - 45.6) < {off} AS sized", "abs(total / elements / power(2, 30) - 1) < 6 * 0.58 / sqrt(elements) AS ranged").rows()
+
+
+# state under load -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n, count(*) AS keys, sum(v) AS v FROM (SELECT event_id, i, count(*) AS n, sum(step) AS v FROM events, (SELECT unnest(range(32)) AS i), (SELECT unnest(range(3)) AS step) GROUP BY event_id, i) GROUP BY n")
+def s_many_keys(spark, sf_dir):
+    """32 keys for each event in three micro-batches: the first is all new keys, the others are known keys alone."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    changes = Relation.load(replay(e.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(2)))), 3, "at"), "e")
+    return changes.group("g", ["event_id", "i"], count("n"), total("at", "v", "long")).group("h", ["n"], count("keys"), total("v", "v", "long")).rows()
+
+
+@query("""SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderdate) AS first, max(o_orderkey) AS last
+FROM orders WHERE o_totalprice BETWEEN 30000 AND 300000 GROUP BY 1""")
+def s_extremes_retracted(spark, sf_dir):
+    """Three hot keys whose extremes are taken back in each micro-batch after the first."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    at = lambda df, i: df.withColumn("at", F.lit(i))
+    first, second = o.filter("o_totalprice > 400000 OR o_totalprice < 10000"), o.filter("o_totalprice > 300000 AND o_totalprice <= 400000 OR o_totalprice >= 10000 AND o_totalprice < 30000")
+    changes = at(positive(o), 0).unionByName(at(negate(first), 1)).unionByName(at(negate(second), 2))
+    g = Relation.load(replay(changes, 3, "at"), "o").group("g", ["o_orderstatus"], kmin("o_totalprice", "lo", "double"), kmax("o_totalprice", "hi", "double"), kmin("o_orderdate", "first", "timestamp_ntz"), kmax("o_orderkey", "last"))
+    return g.rows()
+
+
+@query("SELECT custkey, o_orderkey, c_nationkey FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) LEFT JOIN (SELECT c_custkey AS custkey, c_nationkey FROM customer) USING (custkey)")
+def s_join_left_retracted(spark, sf_dir):
+    """Two streams, one of which takes rows back; null-extended rows go when their partner comes."""
+    orders = Relation.load(replay(_retracted(spark, sf_dir), SPLITS), "o").foreach("k", "o_custkey AS custkey", "o_orderkey")
+    customers = stream(spark, sf_dir, "customer", "c_custkey", "c_nationkey").foreach("c", "c_custkey AS custkey", "c_nationkey")
+    return orders.join("j", customers, ["custkey"], "left").rows()
+
+
+@query("""SELECT c_nationkey, count(*) AS n, sum(o_orderkey) AS s FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderkey % 2 >= c_custkey % 2 GROUP BY c_nationkey""")
+def s_join_lives(spark, sf_dir):
+    """State options by input: orders are forgotten after a millisecond, customers kept, so no order meets a later customer."""
+    def half(name, key, *cols):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, *cols)
+        return replay(rows.withColumn("at", F.col(key) % 2), 2, "at").drop("at")
+
+    orders = Relation.load(half("orders", "o_orderkey", "o_custkey"), "o", {"j": Options(input_ttl_ms={0: 1})}).foreach("a", "o_custkey AS k", "o_orderkey")
+    customers = Relation.load(half("customer", "c_custkey", "c_nationkey"), "c").foreach("b", "c_custkey AS k", "c_nationkey")
+    return orders.join("j", customers, ["k"]).group("g", ["c_nationkey"], count("n"), total("o_orderkey", "s", "long")).rows()
+
+
+WINDOW_COGROUP_SQL = """WITH w AS (SELECT user_id % 50 AS k, (row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1) // 40 AS window_id FROM events),
+g AS (SELECT k, CAST(window_id AS BIGINT) AS window_id, count(*) AS n FROM w GROUP BY ALL), c AS (SELECT c_custkey % 75 AS k, count(*) AS m, sum(c_custkey) AS s FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+SELECT k, window_id, coalesce(n, 0) + coalesce(m, 0) AS rows, coalesce(s, 0) AS keys FROM g FULL JOIN c USING (k)"""
+
+
+def _window_cogroup(events: Relation, customers: Relation, **order) -> Relation:
+    """Windows of 40 events of each key, every one beside all customers of the key; one aggregate spans both bags."""
+    events = replace(events, options={"cg": Options(windows={0: 40})}).foreach("e", "user_id % 50 AS k", "event_id")
+    both = events.cogroup("cg", customers.foreach("c", "c_custkey % 75 AS k", "c_custkey"), ["k"], **order)
+    rows = "size(coalesce(left_rows, array())) + size(coalesce(right_rows, array()))"
+    return both.foreach("a", "k", "window_id", f"cast({rows} AS bigint) AS rows", "coalesce(aggregate(right_rows, 0L, (s, r) -> s + r.c_custkey), 0) AS keys")
+
+
+def _customers_taken_back(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return positive(c).unionByName(negate(c.filter("c_custkey % 3 = 0")))
+
+
+@query(WINDOW_COGROUP_SQL)
+def window_cogroup(spark, sf_dir):
+    return _window_cogroup(load(spark, sf_dir, "events"), Relation.load(_customers_taken_back(spark, sf_dir), "c"), order=["event_id"]).rows()
+
+
+@query(WINDOW_COGROUP_SQL)
+def s_window_cogroup(spark, sf_dir):
+    """The un-windowed input takes rows back, and every window of the key is replaced."""
+    return _window_cogroup(stream(spark, sf_dir, "events", "event_id", "user_id"), Relation.load(replay(_customers_taken_back(spark, sf_dir), SPLITS), "c")).rows()
+
+
+def rate_load(spark, sf_dir, rows_per_s: int | None = None, seconds: float = 120):
+    """(result, progress) of a live load: the rate source brings the events, at the offered rate, through random bags, delays and groups.
+
+    The rate is 10,000 rows a second, more where that would not bring all events in half a minute.  The result is the events that
+    came, and how many elements of their bags are in no group.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    n = 0 if low is None else high - low + 1
+    offered = sources.rate(spark, rows_per_s or max(10_000, n // 30), 64, 1000).select((F.col("cur_sent").cast("long") + F.lit(low or 0)).alias("event_id"), "buf", SIGN)
+    came = Relation.load(offered.filter(F.col("event_id") < (low or 0) + n).join(events, "event_id"), "rate", {"x": Options(shuffle_before=True), "g": Options(parallel=64)}).observe("came")
+    bags = came.foreach("b", F.col("event_type"), fn.random_bag(42.671, 36.722).alias("bag"), fn.delay(0.002).alias("ms")).filter("ms >= 0", "late")
+    keys = bags.flatten("x", "bag", "rand", "event_type").foreach("k", "event_type", "rand % 40960 AS key").observe("fed")
+    counts = keys.group("g", ["key"], count("n")).group("h", [], total("n", "n", "long"), count("keys"))
+    seen = lambda progress, name: sum(p.observedMetrics[name]["added"] or 0 for p in progress if name in p.observedMetrics)
+    out, progress = run_for(counts.df, seconds, lambda p: seen(p, "came") >= n, state_partitions=4)
+    kept = net(out).select("n")
+    return kept.select(F.lit(seen(progress, "came")).cast("long").alias("events"), (F.lit(seen(progress, "fed")) - F.col("n")).cast("long").alias("lost")), progress
+
+
+@query("SELECT count(*) AS events, CAST(0 AS BIGINT) AS lost FROM events")
+def s_rate_load(spark, sf_dir):
+    """All events from a live source, and no element of a random bag lost on its way through stateful groups."""
+    return rate_load(spark, sf_dir)[0]

@@ -26,15 +26,16 @@ class Pages:
     Page 0 also holds the number of pages, which is all there is to the layout: a page that has grown too long makes one
     page be split, and no other page is touched.  The layout is written with page 0, in every flush that changes
     it; where keys have a time to live, page 0 is written in every flush, so the layout outlives all pages.  A time to live
-    counts for each key, from its own last change: `ttl` and `now` in milliseconds.  `total` is a number of the owner's.
+    counts for each key, from its own last change: `ttl` and `now` in milliseconds.  `total` is a number of the
+    owner's, `mark` a note of it.
     """
 
     def __init__(self, state: Any, ttl: int | None = None, now: int = 0):
         self.state, self.ttl, self.now = state, ttl, now
         held = state.getValue((0,))
         head = json.loads(held[0]) if held else {"pages": 1, "total": 0, "keys": {}}
-        self.pages, self.total = head["pages"], head["total"]
-        self._was = (self.pages, self.total)
+        self.pages, self.total, self.mark = head["pages"], head["total"], head.get("mark")
+        self._was = (self.pages, self.total, self.mark)
         self._loaded: dict[int, dict[str, list]] = {0: self._live(head["keys"])}
         self._dirty: set[int] = set()
         self.reads = 1
@@ -79,7 +80,7 @@ class Pages:
 
     def clear(self) -> None:
         self.state.clear()
-        self.pages, self.total, self._loaded, self._dirty, self._was = 1, 0, {0: {}}, set(), (1, 0)
+        self.pages, self.total, self.mark, self._loaded, self._dirty, self._was = 1, 0, None, {0: {}}, set(), (1, 0, None)
 
     def _split(self) -> None:
         """One page more, which takes its keys from one page."""
@@ -95,17 +96,19 @@ class Pages:
         """Write what has changed: grown pages make as many splits as they hold pages too many."""
         for _ in range(sum((len(self._loaded[i]) - 1) // PAGE_KEYS for i in self._dirty)):
             self._split()
-        if self._dirty and (self.ttl is not None or self._was != (self.pages, self.total)) or self._was != (self.pages, self.total):
+        now = (self.pages, self.total, self.mark)
+        if self._was != now or self._dirty and self.ttl is not None:
             self._dirty.add(0)
         for i in self._dirty:
             page = self._loaded[i]
-            if i == 0 and (page or self.pages > 1 or self.total):
-                self.state.updateValue((0,), (_dumps({"pages": self.pages, "total": self.total, "keys": page}),))
+            if i == 0 and (page or now != (1, 0, None)):
+                head = {"pages": self.pages, "total": self.total, "keys": page} | ({} if self.mark is None else {"mark": self.mark})
+                self.state.updateValue((0,), (_dumps(head),))
             elif page:
                 self.state.updateValue((i,), (_dumps(page),))
             else:
                 self.state.removeKey((i,))
-        self._dirty, self._was = set(), (self.pages, self.total)
+        self._dirty, self._was = set(), now
 
 
 class Sorted:

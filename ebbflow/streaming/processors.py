@@ -255,8 +255,6 @@ class JoinDelta(TwoSided):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        if self.fixed is not None:
-            self.unseen = handle.getValueState("unseen", "meets boolean")
 
     def shows_alone(self, side: int) -> bool:
         """Whether rows of a side without a partner are shown."""
@@ -266,14 +264,15 @@ class JoinDelta(TwoSided):
         change, meets = self.sided(iter([initialState]))
         table = self.table(self.sides[self.fixed], timerValues, self.fixed)
         apply(table, change[self.fixed])
-        table.flush()
-        if self.shows_alone(self.fixed) and not self.unseen.exists():
-            self.unseen.update((meets,))
+        if self.shows_alone(self.fixed) and table.mark is None:
+            table.mark = "meets" if meets else "null key"  # of rows that no batch has shown yet
             self.handle.registerTimer(1)  # long past: due in the batch that loads the state
+        table.flush()
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.fixed is not None and (held := self.unseen.get()):
-            yield from self._emit(key, self.tables(timerValues), [Counter(), Counter()], bool(held[0]))
+        tables = self.tables(timerValues)
+        if self.fixed is not None and tables[self.fixed].mark:
+            yield from self._emit(key, tables, [Counter(), Counter()], tables[self.fixed].mark == "meets")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         change, meets = self.sided(rows)
@@ -283,9 +282,9 @@ class JoinDelta(TwoSided):
     def _emit(self, key: tuple, tables: list[Pages], change: list[Counter], meets: bool) -> Iterator[pd.DataFrame]:
         before = [self._size(t) for t in tables]
         moved = [apply(t, c) for t, c in zip(tables, change, strict=True)]
-        if self.fixed is not None and self.unseen.exists():  # all that is there counts as new
+        if self.fixed is not None and tables[self.fixed].mark:  # all that is there counts as new
             moved[self.fixed], before[self.fixed] = dict(net(tables[self.fixed])), 0
-            self.unseen.clear()
+            tables[self.fixed].mark = None
         after = [self._size(t) for t in tables]
         out: Counter = Counter()
         if meets and self.how not in ("semi", "anti"):

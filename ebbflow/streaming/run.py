@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 from pyspark.sql.types import StructType
 
 from ebbflow.operators.relational import size_bound
@@ -34,33 +40,72 @@ def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFram
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def run_available(df: DataFrame, folder: str | None = None, state_partitions: int | None = None, name: str | None = None) -> DataFrame:
-    """Run a signed stream over all input there is and return its signed rows as a batch frame.
-
-    Each micro-batch overwrites its own part, so a batch that is run again after a failure changes nothing.  A folder
-    that is given again goes on from its checkpoint.
-    """
-    spark = df.sparkSession
-    folder = folder or shared_folder(spark, "stream")
+@contextmanager
+def _settings(spark: SparkSession, state_partitions: int | None) -> Iterator[None]:
+    """The settings of signed streams; the session's own come back."""
     # state with a time to live would ask for batches without data for ever
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
+
+def _writer(df: DataFrame, folder: str, name: str | None) -> DataStreamWriter:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    try:
-        writer = df.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-        query = (writer.queryName(name) if name else writer).start()
-        query.awaitTermination()
-    finally:  # the session's own settings come back
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    writer = df.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.queryName(name) if name else writer
+
+
+def run_available(df: DataFrame, folder: str | None = None, state_partitions: int | None = None, name: str | None = None) -> DataFrame:
+    """Run a signed stream over all input there is and return its signed rows as a batch frame.
+
+    Each micro-batch overwrites its own part, so a batch that is run again after a failure changes nothing.  A folder
+    that is given again goes on from its checkpoint.
+    """
+    spark = df.sparkSession
+    folder = folder or shared_folder(spark, "stream")
+    with _settings(spark, state_partitions):
+        _writer(df, folder, name).trigger(availableNow=True).start().awaitTermination()
     return result_rows(spark, folder, df)
 
 
+def run_for(df: DataFrame, seconds: float, done: Callable[[list[StreamingQueryProgress]], bool] | None = None, folder: str | None = None, state_partitions: int | None = None) -> tuple[DataFrame, list[StreamingQueryProgress]]:
+    """Run a signed stream live for so many seconds at most, or until `done` says so of the progress so far.
+
+    Returns the signed rows of the micro-batches that have ended, and their progress (rows, durations, observed counts).
+    """
+    spark = df.sparkSession
+    folder = folder or shared_folder(spark, "live")
+    seen: dict[int, StreamingQueryProgress] = {}
+    with _settings(spark, state_partitions):
+        query = _writer(df, folder, None).trigger(processingTime="0 seconds").start()
+        end = time.monotonic() + seconds
+        while query.isActive and time.monotonic() < end:
+            seen |= {p.batchId: p for p in query.recentProgress if p.numInputRows or p.batchId not in seen}
+            if done and done(list(seen.values())):
+                break
+            query.awaitTermination(0.2)
+        query.stop()
+        if query.exception():
+            raise query.exception()
+    return result_rows(spark, folder, df), [seen[i] for i in sorted(seen)]
+
+
+def timings(progress: Sequence[StreamingQueryProgress]) -> dict[str, float]:
+    """Rows a second, and the median and 99th percentile of a micro-batch's milliseconds, of a live run."""
+    busy = [p for p in progress if p.numInputRows]
+    took = sorted(p.batchDuration for p in busy)
+    at = lambda q: float(took[min(len(took) - 1, int(q * len(took)))]) if took else 0.0
+    return {"rows": float(sum(p.numInputRows for p in busy)), "rows_per_s": sum(p.numInputRows for p in busy) / max(sum(took) / 1000, 1e-9), "p50_ms": at(0.5), "p99_ms": at(0.99)}
+
+
 def result_rows(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     """All signed rows that a stream has stored in its folder."""
     return spark.read.schema(like.schema).parquet(f"{folder}/rows").select(*like.columns)
@@ -76,7 +121,7 @@ def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operato
 
     Variables in pages (owner, key, values: the values' JSON): sums (invertible aggregates; the owner is a bucket), rows
     (others), left and right (joins and cogroups), other (windowed cogroups).  All others as the state store gives them: last
-    and sorted (extremes), place and rows or windows (count windows), unseen (joins with a static side).
+    and sorted (extremes), place and rows or windows (count windows).
     """
     reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable)
     state = reader.load(f"{folder}/checkpoint")

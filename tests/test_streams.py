@@ -16,13 +16,16 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ebbflow import functions as fn
+from ebbflow import sinks
 from ebbflow.operators.aggregates import count, greatest, invertible, kmax, kmin, least, recomputed, total
 from ebbflow.plans import Options, Relation
 from ebbflow.session import shared_folder
 from ebbflow.signed import SIGN
+from ebbflow.sources import text as sources
 from ebbflow.streaming import lowering
 from ebbflow.streaming.processors import KEY, ROW, ExtremeDelta, JoinDelta, SumDelta
-from ebbflow.streaming.run import net, replay, run_available, state_of, state_rows
+from ebbflow.streaming.run import net, replay, run_available, run_for, state_of, state_rows, timings
 
 BIG = 9007199254740993
 TYPES = {
@@ -347,7 +350,7 @@ def test_a_stream_is_dealt_once_by_buckets_of_keys(spark):
     df = replay(spark.range(1000).selectExpr("id % 10 AS k", "id AS v"), 2, "k")
     out = Relation.load(df, "in", {"g": Options(parallel=7)}).group("g", ["k"], total("v", "s", "long"))
     plan = out.df._jdf.queryExecution().logical().toString()
-    assert not re.search(r"Repartition\b", plan) and re.search(r"pmod\(.*, 7\).* AS bucket__", plan)
+    assert not re.search(r"Repartition\b", plan) and re.search(r"pmod\(xxhash64.*cast\(7 as bigint\)\) AS bucket__", plan)
     assert rows(out.rows()) == rows(Relation.load(spark.range(1000).selectExpr("id % 10 AS k", "id AS v"), "b").group("g", ["k"], total("v", "s", "long")).rows())
 
 
@@ -363,3 +366,39 @@ def test_one_key_is_numbered_by_many_tasks(spark):
     want = rows(plain.select("k", F.col("w").cast("long"), "n", "lo"))
     assert rows(w.rows().select("k", "window_id", "n", "lo")) == want
     assert "row_number" not in w.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_upserts_write_what_they_touch(spark):
+    """A batch of one key writes one bucket; the others stay as they are; a batch that is run again changes nothing."""
+    folder = shared_folder(spark, "upsert-buckets")
+    store = sinks.upsert(folder, ["k"], "v", buckets=16)
+    schema = StructType.fromDDL("k int, v int, x string")
+    batch = lambda rows: spark.createDataFrame(rows, f"k int, v int, x string, {SIGN} int")
+    store(batch([(i, 1, "a", 1) for i in range(200)]), 0)
+    for _ in range(2):
+        store(batch([(7, 0, "b", 1), (7, 0, "gone", -1), (900, 3, "new", 1)]), 1)
+    store(batch([]), 2)
+    got = {r["k"]: (r["v"], r["x"]) for r in sinks.upserted(spark, folder, 2, schema).collect()}
+    assert got == {i: (1, "a") for i in range(200)} | {7: (0, "b"), 900: (3, "new")}  # later batches win
+    assert sinks.upserted(spark, folder, 0, schema).count() == 200
+    held = sinks.manifest(spark, folder, 2)
+    assert len(held) == 16 and sum(b == 1 for b in held.values()) == len({b for b, i in held.items() if i == 1}) <= 2
+    assert spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/data/batch=1").count() < 60
+
+
+def test_a_live_run_loses_nothing(spark):
+    live = Relation.load(sources.rate(spark, 2000, 8, 1000), "r").foreach("k", "cast(cur_sent AS bigint) % 10 AS k").observe("fed")
+    seen = lambda progress: sum(p.observedMetrics["fed"]["added"] or 0 for p in progress if "fed" in p.observedMetrics)
+    out, progress = run_for(live.group("g", ["k"], count("n")).df, 60, lambda p: seen(p) >= 1000, state_partitions=2)
+    counts = net(out).collect()
+    assert sum(r["n"] for r in counts) >= seen(progress) >= 1000
+    assert timings(progress)["rows"] >= 1000 and timings(progress)["p99_ms"] >= timings(progress)["p50_ms"] > 0
+
+
+def test_json_steps_with_dots_and_quotes(spark):
+    text = '{"a.b": {"it\'s": [1, {"x": null}]}, "a": {"b": 2}, "n": null, "e": ""}'
+    df = spark.createDataFrame([(text,), (None,), ("{",)], "j string")
+    got = [r[0] for r in df.select(fn.json_path("a.b/it's a/b a.b/it\"s n e n/x", F.col("j"))).collect()]
+    assert got == [{"a.b/it's": '[1,{"x":null}]', "a/b": "2", 'a.b/it"s': "", "n": "null", "e": "", "n/x": ""}, None, {"error": "Could not parse: {"}]
+    with pytest.raises(ValueError, match="quotes"):
+        fn.json_path("a'\"", F.col("j"))
