@@ -208,10 +208,9 @@ def _contexts(n_buckets: int, length: int) -> Callable[[pa.Table, pa.Table], pa.
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that share their first `length` bytes with another, in suffix order, and where runs of equals begin.
+    """Positions of `at` in the order of the suffixes' first `length` bytes, and where runs of equals begin (and the end).
 
-    `at` lists suffix starts; equal suffixes stay in the order of the list.  Suffixes without an equal are left out:
-    their longest previous factor is below `length`.
+    `at` lists suffix starts; equal suffixes stay in the order of the list.
     """
     view = loads(data)
     steps = range(0, length, 8)
@@ -231,10 +230,28 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
         same = equal_spans(data, at[order[1:]], at[order[1:]] + length, at[order[:-1]], at[order[:-1]] + length)
         new = np.concatenate(([True], ~same))
     bounds = np.append(np.flatnonzero(new), len(order))
-    groups = np.flatnonzero(np.diff(bounds) > 1)
-    lead = at[order[bounds[:-1][groups]]]
-    groups = groups[np.lexsort([word(lead, k).byteswap() for k in reversed(steps)])]
-    return ragged(order, bounds, groups)
+    return ragged(order, bounds, _by_bytes(data, at[order[bounds[:-1]]], length))
+
+
+def _by_bytes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The order of distinct strings of `length` bytes: by eight bytes, and where those are equal by the next eight."""
+    view, last = loads(data), np.uint64((1 << (8 * ((length - 1) % 8 + 1))) - 1)
+    word = lambda i, k: (view[i + k] & last if k + 8 > length else view[i + k]).byteswap()
+    first = word(at, 0)
+    order = np.argsort(first, kind="stable")
+    tied = np.concatenate(([False], first[order][1:] == first[order][:-1]))
+    for k in range(8, length, 8):
+        held = tied.copy()
+        held[:-1] |= tied[1:]  # places in runs of strings that are equal so far
+        place = np.flatnonzero(held)
+        if not len(place):
+            break
+        run, own = np.cumsum(~tied[place]), word(at[order[place]], k)
+        by = np.lexsort((own, run))
+        order[place], own = order[place][by], own[by]
+        same = np.concatenate(([False], (own[1:] == own[:-1]) & (run[1:] == run[:-1])))
+        tied[place] = same
+    return order
 
 
 def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -248,7 +265,7 @@ def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -
     return np.minimum(out, length)
 
 
-def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
     """Common prefix of each suffix with the previous suffix of a smaller owner, 0 where it is under `least`.
 
     common[i] is the common prefix of suffixes i - 1 and i.  Pointers jump over suffixes of no smaller owner, all at
@@ -270,23 +287,21 @@ def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> np.nda
 
 
 def longest_previous_factor(data: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix start of `at`: its longest previous factor among smaller owners, capped at `length`; 0 if it is shorter.
+    """For each suffix start of `at`: its longest previous factor among smaller owners, capped at `length`.
 
-    at must be in the order of owners, so that equal suffixes are.  Suffixes without an equal are not in the suffix order: what
-    they share with any other is shorter than `length`.
+    at must be in the order of owners, so that equal suffixes are.
     """
     out = np.zeros(len(at), np.int64)
     if len(at):
         order, bounds = suffix_order(data, at, length)
-        if len(order):
-            common = np.full(len(order), length)
-            heads = order[bounds[:-1]]
-            common[bounds[:-1]] = np.concatenate(([0], common_prefix(data, at[heads[:-1]], at[heads[1:]], length)))
-            who = owner[order]
-            before = nearest_smaller(who, common, length)
-            turned = np.concatenate(([0], common[::-1][:-1]))
-            after = nearest_smaller(who[::-1], turned, length)[::-1]
-            out[order] = np.maximum(before, after)
+        common = np.full(len(order), length)
+        heads = order[bounds[:-1]]
+        common[bounds[:-1]] = np.concatenate(([0], common_prefix(data, at[heads[:-1]], at[heads[1:]], length)))
+        who = owner[order]
+        before = nearest_smaller(who, common)
+        turned = np.concatenate(([0], common[::-1][:-1]))
+        after = nearest_smaller(who[::-1], turned)[::-1]
+        out[order] = np.maximum(before, after)
     return out
 
 
@@ -391,9 +406,12 @@ def _clean(length: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.T
             gone = removed_bytes(data, offsets, ids, found, length)
             texts += [data[a:b][~gone[a:b]].tobytes().decode(errors="ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         rows = pa.concat_tables([nameless, docs])
-        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
         rest = rows["rest"].combine_chunks() if len(rows) else None
-        return pa.table({n: new[n] if n in new else (pc.struct_field(rest, n) if rest is not None else pa.array([])) for n in names})
+        held = lambda n: pc.struct_field(rest, n) if rest is not None else pa.array([])
+        new = {"text": pa.array(texts, pa.string())}
+        if "n_chars" in names and pa.types.is_integer(held("n_chars").type):
+            new["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(held("n_chars").type, safe=False)
+        return pa.table({n: new[n] if n in new else held(n) for n in names})
 
     return clean
 
@@ -421,7 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """All documents without their repeated passages; other columns stay, n_chars (if there is one) follows the text.
+    """All documents without their repeated passages; other columns stay, n_chars (if there is one, and it is a whole number) follows the text.
 
     The bytes of a character that a removal splits go with it, so what is left is text.
     """

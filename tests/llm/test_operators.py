@@ -264,7 +264,26 @@ def test_nearest_smaller_and_suffix_order():
     assert suffix_dedup.nearest_smaller(owner, np.array([0, 9, 9, 9, 9]), 1).tolist() == [0, 0, 9, 0, 0]
     data = np.frombuffer(b"banana banana" + bytes(8), np.uint8)
     order, bounds = suffix_dedup.suffix_order(data, np.arange(10), 4)
-    assert [bytes(data[i : i + 4]) for i in order] == sorted(bytes(data[i : i + 4]) for i in (0, 1, 2, 7, 8, 9)) and len(bounds) == 4
+    assert [bytes(data[i : i + 4]) for i in order] == sorted(bytes(data[i : i + 4]) for i in range(10)) and len(bounds) == 8
+
+
+@pytest.mark.parametrize("length", [3, 8, 9, 20])
+def test_longest_previous_factors_are_real(length):
+    r = np.random.default_rng(length)
+    docs = [bytes(r.integers(97, 99, n, dtype=np.uint8)) for n in r.integers(length, 60, 12)]
+    data = np.frombuffer(b"".join(docs) + bytes(64), np.uint8)
+    begin = np.cumsum([0, *map(len, docs)])[:-1]
+    at = np.concatenate([b + np.arange(len(d) - length + 1) for b, d in zip(begin, docs, strict=True)])
+    owner = np.repeat(np.arange(12) // 2, [len(d) - length + 1 for d in docs])  # two contexts of each owner
+
+    def shared(a: int, b: int) -> int:
+        n = 0
+        while n < length and data[a + n] == data[b + n]:
+            n += 1
+        return n
+
+    want = [max((shared(a, b) for b, v in zip(at, owner, strict=True) if v < o), default=0) for a, o in zip(at, owner, strict=True)]
+    assert suffix_dedup.longest_previous_factor(data, at, owner, length).tolist() == want
 
 
 # op6
