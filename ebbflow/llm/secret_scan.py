@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,17 +51,28 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def _scan(rule_version: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@dataclass(frozen=True)
+class Rules:
+    """A version of the rules: its name, and the spans that it finds in a text, of the kinds of KINDS."""
+
+    version: str
+    find: Callable[[str], list[tuple[int, int, str]]]
+
+
+BASE = Rules(RULE_VERSION, find_spans)
+
+
+def _scan(rules: Rules) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, spans = {k: [] for k in KINDS}, []
             for text in batch.column("text"):
-                got = find_spans(text.as_py() or "")
+                got = rules.find(text.as_py() or "")
                 for k in KINDS:
                     counts[k].append(sum(x[2] == k for x in got))
                 spans.append(",".join(f"{k}:{a}:{b}" for a, b, k in got))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("blob_id"), pa.array([rule_version] * len(spans), pa.string()), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(spans, pa.string())],
+                [batch.column("blob_id"), pa.array([rules.version] * len(spans), pa.string()), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(spans, pa.string())],
                 names=["blob_id", "rule_version", "n_assign", "n_access", "n_hex", "spans"],
             )
 
@@ -76,32 +88,41 @@ def address(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
     return versions.select(path.alias("path"), holder.alias("holder"), F.sha2(text.cast("binary"), 256).alias("blob_id"), text.alias("text"))
 
 
-def scan_increment(addressed: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of the blobs that `ledger` lacks under the rule version; append them to the ledger.
+def scan_increment(addressed: DataFrame, ledger: DataFrame | None = None, rules: Rules = BASE) -> DataFrame:
+    """Ledger rows of the blobs that `ledger` lacks under the rules' version; append them to the ledger.
 
     The smallest path of each unseen blob stands for it: texts move once, dealt by path, never by blob, so a blob
     that a third of all paths hold does not meet in one task.
     """
     holders = addressed.groupBy("blob_id").agg(F.min("holder").alias("holder"))
     if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob_id").distinct()
+        seen = ledger.filter(F.col("rule_version") == rules.version).select("blob_id").distinct()
         holders = holders.join(seen, "blob_id", "left_anti")
     texts = addressed.join(holders.hint("shuffle_hash"), ["holder", "blob_id"], "left_semi")
-    scanned = texts.select("blob_id", "text").mapInArrow(_scan(rule_version), LEDGER_SCHEMA)
+    scanned = texts.select("blob_id", "text").mapInArrow(_scan(rules), LEDGER_SCHEMA)
     return scanned.dropDuplicates(["blob_id", "rule_version"])  # a path may be listed twice with one content
 
 
-def findings_by_path(addressed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Join a ledger's findings back to all paths: one row for each version."""
-    current = ledger.filter(F.col("rule_version") == RULE_VERSION)
-    return addressed.select("path", "blob_id").join(current, "blob_id", "left")
+def findings_by_path(addressed: DataFrame, ledger: DataFrame, rules: Rules = BASE) -> DataFrame:
+    """Join the findings of a rule version back to all paths: one row for each version of a path.
+
+    Blobs with findings, few beside all, are laid out once for each of SALTS parts that their paths are dealt to, so a blob that
+    a third of all paths hold meets them in as many tasks; a blob without any needs no partner.  All blobs must have
+    been scanned under the version.
+    """
+    current = ledger.filter(F.col("rule_version") == rules.version)
+    n = [f"n_{k}" for k in KINDS]
+    found = current.filter("spans <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = addressed.select("path", "blob_id", F.pmod(F.xxhash64("holder", "text"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = dealt.join(found, ["blob_id", "salt"], "left").drop("salt")
+    return out.select("path", "blob_id", F.lit(rules.version).alias("rule_version"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in n], F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 class Ledger:
     """A ledger in a shared folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, rule_version: str = RULE_VERSION):
-        self.spark, self.folder, self.rule_version = spark, folder.rstrip("/"), rule_version
+    def __init__(self, spark: SparkSession, folder: str, rules: Rules = BASE):
+        self.spark, self.folder, self.rules = spark, folder.rstrip("/"), rules
 
     def rows(self, increments: int) -> DataFrame | None:
         """What the first increments scanned; None before the first."""
@@ -110,8 +131,8 @@ class Ledger:
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(*[f"{self.folder}/increment={i}" for i in range(increments)])
 
     def append(self, addressed: DataFrame, increment: int) -> None:
-        """Scan what the earlier increments have not scanned under this rule version, as part number `increment`."""
-        scan_increment(addressed, self.rows(increment), self.rule_version).write.mode("overwrite").parquet(f"{self.folder}/increment={increment}")
+        """Scan what the earlier increments have not scanned under these rules, as part number `increment`."""
+        scan_increment(addressed, self.rows(increment), self.rules).write.mode("overwrite").parquet(f"{self.folder}/increment={increment}")
 
     def scan_history(self, versions: Sequence[DataFrame]) -> DataFrame:
         """The ledger's rows after all increments of a history: addressed frames, the oldest first."""
@@ -126,18 +147,18 @@ def history(addressed: DataFrame, increments: int) -> list[DataFrame]:
     return [addressed.filter(part == i) for i in range(increments)]
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, increments: int = 2) -> DataFrame:
+def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, increments: int = 2, rules: Rules = BASE) -> DataFrame:
     """Findings of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob_id, rule_version.
 
     Without a ledger the documents come as a history of so many increments over a ledger of its own.
     """
     addressed = address(docs, "doc_id", "text")
     if ledger is None:
-        whole = Ledger(docs.sparkSession, shared_folder(docs.sparkSession, "ledger")).scan_history(history(addressed, increments))
+        whole = Ledger(docs.sparkSession, shared_folder(docs.sparkSession, "ledger"), rules).scan_history(history(addressed, increments))
     else:
-        fresh = scan_increment(addressed, ledger)
+        fresh = scan_increment(addressed, ledger, rules)
         whole = ledger.select(*fresh.columns).unionByName(fresh)
-    return findings_by_path(addressed, whole).select(
+    return findings_by_path(addressed, whole, rules).select(
         F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex",
         F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans", "blob_id", "rule_version",
     )
@@ -148,7 +169,7 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
 
 
-def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "*") -> DataFrame:
+def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "*", rules: Rules = BASE) -> DataFrame:
     """Documents with each character of a finding replaced by `mark`; all columns and all rows stay.
 
     Findings are few beside texts: blobs that many documents hold meet their findings in as many parts as it takes.
@@ -168,10 +189,10 @@ def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "
             yield batch.select([n for n in batch.schema.names if n != held])
 
     addressed = address(docs, "doc_id", "text")
-    fresh = scan_increment(addressed, ledger)
+    fresh = scan_increment(addressed, ledger, rules)
     found = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
     salt = free_name(docs, "salt")
-    spans = found.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob_id").alias(blob), F.col("spans").alias(held), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    keyed = docs.withColumns({blob: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), salt: F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    spans = found.filter((F.col("rule_version") == rules.version) & (F.col("spans") != "")).select(F.col("blob_id").alias(blob), F.col("spans").alias(held), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    keyed = docs.withColumns({blob: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), salt: F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")})
     joined = keyed.join(spans, [blob, salt], "left").select(*[f"`{c}`" for c in docs.columns], held)
     return joined.mapInArrow(mask, docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ebbflow.llm import secret_scan
 from ebbflow.llm.common import shared_folder
 
@@ -28,7 +30,7 @@ def test_increments_scan_unseen_pairs(spark):
 
 def test_a_new_rule_version_scans_old_blobs_again(spark):
     folder = shared_folder(spark, "ledger-test")
-    old = secret_scan.Ledger(spark, folder, "base-0")
+    old = secret_scan.Ledger(spark, folder, secret_scan.Rules("base-0", secret_scan.find_spans))
     old.append(addressed(spark, FIRST), 0)
     new = secret_scan.Ledger(spark, folder)
     new.append(addressed(spark, FIRST), 1)
@@ -42,3 +44,17 @@ def test_the_query_has_two_increments_that_hold_all_versions(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(FIRST + SECOND)], "doc_id long, text string")
     one, two = (sorted((r["doc_id"], r["spans"]) for r in secret_scan.scan_documents(docs, increments=n).collect()) for n in (1, 2))
     assert one == two and len(one) == 8
+
+
+def test_findings_and_masks_follow_the_version_that_is_asked_for(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1 and 123"), (2, "456"), (None, "456"), (3, None), (4, "none")], "doc_id long, text string")
+    rules = secret_scan.Rules("digits-2", lambda text: [(m.start(), m.end(), "hex") for m in re.finditer("[0-9]{3}", text)])
+    addressed = secret_scan.address(docs, "doc_id", "text")
+    ledger = secret_scan.Ledger(spark, shared_folder(spark, "ledger-test"), rules).scan_history([addressed])
+    got = sorted(((r["path"], r["n_assign"], r["n_hex"], r["spans"]) for r in secret_scan.findings_by_path(addressed, ledger, rules).collect()), key=str)
+    assert got == sorted([(1, 0, 1, "hex:20:23"), (2, 0, 1, "hex:0:3"), (None, 0, 1, "hex:0:3"), (3, 0, 0, ""), (4, 0, 0, "")], key=str)
+    assert {r["text"] for r in secret_scan.mask_secrets(docs, ledger, rules=rules).collect()} == {"token=abcdefgh1 and ***", "***", None, "none"}
+    # the base rules are another version: they scan what that ledger has of other rules, and find their own
+    both = {r["doc_id"]: (r["n_assign"], r["n_hex"]) for r in secret_scan.scan_documents(docs.filter("doc_id is not null"), ledger).collect()}
+    assert both == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+    assert {r["text"] for r in secret_scan.mask_secrets(docs, ledger).collect()} == {"*" * 15 + " and 123", "456", None, "none"}
