@@ -4,41 +4,42 @@ from __future__ import annotations
 
 OP1 = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
   FROM documents
 ),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE
+  SELECT DISTINCT rid, doc_id, unnest(CASE
     WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
   FROM w
 ),
-n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+n AS (SELECT rid, count(*) AS size FROM s GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, a.doc_id AS ia, b.doc_id AS ib, count(*) AS met FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  SELECT DISTINCT ia, ib FROM common JOIN n x ON x.rid = a JOIN n y ON y.rid = b
   WHERE 100 * met >= 80 * (x.size + y.size - met)
 ),
-reach AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT node, b FROM reach JOIN links ON a = seen)
-SELECT w.doc_id, CAST(coalesce(any_value(n.size), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id, w.doc_id = min(seen) AS kept
-FROM w LEFT JOIN n USING (doc_id) JOIN reach ON node = w.doc_id GROUP BY w.doc_id
+reach AS (SELECT DISTINCT doc_id AS node, doc_id AS seen FROM w WHERE doc_id IS NOT NULL UNION SELECT node, ib FROM reach JOIN links ON ia = seen),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w LEFT JOIN n USING (rid) LEFT JOIN least ON node = doc_id
 """
 
 
-def op10(rounds: int = 8, damping: float = 0.85) -> str:
-    """The rules, and the two walks written out round by round."""
+def op10(damping: float = 0.85, least: float = 1e-15) -> str:
+    """The rules, and the two walks: what restarts flows on, round by round, until nothing above `least` is on its way."""
     walks = ""
     for name, verdict, src, dst in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
         walks += f""",
-{name}_base AS (SELECT host, pages / sum(pages) OVER () * (1 - {damping}) AS score FROM seeds WHERE by_rule = '{verdict}'),
 {name}_share AS (SELECT {src} AS a, {dst} AS b, links / sum(links) OVER (PARTITION BY {src}) AS share FROM edges),
-{name}0 AS (SELECT host, score FROM {name}_base)"""
-        for i in range(rounds):
-            walks += f""",
-{name}{i + 1} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}_base UNION ALL
-  SELECT b, score * share * {damping} FROM {name}{i} JOIN {name}_share ON a = host) GROUP BY host)"""
+{name}_walk AS (
+  SELECT host, pages / sum(pages) OVER () * (1 - {damping}) AS x FROM seeds WHERE by_rule = '{verdict}'
+  UNION ALL
+  SELECT b AS host, sum(x * share * {damping}) AS x FROM {name}_walk JOIN {name}_share ON a = host GROUP BY b HAVING sum(x * share * {damping}) > {least}
+),
+{name} AS (SELECT host, sum(x) AS score FROM {name}_walk GROUP BY host)"""
     return f"""
-WITH h AS (
+WITH RECURSIVE h AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html
   FROM pages
@@ -57,9 +58,9 @@ seeds AS (SELECT host, by_rule, count(*) AS pages FROM k WHERE by_rule IS NOT NU
 found AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM k),
 edges AS (SELECT src, dst, count(*) AS links FROM found WHERE src <> dst AND src <> '' GROUP BY ALL){walks}
 SELECT page_id, k.host AS host, path, rule,
-  coalesce(by_rule, CASE WHEN coalesce(d{rounds}.score, 0) - coalesce(t{rounds}.score, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
-  by_rule IS NOT NULL AS ruled, round(coalesce(t{rounds}.score, 0), 9) AS trust, round(coalesce(d{rounds}.score, 0), 9) AS distrust
-FROM k LEFT JOIN t{rounds} ON t{rounds}.host = k.host LEFT JOIN d{rounds} ON d{rounds}.host = k.host
+  coalesce(by_rule, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+  by_rule IS NOT NULL AS ruled, round(coalesce(t.score, 0), 9) AS trust, round(coalesce(d.score, 0), 9) AS distrust
+FROM k LEFT JOIN t ON t.host = k.host LEFT JOIN d ON d.host = k.host
 """
 
 

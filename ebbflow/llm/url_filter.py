@@ -111,7 +111,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thre
     """page_id, host, path, rule, verdict, by_rule, trust, distrust of every page."""
     judged = judge_by_rules(pages, rules)
     scores = host_scores(judged, cut(host_edges(pages)), damping, tolerance)
-    dealt = judged.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    dealt = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     out = dealt.join(scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust - trust > threshold, "block").otherwise("allow")

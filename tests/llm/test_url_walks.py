@@ -32,3 +32,19 @@ def test_walks_end_at_the_converged_rank(spark):
     score = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([("a", 1.0)], "host string, weight double"))
     got = {r["host"]: r["score"] for r in score.collect()}
     assert {h for h, s in want.items() if s} == set(got) and all(abs(s / want[h] - 1) < 1e-9 for h, s in got.items())
+
+
+def test_the_sql_walks_as_far(spark):
+    import duckdb
+    import pandas as pd
+
+    from ebbflow.llm import sql
+
+    rows = [page(i, f"h{i}.org", f"h{i + 1}.org" if i < 19 else "bad.net", "h3.org") for i in range(20)]
+    rows += [page(30, "bad.net", path="/es/"), page(31, "good.com", "h0.org", "good.com"), (None, "http://h4.org/", None), (None, None, None), page(33, "apart.org", "else.org")]
+    pages = pd.DataFrame({"page_id": pd.array([r[0] for r in rows], "Int64"), "url": [r[1] for r in rows], "html": [r[2] for r in rows]})  # noqa: F841
+    cols = ["page_id", "host", "path", "rule", "verdict", "ruled", "trust", "distrust"]
+    want = duckdb.sql(f"SELECT {', '.join(cols)} FROM ({sql.op10()})").fetchall()
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).select(*cols).collect()
+    for g, w in zip(sorted(map(tuple, got), key=str), sorted(want, key=str), strict=True):
+        assert g[:6] == w[:6] and abs(g[6] - w[6]) < 2e-9 and abs(g[7] - w[7]) < 2e-9
