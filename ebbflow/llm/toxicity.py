@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Presence of hashed byte n-grams (4 to 8 bytes, ASCII letters lower-cased) is the feature set.  Fitting takes a
-bounded sample of labelled documents: document frequencies per class are counted over it in Spark, the log ratio of
-both classes' smoothed frequencies scales each feature, the most telling features stay, and logistic regression
-with an L2 penalty is fitted on them.  Scoring reads every whole text of every document.
+Presence of hashed byte n-grams (4 to 8 bytes, ASCII letters lower-cased) is the feature set: all 2^20 buckets.  Fitting takes a
+bounded sample of labelled documents, whose features are written once.  Document frequencies per class are counted over it,
+the log ratio of both classes' smoothed frequencies scales each feature, and logistic regression with an L2
+penalty is fitted by a quasi-Newton method: every step is a pass of Spark over the sample, which sends one gradient for each
+of its SAMPLE_PARTS parts.  A fifth of the sample is kept back from this: on it, a slope and an offset of the log-odds are fitted,
+so that a score of 0.5 is where both classes are as likely.  Scoring reads every whole text of every document.
 
 Defined results: a null text is empty and gets the score of a text without any feature; a null id is never in the
 training part and scores as held_out null-safe false; labels that are null do not train; several labels of one
@@ -28,16 +30,17 @@ from ebbflow.llm.common import MULTIPLIERS, cut, free_name, give_back, loads, lo
 
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
+#: Parts that the sample is dealt to: what a step sends to the driver is a gradient of each.
+SAMPLE_PARTS = 12
+#: One sample document in so many sets the slope and offset of the log-odds.
+KEPT_BACK = 5
 #: Lengths of n-grams in bytes, and log2 of the number of hashed buckets.
 ORDERS = (4, 5, 6, 7, 8)
 BUCKET_BITS = 20
-#: The model's size, the same for every input: features found in this many toxic sample documents at least, and of those
-#: the highest by |log ratio| x spread.
-LEAST_DOCS, FEATURES = 5, 2000
-SLICE = 1 << 15
-#: Bytes of text whose n-grams are counted at a time: every byte starts one of each order.
-COUNT_BLOCK = 1 << 18
-PENALTY, STEPS = 0.1, 600
+#: L2 penalty; most steps of fitting, the share of the first gradient at which it ends, and the steps that it remembers.
+PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 40, 1e-4, 6
+#: Features that a step works on at a time.
+SOME = 1 << 21
 
 
 @dataclass
@@ -48,87 +51,134 @@ class Model:
     bias: float
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, document) of every n-gram of a block, one pair of arrays for each order."""
-    view = loads(lowered(data))
-    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    n = int(offsets[-1])
+def distinct_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of every document of a block, each once, in the order of their last places."""
+    view, n = loads(lowered(data)), int(offsets[-1])
+    grams = []
     for k in ORDERS:
-        if n < k:
-            continue
-        inside = doc[: n - k + 1] == doc[k - 1 :]
-        gram = view[: n - k + 1] & np.uint64((1 << (8 * k)) - 1)
-        h = (gram ^ (gram >> np.uint64(23))) * MULTIPLIERS[k] >> np.uint64(64 - BUCKET_BITS)
-        yield h.astype(np.int32)[inside], doc[: n - k + 1][inside]
-
-
-def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Distinct (document << BUCKET_BITS | bucket) of a block, of the wanted buckets only if given."""
-    parts = []
-    for h, doc in buckets(data, offsets):
-        if wanted is not None:
-            hit = np.flatnonzero(wanted[h])
-            h, doc = h[hit], doc[hit]
-        parts.append(doc.astype(np.int64) << BUCKET_BITS | h)
-    both = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-    return both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+        gram = view[: max(0, n - k + 1)] & np.uint64((1 << (8 * k)) - 1)
+        grams.append(((gram ^ (gram >> np.uint64(23))) * MULTIPLIERS[k] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+    last = np.zeros(1 << BUCKET_BITS, np.int32)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = np.concatenate([g[a : b - k + 1] for g, k in zip(grams, ORDERS, strict=True) if b - a >= k] or [np.zeros(0, np.int32)])
+        place = np.arange(len(own), dtype=np.int32)
+        last[own] = place
+        yield own[last[own] == place]
+
+
+def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted buckets of every sample document, as compressed differences."""
+    for batch in batches:
+        for first, last, data, offsets in text_blocks(batch.column("text")):
+            sorted_ones = [np.sort(b) for b in distinct_buckets(data, offsets)]
+            packed = [pa.compress(np.diff(s, prepend=0).astype("<i4").tobytes(), "zstd", asbytes=True) for s in sorted_ones]
+            own = [batch.column(c).slice(first, last - first) for c in ("toxic", "back")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sorted_ones], pa.int32()), pa.array(packed, pa.binary())], names=["toxic", "back", "n", "grams"])
+    give_back()
 
 
-def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 1 << BUCKET_BITS
-    counts = np.zeros((2, size), np.int32)
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, document of each feature, its bucket) of some documents at a time."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([y for y, _ in held], float), np.repeat(np.arange(len(held)), [len(g) for _, g in held]), np.concatenate([g for _, g in held])
+
     for batch in batches:
-        toxic = np.asarray(batch.column("toxic").to_pylist(), np.int64)
-        for first, last, data, offsets in text_blocks(batch.column("text"), COUNT_BLOCK):
-            keys = present(data, offsets)
-            label = toxic[first:last][keys >> BUCKET_BITS]
-            for c in (0, 1):
-                counts[c] += np.bincount(keys[label == c] & (size - 1), minlength=size).astype(np.int32)
-    rows = [i for i in range(0, size, SLICE) if counts[:, i : i + SLICE].any()]
-    if rows:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i // SLICE for i in rows], pa.int32()), pa.array([counts[:, i : i + SLICE].astype("<i4").tobytes() for i in rows], pa.binary())], names=["slice", "counts"]
-        )
+        for y, n, packed in zip(*(batch.column(c).to_pylist() for c in ("toxic", "n", "grams")), strict=True):
+            held.append((y, np.cumsum(np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), "<i4")) if n else np.zeros(0, np.int64)))
+            if sum(len(g) for _, g in held) > SOME:
+                yield block()
+                held = []
+    if held:
+        yield block()
+
+
+def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each class have each bucket: one row for a part of the sample."""
+    counts, n = np.zeros((2, 1 << BUCKET_BITS), np.int32), [0, 0]
+    for y, doc, bucket in _blocks(batches):
+        for c in (0, 1):
+            counts[c] += np.bincount(bucket[y[doc] == c], minlength=counts.shape[1]).astype(np.int32)
+            n[c] += int((y == c).sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())), pa.array([counts.astype("<i4").tobytes()], pa.binary())], names=["n", "counts"])
     give_back()
 
 
-def _add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(2 * SLICE, np.int32)
-    for batch in rows:
-        for part in batch.column("counts"):
-            total += np.frombuffer(part.as_buffer(), "<i4")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+def _gradient(scaled: np.ndarray, bias: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Loss of a part of the sample, its gradient by bucket (without the features' scale) and by the bias."""
 
+    def gradient(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, by_bias, by_bucket = 0.0, 0.0, np.zeros(1 << BUCKET_BITS)
+        for y, doc, bucket in _blocks(batches):
+            odds = np.bincount(doc, scaled[bucket], minlength=len(y)) + bias
+            wrong = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y
+            loss += float((np.logaddexp(0, odds) - y * odds).sum())
+            by_bias += float(wrong.sum())
+            by_bucket += np.bincount(bucket, wrong[doc], minlength=len(by_bucket))
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([by_bucket.astype("<f4").tobytes()], pa.binary())], names=["loss", "by_bias", "by_bucket"])
+        give_back()
 
-def _chosen(wanted: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column("text")):
-                keys = present(data, offsets, wanted)
-                doc = keys >> BUCKET_BITS
-                bounds = np.searchsorted(doc, np.arange(last - first + 1))
-                grams = (keys & ((1 << BUCKET_BITS) - 1)).astype("<i4")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), batch.column("toxic").slice(first, last - first), pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-                    names=["doc_id", "toxic", "grams"],
-                )
-
-    return chosen
-
-
-def logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of L2-penalised logistic regression over sparse entries, by accelerated gradient descent."""
-    w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    v, vb, t = w.copy(), b, 1.0
-    step = 4.0 / (np.bincount(rows, x * x, minlength=len(y)).max() + 1 + penalty / len(y)) if len(x) else 1.0
+    return gradient
+
+
+def _odds(weight: np.ndarray, bias: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def odds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, doc, bucket in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(np.bincount(doc, weight[bucket], minlength=len(y)) + bias)], names=["toxic", "odds"])
+
+    return odds
+
+
+def calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that make log-odds of known labels the likeliest; (1, 0) without labels of both classes, or a falling slope.
+
+    Labels are smoothed by one document of each class, so that classes which the odds part wholly have finite ones.
+    """
+    if not y.any() or y.all():
+        return 1.0, 0.0
+    order = np.lexsort((y, odds))
+    odds, y = odds[order], y[order]
+    goal, scale = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)), float(np.abs(odds).max()) or 1.0
+
+    def loss_of(v: np.ndarray) -> tuple[float, np.ndarray]:
+        at = v[0] * odds / scale + v[1]
+        wrong = 1 / (1 + np.exp(-np.clip(at, -500, 500))) - goal
+        return float((np.logaddexp(0, at) - goal * at).mean()), np.array([float((wrong * odds / scale).mean()), float(wrong.mean())])
+
+    slope, offset = minimise(loss_of, np.array([1.0, 0.0]), 200, 1e-8)
+    return (float(slope) / scale, float(offset)) if slope > 0 else (1.0, 0.0)
+
+
+def minimise(loss_of: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = STEPS, enough: float = ENOUGH) -> np.ndarray:
+    """The least of a smooth convex function, by L-BFGS: directions from the last steps, halved until the loss falls enough."""
+    x = start
+    loss, gradient = loss_of(x)
+    first, pairs = float(np.linalg.norm(gradient)), []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, x * v[cols], minlength=len(y)) + vb, -30, 30)))
-        g = np.bincount(cols, x * (p - y)[rows], minlength=width) / len(y) + penalty / len(y) * v
-        new, new_b = v - step * g, vb - step * float((p - y).mean())
-        grown = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v, vb = new + (t - 1) / grown * (new - w), new_b + (t - 1) / grown * (new_b - b)
-        w, b, t = new, new_b, grown
-    return w, b
+        if np.linalg.norm(gradient) <= enough * first:
+            break
+        way, alphas = -gradient, []
+        for s, y, rho in reversed(pairs):
+            alphas.append(rho * float(s @ way))
+            way = way - alphas[-1] * y
+        way = way * (float(pairs[-1][0] @ pairs[-1][1]) / float(pairs[-1][1] @ pairs[-1][1]) if pairs else min(1.0, 1 / max(first, 1e-12)))
+        for (s, y, rho), alpha in zip(pairs, reversed(alphas), strict=True):
+            way = way + (alpha - rho * float(y @ way)) * s
+        slope, size = float(gradient @ way), 1.0
+        for _ in range(20):
+            new = x + size * way
+            new_loss, new_gradient = loss_of(new)
+            if new_loss <= loss + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = new - x, new_gradient - gradient
+        if float(s @ y) > 1e-12:
+            pairs = [*pairs[-REMEMBERED + 1 :], (s, y, 1 / float(s @ y))]
+        x, loss, gradient = new, new_loss, new_gradient
+    return x
 
 
 def training_part(doc_id: Column) -> Column:
@@ -145,43 +195,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> Model:
-    """Fit on the bounded sample; what reaches the driver is bucket counts and the sample's chosen features."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER, kept_back: int = KEPT_BACK) -> Model:
+    """Fit on the bounded sample; what reaches the driver is counts and gradients of all buckets, one of each part of the sample.
+
+    kept_back: one document in so many sets the slope and the offset (0: none does, and the fit's own odds stay).
+    """
     size = 1 << BUCKET_BITS
-    sample = cut(labelled_sample(docs, labels, toxic, other).repartition(12))
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n.get(1) or not n.get(0):
-        return Model(np.zeros(size, np.float32), 30.0 if n.get(1) else -30.0)
-    counts = np.zeros((2, size), np.int64)
-    for row in sample.select("toxic", "text").mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect():
-        counts[:, row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], "<i4").reshape(2, -1)
-    share = (counts + 1.0) / (np.array([[n[0]], [n[1]]]) + 2.0)
-    ratio = np.log(share[1] / share[0])
-    spread = np.sqrt(counts.sum(0) / (n[0] + n[1]))
-    worth = np.where(counts[1] >= min(LEAST_DOCS, n[1]), np.abs(ratio) * spread, 0)
-    top = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
-    top = top[worth[top] > 0]
-    wanted = np.zeros(size, bool)
-    wanted[top] = True
-    rows = sample.mapInArrow(_chosen(wanted), "doc_id long, toxic int, grams binary").orderBy("doc_id", "toxic", "grams").collect()
-    grams = [np.frombuffer(r["grams"], "<i4") for r in rows]
-    cols = np.searchsorted(top, np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-    w, bias = logistic(np.repeat(np.arange(len(rows)), [len(g) for g in grams]), cols, ratio[top][cols], np.array([r["toxic"] for r in rows], float), len(top))
-    weight = np.zeros(size, np.float32)
-    weight[top] = w * ratio[top]
-    return Model(weight, bias)
+    texts = labelled_sample(small_batches(docs), labels, toxic, other)
+    back = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(kept_back)) == 0 if kept_back else F.lit(False)
+    whole = cut(texts.withColumn("back", back).repartition(SAMPLE_PARTS).mapInArrow(_features, "toxic int, back boolean, n int, grams binary"))
+    sample = whole.filter("not back")
+    counts, n = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+    for row in sample.mapInArrow(_frequencies, "n array<long>, counts binary").toLocalIterator():
+        counts += np.frombuffer(row["counts"], "<i4").reshape(2, -1)
+        n += row["n"]
+    if not n[0] or not n[1]:
+        return Model(np.zeros(size, np.float32), 30.0 if n[1] else -30.0)
+    share = (counts + 1.0) / (n[:, None] + 2.0)
+    ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0.0)
+    del counts, share
+
+    def loss_of(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss and gradient at weights x[:-1] of the scaled features and bias x[-1]."""
+        w, total = x[:-1], int(n.sum())
+        loss, gradient = PENALTY / 2 * float(w @ w), np.append(PENALTY * w, 0.0)
+        for row in sample.mapInArrow(_gradient((w * ratio).astype(np.float32), float(x[-1])), "loss double, by_bias double, by_bucket binary").collect():  # SAMPLE_PARTS rows
+            loss += row["loss"]
+            gradient[:-1] += ratio * np.frombuffer(row["by_bucket"], "<f4")
+            gradient[-1] += row["by_bias"]
+        return loss / total, gradient / total
+
+    x = minimise(loss_of, np.append(np.zeros(size), np.log((n[1] + 1) / (n[0] + 1))))
+    weight, bias = (x[:-1] * ratio).astype(np.float32), float(x[-1])
+    odds = whole.filter("back").mapInArrow(_odds(weight, bias), "toxic int, odds double").collect()  # of a fifth of the sample
+    slope, offset = calibrated(np.array([r["odds"] for r in odds]), np.array([r["toxic"] for r in odds], float))
+    return Model((slope * weight).astype(np.float32), slope * bias + offset)
 
 
 def _score(model: Model, name: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = model.weight != 0
+        weight = model.weight.astype(np.float64)
         for batch in batches:
-            parts = [np.zeros(0)]
-            for first, last, data, offsets in text_blocks(batch.column("text")):
-                keys = present(data, offsets, wanted)
-                parts.append(np.bincount(keys >> BUCKET_BITS, model.weight[keys & ((1 << BUCKET_BITS) - 1)].astype(np.float64), minlength=last - first) + model.bias)
-            odds = np.concatenate(parts)
-            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700)))))
+            odds = [float(weight[b].sum()) + model.bias for _, _, data, offsets in text_blocks(batch.column("text")) for b in distinct_buckets(data, offsets)]
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(np.array(odds, float), -700, 700)))))
         give_back()
 
     return score

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 import re
 from collections import Counter
 
@@ -28,7 +29,8 @@ def test_toxicity_scores_equal_a_plain_classifier(spark):
         texts.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
     frame, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in toxicity.score_documents(frame, known).collect()}
+    model = toxicity.fit(frame, known, kept_back=0)
+    got = {r["doc_id"]: (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, r["__score"]) for r in toxicity.score_texts(frame, model).collect()}
 
     train = [i for i, _ in texts if not got[i][0]]
     y = np.array([labels[i][2] for i in train], float)
@@ -36,14 +38,12 @@ def test_toxicity_scores_equal_a_plain_classifier(spark):
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     seen = {1: Counter(g for s, t in zip(sets, y, strict=True) if t for g in s), 0: Counter(g for s, t in zip(sets, y, strict=True) if not t for g in s)}
     ratio = {g: np.log(((seen[1][g] + 1) / (n1 + 2)) / ((seen[0][g] + 1) / (n0 + 2))) for g in {*seen[0], *seen[1]}}
-    worth = {g: abs(ratio[g]) * np.sqrt((seen[0][g] + seen[1][g]) / (n0 + n1)) for g in ratio if seen[1][g] >= toxicity.LEAST_DOCS and ratio[g]}
-    assert len(worth) < toxicity.FEATURES  # so both take all of them
-    top = sorted(worth)
+    top = sorted(ratio)  # all of them
     x = np.array([[ratio[g] if g in s else 0.0 for g in top] for s in sets])
-    # the same number of accelerated steps, over dense features
+    # accelerated steps over dense features, until nothing changes
     w, b, step = np.zeros(len(top)), float(np.log((n1 + 1) / (n0 + 1))), 4 / ((x * x).sum(axis=1).max() + 1 + toxicity.PENALTY / len(y))
     ahead, ahead_b, t = w, b, 1.0
-    for _ in range(toxicity.STEPS):
+    for _ in range(5000):
         wrong = 1 / (1 + np.exp(-(x @ ahead + ahead_b))) - y
         new, new_b = ahead - step * (x.T @ wrong + toxicity.PENALTY * ahead) / len(y), ahead_b - step * wrong.mean()
         grown = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -61,13 +61,29 @@ def test_fitting_comes_to_the_least_loss():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (200, 6)).astype(float)
     y = (rng.random(200) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1, -2, 0.5] - 0.3)))).astype(float)
-    rows, cols = np.nonzero(x)
-    got, bias = toxicity.logistic(rows, cols, x[rows, cols], y, 6)
+
+    def loss_of(v):
+        odds = x @ v[:-1] + v[-1]
+        wrong = 1 / (1 + np.exp(-odds)) - y
+        return (np.logaddexp(0, odds) - y * odds).sum() + toxicity.PENALTY / 2 * v[:-1] @ v[:-1], np.append(x.T @ wrong + toxicity.PENALTY * v[:-1], wrong.sum())
+
+    got = toxicity.minimise(loss_of, np.zeros(7), enough=1e-8)
     full, w, penalty = np.hstack([x, np.ones((200, 1))]), np.zeros(7), np.append(np.full(6, toxicity.PENALTY), 0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-full @ w))
         w -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty), full.T @ (p - y) + penalty * w)
-    assert np.abs(np.append(got, bias) - w).max() < 1e-3
+    assert np.abs(got - w).max() < 1e-3
+
+
+def test_odds_are_calibrated_on_documents_kept_back():
+    rng = np.random.default_rng(4)
+    odds = rng.normal(0, 3, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * odds - 1)))).astype(float)
+    slope, offset = toxicity.calibrated(odds, y)
+    assert abs(slope - 0.5) < 0.05 and abs(offset + 1) < 0.15
+    assert toxicity.calibrated(odds, np.zeros(4000)) == (1.0, 0.0) == toxicity.calibrated(odds[:0], y[:0])
+    slope, offset = toxicity.calibrated(np.array([-1e6, -2.0, 3.0]), np.array([0.0, 0.0, 1.0]))
+    assert np.isfinite([slope, offset]).all() and slope > 0
 
 
 def test_quality_scores_equal_plain_ratios(spark):

@@ -40,8 +40,8 @@ def test_the_sql_walks_as_far(spark):
 
     from ebbflow.llm import sql
 
-    rows = [page(i, f"h{i}.org", f"h{i + 1}.org" if i < 19 else "bad.net", "h3.org") for i in range(20)]
-    rows += [page(30, "bad.net", path="/es/"), page(31, "good.com", "h0.org", "good.com"), (None, "http://h4.org/", None), (None, None, None), page(33, "apart.org", "else.org")]
+    rows = [page(i, f"h{i}.org", f"h{i + 1}.org" if i < 11 else "bad.net") for i in range(12)]
+    rows += [page(30, "bad.net", path="/es/"), page(31, "good.com", "h9.org", "good.com"), (None, "http://h4.org/", None), (None, None, None), page(33, "apart.org", "else.org")]
     pages = pd.DataFrame({"page_id": pd.array([r[0] for r in rows], "Int64"), "url": [r[1] for r in rows], "html": [r[2] for r in rows]})  # noqa: F841
     cols = ["page_id", "host", "path", "rule", "verdict", "ruled", "trust", "distrust"]
     want = duckdb.sql(f"SELECT {', '.join(cols)} FROM ({sql.op10()})").fetchall()
