@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,14 @@ from ebbflow.llm.common import MULTIPLIERS, cut, free_name, give_back, loads, lo
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 #: Parts that the sample is dealt to: what a step sends to the driver is a gradient of each.
-SAMPLE_PARTS = 12
+SAMPLE_PARTS = 6
 #: One sample document in so many sets the slope and offset of the log-odds.
 KEPT_BACK = 5
 #: Lengths of n-grams in bytes, and log2 of the number of hashed buckets.
 ORDERS = (4, 5, 6, 7, 8)
 BUCKET_BITS = 20
 #: L2 penalty; most steps of fitting, the share of the first gradient at which it ends, and the steps that it remembers.
-PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 40, 1e-4, 6
+PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 25, 2e-4, 6
 #: Features that a step works on at a time.
 SOME = 1 << 21
 
@@ -105,11 +106,11 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _gradient(scaled: np.ndarray, bias: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _gradient(sent: Broadcast, bias: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Loss of a part of the sample, its gradient by bucket (without the features' scale) and by the bias."""
 
     def gradient(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, by_bias, by_bucket = 0.0, 0.0, np.zeros(1 << BUCKET_BITS)
+        loss, by_bias, by_bucket, scaled = 0.0, 0.0, np.zeros(1 << BUCKET_BITS), sent.value.astype(np.float32)
         for y, doc, bucket in _blocks(batches):
             odds = np.bincount(doc, scaled[bucket], minlength=len(y)) + bias
             wrong = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y
@@ -219,7 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: in
         """Mean loss and gradient at weights x[:-1] of the scaled features and bias x[-1]."""
         w, total = x[:-1], int(n.sum())
         loss, gradient = PENALTY / 2 * float(w @ w), np.append(PENALTY * w, 0.0)
-        for row in sample.mapInArrow(_gradient((w * ratio).astype(np.float32), float(x[-1])), "loss double, by_bias double, by_bucket binary").collect():  # SAMPLE_PARTS rows
+        sent = docs.sparkSession.sparkContext.broadcast((w * ratio).astype(np.float16))  # 2 MB a step, which goes again
+        rows = sample.mapInArrow(_gradient(sent, float(x[-1])), "loss double, by_bias double, by_bucket binary").collect()  # SAMPLE_PARTS rows
+        sent.destroy()
+        for row in rows:
             loss += row["loss"]
             gradient[:-1] += ratio * np.frombuffer(row["by_bucket"], "<f4")
             gradient[-1] += row["by_bias"]
