@@ -32,14 +32,14 @@ from ebbflow.llm.common import MULTIPLIERS, cut, free_name, give_back, loads, lo
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 #: Parts that the sample is dealt to: what a step sends to the driver is a gradient of each.
-SAMPLE_PARTS = 6
+SAMPLE_PARTS = 4
 #: One sample document in so many sets the slope and offset of the log-odds.
 KEPT_BACK = 5
 #: Lengths of n-grams in bytes, and log2 of the number of hashed buckets.
 ORDERS = (4, 5, 6, 7, 8)
 BUCKET_BITS = 20
 #: L2 penalty; most steps of fitting, the share of the first gradient at which it ends, and the steps that it remembers.
-PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 25, 2e-4, 6
+PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 25, 2e-4, 4
 #: Features that a step works on at a time.
 SOME = 1 << 21
 
@@ -175,10 +175,13 @@ def minimise(loss_of: Callable[[np.ndarray], tuple[float, np.ndarray]], start: n
             size /= 2
         else:
             break
-        s, y = new - x, new_gradient - gradient
-        if float(s @ y) > 1e-12:
-            pairs = [*pairs[-REMEMBERED + 1 :], (s, y, 1 / float(s @ y))]
+        s, y = (new - x).astype(np.float32), (new_gradient - gradient).astype(np.float32)  # what is remembered is direction only
+        bend = float(np.einsum("i,i->", s, y, dtype=np.float64))
+        if bend > 1e-12:
+            pairs = [*pairs[-REMEMBERED + 1 :], (s, y, 1 / bend)]
         x, loss, gradient = new, new_loss, new_gradient
+        del new, new_gradient, s, y, way
+        give_back()
     return x
 
 
@@ -206,14 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: in
     back = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(kept_back)) == 0 if kept_back else F.lit(False)
     whole = cut(texts.withColumn("back", back).repartition(SAMPLE_PARTS).mapInArrow(_features, "toxic int, back boolean, n int, grams binary"))
     sample = whole.filter("not back")
-    counts, n = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+    counts, n = np.zeros((2, size), np.int32), np.zeros(2, np.int64)
     for row in sample.mapInArrow(_frequencies, "n array<long>, counts binary").toLocalIterator():
         counts += np.frombuffer(row["counts"], "<i4").reshape(2, -1)
         n += row["n"]
     if not n[0] or not n[1]:
         return Model(np.zeros(size, np.float32), 30.0 if n[1] else -30.0)
     share = (counts + 1.0) / (n[:, None] + 2.0)
-    ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0.0)
+    ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0.0).astype(np.float32)
     del counts, share
 
     def loss_of(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -223,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: in
         sent = docs.sparkSession.sparkContext.broadcast((w * ratio).astype(np.float16))  # 2 MB a step, which goes again
         rows = sample.mapInArrow(_gradient(sent, float(x[-1])), "loss double, by_bias double, by_bucket binary").collect()  # SAMPLE_PARTS rows
         sent.destroy()
-        for row in rows:
+        while rows:
+            row = rows.pop()
             loss += row["loss"]
             gradient[:-1] += ratio * np.frombuffer(row["by_bucket"], "<f4")
             gradient[-1] += row["by_bias"]
