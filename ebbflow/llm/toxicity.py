@@ -32,7 +32,7 @@ from ebbflow.llm.common import MULTIPLIERS, cut, free_name, give_back, loads, lo
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 #: Parts that the sample is dealt to: what a step sends to the driver is a gradient of each.
-SAMPLE_PARTS = 4
+SAMPLE_PARTS = 2
 #: One sample document in so many sets the slope and offset of the log-odds.
 KEPT_BACK = 5
 #: Lengths of n-grams in bytes, and log2 of the number of hashed buckets.
