@@ -1,15 +1,17 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Presence of hashed byte n-grams (4 to 8 bytes, ASCII letters lower-cased) is the feature set: all 2^20 buckets.  Fitting takes a
-bounded sample of labelled documents, whose features are written once.  Document frequencies per class are counted over it,
-the log ratio of both classes' smoothed frequencies scales each feature, and logistic regression with an L2
-penalty is fitted by a quasi-Newton method: every step is a pass of Spark over the sample, which sends one gradient for each
-of its SAMPLE_PARTS parts.  A fifth of the sample is kept back from this: on it, a slope and an offset of the log-odds are fitted,
+bounded sample of labelled documents, one text for each id, whose features are written once, cut into slices of buckets.  In each
+slice document frequencies per class are counted, and the log ratio of both classes' smoothed frequencies scales each feature.
+Logistic regression with an L2 penalty is fitted by a quasi-Newton method.  Its weights are always sums of the sample's own rows, so
+it works on one coefficient for each sample document: a step multiplies the coefficients by the rows' inner products, a pass of
+Spark in which each slice adds its share.  Neither features nor weights reach the driver before the last pass.
+A fifth of the sample is kept back from this: on it, a slope and an offset of the log-odds are fitted,
 so that a score of 0.5 is where both classes are as likely.  Scoring reads every whole text of every document.
 
 Defined results: a null text is empty and gets the score of a text without any feature; a null id is never in the
 training part and scores as held_out null-safe false; labels that are null do not train; several labels of one
-document count as toxic if any is; repeated rows are kept, one result each; an empty table gives an empty result;
+document count as toxic if any is, and of an id with several texts the one with the smallest hash trains; repeated rows are kept, one result each; an empty table gives an empty result;
 without labels of both classes nothing is learned: every score is almost 1 if all labels are toxic, else almost 0; a
 very long text is scored whole, as a block of its own; extra columns are ignored, or kept where documents are
 (one with the score column's name too).
@@ -22,8 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +32,17 @@ from ebbflow.llm.common import MULTIPLIERS, cut, free_name, give_back, loads, lo
 
 #: Most labelled documents that fitting takes, toxic and others; those with the smallest hash of their id.
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
-#: Parts that the sample is dealt to: what a step sends to the driver is a gradient of each.
-SAMPLE_PARTS = 2
+#: Parts that the sample's slices are dealt to: a step sends a number for each sample document from each of them to the driver.
+SAMPLE_PARTS = 8
 #: One sample document in so many sets the slope and offset of the log-odds.
 KEPT_BACK = 5
 #: Lengths of n-grams in bytes, and log2 of the number of hashed buckets.
 ORDERS = (4, 5, 6, 7, 8)
 BUCKET_BITS = 20
+#: log2 of the buckets of a slice; a number of a sample document has what an int32 leaves beside it.
+SLICE_BITS = 12
 #: L2 penalty; most steps of fitting, the share of the first gradient at which it ends, and the steps that it remembers.
 PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 25, 2e-4, 4
-#: Features that a step works on at a time.
-SOME = 1 << 21
 
 
 @dataclass
@@ -67,68 +68,82 @@ def distinct_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarr
         yield own[last[own] == place]
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending int32 numbers, as their count and compressed byte planes of their differences."""
+    planes = np.diff(keys, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return len(keys).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    planes = np.frombuffer(pa.decompress(packed[4:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted buckets of every sample document, as compressed differences."""
+    """For each block of sample documents and each slice of buckets: the pairs (document's number, bucket within the slice)."""
+    bounds = np.arange((1 << (BUCKET_BITS - SLICE_BITS)) + 1, dtype=np.int64) << 31
     for batch in batches:
+        numbers = batch.column("number").to_numpy().astype(np.int64)
         for first, last, data, offsets in text_blocks(batch.column("text")):
-            sorted_ones = [np.sort(b) for b in distinct_buckets(data, offsets)]
-            packed = [pa.compress(np.diff(s, prepend=0).astype("<i4").tobytes(), "zstd", asbytes=True) for s in sorted_ones]
-            own = [batch.column(c).slice(first, last - first) for c in ("toxic", "back")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sorted_ones], pa.int32()), pa.array(packed, pa.binary())], names=["toxic", "back", "n", "grams"])
+            found = list(distinct_buckets(data, offsets))
+            bucket = np.concatenate(found).astype(np.int64)
+            keys = bucket >> SLICE_BITS << 31 | np.repeat(numbers[first:last], [len(b) for b in found]) << SLICE_BITS | bucket & ((1 << SLICE_BITS) - 1)
+            keys.sort()
+            cuts = np.searchsorted(keys, bounds)
+            filled = np.flatnonzero(np.diff(cuts))
+            chunks = [_packed(keys[cuts[i] : cuts[i + 1]] - bounds[i]) for i in filled.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(chunks, pa.binary())], names=["slice", "chunk"])
     give_back()
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(labels, document of each feature, its bucket) of some documents at a time."""
-    held: list[tuple[int, np.ndarray]] = []
+def _slices(label: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A slice's pairs of all documents, and the square of each bucket's scale; label is 0, 1, or -1 where a document does not train."""
+
+    def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [int((label == c).sum()) for c in (0, 1)]
+        for batch in batches:
+            for number, chunks in zip(batch.column("slice").to_pylist(), batch.column("chunks"), strict=True):
+                keys = np.sort(np.concatenate([_unpacked(c) for c in chunks.as_py()]))
+                doc, bucket = keys >> SLICE_BITS, keys & ((1 << SLICE_BITS) - 1)
+                counts = [np.bincount(bucket[label[doc] == c], minlength=1 << SLICE_BITS) for c in (0, 1)]
+                ratio = np.log((counts[1] + 1) / (totals[1] + 2)) - np.log((counts[0] + 1) / (totals[0] + 2))
+                squares = np.where(counts[0] + counts[1] > 0, ratio * ratio, 0.0).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([_packed(keys)], pa.binary()), pa.array([squares.tobytes()], pa.binary())], names=["slice", "pairs", "squares"])
+        give_back()
+
+    return slices
 
-    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([y for y, _ in held], float), np.repeat(np.arange(len(held)), [len(g) for _, g in held]), np.concatenate([g for _, g in held])
 
+def _summed(batches: Iterable[pa.RecordBatch], rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every slice: its number, the weights of its buckets in the sum of the documents' rows times `rows`, and its pairs."""
     for batch in batches:
-        for y, n, packed in zip(*(batch.column(c).to_pylist() for c in ("toxic", "n", "grams")), strict=True):
-            held.append((y, np.cumsum(np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), "<i4")) if n else np.zeros(0, np.int64)))
-            if sum(len(g) for _, g in held) > SOME:
-                yield block()
-                held = []
-    if held:
-        yield block()
-
-
-def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of each class have each bucket: one row for a part of the sample."""
-    counts, n = np.zeros((2, 1 << BUCKET_BITS), np.int32), [0, 0]
-    for y, doc, bucket in _blocks(batches):
-        for c in (0, 1):
-            counts[c] += np.bincount(bucket[y[doc] == c], minlength=counts.shape[1]).astype(np.int32)
-            n[c] += int((y == c).sum())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())), pa.array([counts.astype("<i4").tobytes()], pa.binary())], names=["n", "counts"])
-    give_back()
+        for number, packed, squares in zip(*(batch.column(c) for c in ("slice", "pairs", "squares")), strict=True):
+            keys = _unpacked(packed.as_py())
+            doc, bucket = keys >> SLICE_BITS, keys & ((1 << SLICE_BITS) - 1)
+            yield number.as_py(), np.frombuffer(squares.as_py(), "<f4") * np.bincount(bucket, rows[doc], minlength=1 << SLICE_BITS), doc, bucket
 
 
-def _gradient(sent: Broadcast, bias: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Loss of a part of the sample, its gradient by bucket (without the features' scale) and by the bias."""
+def _products(rows: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the slices of a part add to the inner products of every document's row with the sum of rows."""
 
-    def gradient(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, by_bias, by_bucket, scaled = 0.0, 0.0, np.zeros(1 << BUCKET_BITS), sent.value.astype(np.float32)
-        for y, doc, bucket in _blocks(batches):
-            odds = np.bincount(doc, scaled[bucket], minlength=len(y)) + bias
-            wrong = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y
-            loss += float((np.logaddexp(0, odds) - y * odds).sum())
-            by_bias += float(wrong.sum())
-            by_bucket += np.bincount(bucket, wrong[doc], minlength=len(by_bucket))
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([by_bucket.astype("<f4").tobytes()], pa.binary())], names=["loss", "by_bias", "by_bucket"])
+    def products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(rows))
+        for _, weight, doc, bucket in _summed(batches, rows):
+            total += np.bincount(doc, weight[bucket], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["total"])
         give_back()
 
-    return gradient
+    return products
 
 
-def _odds(weight: np.ndarray, bias: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def odds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for y, doc, bucket in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(np.bincount(doc, weight[bucket], minlength=len(y)) + bias)], names=["toxic", "odds"])
+def _weights(rows: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def weights(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, weight, _, _ in _summed(batches, rows):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([weight.astype("<f4").tobytes()], pa.binary())], names=["slice", "weight"])
+        give_back()
 
-    return odds
+    return weights
 
 
 def calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -151,22 +166,25 @@ def calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(slope) / scale, float(offset)) if slope > 0 else (1.0, 0.0)
 
 
-def minimise(loss_of: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = STEPS, enough: float = ENOUGH) -> np.ndarray:
-    """The least of a smooth convex function, by L-BFGS: directions from the last steps, halved until the loss falls enough."""
+def minimise(loss_of: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = STEPS, enough: float = ENOUGH, inner: Callable[[np.ndarray, np.ndarray], float] = np.dot) -> np.ndarray:
+    """The least of a smooth convex function, by L-BFGS: directions from the last steps, halved until the loss falls enough.
+
+    inner is the inner product that gradients are taken in.
+    """
     x = start
     loss, gradient = loss_of(x)
-    first, pairs = float(np.linalg.norm(gradient)), []
+    first, pairs = max(0.0, float(inner(gradient, gradient))) ** 0.5, []
     for _ in range(steps):
-        if np.linalg.norm(gradient) <= enough * first:
+        if max(0.0, float(inner(gradient, gradient))) ** 0.5 <= enough * first:
             break
         way, alphas = -gradient, []
-        for s, y, rho in reversed(pairs):
-            alphas.append(rho * float(s @ way))
+        for s, y, bend in reversed(pairs):
+            alphas.append(float(inner(s, way)) / bend)
             way = way - alphas[-1] * y
-        way = way * (float(pairs[-1][0] @ pairs[-1][1]) / float(pairs[-1][1] @ pairs[-1][1]) if pairs else min(1.0, 1 / max(first, 1e-12)))
-        for (s, y, rho), alpha in zip(pairs, reversed(alphas), strict=True):
-            way = way + (alpha - rho * float(y @ way)) * s
-        slope, size = float(gradient @ way), 1.0
+        way = way * (pairs[-1][2] / float(inner(pairs[-1][1], pairs[-1][1])) if pairs else min(1.0, 1 / max(first, 1e-12)))
+        for (s, y, bend), alpha in zip(pairs, reversed(alphas), strict=True):
+            way = way + (alpha - float(inner(y, way)) / bend) * s
+        slope, size = float(inner(gradient, way)), 1.0
         for _ in range(20):
             new = x + size * way
             new_loss, new_gradient = loss_of(new)
@@ -175,13 +193,10 @@ def minimise(loss_of: Callable[[np.ndarray], tuple[float, np.ndarray]], start: n
             size /= 2
         else:
             break
-        s, y = (new - x).astype(np.float32), (new_gradient - gradient).astype(np.float32)  # what is remembered is direction only
-        bend = float(np.einsum("i,i->", s, y, dtype=np.float64))
-        if bend > 1e-12:
-            pairs = [*pairs[-REMEMBERED + 1 :], (s, y, 1 / bend)]
+        s, y = new - x, new_gradient - gradient
+        if (bend := float(inner(s, y))) > 1e-12:
+            pairs = [*pairs[-REMEMBERED + 1 :], (s, y, bend)]
         x, loss, gradient = new, new_loss, new_gradient
-        del new, new_gradient, s, y, way
-        give_back()
     return x
 
 
@@ -191,53 +206,58 @@ def training_part(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> DataFrame:
-    """doc_id, toxic, text of the bounded training sample."""
+    """doc_id, number (from 0, each its own), toxic, text of the bounded training sample: one text for each id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & training_part(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.filter("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.filter("toxic = 0").orderBy(*order).limit(other))
-    # at most SAMPLE_TOXIC + SAMPLE_OTHER ids and labels
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # at most SAMPLE_TOXIC + SAMPLE_OTHER ids and labels, numbered and sent to all
+    numbered = sample.withColumn("number", F.row_number().over(Window.orderBy("toxic", *order)) - 1)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(numbered), "doc_id")
+    return found.groupBy("doc_id", "number", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER, kept_back: int = KEPT_BACK) -> Model:
-    """Fit on the bounded sample; what reaches the driver is counts and gradients of all buckets, one of each part of the sample.
+    """Fit on the bounded sample; what reaches the driver is some numbers for each sample document, and at last one weight for each bucket.
 
     kept_back: one document in so many sets the slope and the offset (0: none does, and the fit's own odds stay).
     """
-    size = 1 << BUCKET_BITS
-    texts = labelled_sample(small_batches(docs), labels, toxic, other)
+    if toxic + other > 1 << (31 - SLICE_BITS):
+        raise ValueError(f"a sample has at most {1 << (31 - SLICE_BITS)} documents")
     back = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(kept_back)) == 0 if kept_back else F.lit(False)
-    whole = cut(texts.withColumn("back", back).repartition(SAMPLE_PARTS).mapInArrow(_features, "toxic int, back boolean, n int, grams binary"))
-    sample = whole.filter("not back")
-    counts, n = np.zeros((2, size), np.int32), np.zeros(2, np.int64)
-    for row in sample.mapInArrow(_frequencies, "n array<long>, counts binary").toLocalIterator():
-        counts += np.frombuffer(row["counts"], "<i4").reshape(2, -1)
-        n += row["n"]
+    texts = cut(labelled_sample(small_batches(docs), labels, toxic, other).withColumn("back", back))
+    rows = texts.select("number", "toxic", "back").collect()  # the bounded sample's labels
+    size = max((r["number"] for r in rows), default=-1) + 1
+    label, held = np.full(size, -1), np.full(size, -1)
+    for r in rows:
+        (held if r["back"] else label)[r["number"]] = r["toxic"]
+    n = [int((label == c).sum()) for c in (0, 1)]
     if not n[0] or not n[1]:
-        return Model(np.zeros(size, np.float32), 30.0 if n[1] else -30.0)
-    share = (counts + 1.0) / (n[:, None] + 2.0)
-    ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0.0).astype(np.float32)
-    del counts, share
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), 30.0 if n[1] else -30.0)
+    chunks = texts.select("number", "text").mapInArrow(_features, "slice int, chunk binary").repartition(SAMPLE_PARTS, "slice")
+    by_slice = chunks.groupBy("slice").agg(F.collect_list("chunk").alias("chunks")).coalesce(SAMPLE_PARTS)
+    slices = cut(by_slice.mapInArrow(_slices(label), "slice int, pairs binary, squares binary"))
+    train, total = label >= 0, sum(n)
+    y = label[train]
+
+    def inner(a: np.ndarray, b: np.ndarray) -> float:
+        """Of points that hold a coefficient for each row, the inner products of their sum with each row, and the bias."""
+        return float(a[:size] @ b[size : 2 * size] + a[-1] * b[-1])
 
     def loss_of(x: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss and gradient at weights x[:-1] of the scaled features and bias x[-1]."""
-        w, total = x[:-1], int(n.sum())
-        loss, gradient = PENALTY / 2 * float(w @ w), np.append(PENALTY * w, 0.0)
-        sent = docs.sparkSession.sparkContext.broadcast((w * ratio).astype(np.float16))  # 2 MB a step, which goes again
-        rows = sample.mapInArrow(_gradient(sent, float(x[-1])), "loss double, by_bias double, by_bucket binary").collect()  # SAMPLE_PARTS rows
-        sent.destroy()
-        while rows:
-            row = rows.pop()
-            loss += row["loss"]
-            gradient[:-1] += ratio * np.frombuffer(row["by_bucket"], "<f4")
-            gradient[-1] += row["by_bias"]
-        return loss / total, gradient / total
-
-    x = minimise(loss_of, np.append(np.zeros(size), np.log((n[1] + 1) / (n[0] + 1))))
-    weight, bias = (x[:-1] * ratio).astype(np.float32), float(x[-1])
-    odds = whole.filter("back").mapInArrow(_odds(weight, bias), "toxic int, odds double").collect()  # of a fifth of the sample
-    slope, offset = calibrated(np.array([r["odds"] for r in odds]), np.array([r["toxic"] for r in odds], float))
-    return Model((slope * weight).astype(np.float32), slope * bias + offset)
+        """Mean loss and gradient, as a point like x."""
+        odds, wrong, products = x[size : 2 * size][train] + x[-1], np.zeros(size), np.zeros(size)
+        wrong[train] = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y
+        for row in slices.mapInArrow(_products(wrong), "total binary").collect():  # SAMPLE_PARTS rows
+            products += np.frombuffer(row["total"], "<f8")
+        loss = PENALTY / 2 * float(x[:size] @ x[size : 2 * size]) + float((np.logaddexp(0, odds) - y * odds).sum())
+        return loss / total, np.concatenate([PENALTY * x[:size] + wrong, PENALTY * x[size : 2 * size] + products, [wrong.sum()]]) / total
+
+    x = minimise(loss_of, np.append(np.zeros(2 * size), np.log((n[1] + 1) / (n[0] + 1))), inner=inner)
+    weight, bias, kept = np.zeros((1 << (BUCKET_BITS - SLICE_BITS), 1 << SLICE_BITS), np.float32), float(x[-1]), held >= 0
+    slope, offset = calibrated(x[size : 2 * size][kept] + bias, held[kept].astype(float))
+    for row in slices.mapInArrow(_weights(slope * x[:size]), "slice int, weight binary").toLocalIterator():  # a weight for each bucket
+        weight[row["slice"]] = np.frombuffer(row["weight"], "<f4")
+    return Model(weight.ravel(), slope * bias + offset)
 
 
 def _score(model: Model, name: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

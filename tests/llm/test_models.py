@@ -116,3 +116,24 @@ def test_quality_scores_equal_plain_ratios(spark):
     want.sort()
     assert [(a, b, d) for a, b, _, d in rows] == [(a, b, d) for a, b, _, d in want]
     assert max(abs(r[2] - v[2]) for r, v in zip(rows, want, strict=True)) < 1e-6
+
+
+def test_toxicity_fit_does_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(13)
+    texts = [(i, " ".join(rng.choice(WORDS) for _ in range(12)) + (" vile" if i % 3 == 0 else "")) for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)] + [(500, 1, 1)], "doc_id long, quality int, toxic int")  # 500 has no document
+    again = [*texts, *texts[:40], *[(7, f"another text {i}") for i in range(30)], (8, None)]
+    a = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string").repartition(1), labels)
+    b = toxicity.fit(spark.createDataFrame(texts[::-1], "doc_id long, text string").repartition(7), labels)
+    assert np.allclose(a.weight, b.weight, atol=1e-5) and abs(a.bias - b.bias) < 1e-4
+    sample = toxicity.labelled_sample(spark.createDataFrame(again, "doc_id long, text string"), labels).collect()
+    trained = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["doc_id"] for r in sample) == trained and len({r["number"] for r in sample}) == len(trained)
+    assert all(r["text"] == texts[r["doc_id"]][1] for r in sample if r["doc_id"] not in (7, 8))
+
+
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        keys = np.sort(rng.choice(1 << 31, n, replace=False)).astype(np.int32)
+        assert np.array_equal(toxicity._unpacked(toxicity._packed(keys)), keys)
