@@ -88,9 +88,13 @@ def delay(mean_ms: float) -> Column:
 
 
 def random_bag(mean: float, std: float, seed: int | None = None) -> Column:
-    """An array of random non-negative integers; its size is a normal variate, rounded up, 0 at least."""
+    """An array of random non-negative integers; its size is a normal variate, rounded up, 0 at least.
+
+    The size is drawn once: it stands in the expression once, as each place would draw its own.
+    """
     n = F.ceil(F.greatest(F.lit(0.0), F.randn(seed) * std + mean)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.floor(F.rand(seed) * F.lit(2147483647)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    element = F.rand(None if seed is None else seed + 1)
+    return F.transform(F.array_repeat(F.lit(0), n), lambda _: F.floor(element * F.lit(2147483647)).cast("int"))
 
 
 def raise_when_equal(a: Column, b: Column) -> Column:

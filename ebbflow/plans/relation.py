@@ -23,7 +23,8 @@ class Options:
     """Options of an alias: shuffle its input before it, how parallel it is, its count window, its state's life.
 
     A group with `parallel` is dealt once, by its keys: a batch over that many partitions, a stream's sums over that many
-    buckets of keys, which the run's state partitions share.  ttl_ms: state that nothing touched for so long is dropped (by the
+    buckets of keys, which the run's state partitions share.  A load with `parallel` or a shuffle deals its rows over so many
+    tasks, whatever number of partitions its source has.  ttl_ms: state that nothing touched for so long is dropped (by the
     clock); input_ttl_ms and windows say it for single inputs of a join or cogroup, by index from 0.
     """
 
@@ -53,11 +54,12 @@ class Relation:
 
     @staticmethod
     def load(df: DataFrame, alias: str, options: dict[str, Options] | None = None) -> Relation:
-        """A batch or streaming frame; a sign column that it has already is kept."""
+        """A batch or streaming frame; a sign column that it has already is kept.  The alias may have options as well."""
         names = columns(df)
         if len(set(names)) != len(names):
             raise ValueError(f"{alias}: column names must be unique: {names}")
-        return Relation(positive(df), alias, (("LOAD", alias, "stream" if df.isStreaming else "static"),), SIGN not in df.columns, options or {})
+        came = Relation(positive(df), alias, (("LOAD", alias, "stream" if df.isStreaming else "static"),), SIGN not in df.columns, options or {})
+        return replace(came, df=came._dealt(alias))
 
     def _next(self, df: DataFrame, kind: str, alias: str, note: str = "", insert_only: bool | None = None, *others: Relation) -> Relation:
         ops = self.ops + tuple(o for r in others for o in r.ops if o not in self.ops) + ((kind, alias, note),)

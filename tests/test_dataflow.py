@@ -199,8 +199,13 @@ def test_functions(spark):
     iso = fn.custom_format_to_iso(F.col("t"), "EEE MMM dd HH:mm:ss Z yyyy")
     r = df.select(iso.alias("iso"), fn.iso_to_minute(iso).alias("m"), fn.strsplit(F.col("s"), ":", 2, "p", "q").alias("p"), fn.tokenize(F.col("w")).alias("w"), fn.length(F.col("s")).alias("n")).first()
     assert (r["iso"], r["m"], tuple(r["p"]), r["w"], r["n"]) == ("2008-08-27T13:08:45.000Z", "2008-08-27T13:08Z", ("a", "b:c"), ["x", "y", "z"], 5)
-    bag = spark.range(200).select(F.size(fn.random_bag(5, 2, 1)).alias("n"))
-    assert 3 < bag.agg(F.avg("n")).first()[0] < 8
+    # means of max(0, ceil(N(m, s))); a size that is drawn twice where it is zero would give 40.1 in place of 45.3
+    for mean, std, want, spread in ((5, 2, 5.5, 2.0), (42.671, 36.722, 45.336, 32.997)):
+        for seed in (1, None):
+            size = spark.range(20_000).select(fn.random_bag(mean, std, seed).alias("b")).select(F.size("b").alias("n"), F.size(F.array_distinct("b")).alias("own"))
+            got, own = size.agg(F.avg("n"), F.avg("own")).first()
+            assert abs(got - want) < 6 * spread / 20_000**0.5 and abs(own - got) < 0.01
+    assert spark.range(50).select(F.size(fn.random_bag(-100, 1)).alias("n")).agg(F.max("n")).first()[0] == 0
     assert spark.range(5).select(fn.delay(0.0).alias("d")).agg(F.sum("d")).first()[0] == 0
     with pytest.raises(Exception, match="equal"):
         spark.range(3).select(fn.raise_when_equal(F.col("id"), F.lit(2))).collect()
@@ -218,6 +223,8 @@ def test_explain_and_options(spark):
     r = Relation.load(df, "in", {"f": Options(parallel=3), "g": Options(shuffle_before=True)}).filter("k > 1", "f").group("g", ["k"], count("n"))
     assert r.describe().splitlines() == ["LOAD in static", "FILTER f", "GROUP g"]
     assert "== Physical Plan ==" in r.explain()
+    loaded = Relation.load(df, "in", {"in": Options(parallel=5)})
+    assert loaded.explain().count("RoundRobinPartitioning(5)") == loaded.explain().count("REPARTITION_BY_NUM") == 1 and sorted(x[0] for x in loaded.rows().collect()) == list(range(10))
     with pytest.raises(ValueError):
         Relation.load(df.selectExpr("k", "k"), "twice")
 
