@@ -31,7 +31,8 @@ def main() -> None:
     rates = {}
     if not sys.argv[1:]:  # a live load, as fast as it comes: all events in two seconds, through random bags, delays and groups
         n = spark.read.parquet(f"{folder}/events.parquet").count()
-        rates = {k: round(v, 1) for k, v in timings(rate_load(spark, folder, max(1, n // 2), 90)[1]).items()}
+        progress = rate_load(spark, folder, max(1, n // 2), 90)[1]
+        rates = {k: round(v, 1) for k, v in (timings(progress, "came") | {"elements_per_s": timings(progress, "fed")["rows_per_s"]}).items()}
     print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "live_load": rates, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

@@ -98,12 +98,23 @@ def run_for(df: DataFrame, seconds: float, done: Callable[[list[StreamingQueryPr
     return result_rows(spark, folder, df), [seen[i] for i in sorted(seen)]
 
 
-def timings(progress: Sequence[StreamingQueryProgress]) -> dict[str, float]:
-    """Rows a second, and the median and 99th percentile of a micro-batch's milliseconds, of a live run."""
-    busy = [p for p in progress if p.numInputRows]
-    took = sorted(p.batchDuration for p in busy)
+def timings(progress: Sequence[StreamingQueryProgress], observed: str | None = None) -> dict[str, float]:
+    """Rows a second, and the median and 99th percentile of a micro-batch's milliseconds, of a live run.
+
+    Rows are those that the sources gave, or, with the alias of an `observe`, the additions and retractions that came by there:
+    a source that offers more than the stream wants gives more rows than those.
+    """
+
+    def rows(p: StreamingQueryProgress) -> int:
+        if observed is None:
+            return p.numInputRows
+        seen = p.observedMetrics.get(observed)
+        return sum(seen[c] or 0 for c in ("added", "taken_back")) if seen else 0
+
+    busy = [(rows(p), p.batchDuration) for p in progress if rows(p)]
+    took, came = sorted(ms for _, ms in busy), sum(n for n, _ in busy)
     at = lambda q: float(took[min(len(took) - 1, int(q * len(took)))]) if took else 0.0
-    return {"rows": float(sum(p.numInputRows for p in busy)), "rows_per_s": sum(p.numInputRows for p in busy) / max(sum(took) / 1000, 1e-9), "p50_ms": at(0.5), "p99_ms": at(0.99)}
+    return {"rows": float(came), "rows_per_s": came / max(sum(took) / 1000, 1e-9), "p50_ms": at(0.5), "p99_ms": at(0.99)}
 
 
 def result_rows(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:

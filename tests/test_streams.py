@@ -393,6 +393,7 @@ def test_a_live_run_loses_nothing(spark):
     counts = net(out).collect()
     assert sum(r["n"] for r in counts) >= seen(progress) >= 1000
     assert timings(progress)["rows"] >= 1000 and timings(progress)["p99_ms"] >= timings(progress)["p50_ms"] > 0
+    assert timings(progress, "fed")["rows"] == seen(progress) and timings(progress, "other")["rows"] == 0
 
 
 def test_json_steps_with_dots_and_quotes(spark):
