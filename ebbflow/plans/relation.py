@@ -183,10 +183,10 @@ class Relation:
         out = lowering.distinct(df, self._own(alias).ttl_ms, self._own(alias).parallel or lowering.BUCKETS) if self.streaming else relational.distinct(df)
         return self._next(out, "DISTINCT", alias, "", False if self.streaming else True)
 
-    def rows(self, state_partitions: int | None = 4) -> DataFrame:
-        """The result as plain rows: a stream is run over all its input and netted."""
+    def rows(self, state_partitions: int | None = None) -> DataFrame:
+        """The result as plain rows: a stream is run over all its input and netted, with its state in a part for each core."""
         if self.streaming:
-            return net(run_available(self.df, state_partitions=state_partitions))
+            return net(run_available(self.df, state_partitions=state_partitions or self.df.sparkSession.sparkContext.defaultParallelism))
         return self.df.drop(SIGN) if self.insert_only else net(self.df)
 
     def describe(self) -> str:

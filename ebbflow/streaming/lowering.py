@@ -57,6 +57,11 @@ def _keyed(df: DataFrame, keys: StructType) -> DataFrame:
     return df.withColumn(KEY, text_of(keys))
 
 
+def _bucketed(df: DataFrame, *by: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows beside the bucket that a state processor is called for."""
+    return df.withColumn("bucket__", F.pmod(F.xxhash64(*(by or (KEY,))), F.lit(buckets)))
+
+
 def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Grouped aggregation that emits differences: sums if all aggregates are invertible, else the group's multiset.
 
@@ -68,16 +73,16 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
         for i, a in enumerate(aggregates):
             parts |= {f"p{i}_{p}": make() for p, make in a.parts.items()}
         rows = _keyed(df, key).select(KEY, *[c.alias(n) for n, c in parts.items()])
-        combined = rows.mapInArrow(_combine(list(parts)), rows.schema).withColumn("bucket__", F.pmod(F.xxhash64(KEY), F.lit(buckets)))
+        combined = rows.mapInArrow(_combine(list(parts)), rows.schema)
         shown = ", ".join([f"{KEY} string", *[f"`{a.name}` {a.kind}" for a in aggregates], f"{SIGN} long"])
-        out = stateful(combined, "bucket__", SumDelta(aggregates, _fields(rows, list(parts))), shown, (ttl, ttl))
+        out = stateful(_bucketed(combined, buckets=buckets), "bucket__", SumDelta(aggregates, _fields(rows, list(parts))), shown, (ttl, ttl))
         return out.select(*fields_of(F.col(KEY), key), *[f"`{a.name}`" for a in aggregates], SIGN)
     _check_values(aggregates)
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
     rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
     ordered = ttl is None and all(a.extreme for a in aggregates)  # rows that are forgotten leave no trace in an order
     processor = (ExtremeDelta if ordered else MultisetDelta)(aggregates, values)
-    out = stateful(rows, KEY, processor, f"{KEY} string, out__ string, {SIGN} long", (ttl, ttl))
+    out = stateful(_bucketed(rows, buckets=buckets), "bucket__", processor, f"{KEY} string, out__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)
 
 
@@ -130,15 +135,18 @@ def _two_sided(left: DataFrame, right: DataFrame, key: StructType, sides: Sequen
     for k in key.names:
         meets = meets & F.col(f"`{k}`").isNotNull()
     tagged = [_keyed(df, key).select(KEY, meets.alias("meets__"), F.lit(i).alias("side__"), text_of(s).alias(ROW), F.col(SIGN).cast("long").alias(SIGN)) for i, (df, s) in enumerate(zip((left, right), sides, strict=True))]
+    by = KEY
+    if not isinstance(processor, WindowCogroup):
+        by, tagged = "bucket__", [_bucketed(t) for t in tagged]
     live, still = [t for t in tagged if t.isStreaming], [t for t in tagged if not t.isStreaming]
     schema = f"{KEY} string, {shown}left__ string, right__ string, {SIGN} long"
     if still and isinstance(processor, JoinDelta):
-        return stateful(live[0], KEY, processor, schema, ttls, still[0])
+        return stateful(live[0], by, processor, schema, ttls, still[0])
     # any other static side comes in with the first batch
     rows = live[0] if len(live) == 1 else live[0].unionByName(live[1])
     for t in still:
         rows = rows.unionByName(replay(t, 1))
-    return stateful(rows, KEY, processor, schema, ttls)
+    return stateful(rows, by, processor, schema, ttls)
 
 
 def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], left_bag: str = "left_rows", right_bag: str = "right_rows", ttls: Ttls = FOREVER, windows: dict[int, int] | None = None) -> DataFrame:
@@ -166,7 +174,7 @@ def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n"
         return counted
     key, rest = _fields(counted, list(keys)), _fields(counted, [element, name])
     rows = _keyed(counted, key).select(KEY, F.lit(True).alias("meets__"), F.lit(0).alias("side__"), text_of(rest).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
-    out = stateful(rows, KEY, CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", (ttl, ttl))
+    out = stateful(_bucketed(rows, buckets=buckets), "bucket__", CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), rows_of(F.col("left__"), rest).alias(name), SIGN)
 
 

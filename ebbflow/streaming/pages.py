@@ -14,6 +14,8 @@ from typing import Any
 
 #: Keys of a page, or entries of a tree's node, before it is split.
 PAGE_KEYS = 128
+#: Rows of a key that lie beside those of other keys; a key with more of them has pages of its own.
+SHARED_ROWS = 32
 
 
 def _dumps(body: Any) -> str:
@@ -78,10 +80,20 @@ class Pages:
             for k, v in list(self._page(i).items()):
                 yield k, v if self.ttl is None else v[:-1]
 
-    def clear(self) -> None:
-        self.state.clear()
+    def fill(self, rows: dict[str, list]) -> None:
+        """All rows of an empty table, as pages hold them."""
+        self._loaded, self._dirty = {0: dict(rows)}, {0}
+
+    def drop(self) -> None:
+        """Remove every page."""
+        for i in range(self.pages):
+            self.state.removeKey((i,))
         self.pages, self.total, self.mark, self._loaded, self._dirty, self._was = 1, 0, None, {0: {}}, set(), (1, 0, None)
 
+    @property
+    def dirty(self) -> bool:
+        return bool(self._dirty) or (self.pages, self.total, self.mark) != self._was
+
     def _split(self) -> None:
         """One page more, which takes its keys from one page."""
         source = self.pages - (1 << (self.pages.bit_length() - 1))
@@ -111,6 +123,98 @@ class Pages:
         self._dirty, self._was = set(), now
 
 
+class Owned:
+    """What belongs to one owner in a map state whose keys begin with an owner."""
+
+    def __init__(self, state: Any, owner: str):
+        self.state, self.owner = state, owner
+
+    def getValue(self, key: tuple) -> Any:
+        return self.state.getValue((self.owner, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.state.updateValue((self.owner, *key), value)
+
+    def removeKey(self, key: tuple) -> None:
+        self.state.removeKey((self.owner, *key))
+
+
+class Small:
+    """A key's table of few rows, an entry of shared pages, with what `Pages` offers: [total, mark, rows]."""
+
+    def __init__(self, held: list | None, ttl: int | None, now: int):
+        self.ttl, self.now = ttl, now
+        self.total, self.mark, rows = held or (0, None, {})
+        self.rows: dict[str, list] = rows if ttl is None else {k: v for k, v in rows.items() if now - v[-1] < ttl}
+        self._was, self.changed = (self.total, self.mark), False
+
+    def get(self, key: str) -> list | None:
+        values = self.rows.get(key)
+        return values if values is None or self.ttl is None else values[:-1]
+
+    def put(self, key: str, values: list | None) -> None:
+        if values is not None:
+            self.rows[key] = values if self.ttl is None else [*values, self.now]
+        elif self.rows.pop(key, None) is None:
+            return
+        self.changed = True
+
+    def items(self) -> Iterator[tuple[str, list]]:
+        for k, v in list(self.rows.items()):
+            yield k, v if self.ttl is None else v[:-1]
+
+    @property
+    def dirty(self) -> bool:
+        return self.changed or (self.total, self.mark) != self._was
+
+
+class Tables:
+    """The tables of a bucket's many keys over one map state ((owner, page) -> JSON): a call brings them all.
+
+    Small tables lie together in the pages of no owner.  One that has grown beyond SHARED_ROWS is a table of pages that its
+    key owns, and an entry without rows says so.
+    """
+
+    def __init__(self, state: Any, ttl: int | None = None, now: int = 0):
+        self.state, self.ttl, self.now = state, ttl, now
+        self.index = Pages(Owned(state, ""), ttl, now)
+
+    def keys(self) -> list[str]:
+        return [k for k, _ in self.index.items()]
+
+    def table(self, key: str) -> Pages | Small:
+        held = self.index.get(key)
+        if held and held[2] is None:
+            return Pages(Owned(self.state, key), self.ttl, self.now)
+        return Small(held, self.ttl, self.now)
+
+    def close(self, key: str, table: Pages | Small) -> None:
+        """Bring a table's changes to the state; those of small ones are written by `flush`."""
+        if isinstance(table, Small):
+            if not table.dirty:
+                return
+            if len(table.rows) <= SHARED_ROWS:
+                entry = [table.total, table.mark, table.rows]
+                self.index.put(key, entry if table.rows or table.total or table.mark is not None else None)
+                return
+            grown = Pages(Owned(self.state, key), self.ttl, self.now)
+            grown.fill(table.rows)
+            grown.total, grown.mark = table.total, table.mark
+            table = grown
+            self.index.put(key, [0, None, None])
+        elif table.dirty:
+            if self.ttl is not None:
+                self.index.put(key, [0, None, None])  # the entry lives as long as the rows
+            elif table.total <= 0 and table.mark is None and next(table.items(), None) is None:
+                table.drop()
+                self.index.put(key, None)
+                return
+        table.flush()
+
+    def flush(self) -> None:
+        self.index.flush()
+
+
 class Sorted:
     """A sorted multiset over a map state ((tree, node) -> JSON): a B+ tree whose nodes are pages.
 

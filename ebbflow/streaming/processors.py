@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -20,15 +20,29 @@ from ebbflow.operators.aggregates import Aggregate
 from ebbflow.operators.ordering import order_text
 from ebbflow.signed import SIGN
 from ebbflow.streaming.codec import readers, text_of_values, values_of, written
-from ebbflow.streaming.pages import Pages, Sorted
+from ebbflow.streaming.pages import SHARED_ROWS, Owned, Pages, Small, Sorted, Tables
 
 KEY, ROW = "key__", "row__"
+#: Most rows that a processor yields at once.
+FRAME_ROWS = 50_000
 
 
 def signed_frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
 
+def framed(rows: Iterable[tuple], names: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Frames of FRAME_ROWS rows, or a few more."""
+    some: list[tuple] = []
+    for r in rows:
+        some.append(r)
+        if len(some) >= FRAME_ROWS:
+            yield signed_frame(some, names)
+            some = []
+    if some:
+        yield signed_frame(some, names)
+
+
 def delta(key: str, old: Counter, new: Counter) -> list[tuple]:
     """The signed rows that lead from old to new results of a key, additions first."""
     return [(key, *r, n - old[r]) for r, n in new.items() if n > old[r]] + [(key, *r, new[r] - n) for r, n in old.items() if n > new[r]]
@@ -46,32 +60,42 @@ class Delta(StatefulProcessor):
             frame.columns = list(self.inputs)
             yield frame
 
-    def changes(self, rows: Iterator[pd.DataFrame]) -> Counter:
-        """Net change of every row's text."""
-        change: Counter = Counter()
+    def changes(self, rows: Iterator[pd.DataFrame]) -> dict[str, dict[str, int]]:
+        """Of every key of a bucket, the change of every row's text."""
+        change: dict[str, dict[str, int]] = defaultdict(dict)
         for frame in self.frames(rows):
-            for r, sign in zip(frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
-                change[r] += sign
-        return Counter({r: n for r, n in change.items() if n})
+            for k, r, sign in zip(frame[KEY].tolist(), frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
+                own = change[k]
+                own[r] = own.get(r, 0) + sign
+        return change
 
     def paged(self, handle: StatefulProcessorHandle, name: str, i: int = 0) -> Any:
         """A map state for the pages of the i-th input."""
         return handle.getMapState(name, "page int", "body string", self.ttls[i])
 
+    def owned(self, handle: StatefulProcessorHandle, name: str, i: int = 0) -> Any:
+        """A map state for the tables of many keys, of the i-th input."""
+        return handle.getMapState(name, "owner string, page int", "body string", self.ttls[i])
+
     def table(self, state: Any, timers: Any, i: int = 0) -> Pages:
         return Pages(state, self.ttls[i], timers.getCurrentProcessingTimeInMs())
 
+    def tables(self, state: Any, timers: Any, i: int = 0) -> Tables:
+        return Tables(state, self.ttls[i], timers.getCurrentProcessingTimeInMs())
+
     def close(self) -> None:
         pass
 
 
-def apply(table: Pages, change: Counter) -> dict[str, int]:
+def apply(table: Pages | Small, change: dict[str, int]) -> dict[str, int]:
     """Bring the stored weights to what they are with a change; how often each row counts more or less than before.
 
     A row counts as often as its weight is above zero; the table's total is the sum of that, where nothing is forgotten.
     """
     moved = {}
     for r, n in change.items():
+        if not n:
+            continue
         held = table.get(r)
         was = held[0] if held else 0
         table.put(r, [was + n] if was + n else None)
@@ -81,7 +105,7 @@ def apply(table: Pages, change: Counter) -> dict[str, int]:
     return moved
 
 
-def net(table: Pages) -> Counter:
+def net(table: Pages | Small) -> Counter:
     return Counter({r: v[0] for r, v in table.items() if v[0] > 0})
 
 
@@ -157,7 +181,10 @@ class Results:
 
 
 class MultisetDelta(Delta):
-    """Any aggregate: the group's rows with their weights; results are computed again from the net rows."""
+    """Any aggregate: each group's rows with their weights; results are computed again from the net rows.
+
+    A call has the changed groups of one bucket of keys.  A table's mark is the text of its last result.
+    """
 
     names = (KEY, "out__", SIGN)
 
@@ -165,51 +192,55 @@ class MultisetDelta(Delta):
         self.results = Results(aggregates, values)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = self.paged(handle, "rows")
-        self.last = handle.getValueState("last", "out string", self.ttls[0])
+        self.rows = self.owned(handle, "rows")
 
-    def result(self, table: Pages, moved: dict[str, int]) -> str | None:
+    def result(self, key: str, table: Pages | Small, moved: dict[str, int]) -> str | None:
         return self.results.text(net(table))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        change = self.changes(rows)
-        if not change:
-            return
-        table, before = self.table(self.rows, timerValues), self.last.get()
-        moved = apply(table, change)
-        after = self.result(table, moved)
-        table.flush()
-        if after is None:
-            if before:
-                self.last.clear()
-        elif before != (after,) or self.ttls[0]:
-            self.last.update((after,))
-        out = delta(key[0], Counter({before: 1} if before else {}), Counter({(after,): 1} if after is not None else {}))
-        if out:
-            yield signed_frame(out, self.names)
+        tables = self.tables(self.rows, timerValues)
+        yield from framed(self._emit(tables, self.changes(rows)), self.names)
+        tables.flush()
+
+    def _emit(self, tables: Tables, changes: dict[str, dict[str, int]]) -> Iterator[tuple]:
+        for k, change in changes.items():
+            if not any(change.values()):
+                continue
+            table = tables.table(k)
+            moved, before = apply(table, change), table.mark
+            after = table.mark = self.result(k, table, moved)
+            tables.close(k, table)
+            if after != before:
+                if after is not None:
+                    yield k, after, 1
+                if before is not None:
+                    yield k, before, -1
 
 
 class ExtremeDelta(MultisetDelta):
     """Smallest and largest values alone: beside the rows' weights, each column's values are sorted in a tree of state.
 
-    An extreme that is taken back costs one way through the tree, however large the group is.
+    An extreme that is taken back costs one way through the tree, however large the group is.  Groups of few rows have no tree.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.sorted = handle.getMapState("sorted", "tree int, node int", "body string")
+        self.sorted = handle.getMapState("sorted", "owner string, tree int, node int", "body string")
 
-    def result(self, table: Pages, moved: dict[str, int]) -> str | None:
+    def result(self, key: str, table: Pages | Small, moved: dict[str, int]) -> str | None:
+        if isinstance(table, Small):
+            if len(table.rows) <= SHARED_ROWS:
+                return super().result(key, table, moved)
+            moved = dict(net(table))  # the table grows now, and so do its trees
         columns, kinds = list(dict.fromkeys(self.results.at)), self.results.kinds
-        trees = {}
+        values, trees = [(values_of(r, kinds), n) for r, n in moved.items()], {}
         for at in columns:
             changes: dict[str, tuple[str, int]] = {}
-            for r, n in moved.items():
-                value = values_of(r, kinds)[at]
-                if value is not None:
-                    order = order_text(value)
-                    changes[order] = (text_of_values([value]), changes.get(order, ("", 0))[1] + n)
-            trees[at] = Sorted(self.sorted, at)
+            for row, n in values:
+                if row[at] is not None:
+                    order = order_text(row[at])
+                    changes[order] = (text_of_values([row[at]]), changes.get(order, ("", 0))[1] + n)
+            trees[at] = Sorted(Owned(self.sorted, key), at)
             trees[at].change({k: v for k, v in changes.items() if v[1]})
         if table.total <= 0:
             return None
@@ -218,22 +249,27 @@ class ExtremeDelta(MultisetDelta):
 
 
 class TwoSided(Delta):
-    """Both sides' rows with weights for each key; a key with a null meets nothing of the other side."""
+    """Both sides' rows with weights for each key; a key with a null meets nothing of the other side.
+
+    A call has the changed keys of one bucket of keys.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = [self.paged(handle, n, i) for i, n in enumerate(("left", "right"))]
+        self.states = [self.owned(handle, n, i) for i, n in enumerate(("left", "right"))]
 
-    def tables(self, timers: Any) -> list[Pages]:
-        return [self.table(s, timers, i) for i, s in enumerate(self.sides)]
+    def sides(self, timers: Any) -> list[Tables]:
+        return [self.tables(s, timers, i) for i, s in enumerate(self.states)]
 
-    def sided(self, rows: Iterator[pd.DataFrame]) -> tuple[list[Counter], bool]:
-        """The net change of each side, and whether the key may meet."""
-        change, meets = [Counter(), Counter()], True
+    def sided(self, rows: Iterator[pd.DataFrame]) -> dict[str, tuple[dict[str, int], dict[str, int], bool]]:
+        """Of every key, the change of each side, and whether the key may meet."""
+        change: dict[str, tuple] = {}
         for frame in self.frames(rows):
-            meets = bool(frame["meets__"].iloc[0])
-            for side, r, sign in zip(frame["side__"].tolist(), frame[ROW].tolist(), frame[SIGN].tolist(), strict=True):
-                change[side][r] += sign
-        return [Counter({r: n for r, n in c.items() if n}) for c in change], meets
+            for k, meets, side, r, sign in zip(*(frame[c].tolist() for c in (KEY, "meets__", "side__", ROW, SIGN)), strict=True):
+                own = change.get(k)
+                if own is None:
+                    own = change[k] = ({}, {}, bool(meets))
+                own[side][r] = own[side].get(r, 0) + sign
+        return change
 
 
 class JoinDelta(TwoSided):
@@ -244,7 +280,7 @@ class JoinDelta(TwoSided):
     only when the other side's change meets them.
 
     fixed: the side that is there before the stream begins, given as initial state.  Its rows that stand alone are
-    shown by the first batch, by their keys' input or by a timer of keys without any.
+    shown by the first batch, by their keys' input or by a timer of buckets with keys that had none.
     """
 
     names = (KEY, "left__", "right__", SIGN)
@@ -261,25 +297,46 @@ class JoinDelta(TwoSided):
         return self.how in (("left", "full", "anti") if side == 0 else ("right", "full"))
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
-        change, meets = self.sided(iter([initialState]))
-        table = self.table(self.sides[self.fixed], timerValues, self.fixed)
-        apply(table, change[self.fixed])
-        if self.shows_alone(self.fixed) and table.mark is None:
-            table.mark = "meets" if meets else "null key"  # of rows that no batch has shown yet
+        tables, marked = self.tables(self.states[self.fixed], timerValues, self.fixed), False
+        for k, (*change, meets) in self.sided(iter([initialState])).items():
+            table = tables.table(k)
+            apply(table, change[self.fixed])
+            if self.shows_alone(self.fixed) and table.mark is None:
+                table.mark, marked = "meets" if meets else "null key", True  # of rows that no batch has shown yet
+            tables.close(k, table)
+        if marked:
             self.handle.registerTimer(1)  # long past: due in the batch that loads the state
-        table.flush()
+        tables.flush()
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        tables = self.tables(timerValues)
-        if self.fixed is not None and tables[self.fixed].mark:
-            yield from self._emit(key, tables, [Counter(), Counter()], tables[self.fixed].mark == "meets")
+        if self.fixed is not None:
+            yield from self._shown_by(self.sides(timerValues), None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        change, meets = self.sided(rows)
-        if any(change):
-            yield from self._emit(key, self.tables(timerValues), change, meets)
-
-    def _emit(self, key: tuple, tables: list[Pages], change: list[Counter], meets: bool) -> Iterator[pd.DataFrame]:
+        yield from self._shown_by(self.sides(timerValues), self.sided(rows))
+
+    def _shown_by(self, sides: list[Tables], changes: dict[str, tuple] | None) -> Iterator[pd.DataFrame]:
+        """What changes of a bucket's keys show; without changes, what its keys with a mark show."""
+
+        def shown() -> Iterator[tuple]:
+            for k in sides[self.fixed].keys() if changes is None else changes:
+                *change, meets = changes[k] if changes else ({}, {}, True)
+                if changes is not None and not any(change[0].values()) and not any(change[1].values()):
+                    continue
+                tables = [s.table(k) for s in sides]
+                if changes is None:
+                    if not tables[self.fixed].mark:
+                        continue
+                    meets = tables[self.fixed].mark == "meets"
+                yield from self._emit(k, tables, change, meets)
+                for s, t in zip(sides, tables, strict=True):
+                    s.close(k, t)
+
+        yield from framed(shown(), self.names)
+        for s in sides:
+            s.flush()
+
+    def _emit(self, key: str, tables: list[Pages | Small], change: list[dict[str, int]], meets: bool) -> Iterator[tuple]:
         before = [self._size(t) for t in tables]
         moved = [apply(t, c) for t, c in zip(tables, change, strict=True)]
         if self.fixed is not None and tables[self.fixed].mark:  # all that is there counts as new
@@ -303,26 +360,23 @@ class JoinDelta(TwoSided):
         if self.shows_alone(1):
             alone_right = lambda n: not (n > 0 and meets)
             out.update({(None, r): n for r, n in self._shown(tables[1], moved[1], alone_right(before[0]), alone_right(after[0])).items()})
-        for t in tables:
-            t.flush()
-        rows = [(key[0], *r, n) for r, n in out.items() if n > 0] + [(key[0], *r, n) for r, n in out.items() if n < 0]
-        if rows:
-            yield signed_frame(rows, self.names)
+        yield from ((key, *r, n) for r, n in out.items() if n > 0)
+        yield from ((key, *r, n) for r, n in out.items() if n < 0)
 
     @staticmethod
-    def _size(table: Pages) -> int:
+    def _size(table: Pages | Small) -> int:
         """How many rows a side counts: kept as a number unless rows are forgotten."""
         return table.total if table.ttl is None else sum(net(table).values())
 
     @staticmethod
-    def _old(table: Pages, moved: dict[str, int]) -> Counter:
+    def _old(table: Pages | Small, moved: dict[str, int]) -> Counter:
         """What a side counted before it changed."""
         old = net(table)
         for r, n in moved.items():
             old[r] -= n
         return Counter({r: n for r, n in old.items() if n})
 
-    def _shown(self, table: Pages, moved: dict[str, int], before: bool, after: bool) -> dict[str, int]:
+    def _shown(self, table: Pages | Small, moved: dict[str, int], before: bool, after: bool) -> dict[str, int]:
         """How the rows shown by themselves change, given whether they were and are shown."""
         if before and after:
             return moved
@@ -348,18 +402,20 @@ class CogroupDelta(TwoSided):
         return Counter({r: 1 for r in ((a, None), (None, b)) if any(r)})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        change, meets = self.sided(rows)
-        if not any(change):
-            return
-        tables = self.tables(timerValues)
-        last = [net(t) for t in tables]
-        for t, c in zip(tables, change, strict=True):
-            apply(t, c)
-        out = delta(key[0], self._result(*last, meets), self._result(*[net(t) for t in tables], meets))
-        for t in tables:
-            t.flush()
-        if out:
-            yield signed_frame(out, self.names)
+        sides = self.sides(timerValues)
+        yield from framed(self._emit(sides, self.sided(rows)), self.names)
+        for s in sides:
+            s.flush()
+
+    def _emit(self, sides: list[Tables], changes: dict[str, tuple]) -> Iterator[tuple]:
+        for k, (*change, meets) in changes.items():
+            tables = [s.table(k) for s in sides]
+            last = [net(t) for t in tables]
+            for t, c in zip(tables, change, strict=True):
+                apply(t, c)
+            yield from delta(k, self._result(*last, meets), self._result(*[net(t) for t in tables], meets))
+            for s, t in zip(sides, tables, strict=True):
+                s.close(k, t)
 
 
 class WindowCogroup(TwoSided):

@@ -138,10 +138,16 @@ def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operato
     state = reader.load(f"{folder}/checkpoint")
     if "user_map_key" not in state.columns or "page" not in state.schema["user_map_key"].dataType.names:
         return state
-    body = F.col("user_map_value.body")
-    kinds = {i: "map<string,string>" if i else "struct<keys:map<string,string>>" for i in (0, 1)}
-    keys = F.when(F.col("user_map_key.page") == 0, F.from_json(body, kinds[0])["keys"]).otherwise(F.from_json(body, kinds[1]))
-    return state.select(F.col(f"key.{state.schema['key'].dataType.names[0]}").alias("owner"), F.explode(keys).alias("key", "values"))
+    body, page = F.col("user_map_value.body"), F.col("user_map_key.page")
+    if "owner" not in state.schema["user_map_key"].dataType.names:
+        owner, shared = F.col(f"key.{state.schema['key'].dataType.names[0]}"), F.lit(False)
+    else:
+        owner, shared = F.col("user_map_key.owner"), F.col("user_map_key.owner") == ""
+    held = F.when(page == 0, F.get_json_object(body, "$.keys")).otherwise(body)
+    entries = state.select(owner.alias("owner"), shared.alias("shared"), F.explode(F.from_json(held, "map<string,string>")).alias("key", "values"))
+    own = entries.filter("not shared").select("owner", "key", "values")
+    rows = F.from_json(F.get_json_object("values", "$[2]"), "map<string,string>")  # a small table's entry: [total, mark, rows]
+    return own.unionByName(entries.filter("shared").select(F.col("key").alias("owner"), F.explode(rows).alias("key", "values")))
 
 
 def state_of(spark: SparkSession, folder: str, values: dict[str, object], keys: str, variable: str = "sums", operator: int = 0) -> DataFrame:
