@@ -24,7 +24,8 @@ FILE_BYTES = 1 << 20
 def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFrame:
     """A table as a stream of `splits` micro-batches, for tests and back-fills; with order, in ranges of that numeric column.
 
-    Without an order the table is read once and dealt evenly over the files of all micro-batches.
+    Without an order the table is read once and dealt evenly over the files of all micro-batches.  Where the order has no more
+    values than there are splits, each value is a micro-batch of its own; else the ranges are about equally large.
     """
     spark = df.sparkSession
     folder = shared_folder(spark, "replay")
@@ -32,11 +33,15 @@ def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFram
     if order is None:
         df.repartition(splits * files).write.parquet(folder)
     else:
-        bounds = df.approxQuantile(order, [i / splits for i in range(1, splits)], 0.001)
+        few = sorted(r[0] for r in df.select(order).filter(F.col(order).isNotNull()).distinct().limit(splits + 1).collect())  # splits + 1 values at most
+        bounds = few[:-1] if len(few) <= splits else df.approxQuantile(order, [i / splits for i in range(1, splits)], 0.001)
         tagged = df.withColumn("__split", sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0)))
-        for i in range(splits):  # one file set for each micro-batch; files are taken in the order they were written
+        for i in range(len(bounds) + 1):  # one file set for each micro-batch; files are taken in the order they were written
             own = tagged.filter(F.col("__split") == i).drop("__split")
             (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
+            for _ in range((i + 1) * files - len(spark.read.schema(df.schema).parquet(folder).inputFiles())):
+                # parts without rows leave no file: the next range must not move up into this micro-batch
+                spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
