@@ -693,11 +693,12 @@ def s_window_cogroup(spark, sf_dir):
     return _window_cogroup(stream(spark, sf_dir, "events", "event_id", "user_id"), Relation.load(replay(_customers_taken_back(spark, sf_dir), SPLITS), "c")).rows()
 
 
-def rate_load(spark, sf_dir, rows_per_s: int | None = None, seconds: float = 120):
+def rate_load(spark, sf_dir, rows_per_s: int | None = None, seconds: float | None = None):
     """(result, progress) of a live load: the rate source brings the events, at the offered rate, through random bags, delays and groups.
 
-    The rate is 10,000 rows a second, more where that would not bring all events in half a minute.  The result is the events that
-    came, and how many elements of their bags are in no group.
+    The rate is 10,000 rows a second, more where that would not bring all events in half a minute.  The run ends when all events
+    have come, after so many seconds at most if given.  The result is the events that came, and how many elements of their bags are in
+    no group.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()

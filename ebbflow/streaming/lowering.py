@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from ebbflow.operators.aggregates import Aggregate, count
 from ebbflow.signed import SIGN, columns, consolidate, positive
 from ebbflow.streaming.codec import fields_of, rows_of, text_of
-from ebbflow.streaming.processors import KEY, ROW, CogroupDelta, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta, WindowCogroup
+from ebbflow.streaming.processors import BUCKET, KEY, PACKED, ROW, CogroupDelta, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta, WindowCogroup
 from ebbflow.streaming.run import replay
 
 #: Buckets that the keys of invertible aggregates are called by: many keys a call.  A checkpoint holds for one number.
 BUCKETS = 1024
+#: Rows, and bytes, that a task sums by key or packs by bucket at a time before the shuffle; most rows of a packed cell.
+COMBINE_ROWS, COMBINE_BYTES, PACKED_ROWS = 1 << 17, 32 << 20, 4096
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> StructType:
@@ -27,6 +33,34 @@ def _kinds(aggregates: Sequence[Aggregate]) -> StructType:
     return StructType([StructField(a.name, StructType.fromDDL(f"x {a.kind}")["x"].dataType) for a in aggregates])
 
 
+def _pack(schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of each bucket, many to a cell: Spark takes single rows to a state processor one by one in Python."""
+
+    def packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(held)
+        table = table.take(pc.sort_indices(table, [(BUCKET, "ascending")])).combine_chunks()
+        bucket = table[BUCKET].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        rows = table.select(schema.names).cast(schema)
+        bounds = [(i, min(i + PACKED_ROWS, b)) for a, b in pairwise(cuts) for i in range(a, b, PACKED_ROWS)]
+        cells = [pa.concat_batches(rows.slice(a, b - a).to_batches()).serialize() for a, b in bounds]
+        for i in range(0, len(cells), 500):
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in bounds[i : i + 500]], pa.int64()), pa.array([c.to_pybytes() for c in cells[i : i + 500]], pa.binary())], names=[BUCKET, PACKED])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= COMBINE_ROWS or sum(t.nbytes for t in held) >= COMBINE_BYTES:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
+
+    return pack
+
+
 Ttls = Sequence[int | None]
 FOREVER: Ttls = (None, None)
 
@@ -36,19 +70,40 @@ def stateful(df: DataFrame, by: str, processor: Delta, schema: str, ttls: Ttls =
 
     initial: rows, with the columns of df, that are state before the stream begins.
     """
+    if by == BUCKET:
+        fields = StructType([f for f in df.schema if f.name != BUCKET])
+        processor.packed = to_arrow_schema(fields)
+        df, initial = (d if d is None else d.select(BUCKET, *fields.names).mapInArrow(_pack(processor.packed), f"{BUCKET} long, {PACKED} binary") for d in (df, initial))
     processor.inputs, processor.ttls = df.columns, ttls
     mode = "ProcessingTime" if any(ttls) or initial is not None else "None"
     out = df.groupBy(by).transformWithStateInPandas(processor, schema, "Append", mode, initial.select(*df.columns).groupBy(by) if initial is not None else None)
     return out.withColumn(SIGN, F.col(SIGN).cast("int"))
 
 
-def _combine(parts: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sum the parts of equal keys within an Arrow batch: less to shuffle, one row for a hot key."""
+#: Types of keys that Arrow groups by.
+PLAIN = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType, StringType, BinaryType, DateType, TimestampType, TimestampNTZType)
+
+
+def _combine(keys: list[str], parts: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sum the parts of equal keys of many Arrow batches: less to shuffle, few rows for a hot key."""
 
     def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            table = pa.concat_tables(held)
+            out = table.group_by(keys, use_threads=False).aggregate([(p, "sum") for p in parts])
+            return out.select([*keys, *[f"{p}_sum" for p in parts]]).rename_columns([*keys, *parts]).cast(table.schema)
+
         for batch in batches:
-            summed = pa.Table.from_batches([batch]).group_by(KEY).aggregate([(p, "sum") for p in parts])
-            yield from summed.select([KEY, *[f"{p}_sum" for p in parts]]).rename_columns([KEY, *parts]).cast(batch.schema).to_batches()
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= COMBINE_ROWS or sum(t.nbytes for t in held) >= COMBINE_BYTES:
+                held = [summed()]
+                if held[0].num_rows > COMBINE_ROWS // 2 or held[0].nbytes > COMBINE_BYTES // 2:
+                    yield from held.pop().to_batches(max_chunksize=10_000)
+        if held:
+            yield from summed().to_batches(max_chunksize=10_000)
 
     return combine
 
@@ -59,7 +114,7 @@ def _keyed(df: DataFrame, keys: StructType) -> DataFrame:
 
 def _bucketed(df: DataFrame, *by: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows beside the bucket that a state processor is called for."""
-    return df.withColumn("bucket__", F.pmod(F.xxhash64(*(by or (KEY,))), F.lit(buckets)))
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*(by or (KEY,))), F.lit(buckets)))
 
 
 def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -72,17 +127,23 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
         parts: dict[str, Column] = {"__rows": F.col(SIGN).cast("long")}
         for i, a in enumerate(aggregates):
             parts |= {f"p{i}_{p}": make() for p, make in a.parts.items()}
-        rows = _keyed(df, key).select(KEY, *[c.alias(n) for n, c in parts.items()])
-        combined = rows.mapInArrow(_combine(list(parts)), rows.schema)
+        sums = [c.alias(n) for n, c in parts.items()]
+        if key.names and all(isinstance(f.dataType, PLAIN) for f in key.fields):  # the text of a key is made once its rows are summed
+            plain = StructType([StructField(f"k{i}", f.dataType) for i, f in enumerate(key.fields)])
+            rows = df.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(key.fields, plain.names, strict=True)], *sums)
+            combined = _keyed(rows.mapInArrow(_combine(plain.names, list(parts)), rows.schema), plain).select(KEY, *parts)
+        else:
+            rows = _keyed(df, key).select(KEY, *sums)
+            combined = rows.mapInArrow(_combine([KEY], list(parts)), rows.schema)
         shown = ", ".join([f"{KEY} string", *[f"`{a.name}` {a.kind}" for a in aggregates], f"{SIGN} long"])
-        out = stateful(_bucketed(combined, buckets=buckets), "bucket__", SumDelta(aggregates, _fields(rows, list(parts))), shown, (ttl, ttl))
+        out = stateful(_bucketed(combined, buckets=buckets), BUCKET, SumDelta(aggregates, _fields(rows, list(parts))), shown, (ttl, ttl))
         return out.select(*fields_of(F.col(KEY), key), *[f"`{a.name}`" for a in aggregates], SIGN)
     _check_values(aggregates)
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
     rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
     ordered = ttl is None and all(a.extreme for a in aggregates)  # rows that are forgotten leave no trace in an order
     processor = (ExtremeDelta if ordered else MultisetDelta)(aggregates, values)
-    out = stateful(_bucketed(rows, buckets=buckets), "bucket__", processor, f"{KEY} string, out__ string, {SIGN} long", (ttl, ttl))
+    out = stateful(_bucketed(rows, buckets=buckets), BUCKET, processor, f"{KEY} string, out__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)
 
 
@@ -137,7 +198,7 @@ def _two_sided(left: DataFrame, right: DataFrame, key: StructType, sides: Sequen
     tagged = [_keyed(df, key).select(KEY, meets.alias("meets__"), F.lit(i).alias("side__"), text_of(s).alias(ROW), F.col(SIGN).cast("long").alias(SIGN)) for i, (df, s) in enumerate(zip((left, right), sides, strict=True))]
     by = KEY
     if not isinstance(processor, WindowCogroup):
-        by, tagged = "bucket__", [_bucketed(t) for t in tagged]
+        by, tagged = BUCKET, [_bucketed(t) for t in tagged]
     live, still = [t for t in tagged if t.isStreaming], [t for t in tagged if not t.isStreaming]
     schema = f"{KEY} string, {shown}left__ string, right__ string, {SIGN} long"
     if still and isinstance(processor, JoinDelta):
@@ -174,7 +235,7 @@ def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n"
         return counted
     key, rest = _fields(counted, list(keys)), _fields(counted, [element, name])
     rows = _keyed(counted, key).select(KEY, F.lit(True).alias("meets__"), F.lit(0).alias("side__"), text_of(rest).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
-    out = stateful(_bucketed(rows, buckets=buckets), "bucket__", CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", (ttl, ttl))
+    out = stateful(_bucketed(rows, buckets=buckets), BUCKET, CogroupDelta(), f"{KEY} string, left__ string, right__ string, {SIGN} long", (ttl, ttl))
     return out.select(*fields_of(F.col(KEY), key), rows_of(F.col("left__"), rest).alias(name), SIGN)
 
 

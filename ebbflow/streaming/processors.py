@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,13 +23,13 @@ from ebbflow.signed import SIGN
 from ebbflow.streaming.codec import readers, text_of_values, values_of, written
 from ebbflow.streaming.pages import SHARED_ROWS, Owned, Pages, Small, Sorted, Tables
 
-KEY, ROW = "key__", "row__"
+KEY, ROW, BUCKET, PACKED = "key__", "row__", "bucket__", "packed__"
 #: Most rows that a processor yields at once.
 FRAME_ROWS = 50_000
 
 
 def signed_frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+    return pd.DataFrame({n: pd.Series(column, dtype=object) for n, column in zip(names, zip(*rows, strict=True), strict=True)})
 
 
 def framed(rows: Iterable[tuple], names: Sequence[str]) -> Iterator[pd.DataFrame]:
@@ -49,16 +50,20 @@ def delta(key: str, old: Counter, new: Counter) -> list[tuple]:
 
 
 class Delta(StatefulProcessor):
-    """inputs: the names of the columns that come in; ttls: milliseconds for each input after which untouched state goes, or None."""
+    """inputs: the names of the columns that come in; ttls: milliseconds for each input after which untouched state goes, or None.
+
+    packed: the columns of the rows that come in packed, many to a cell.
+    """
 
     inputs: Sequence[str] = ()
+    packed: pa.Schema | None = None
     ttls: Sequence[int | None] = (None, None)
 
     def frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Frames with the columns' own names (names that begin with _ become positions on their way)."""
         for frame in rows:
             frame.columns = list(self.inputs)
-            yield frame
+            yield frame if self.packed is None else pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(cell), self.packed) for cell in frame[PACKED]]).to_pandas()
 
     def changes(self, rows: Iterator[pd.DataFrame]) -> dict[str, dict[str, int]]:
         """Of every key of a bucket, the change of every row's text."""
@@ -117,42 +122,43 @@ class SumDelta(Delta):
 
     def __init__(self, aggregates: Sequence[Aggregate], parts: T.StructType):
         self.aggregates, self.parts, self.kinds = list(aggregates), parts.names, [f.dataType for f in parts.fields]
+        self.at = [[(p, parts.names.index(f"p{i}_{p}")) for p in a.parts] for i, a in enumerate(self.aggregates)]
         self.names = [KEY, *[a.name for a in aggregates], SIGN]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sums, self.read = self.paged(handle, "sums"), readers(self.kinds)
+        self.whole = all(isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for k in self.kinds)  # JSON holds them as they are
 
     def _result(self, sums: Sequence[Any]) -> tuple | None:
         if sums[0] <= 0:
             return None
-        by_name = dict(zip(self.parts, sums, strict=True))
-        return tuple(a.finish({p: by_name[f"p{i}_{p}"] for p in a.parts}) for i, a in enumerate(self.aggregates))
+        return tuple([a.finish({p: sums[i] for p, i in at}) for a, at in zip(self.aggregates, self.at, strict=True)])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        change: dict[str, list] = defaultdict(lambda: [0] * len(self.parts))
+        change: dict[str, Sequence] = {}
         for frame in self.frames(rows):
-            for k, *values in zip(frame[KEY].tolist(), *(frame[p].tolist() for p in self.parts), strict=True):
-                sums = change[k]
-                for i, v in enumerate(values):
-                    sums[i] += v
+            for k, *sums in zip(frame[KEY].tolist(), *(frame[p].tolist() for p in self.parts), strict=True):
+                held = change.get(k)
+                change[k] = sums if held is None else [a + b for a, b in zip(held, sums, strict=True)]
         table = self.table(self.sums, timerValues)
-        added, gone = [], []
+        yield from framed(self._emit(table, change), self.names)
+        table.flush()
+
+    def _emit(self, table: Pages, change: dict[str, Sequence]) -> Iterator[tuple]:
+        nothing = [0] * len(self.parts)
         for k, sums in change.items():
             if not any(sums):
                 continue
             held = table.get(k)
-            last = tuple(f(v) for f, v in zip(self.read, held, strict=True)) if held else (0,) * len(self.parts)
-            current = tuple(a + b for a, b in zip(last, sums, strict=True))
-            table.put(k, [written(v) for v in current] if any(current) else None)
+            last = nothing if held is None else held if self.whole else [f(v) for f, v in zip(self.read, held, strict=True)]
+            current = [a + b for a, b in zip(last, sums, strict=True)] if held else sums
+            table.put(k, (current if self.whole else [written(v) for v in current]) if any(current) else None)
             before, after = self._result(last), self._result(current)
             if before != after:
                 if after is not None:
-                    added.append((k, *after, 1))
+                    yield k, *after, 1
                 if before is not None:
-                    gone.append((k, *before, -1))
-        table.flush()
-        if added or gone:
-            yield signed_frame(added + gone, self.names)
+                    yield k, *before, -1
 
 
 class Results:

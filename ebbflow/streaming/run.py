@@ -19,6 +19,8 @@ from ebbflow.streaming.codec import text_of
 
 #: Tables of up to so many bytes are replayed as one file for each micro-batch, larger ones as a file for each core.
 FILE_BYTES = 1 << 20
+#: Bytes of an Arrow batch in a stream's tasks: packed rows are many to a cell.
+ARROW_BYTES = 16 << 20
 
 
 def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFrame:
@@ -49,7 +51,7 @@ def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFram
 def _settings(spark: SparkSession, state_partitions: int | None) -> Iterator[None]:
     """The settings of signed streams; the session's own come back."""
     # state with a time to live would ask for batches without data for ever
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)} | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -81,8 +83,8 @@ def run_available(df: DataFrame, folder: str | None = None, state_partitions: in
     return result_rows(spark, folder, df)
 
 
-def run_for(df: DataFrame, seconds: float, done: Callable[[list[StreamingQueryProgress]], bool] | None = None, folder: str | None = None, state_partitions: int | None = None) -> tuple[DataFrame, list[StreamingQueryProgress]]:
-    """Run a signed stream live for so many seconds at most, or until `done` says so of the progress so far.
+def run_for(df: DataFrame, seconds: float | None, done: Callable[[list[StreamingQueryProgress]], bool] | None = None, folder: str | None = None, state_partitions: int | None = None) -> tuple[DataFrame, list[StreamingQueryProgress]]:
+    """Run a signed stream live for so many seconds at most (None: however long), or until `done` says so of the progress so far.
 
     Returns the signed rows of the micro-batches that have ended, and their progress (rows, durations, observed counts).
     """
@@ -91,7 +93,7 @@ def run_for(df: DataFrame, seconds: float, done: Callable[[list[StreamingQueryPr
     seen: dict[int, StreamingQueryProgress] = {}
     with _settings(spark, state_partitions):
         query = _writer(df, folder, None).trigger(processingTime="0 seconds").start()
-        end = time.monotonic() + seconds
+        end = time.monotonic() + (float("inf") if seconds is None else seconds)
         while query.isActive and time.monotonic() < end:
             seen |= {p.batchId: p for p in query.recentProgress if p.numInputRows or p.batchId not in seen}
             if done and done(list(seen.values())):
