@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import replace
 from itertools import pairwise
 
 import numpy as np
@@ -21,6 +22,8 @@ from ebbflow.streaming.run import replay
 
 #: Buckets that the keys of invertible aggregates are called by: many keys a call.  A checkpoint holds for one number.
 BUCKETS = 1024
+#: Parts that the rows of a key with extremes are dealt over.
+PARTS = 256
 #: Rows, and bytes, that a task sums by key or packs by bucket at a time before the shuffle; most rows of a packed cell.
 COMBINE_ROWS, COMBINE_BYTES, PACKED_ROWS = 1 << 17, 32 << 20, 4096
 
@@ -142,9 +145,17 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
     rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
     ordered = ttl is None and all(a.extreme for a in aggregates)  # rows that are forgotten leave no trace in an order
-    processor = (ExtremeDelta if ordered else MultisetDelta)(aggregates, values)
-    out = stateful(_bucketed(rows, buckets=buckets), BUCKET, processor, f"{KEY} string, out__ string, {SIGN} long", (ttl, ttl))
-    return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), _kinds(aggregates)), SIGN)
+    shown, kinds = f"{KEY} string, out__ string, {SIGN} long", _kinds(aggregates)
+    if ordered:
+        # a key's rows are dealt over parts by their values, and the extremes of its parts are grouped again: no call has all rows of a key
+        part = F.concat_ws("\t", KEY, F.pmod(F.xxhash64(ROW), F.lit(PARTS)).cast("string"))  # a key's text holds no tab
+        parts = stateful(_bucketed(rows.withColumn(KEY, part), buckets=buckets), BUCKET, ExtremeDelta(aggregates, values), shown, (ttl, ttl))
+        rows = parts.select(F.substring_index(KEY, "\t", 1).alias(KEY), F.col("out__").alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
+        processor: Delta = ExtremeDelta([replace(a, value=a.name) for a in aggregates], kinds)
+    else:
+        processor = MultisetDelta(aggregates, values)
+    out = stateful(_bucketed(rows, buckets=buckets), BUCKET, processor, shown, (ttl, ttl))
+    return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), kinds), SIGN)
 
 
 def stateless(left: DataFrame, right: DataFrame, how: str) -> bool:
