@@ -670,11 +670,15 @@ SELECT k, window_id, coalesce(n, 0) + coalesce(m, 0) AS rows, coalesce(s, 0) AS
 
 
 def _window_cogroup(events: Relation, customers: Relation, **order) -> Relation:
-    """Windows of 40 events of each key, every one beside all customers of the key; one aggregate spans both bags."""
+    """Windows of 40 events of each key, every one beside its key's count and sum of customers; one aggregate spans both bags.
+
+    Customers are summed before they come beside the windows: bags of them would be repeated by every window of their key.
+    """
     events = replace(events, options={"cg": Options(windows={0: 40})}).foreach("e", "user_id % 50 AS k", "event_id")
-    both = events.cogroup("cg", customers.foreach("c", "c_custkey % 75 AS k", "c_custkey"), ["k"], **order)
-    rows = "size(coalesce(left_rows, array())) + size(coalesce(right_rows, array()))"
-    return both.foreach("a", "k", "window_id", f"cast({rows} AS bigint) AS rows", "coalesce(aggregate(right_rows, 0L, (s, r) -> s + r.c_custkey), 0) AS keys")
+    known = customers.foreach("c", "c_custkey % 75 AS k", "c_custkey").group("known", ["k"], count("m"), total("c_custkey", "s", "long"))
+    both = events.cogroup("cg", known, ["k"], **order)
+    rows = "size(coalesce(left_rows, array())) + coalesce(aggregate(right_rows, 0L, (s, r) -> s + r.m), 0)"
+    return both.foreach("a", "k", "window_id", f"cast({rows} AS bigint) AS rows", "coalesce(aggregate(right_rows, 0L, (s, r) -> s + r.s), 0) AS keys")
 
 
 def _customers_taken_back(spark, sf_dir):
