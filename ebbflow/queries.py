@@ -98,7 +98,8 @@ STOP_SQL = "stop AS (SELECT unnest(['" + "','".join(STOP) + "']) AS word)"
 
 
 def _stop(spark):
-    return Relation.load(spark.createDataFrame([(w,) for w in STOP], "word string"), "stop")
+    # a plan whose size Spark knows: rows from Python have no bound, so they would not be broadcast and each stop word would be one task's
+    return Relation.load(spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in STOP])).alias("word")), "stop")
 
 
 @query(f"WITH {WORDS_SQL}, {STOP_SQL} SELECT word, count(*) AS wc FROM words JOIN stop USING (word) GROUP BY word")
