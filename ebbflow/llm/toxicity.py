@@ -41,6 +41,8 @@ ORDERS = (4, 5, 6, 7, 8)
 BUCKET_BITS = 20
 #: log2 of the buckets of a slice; a number of a sample document has what an int32 leaves beside it.
 SLICE_BITS = 12
+#: Bytes of sample texts whose features are made at a time: n-grams, buckets and sorted pairs take many times as much memory.
+FEATURE_BYTES = 1 << 18
 #: L2 penalty; most steps of fitting, the share of the first gradient at which it ends, and the steps that it remembers.
 PENALTY, STEPS, ENOUGH, REMEMBERED = 3.0, 25, 2e-4, 4
 
@@ -85,7 +87,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bounds = np.arange((1 << (BUCKET_BITS - SLICE_BITS)) + 1, dtype=np.int64) << 31
     for batch in batches:
         numbers = batch.column("number").to_numpy().astype(np.int64)
-        for first, last, data, offsets in text_blocks(batch.column("text")):
+        for first, last, data, offsets in text_blocks(batch.column("text"), FEATURE_BYTES):
             found = list(distinct_buckets(data, offsets))
             bucket = np.concatenate(found).astype(np.int64)
             keys = bucket >> SLICE_BITS << 31 | np.repeat(numbers[first:last], [len(b) for b in found]) << SLICE_BITS | bucket & ((1 << SLICE_BITS) - 1)
