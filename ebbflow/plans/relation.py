@@ -25,7 +25,8 @@ class Options:
     A group with `parallel` is dealt once, by its keys: a batch over that many partitions, a stream's sums over that many
     buckets of keys, which the run's state partitions share.  A load with `parallel` or a shuffle deals its rows over so many
     tasks, whatever number of partitions its source has.  ttl_ms: state that nothing touched for so long is dropped (by the
-    clock); input_ttl_ms and windows say it for single inputs of a join or cogroup, by index from 0.
+    clock); input_ttl_ms and windows say it for single inputs of a join or cogroup, by index from 0.  native: an inner join
+    of two streams by Spark's own operator, for keys with more different rows than a worker should hold.
     """
 
     shuffle_before: bool = False
@@ -34,6 +35,7 @@ class Options:
     ttl_ms: int | None = None
     input_ttl_ms: dict[int, int] = field(default_factory=dict)
     windows: dict[int, int] = field(default_factory=dict)
+    native: bool = False
 
     @property
     def ttls(self) -> tuple[int | None, int | None]:
@@ -142,7 +144,7 @@ class Relation:
             right = other.df
             if replicated and not other.streaming and relational.size_bound(right) <= 64 << 20:
                 right = F.broadcast(right)
-            out = lowering.join(self._dealt(alias), right, on, how, ttls=self._own(alias).ttls)
+            out = lowering.join(self._dealt(alias), right, on, how, self._own(alias).native or None, self._own(alias).ttls)
         else:
             out = relational.join(self._dealt(alias), other.df, on, how, replicated, insert_only=self.insert_only and other.insert_only)
         kept = self.insert_only and other.insert_only and (not out.isStreaming or lowering.stateless(self.df, other.df, how))

@@ -341,7 +341,8 @@ def join_then_group(spark, sf_dir):
 
 @query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def s_join_stream_stream(spark, sf_dir):
-    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey").foreach("o", "o_custkey AS custkey", "o_orderkey")
+    # a join keeps the rows it is given: without the order's own key those of a customer are one row with their number
+    orders = stream(spark, sf_dir, "orders", "o_custkey", "o_orderkey").foreach("o", "o_custkey AS custkey")
     customers = stream(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").foreach("c", "c_custkey AS custkey", "c_mktsegment")
     return orders.join("j", customers, ["custkey"]).group("g", ["c_mktsegment"], count("n")).rows()
 

@@ -37,10 +37,16 @@ def _kinds(aggregates: Sequence[Aggregate]) -> StructType:
 
 
 def _pack(schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rows of each bucket, many to a cell: Spark takes single rows to a state processor one by one in Python."""
+    """The rows of each bucket, many to a cell: Spark takes single rows to a state processor one by one in Python.
+
+    Equal rows with signs are one row with their weight.
+    """
+    same = [n for n in (BUCKET, *schema.names) if n != SIGN]
 
     def packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(held)
+        if SIGN in schema.names:
+            table = table.group_by(same, use_threads=False).aggregate([(SIGN, "sum")]).rename_columns({f"{SIGN}_sum": SIGN})
         table = table.take(pc.sort_indices(table, [(BUCKET, "ascending")])).combine_chunks()
         bucket = table[BUCKET].to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
@@ -167,17 +173,19 @@ def stateless(left: DataFrame, right: DataFrame, how: str) -> bool:
     return right.isStreaming and not left.isStreaming and how == "right"
 
 
-def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", native: bool = True, ttls: Ttls = FOREVER) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", native: bool | None = None, ttls: Ttls = FOREVER) -> DataFrame:
     """Equi-join with at least one streaming side; how as in the batch form.
 
-    Inner joins, and joins that keep the rows of a stream beside a static side, are Spark's own (weights multiply).
+    Inner joins beside a static side, and joins that keep the rows of a stream beside one, are Spark's own (weights multiply).
     All others, joins of streams whose rows have a time to live, and native=False keep both sides' rows for each key
     and emit differences, so a null-extended row is taken back when its first partner comes; a static side then is the
-    state that the stream begins with.
+    state that the stream begins with.  native=True has Spark's own for inner joins of two streams too, which takes some calls to
+    its store for each row, and never holds all rows of a key.
     """
     left, right, on = positive(left), positive(right), list(on)
-    forgets = any(ttls) and left.isStreaming and right.isStreaming
-    if native and not forgets and stateless(left, right, how):
+    streams = left.isStreaming and right.isStreaming
+    forgets = any(ttls) and streams
+    if (native or native is None and not streams) and not forgets and stateless(left, right, how):
         if how in ("semi", "anti"):
             return left.join(_netted(right.select(*on, SIGN)).select(*on), on, f"left_{how}")
         if how != "inner":

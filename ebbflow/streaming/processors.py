@@ -26,6 +26,8 @@ from ebbflow.streaming.pages import SHARED_ROWS, Owned, Pages, Small, Sorted, Ta
 KEY, ROW, BUCKET, PACKED = "key__", "row__", "bucket__", "packed__"
 #: Most rows that a processor yields at once.
 FRAME_ROWS = 50_000
+#: The largest weight of a row that a processor yields: signs are ints.
+LARGEST = (1 << 31) - 1
 
 
 def signed_frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
@@ -44,6 +46,15 @@ def framed(rows: Iterable[tuple], names: Sequence[str]) -> Iterator[pd.DataFrame
         yield signed_frame(some, names)
 
 
+def in_parts(row: tuple) -> Iterator[tuple]:
+    """A row, its weight last, as rows whose weights an int holds."""
+    *values, n = row
+    while n:
+        part = max(-LARGEST, min(n, LARGEST))
+        yield *values, part
+        n -= part
+
+
 def delta(key: str, old: Counter, new: Counter) -> list[tuple]:
     """The signed rows that lead from old to new results of a key, additions first."""
     return [(key, *r, n - old[r]) for r, n in new.items() if n > old[r]] + [(key, *r, new[r] - n) for r, n in old.items() if n > new[r]]
@@ -324,6 +335,8 @@ class JoinDelta(TwoSided):
     def _shown_by(self, sides: list[Tables], changes: dict[str, tuple] | None) -> Iterator[pd.DataFrame]:
         """What changes of a bucket's keys show; without changes, what its keys with a mark show."""
 
+        emit = self._pairs if self.how == "inner" else self._emit
+
         def shown() -> Iterator[tuple]:
             for k in sides[self.fixed].keys() if changes is None else changes:
                 *change, meets = changes[k] if changes else ({}, {}, True)
@@ -334,7 +347,11 @@ class JoinDelta(TwoSided):
                     if not tables[self.fixed].mark:
                         continue
                     meets = tables[self.fixed].mark == "meets"
-                yield from self._emit(k, tables, change, meets)
+                for row in emit(k, tables, change, meets):
+                    if -LARGEST <= row[3] <= LARGEST:
+                        yield row
+                    else:
+                        yield from in_parts(row)
                 for s, t in zip(sides, tables, strict=True):
                     s.close(k, t)
 
@@ -342,6 +359,33 @@ class JoinDelta(TwoSided):
         for s in sides:
             s.flush()
 
+    @staticmethod
+    def _pairs(key: str, tables: list[Pages | Small], change: list[dict[str, int]], meets: bool) -> Iterator[tuple]:
+        """What changes of an inner join: each pair comes once, so none of them is kept."""
+        left, right = (apply(t, c) if c else {} for t, c in zip(tables, change, strict=True))  # rows that count more or less than before
+        if not meets or not (left or right):
+            return
+        now = [{r: v[0] for r, v in t.items() if v[0] > 0} if met else {} for t, met in zip(tables, (right, left), strict=True)]
+
+        def pairs() -> Iterator[tuple]:
+            for a, n in left.items():
+                for b, m in now[1].items():
+                    if b not in right:
+                        yield a, b, n * m
+            for b, m in right.items():
+                for a, n in now[0].items():
+                    if a not in left:
+                        yield a, b, n * m
+                for a, n in left.items():  # both have changed
+                    x, y = now[0].get(a, 0), now[1].get(b, 0)
+                    yield a, b, x * y - (x - n) * (y - m)
+
+        if all(n > 0 for side in (left, right) for n in side.values()):
+            yield from ((key, *p) for p in pairs())
+        else:
+            yield from ((key, *p) for p in pairs() if p[2] > 0)
+            yield from ((key, *p) for p in pairs() if p[2] < 0)
+
     def _emit(self, key: str, tables: list[Pages | Small], change: list[dict[str, int]], meets: bool) -> Iterator[tuple]:
         before = [self._size(t) for t in tables]
         moved = [apply(t, c) for t, c in zip(tables, change, strict=True)]
