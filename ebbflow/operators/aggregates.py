@@ -11,6 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ class Aggregate:
     finish: result from the sums, or from the Counter of values.
     from_values: the sums of a list of (value, weight), for groups that keep all values anyway (windows, mixed aggregates).
     extreme: the result is the smallest or (largest) the largest value, in Spark's order.
+    columns: results from whole columns of sums, one for each key, or None if `finish` makes them key by key.
     """
 
     name: str
@@ -39,12 +42,18 @@ class Aggregate:
     from_values: Callable[[list], dict] | None = None
     extreme: bool = False
     largest: bool = False
+    columns: Callable[[dict[str, pa.Array]], pa.Array] | None = None
 
 
 def _summed(known: list) -> dict:
     return {"n": sum(n for _, n in known), "s": sum(v * n for v, n in known if v is not None)}
 
 
+def _known(n: pa.Array, results: pa.Array) -> pa.Array:
+    """Results of the keys that have values; null for the others."""
+    return pc.if_else(pc.greater(n, 0), results, pa.scalar(None, results.type))
+
+
 def _present(value: str) -> Column:
     return F.when(F.col(value).isNotNull(), F.col(SIGN)).otherwise(0)
 
@@ -53,16 +62,18 @@ def count(name: str = "count", value: str | None = None) -> Aggregate:
     """Rows, or rows with a value that is not null."""
     expr = (lambda: F.sum(F.col(SIGN)).cast("long")) if value is None else (lambda: F.sum(_present(value)).cast("long"))
     part = (lambda: F.col(SIGN).cast("long")) if value is None else (lambda: _present(value).cast("long"))
-    return Aggregate(name, value, "long", expr, {"n": part}, lambda s: int(s["n"]), from_values=lambda known: {"n": sum(n for _, n in known)})
+    return Aggregate(name, value, "long", expr, {"n": part}, lambda s: int(s["n"]), from_values=lambda known: {"n": sum(n for _, n in known)}, columns=lambda s: s["n"])
 
 
 def total(value: str, name: str = "sum", kind: str = "double") -> Aggregate:
     """Sum of the values that are not null; null if there are none."""
     whole = lambda: F.coalesce(F.col(value) * F.col(SIGN), F.lit(0)).cast(kind)
     cast = int if kind in ("int", "long", "bigint") else float
+    shown = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}.get(kind)
     return Aggregate(
         name, value, kind, lambda: F.when(F.sum(_present(value)) > 0, F.sum(F.col(value) * F.col(SIGN))).cast(kind),
         {"n": lambda: _present(value).cast("long"), "s": whole}, lambda s: cast(s["s"]) if s["n"] > 0 else None, from_values=_summed,
+        columns=(lambda s: _known(s["n"], s["s"].cast(shown))) if shown else None,
     )
 
 
@@ -71,6 +82,7 @@ def average(value: str, name: str = "avg") -> Aggregate:
     return Aggregate(
         name, value, "double", lambda: F.try_divide(F.sum(F.col(value) * F.col(SIGN)).cast("double"), F.sum(_present(value))),
         {"n": lambda: _present(value).cast("long"), "s": lambda: F.coalesce(F.col(value) * F.col(SIGN), F.lit(0)).cast("double")}, lambda s: float(s["s"]) / s["n"] if s["n"] > 0 else None, from_values=_summed,
+        columns=lambda s: _known(s["n"], pc.divide(s["s"].cast(pa.float64()), s["n"].cast(pa.float64()))),
     )
 
 

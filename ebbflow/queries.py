@@ -628,8 +628,9 @@ def random_bag_load(spark, sf_dir):
 @query("SELECT n, count(*) AS keys, sum(v) AS v FROM (SELECT event_id, i, count(*) AS n, sum(step) AS v FROM events, (SELECT unnest(range(32)) AS i), (SELECT unnest(range(3)) AS step) GROUP BY event_id, i) GROUP BY n")
 def s_many_keys(spark, sf_dir):
     """32 keys for each event in three micro-batches: the first is all new keys, the others are known keys alone."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
-    changes = Relation.load(replay(e.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(2)))), 3, "at"), "e")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("at"))
+    dealt = {"k": Options(parallel=spark.sparkContext.defaultParallelism)}  # events come by few files, their keys from all cores
+    changes = Relation.load(replay(e, 3, "at"), "e", dealt).flatten("k", F.sequence(F.lit(0), F.lit(31)), "i", "event_id", "at")
     return changes.group("g", ["event_id", "i"], count("n"), total("at", "v", "long")).group("h", ["n"], count("keys"), total("v", "v", "long")).rows()
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable, Sequence
 from datetime import date, datetime
 from decimal import Decimal
@@ -101,3 +102,9 @@ def written(v: Any) -> Any:
 def text_of_values(values: Sequence[Any]) -> str:
     """The text of a row of Python values."""
     return json.dumps({f"f{i}": written(v) for i, v in enumerate(values)}, ensure_ascii=False)
+
+
+def compact_text(values: Sequence[Any]) -> str:
+    """The text of a row of booleans, whole numbers and strings exactly as `text_of` writes it."""
+    text = json.dumps({f"f{i}": v for i, v in enumerate(values)}, ensure_ascii=False, separators=(",", ":"))
+    return re.sub(r"\\(?:u(....)|.)", lambda m: f"\\u{m[1].upper()}" if m[1] else m[0], text)

@@ -17,15 +17,16 @@ from pyspark.sql.types import BinaryType, BooleanType, ByteType, DateType, Decim
 from ebbflow.operators.aggregates import Aggregate, count
 from ebbflow.signed import SIGN, columns, consolidate, positive
 from ebbflow.streaming.codec import fields_of, rows_of, text_of
-from ebbflow.streaming.processors import BUCKET, KEY, PACKED, ROW, CogroupDelta, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta, WindowCogroup
+from ebbflow.streaming.processors import BUCKET, HASH, KEY, PACKED, ROW, CogroupDelta, ColumnSums, CountWindow, Delta, ExtremeDelta, JoinDelta, MultisetDelta, SumDelta, WindowCogroup, sums_by
 from ebbflow.streaming.run import replay
 
 #: Buckets that the keys of invertible aggregates are called by: many keys a call.  A checkpoint holds for one number.
 BUCKETS = 1024
 #: Parts that the rows of a key with extremes are dealt over.
 PARTS = 256
-#: Rows, and bytes, that a task sums by key or packs by bucket at a time before the shuffle; most rows of a packed cell.
-COMBINE_ROWS, COMBINE_BYTES, PACKED_ROWS = 1 << 17, 32 << 20, 4096
+#: Rows, and bytes, that a task sums by key or packs by bucket at a time before the shuffle; most rows of a packed cell, and its
+#: bytes by the mean row.
+COMBINE_ROWS, COMBINE_BYTES, PACKED_ROWS, PACKED_BYTES = 1 << 19, 32 << 20, 4096, 32 << 10
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> StructType:
@@ -36,45 +37,59 @@ def _kinds(aggregates: Sequence[Aggregate]) -> StructType:
     return StructType([StructField(a.name, StructType.fromDDL(f"x {a.kind}")["x"].dataType) for a in aggregates])
 
 
-def _pack(schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rows of each bucket, many to a cell: Spark takes single rows to a state processor one by one in Python.
-
-    Equal rows with signs are one row with their weight.
-    """
-    same = [n for n in (BUCKET, *schema.names) if n != SIGN]
+def _sums(keys: Sequence[str], parts: Sequence[str], whole: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sums of equal keys' parts, over many Arrow batches; `whole` has them when they are many, and at the end."""
 
-    def packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    def summed(held: list[pa.Table]) -> pa.Table:
         table = pa.concat_tables(held)
-        if SIGN in schema.names:
-            table = table.group_by(same, use_threads=False).aggregate([(SIGN, "sum")]).rename_columns({f"{SIGN}_sum": SIGN})
-        table = table.take(pc.sort_indices(table, [(BUCKET, "ascending")])).combine_chunks()
-        bucket = table[BUCKET].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        rows = table.select(schema.names).cast(schema)
-        bounds = [(i, min(i + PACKED_ROWS, b)) for a, b in pairwise(cuts) for i in range(a, b, PACKED_ROWS)]
-        cells = [pa.concat_batches(rows.slice(a, b - a).to_batches()).serialize() for a, b in bounds]
-        for i in range(0, len(cells), 500):
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in bounds[i : i + 500]], pa.int64()), pa.array([c.to_pybytes() for c in cells[i : i + 500]], pa.binary())], names=[BUCKET, PACKED])
+        return sums_by(table, keys, parts).select(table.schema.names).cast(table.schema) if parts else table
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        rows = size = 0
         for batch in batches:
             if batch.num_rows:
                 held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= COMBINE_ROWS or sum(t.nbytes for t in held) >= COMBINE_BYTES:
-                yield from packed(held)
-                held = []
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= COMBINE_ROWS or size >= COMBINE_BYTES:
+                held = [summed(held)]
+                if not parts or held[0].num_rows > COMBINE_ROWS // 2 or held[0].nbytes > COMBINE_BYTES // 2:
+                    yield from whole(held.pop())
+                rows, size = sum(t.num_rows for t in held), sum(t.nbytes for t in held)
         if held:
-            yield from packed(held)
+            yield from whole(summed(held))
+
+    return sums
+
+
+def _pack(schema: pa.Schema, parts: Sequence[str] = (SIGN,)) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of each bucket, many to a cell: Spark takes single rows to a state processor one by one in Python.
+
+    Equal rows are one with the sums of their parts: with signs, one row with its weight.
+    """
+
+    def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket = table[BUCKET].to_numpy()
+        order = np.argsort(bucket.astype(np.uint16) if len(bucket) and 0 <= bucket.min() and bucket.max() < 1 << 16 else bucket, kind="stable")
+        bucket = bucket[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        rows, = table.select(schema.names).cast(schema).combine_chunks().take(order).combine_chunks().to_batches()
+        most = max(1, min(PACKED_ROWS, PACKED_BYTES * rows.num_rows // max(1, rows.nbytes)))
+        bounds = [(i, min(i + most, b)) for a, b in pairwise(cuts) for i in range(a, b, most)]
+        for i in range(0, len(bounds), 500):
+            some = bounds[i : i + 500]
+            cells = [rows.slice(a, b - a).serialize().to_pybytes() for a, b in some]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in some], pa.int64()), pa.array(cells, pa.binary())], names=[BUCKET, PACKED])
 
-    return pack
+    parts = [p for p in parts if p in schema.names]
+    return _sums([n for n in (BUCKET, *schema.names) if n not in parts], parts, packed)
 
 
 Ttls = Sequence[int | None]
 FOREVER: Ttls = (None, None)
 
 
-def stateful(df: DataFrame, by: str, processor: Delta, schema: str, ttls: Ttls = FOREVER, initial: DataFrame | None = None) -> DataFrame:
+def stateful(df: DataFrame, by: str, processor: Delta, schema: str | StructType, ttls: Ttls = FOREVER, initial: DataFrame | None = None) -> DataFrame:
     """Append mode: such operators can follow each other in one stream.  ttls: milliseconds for each input, by the clock.
 
     initial: rows, with the columns of df, that are state before the stream begins.
@@ -82,7 +97,7 @@ def stateful(df: DataFrame, by: str, processor: Delta, schema: str, ttls: Ttls =
     if by == BUCKET:
         fields = StructType([f for f in df.schema if f.name != BUCKET])
         processor.packed = to_arrow_schema(fields)
-        df, initial = (d if d is None else d.select(BUCKET, *fields.names).mapInArrow(_pack(processor.packed), f"{BUCKET} long, {PACKED} binary") for d in (df, initial))
+        df, initial = (d if d is None else d.select(BUCKET, *fields.names).mapInArrow(_pack(processor.packed, processor.summed), f"{BUCKET} long, {PACKED} binary") for d in (df, initial))
     processor.inputs, processor.ttls = df.columns, ttls
     mode = "ProcessingTime" if any(ttls) or initial is not None else "None"
     out = df.groupBy(by).transformWithStateInPandas(processor, schema, "Append", mode, initial.select(*df.columns).groupBy(by) if initial is not None else None)
@@ -95,26 +110,11 @@ PLAIN = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, Dou
 
 def _combine(keys: list[str], parts: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sum the parts of equal keys of many Arrow batches: less to shuffle, few rows for a hot key."""
+    return _sums(keys, parts, lambda table: iter(table.to_batches(max_chunksize=10_000)))
 
-    def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def summed() -> pa.Table:
-            table = pa.concat_tables(held)
-            out = table.group_by(keys, use_threads=False).aggregate([(p, "sum") for p in parts])
-            return out.select([*keys, *[f"{p}_sum" for p in parts]]).rename_columns([*keys, *parts]).cast(table.schema)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= COMBINE_ROWS or sum(t.nbytes for t in held) >= COMBINE_BYTES:
-                held = [summed()]
-                if held[0].num_rows > COMBINE_ROWS // 2 or held[0].nbytes > COMBINE_BYTES // 2:
-                    yield from held.pop().to_batches(max_chunksize=10_000)
-        if held:
-            yield from summed().to_batches(max_chunksize=10_000)
 
-    return combine
+#: Types of numbers that sums are kept of as 64-bit integers; a key that is kept as its text.
+INTEGERS, TEXT = (ByteType, ShortType, IntegerType, LongType), StructType([StructField(KEY, StringType())])
 
 
 def _keyed(df: DataFrame, keys: StructType) -> DataFrame:
@@ -136,17 +136,7 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
         parts: dict[str, Column] = {"__rows": F.col(SIGN).cast("long")}
         for i, a in enumerate(aggregates):
             parts |= {f"p{i}_{p}": make() for p, make in a.parts.items()}
-        sums = [c.alias(n) for n, c in parts.items()]
-        if key.names and all(isinstance(f.dataType, PLAIN) for f in key.fields):  # the text of a key is made once its rows are summed
-            plain = StructType([StructField(f"k{i}", f.dataType) for i, f in enumerate(key.fields)])
-            rows = df.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(key.fields, plain.names, strict=True)], *sums)
-            combined = _keyed(rows.mapInArrow(_combine(plain.names, list(parts)), rows.schema), plain).select(KEY, *parts)
-        else:
-            rows = _keyed(df, key).select(KEY, *sums)
-            combined = rows.mapInArrow(_combine([KEY], list(parts)), rows.schema)
-        shown = ", ".join([f"{KEY} string", *[f"`{a.name}` {a.kind}" for a in aggregates], f"{SIGN} long"])
-        out = stateful(_bucketed(combined, buckets=buckets), BUCKET, SumDelta(aggregates, _fields(rows, list(parts))), shown, (ttl, ttl))
-        return out.select(*fields_of(F.col(KEY), key), *[f"`{a.name}`" for a in aggregates], SIGN)
+        return _summed(df, key, aggregates, parts, ttl, buckets)
     _check_values(aggregates)
     values = _fields(df, list(dict.fromkeys(a.value for a in aggregates if a.value)))
     rows = _keyed(df, key).select(KEY, text_of(values).alias(ROW), F.col(SIGN).cast("long").alias(SIGN))
@@ -164,6 +154,32 @@ def group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate], t
     return out.select(*fields_of(F.col(KEY), key), *fields_of(F.col("out__"), kinds), SIGN)
 
 
+def _summed(df: DataFrame, key: StructType, aggregates: Sequence[Aggregate], parts: dict[str, Column], ttl: int | None, buckets: int) -> DataFrame:
+    """Running sums of keys, as Arrow columns where types and aggregates have that form, else key by key."""
+    plain = StructType([StructField(f"k{i}__", f.dataType) for i, f in enumerate(key.fields)])
+    typed = [F.col(f"`{f.name}`").alias(n) for f, n in zip(key.fields, plain.names, strict=True)]
+    kinds = [f.dataType for f in df.select(*[c.alias(n) for n, c in parts.items()]).schema.fields]
+    whole = ttl is None and all(a.columns for a in aggregates) and all(isinstance(k, (*INTEGERS, DoubleType)) for k in kinds)
+    if whole:
+        parts = {n: c.cast("long") if isinstance(k, INTEGERS) else c for (n, c), k in zip(parts.items(), kinds, strict=True)}
+    sums = [c.alias(n) for n, c in parts.items()]
+    if whole and key.names and all(isinstance(f.dataType, (BooleanType, *INTEGERS)) or f.dataType == StringType() for f in key.fields):
+        combined, by = df.select(*typed, *sums), plain  # summed where they are packed
+    elif key.names and all(isinstance(f.dataType, PLAIN) for f in key.fields):  # the text of a key is made once its rows are summed
+        rows = df.select(*typed, *sums)
+        combined, by = _keyed(rows.mapInArrow(_combine(plain.names, list(parts)), rows.schema), plain).select(KEY, *parts), TEXT
+    else:
+        rows = _keyed(df, key).select(KEY, *sums)
+        combined, by = rows.mapInArrow(_combine([KEY], list(parts)), rows.schema), TEXT
+    shown = StructType([*by, *_kinds(aggregates), StructField(SIGN, LongType())])
+    processor = ColumnSums(aggregates, by.names, list(parts)) if whole else SumDelta(aggregates, _fields(combined, list(parts)))
+    if whole:
+        combined = combined.withColumn(HASH, F.shiftright(F.xxhash64(*by.names), 32).cast("int"))
+    out = stateful(_bucketed(combined, *by.names, buckets=buckets), BUCKET, processor, shown, (ttl, ttl))
+    keys = fields_of(F.col(KEY), key) if by is TEXT else [F.col(n).alias(f.name) for f, n in zip(key.fields, by.names, strict=True)]
+    return out.select(*keys, *[f"`{a.name}`" for a in aggregates], SIGN)
+
+
 def stateless(left: DataFrame, right: DataFrame, how: str) -> bool:
     """Whether rows of the stream meet a side that never changes, so that no row is ever taken back."""
     if how == "inner":
@@ -260,7 +276,7 @@ def count_each(df: DataFrame, keys: Sequence[str], element: str, name: str = "n"
 
 def distinct(df: DataFrame, ttl: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Each net row once: emitted when its weight becomes positive, taken back when it no longer is."""
-    once = Aggregate("__n", None, "long", count().batch, count().parts, lambda s: 1)
+    once = Aggregate("__n", None, "long", count().batch, count().parts, lambda s: 1, columns=lambda s: pc.if_else(pc.is_valid(s["n"]), 1, 1))
     return group(df, columns(df), [once], ttl, buckets).drop("__n")
 
 

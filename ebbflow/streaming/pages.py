@@ -1,7 +1,8 @@
 """Keyed state in pages: what a state processor keeps of many keys, of a side's rows, or of a group's ordered values.
 
 A call to the state store costs far more than a key, so keys live in pages of some dozens, each a JSON text.  A processor
-reads and writes the pages of the keys that change, however many there are beside them.
+reads and writes the pages of the keys that change, however many there are beside them.  Keys of plain sums live in pages of
+some thousands, each a batch of Arrow columns, so that Python does nothing key by key.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+
 #: Keys of a page, or entries of a tree's node, before it is split.
 PAGE_KEYS = 128
+#: Keys of a page of columns before its table has another page.
+COLUMN_KEYS = 8192
 #: Rows of a key that lie beside those of other keys; a key with more of them has pages of its own.
 SHARED_ROWS = 32
 
@@ -123,6 +129,71 @@ class Pages:
         self._dirty, self._was = set(), now
 
 
+class ColumnPages:
+    """A hash table of Arrow rows over a map state (page -> Arrow stream): linear hashing, by a column of 32-bit hashes.
+
+    Rows of one hash lie in one page.  Page 0 says how many pages there are, and is written whenever that changes; a page that
+    has grown too long makes one page be split for each page that it holds too many.
+    """
+
+    #: Arrow's own compression of each column.
+    WRITTEN = pa.ipc.IpcWriteOptions(compression="lz4")
+
+    def __init__(self, state: Any, schema: pa.Schema, hashes: str):
+        self.state, self.schema, self.hashes, self.pages = state, pa.schema([f.with_nullable(True) for f in schema]), hashes, 1
+        held = state.getValue((0,))
+        self._first = pa.ipc.open_stream(held[0]).read_all() if held else self.schema.empty_table()
+        if held:
+            self.pages = int(self._first.schema.metadata[b"pages"])
+
+    def _at(self, hashes: pa.ChunkedArray) -> np.ndarray:
+        low = (1 << (self.pages.bit_length() - 1)) - 1
+        at = hashes.to_numpy().astype(np.int64) & (2 * low + 1)
+        return np.where(at < self.pages, at, at & low)
+
+    def pages_of(self, hashes: pa.ChunkedArray) -> set[int]:
+        return set(np.unique(self._at(hashes)).tolist())
+
+    def load(self, pages: set[int]) -> pa.Table:
+        """All rows of some pages."""
+        held = [self._first.replace_schema_metadata(None)] if 0 in pages else []
+        for i in sorted(pages - {0}):
+            if page := self.state.getValue((i,)):
+                held.append(pa.ipc.open_stream(page[0]).read_all().replace_schema_metadata(None))
+        return pa.concat_tables(held) if held else self.schema.empty_table()
+
+    def store(self, pages: set[int], rows: pa.Table) -> None:
+        """New rows of some pages: all that they hold from now on."""
+        rows = rows.select(self.schema.names).cast(self.schema)
+        more = int(((np.bincount(self._at(rows[self.hashes])) - 1) // COLUMN_KEYS).clip(0).sum()) if rows.num_rows else 0
+        if more:
+            new = range(self.pages, self.pages + more)
+            split = {self._origin(i) for i in new} | {0}  # page 0 has the layout
+            rows = pa.concat_tables([rows, self.load(split - pages)])
+            self.pages, pages = self.pages + more, pages | split | set(new)
+        at = self._at(rows[self.hashes])
+        order = np.argsort(at, kind="stable")
+        rows, at, ids = rows.combine_chunks().take(order), at[order], sorted(pages)
+        for i, a, b in zip(ids, np.searchsorted(at, ids, "left").tolist(), np.searchsorted(at, ids, "right").tolist(), strict=True):
+            if a < b or i == 0 and self.pages > 1:
+                self._write(i, rows.slice(a, b - a))
+            else:
+                self.state.removeKey((i,))
+
+    def _origin(self, page: int) -> int:
+        """The page, of those that there are, whose rows a new page takes."""
+        while page >= self.pages:
+            page -= 1 << (page.bit_length() - 1)
+        return page
+
+    def _write(self, i: int, rows: pa.Table) -> None:
+        schema = self.schema.with_metadata({"pages": str(self.pages)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema, options=self.WRITTEN) as stream:
+            stream.write_table(rows.replace_schema_metadata(schema.metadata))
+        self.state.updateValue((i,), (sink.getvalue().to_pybytes(),))
+
+
 class Owned:
     """What belongs to one owner in a map state whose keys begin with an owner."""
 

@@ -7,6 +7,7 @@ texts (see `codec`), so no value passes through pandas; state is in pages (see `
 
 from __future__ import annotations
 
+import functools
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
@@ -14,6 +15,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,9 +23,9 @@ from ebbflow.operators.aggregates import Aggregate
 from ebbflow.operators.ordering import order_text
 from ebbflow.signed import SIGN
 from ebbflow.streaming.codec import readers, text_of_values, values_of, written
-from ebbflow.streaming.pages import SHARED_ROWS, Owned, Pages, Small, Sorted, Tables
+from ebbflow.streaming.pages import SHARED_ROWS, ColumnPages, Owned, Pages, Small, Sorted, Tables
 
-KEY, ROW, BUCKET, PACKED = "key__", "row__", "bucket__", "packed__"
+KEY, ROW, BUCKET, PACKED, HASH = "key__", "row__", "bucket__", "packed__", "hash__"
 #: Most rows that a processor yields at once.
 FRAME_ROWS = 50_000
 #: The largest weight of a row that a processor yields: signs are ints.
@@ -63,18 +65,27 @@ def delta(key: str, old: Counter, new: Counter) -> list[tuple]:
 class Delta(StatefulProcessor):
     """inputs: the names of the columns that come in; ttls: milliseconds for each input after which untouched state goes, or None.
 
-    packed: the columns of the rows that come in packed, many to a cell.
+    packed: the columns of the rows that come in packed, many to a cell; summed: those that equal rows have the sums of.
     """
 
     inputs: Sequence[str] = ()
     packed: pa.Schema | None = None
+    summed: Sequence[str] = (SIGN,)
     ttls: Sequence[int | None] = (None, None)
 
     def frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Frames with the columns' own names (names that begin with _ become positions on their way)."""
         for frame in rows:
-            frame.columns = list(self.inputs)
-            yield frame if self.packed is None else pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(cell), self.packed) for cell in frame[PACKED]]).to_pandas()
+            if self.packed is None:
+                frame.columns = list(self.inputs)
+                yield frame
+            else:
+                yield self.unpacked(frame).to_pandas()
+
+    def unpacked(self, frame: pd.DataFrame) -> pa.Table:
+        """The rows that came packed."""
+        frame.columns = list(self.inputs)
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(cell), self.packed) for cell in frame[PACKED]])
 
     def changes(self, rows: Iterator[pd.DataFrame]) -> dict[str, dict[str, int]]:
         """Of every key of a bucket, the change of every row's text."""
@@ -172,6 +183,79 @@ class SumDelta(Delta):
                     yield k, *before, -1
 
 
+def sums_by(table: pa.Table, keys: Sequence[str], parts: Sequence[str]) -> pa.Table:
+    """The sums of each key's parts, in their types; 64-bit integers are summed as decimals where they could overflow."""
+    for i, p in enumerate(table.schema.names):
+        if p in parts and pa.types.is_integer(table.schema.types[i]) and table.num_rows:
+            ends = pc.min_max(table[p]).as_py()
+            if max(abs(v or 0) for v in ends.values()) * table.num_rows >= 1 << 63:
+                table = table.set_column(i, p, table[p].cast(pa.decimal128(19)))
+    return table.group_by(list(keys), use_threads=False).aggregate([(p, "sum") for p in parts]).select([*keys, *[f"{p}_sum" for p in parts]]).rename_columns([*keys, *parts])
+
+
+def differ(a: pa.ChunkedArray, b: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Where two columns have other values, nulls counting as one."""
+    return pc.or_(pc.xor(pc.is_null(a), pc.is_null(b)), pc.fill_null(pc.not_equal(a, b), False))
+
+
+def some(table: pa.Table, names: Iterable[str]) -> pa.ChunkedArray:
+    """Rows with a number that is not zero in one of the columns."""
+    return functools.reduce(pc.or_, [pc.not_equal(table[n], pa.scalar(0, table[n].type)) for n in names])
+
+
+class ColumnSums(Delta):
+    """What SumDelta does, a bucket's keys at a time as Arrow columns: aggregates with a form for columns, integers and doubles.
+
+    keys: the columns of a key, or its text alone.  A call reads and writes the pages that hold the changed keys; memory is a
+    bucket's at most.
+    """
+
+    def __init__(self, aggregates: Sequence[Aggregate], keys: Sequence[str], parts: Sequence[str]):
+        self.aggregates, self.keys, self.parts, self.summed = list(aggregates), list(keys), list(parts), tuple(parts)
+        self.at = [{p: f"p{i}_{p}" for p in a.parts} for i, a in enumerate(self.aggregates)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getMapState("sums", "page int", "body binary")
+
+    def _results(self, sums: pa.Table) -> list[pa.ChunkedArray]:
+        return [a.columns({p: sums[c] for p, c in at.items()}) for a, at in zip(self.aggregates, self.at, strict=True)]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        by = [HASH, *self.keys]
+        change = sums_by(pa.concat_tables([self.unpacked(f) for f in rows]), by, self.parts).select(self.packed.names).cast(self.packed)
+        change = change.filter(some(change, self.parts))
+        if not change.num_rows:
+            return
+        table = ColumnPages(self.sums, self.packed, HASH)
+        pages = table.pages_of(change[HASH])
+        held = table.load(pages)
+        more = [f"{p} more" for p in self.parts]
+        none = lambda n: [pa.repeat(pa.scalar(0, self.packed.field(p).type), n) for p in self.parts]
+        # each key's sums and what they change by; no sum adds up more than one row that is not zero
+        both = pa.concat_tables([
+            pa.Table.from_arrays([*(held[c] for c in (*by, *self.parts)), *none(held.num_rows)], [*by, *self.parts, *more]),
+            pa.Table.from_arrays([*(change[c] for c in by), *none(change.num_rows), *(change[p] for p in self.parts)], [*by, *self.parts, *more]),
+        ]).group_by(by, use_threads=False).aggregate([(p, "sum") for p in (*self.parts, *more)])
+        before = both.select([*by, *[f"{p}_sum" for p in self.parts]]).rename_columns([*by, *self.parts])
+        changes = [pc.add_checked(before[p], both[f"{p} more_sum"]) for p in self.parts]
+        after = pa.Table.from_arrays([*(before[c] for c in by), *changes], [*by, *self.parts])
+        table.store(pages, after.filter(some(after, self.parts)))
+        moved = some(both, [f"{m}_sum" for m in more])
+        yield from self._shown(before.filter(moved), after.filter(moved))
+
+    def _shown(self, before: pa.Table, after: pa.Table) -> Iterator[pd.DataFrame]:
+        """The rows that lead from the results of some sums to those of others, additions first."""
+        results = [self._results(t) for t in (before, after)]
+        there = [pc.greater(t[self.parts[0]], 0) for t in (before, after)]
+        other = functools.reduce(pc.or_, [differ(a, b) for a, b in zip(*results, strict=True)], pc.xor(*there))
+        names = [*self.keys, *[a.name for a in self.aggregates]]
+        for i, sign in ((1, 1), (0, -1)):
+            shown = pa.Table.from_arrays([*(before[k] for k in self.keys), *results[i]], names).filter(pc.and_(other, there[i]))
+            for a in range(0, shown.num_rows, FRAME_ROWS):
+                part = shown.slice(a, FRAME_ROWS).combine_chunks()
+                yield part.append_column(SIGN, pa.repeat(pa.scalar(sign, pa.int64()), part.num_rows)).to_pandas(types_mapper=pd.ArrowDtype)
+
+
 class Results:
     """Results of aggregates over the net rows of a group, given as weights of rows' texts."""
 

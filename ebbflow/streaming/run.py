@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.listener import StreamingQueryProgress
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 
 from ebbflow.operators.relational import size_bound
 from ebbflow.session import ROCKSDB, shared_folder
 from ebbflow.signed import net_rows
-from ebbflow.streaming.codec import text_of
+from ebbflow.streaming.codec import compact_text, text_of, written
+from ebbflow.streaming.processors import KEY
 
 #: Tables of up to so many bytes are replayed as one file for each micro-batch, larger ones as a file for each core.
 FILE_BYTES = 1 << 20
-#: Bytes of an Arrow batch in a stream's tasks: packed rows are many to a cell.
-ARROW_BYTES = 16 << 20
+#: Rows of an Arrow batch in a stream's tasks, packed ones too.  A limit of its bytes would be looked at for each row, which costs
+#: more than all else that is done with a row of numbers; the largest number is none.
+ARROW_ROWS, ARROW_BYTES = 2000, (1 << 31) - 1
 
 
 def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFrame:
@@ -51,7 +56,7 @@ def replay(df: DataFrame, splits: int = 3, order: str | None = None) -> DataFram
 def _settings(spark: SparkSession, state_partitions: int | None) -> Iterator[None]:
     """The settings of signed streams; the session's own come back."""
     # state with a time to live would ask for batches without data for ever
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)} | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS)} | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -134,6 +139,19 @@ def net(df: DataFrame) -> DataFrame:
     return net_rows(df)
 
 
+def _column_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and sums of pages of columns, as the pages of single keys show them."""
+    for batch in batches:
+        for owner, page in zip(*(batch.column(c).to_pylist() for c in ("owner", "body")), strict=True):
+            rows = pa.ipc.open_stream(page).read_all()
+            names = rows.schema.names
+            keys = [rows[n].to_pylist() for n in names if n == KEY or re.fullmatch("k[0-9]+__", n)]
+            sums = [rows[n].to_pylist() for n in names if n == "__rows" or re.match("p[0-9]+_", n)]
+            texts = rows[KEY].to_pylist() if KEY in names else [compact_text(k) for k in zip(*keys, strict=True)]
+            values = [json.dumps(written(v), separators=(",", ":")) for v in zip(*sums, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([owner] * len(texts), pa.int64()), pa.array(texts, pa.string()), pa.array(values, pa.string())], names=["owner", "key", "values"])
+
+
 def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operator: int = 0) -> DataFrame:
     """What a stream that ran in `folder` holds in a state variable of its operator-th stateful operator.
 
@@ -146,6 +164,8 @@ def state_rows(spark: SparkSession, folder: str, variable: str = "sums", operato
     if "user_map_key" not in state.columns or "page" not in state.schema["user_map_key"].dataType.names:
         return state
     body, page = F.col("user_map_value.body"), F.col("user_map_key.page")
+    if isinstance(state.schema["user_map_value"].dataType["body"].dataType, BinaryType):
+        return state.select(F.col("key.bucket__").alias("owner"), body.alias("body")).mapInArrow(_column_rows, "owner long, key string, values string")
     if "owner" not in state.schema["user_map_key"].dataType.names:
         owner, shared = F.col(f"key.{state.schema['key'].dataType.names[0]}"), F.lit(False)
     else:
