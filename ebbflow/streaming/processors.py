@@ -222,7 +222,9 @@ class ColumnSums(Delta):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         by = [HASH, *self.keys]
-        change = sums_by(pa.concat_tables([self.unpacked(f) for f in rows]), by, self.parts).select(self.packed.names).cast(self.packed)
+        change = pa.concat_tables([self.unpacked(f) for f in rows])
+        if change.column(0).num_chunks > 1:  # a cell has each key once
+            change = sums_by(change, by, self.parts).select(self.packed.names).cast(self.packed)
         change = change.filter(some(change, self.parts))
         if not change.num_rows:
             return
@@ -249,11 +251,11 @@ class ColumnSums(Delta):
         there = [pc.greater(t[self.parts[0]], 0) for t in (before, after)]
         other = functools.reduce(pc.or_, [differ(a, b) for a, b in zip(*results, strict=True)], pc.xor(*there))
         names = [*self.keys, *[a.name for a in self.aggregates]]
-        for i, sign in ((1, 1), (0, -1)):
-            shown = pa.Table.from_arrays([*(before[k] for k in self.keys), *results[i]], names).filter(pc.and_(other, there[i]))
-            for a in range(0, shown.num_rows, FRAME_ROWS):
-                part = shown.slice(a, FRAME_ROWS).combine_chunks()
-                yield part.append_column(SIGN, pa.repeat(pa.scalar(sign, pa.int64()), part.num_rows)).to_pandas(types_mapper=pd.ArrowDtype)
+        rows = [pa.Table.from_arrays([*(before[k] for k in self.keys), *results[i]], names).filter(pc.and_(other, there[i])) for i in (1, 0)]
+        shown = pa.concat_tables([r.append_column(SIGN, pa.repeat(pa.scalar(sign, pa.int64()), r.num_rows)) for r, sign in zip(rows, (1, -1), strict=True)])
+        for a in range(0, shown.num_rows, FRAME_ROWS):
+            part = shown.slice(a, FRAME_ROWS).combine_chunks()
+            yield pd.DataFrame({n: pd.arrays.ArrowExtensionArray(part[n]) for n in part.schema.names}, copy=False)
 
 
 class Results:
